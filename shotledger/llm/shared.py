@@ -1,0 +1,35 @@
+"""Tables written to the folder that the driver and all executors share.
+
+``checkpoint()`` computes its input twice unless it is persisted; a written Parquet table computes it once, keeps only
+the columns asked for, and survives the loss of any executor, so the operators cut lineage with these tables.
+"""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``; in local mode, where it is unset, a temporary one of our own."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = "file://" + tempfile.mkdtemp(prefix="shotledger-")
+        spark.conf.set("spark.checkpoint.dir", path)
+    return path.rstrip("/")
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that no other call gets."""
+    return f"{shared_dir(spark)}/shotledger-{uuid.uuid4().hex}/{name}"
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and return a scan of what was written."""
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
