@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shotledger.llm import quality
+from shotledger.llm import mixing, quality
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,10 +17,17 @@ def op7_line_first_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).drop("n_lost_lines", "lost_chars")
 
 
+def op9_time_varying_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = mixing.curriculum(table(spark, sf_dir, "documents"))
+    return plan.select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_line_first_cleaning": op7_line_first_cleaning,
+    "op9_time_varying_curriculum": op9_time_varying_curriculum,
 }
 
 ORACLES: dict[str, str] = {
     "op7_line_first_cleaning": quality.oracle_sql(),
+    "op9_time_varying_curriculum": mixing.oracle_sql(),
 }
