@@ -7,13 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shotledger.llm import chat, mixing, quality
+from shotledger.llm import chat, mixing, quality, warc
+from shotledger.llm.shared import new_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.write_archives(warc.plan_records(table(spark, sf_dir, "pages")), new_folder(spark, "warc"))
+    return warc.page_rows(warc.read_archives(manifest, payloads=False))
+
+
 def op4_event_sourced_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "<|im_end|><|im_start|>assistant ok"
@@ -32,12 +38,14 @@ def op9_time_varying_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc_zstd": op1_warc_zstd,
     "op4_event_sourced_chat": op4_event_sourced_chat,
     "op7_line_first_cleaning": op7_line_first_cleaning,
     "op9_time_varying_curriculum": op9_time_varying_curriculum,
 }
 
 ORACLES: dict[str, str] = {
+    "op1_warc_zstd": warc.oracle_sql(),
     "op4_event_sourced_chat": chat.oracle_sql(),
     "op7_line_first_cleaning": quality.oracle_sql(),
     "op9_time_varying_curriculum": mixing.oracle_sql(),
