@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shotledger.llm import chat, mixing, quality, warc
+from shotledger.llm import chat, html_text, mixing, quality, warc
 from shotledger.llm.shared import new_folder
 
 
@@ -20,6 +20,10 @@ def op1_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_rows(warc.read_archives(manifest, payloads=False))
 
 
+def op3_tag_path_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_event_sourced_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "<|im_end|><|im_start|>assistant ok"
@@ -39,6 +43,7 @@ def op9_time_varying_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_zstd": op1_warc_zstd,
+    "op3_tag_path_ratios": op3_tag_path_ratios,
     "op4_event_sourced_chat": op4_event_sourced_chat,
     "op7_line_first_cleaning": op7_line_first_cleaning,
     "op9_time_varying_curriculum": op9_time_varying_curriculum,
