@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shotledger.llm import chat, html_text, mixing, quality, warc
+from shotledger.llm import chat, html_text, jaccard, mixing, quality, warc
 from shotledger.llm.shared import new_folder
 
 
@@ -36,6 +36,10 @@ def op7_line_first_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).drop("n_lost_lines", "lost_chars")
 
 
+def op8_rare_first_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(table(spark, sf_dir, "documents"))
+
+
 def op9_time_varying_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.curriculum(table(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", "taken")
@@ -46,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_tag_path_ratios": op3_tag_path_ratios,
     "op4_event_sourced_chat": op4_event_sourced_chat,
     "op7_line_first_cleaning": op7_line_first_cleaning,
+    "op8_rare_first_jaccard": op8_rare_first_jaccard,
     "op9_time_varying_curriculum": op9_time_varying_curriculum,
 }
 
@@ -53,5 +58,6 @@ ORACLES: dict[str, str] = {
     "op1_warc_zstd": warc.oracle_sql(),
     "op4_event_sourced_chat": chat.oracle_sql(),
     "op7_line_first_cleaning": quality.oracle_sql(),
+    "op8_rare_first_jaccard": jaccard.oracle_sql(),
     "op9_time_varying_curriculum": mixing.oracle_sql(),
 }
