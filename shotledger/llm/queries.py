@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shotledger.llm import chat, html_text, jaccard, mixing, quality, warc
+from shotledger.llm import chat, html_text, jaccard, mixing, quality, suffixes, warc
 from shotledger.llm.shared import new_folder
 
 
@@ -45,6 +45,10 @@ def op9_time_varying_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_maximal_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digest(suffixes.without_repeats(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_zstd": op1_warc_zstd,
     "op3_tag_path_ratios": op3_tag_path_ratios,
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_line_first_cleaning": op7_line_first_cleaning,
     "op8_rare_first_jaccard": op8_rare_first_jaccard,
     "op9_time_varying_curriculum": op9_time_varying_curriculum,
+    "op10_maximal_repeats": op10_maximal_repeats,
 }
 
 ORACLES: dict[str, str] = {
