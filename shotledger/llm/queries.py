@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shotledger.llm import chat, html_text, jaccard, mixing, quality, suffixes, warc
+from shotledger.llm import chat, html_text, jaccard, mixing, packing, quality, shards, suffixes, warc
 from shotledger.llm.shared import new_folder
 
 
@@ -32,6 +32,14 @@ def op4_event_sourced_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.render(chat.fold(chat.as_events(rows.unionByName(extra)))))
 
 
+def op5_bound_certified_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op6_training_order_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.materialised(table(spark, sf_dir, "documents"))
+
+
 def op7_line_first_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).drop("n_lost_lines", "lost_chars")
 
@@ -53,6 +61,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_zstd": op1_warc_zstd,
     "op3_tag_path_ratios": op3_tag_path_ratios,
     "op4_event_sourced_chat": op4_event_sourced_chat,
+    "op5_bound_certified_packing": op5_bound_certified_packing,
+    "op6_training_order_shards": op6_training_order_shards,
     "op7_line_first_cleaning": op7_line_first_cleaning,
     "op8_rare_first_jaccard": op8_rare_first_jaccard,
     "op9_time_varying_curriculum": op9_time_varying_curriculum,
