@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shotledger.llm import chat, html_text, jaccard, mixing, packing, quality, shards, suffixes, warc
+from shotledger.llm import chat, html_text, jaccard, mixing, packing, quality, shards, suffixes, vectors, warc
 from shotledger.llm.shared import new_folder
 
 
@@ -20,6 +20,10 @@ def op1_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_rows(warc.read_archives(manifest, payloads=False))
 
 
+def op2_product_quantised_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.link_classes(table(spark, sf_dir, "embeddings"))
+
+
 def op3_tag_path_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
@@ -59,6 +63,7 @@ def op10_maximal_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_zstd": op1_warc_zstd,
+    "op2_product_quantised_links": op2_product_quantised_links,
     "op3_tag_path_ratios": op3_tag_path_ratios,
     "op4_event_sourced_chat": op4_event_sourced_chat,
     "op5_bound_certified_packing": op5_bound_certified_packing,
