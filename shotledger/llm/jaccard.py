@@ -299,9 +299,15 @@ def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
 
 
 def one_per_class(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` whose id is the least of their class; of repeated rows of that id, one with the least text stays."""
-    kept = materialise(classes(docs, width, percent).where("doc_id <=> component_id").select(F.col("doc_id").alias("kept_id")).distinct(), "kept")
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    """The rows of ``docs`` whose id is the least of their class; equal rows of one id and text are one.
+
+    Rows with one id but texts of which neither is the other's copy are told apart by nothing and stay together.
+    """
+    found = materialise(classes(docs, width, percent), "classes")
+    kept = materialise(found.where("doc_id <=> component_id").groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("n")), "kept")
+    rows = docs.join(kept.select("kept_id"), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    # Ids are unique as a rule; only otherwise are texts shuffled for this.
+    return rows if kept.where("n > 1").isEmpty() else rows.dropDuplicates(["doc_id", "text"])
 
 
 def oracle_sql() -> str:

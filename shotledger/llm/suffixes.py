@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -316,26 +316,30 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def without_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
-    """Per document ``doc_id, text, spans, left``: its text as bytes, the maximal spans removed, and the bytes left."""
-    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def without_repeats(docs: DataFrame, length: int = 100, keep: Sequence[str] = ()) -> DataFrame:
+    """Per document ``doc_id, text, spans, left, left_text``: its text as bytes, the maximal spans removed, the bytes left, and the characters whole among them.
+
+    Columns in ``keep`` come along in the struct ``rest``.
+    """
+    rest = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.lit(None).cast("int")
+    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"), rest.alias("rest"))
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     spans = repeats(docs, length).groupBy("doc_id").agg(F.collect_set(F.struct("tie", "start", "stop")).alias("spans"))
     spans = materialise(spans.withColumnRenamed("doc_id", "span_id"), "spans")
     same = F.col("doc_id").eqNullSafe(F.col("span_id"))
     if spans.count() <= BROADCAST_IDS:
         ids = F.broadcast(spans.select("span_id"))
-        hit = docs.join(ids, same, "left_semi").join(spans, same).select("doc_id", "text", "spans")
+        hit = docs.join(ids, same, "left_semi").join(spans, same).select("doc_id", "text", "rest", "spans")
         rest = docs.join(ids, same, "left_anti").withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType))
         both = hit.union(rest)
     else:
-        both = docs.join(spans, same, "left").select("doc_id", "text", "spans")
+        both = docs.join(spans, same, "left").select("doc_id", "text", "rest", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(i, 512) for i in range(0, batch.num_rows, 512)):
                 texts, cuts, left = [], [], []
-                for text, found in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
+                for text, found in zip(part.column(1).to_pylist(), part.column(3).to_pylist()):
                     text = (text or "").encode()
                     tie = _checksum(text)
                     own = merged([(s["start"], s["stop"]) for s in found or () if s["tie"] == tie])
@@ -344,11 +348,23 @@ def without_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
                     cuts.append([{"start": a, "stop": b} for a, b in own])
                     left.append(b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2])))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(texts, pa.binary()), pa.array(cuts, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), pa.array(left, pa.binary())],
-                    ["doc_id", "text", "spans", "left"],
+                    [part.column(0), pa.array(texts, pa.binary()), pa.array(cuts, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), pa.array(left, pa.binary()), pa.array([x.decode(errors="ignore") for x in left], pa.string()), part.column(2)],
+                    ["doc_id", "text", "spans", "left", "left_text", "rest"],
                 )
 
-    return both.mapInArrow(run, f"doc_id {kind}, text binary, spans array<struct<start: long, stop: long>>, left binary")
+    return both.mapInArrow(run, f"doc_id {kinds['doc_id']}, text binary, spans array<struct<start: long, stop: long>>, left binary, left_text string, rest {kinds['rest']}")
+
+
+def cleaned(docs: DataFrame, length: int = 100) -> DataFrame:
+    """All rows of ``documents`` without the repeats; characters that a removal cut in two go, and ``n_chars`` is counted anew.
+
+    A document of which nothing is left stays, with an empty text.
+    """
+    names = docs.columns
+    keep = [c for c in names if c not in ("doc_id", "text", "n_chars")]
+    left = without_repeats(docs, length, keep)
+    made = {"doc_id": F.col("doc_id"), "text": F.col("left_text"), "n_chars": F.char_length("left_text").cast("long")}
+    return left.select(*[(made[c] if c in made else F.col(f"rest.`{c}`")).alias(c) for c in names])
 
 
 def digest(cleaned: DataFrame) -> DataFrame:
