@@ -7,9 +7,11 @@ of each in that order; so only those prefixes are shuffled.
 
 Only classes are asked for, so not all pairs of a group that shares a prefix shingle are made:
 
-1. each node is compared with the one before it and with the first one under each of its prefix shingles, in order of size;
-2. the links found give components; under shingles whose nodes lie in more than one component, nodes outside the largest one
-   are compared with the nodes of the other components. So each pair that could still join two components is looked at.
+1. each node is compared with the first one, in order of size, under each of its prefix shingles;
+2. the links found give components; where nodes of more than one component share a shingle, each node outside the largest of them is
+   compared with one node of it, another one under each shingle;
+3. what is still outside the largest component under a shared shingle is compared with all nodes of the other components there, so that
+   each pair that could still join two components is looked at. Few nodes come this far, as those that link a lot are joined by now.
 
 Pairs must pass the length filter, the positional filter, and a suffix filter: the number of shingles that two sets can share is bounded by
 the common bits of 2048-bit signatures plus the shingles that fell on taken bits. What is left is made distinct and
@@ -22,6 +24,7 @@ ids are null; extra columns are ignored.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -124,9 +127,13 @@ def _groups(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[
                 yield batch.slice(a, b - a)
 
 
-def _print(own: np.ndarray) -> bytes:
-    """128 bits that equal sets share."""
-    return b"".join(int(_mix(own ^ np.uint64(k)).sum() + np.uint64(len(own))).to_bytes(8, "little") for k in (0x51ED27, 0xA3C59AC3))
+def _print(own: np.ndarray) -> tuple[int, int]:
+    """128 bits that equal sets share, as two signed numbers."""
+    return tuple(int((_mix(own ^ np.uint64(k)).sum() + np.uint64(len(own))).view(np.int64)) for k in (0x51ED27, 0xA3C59AC3))
+
+
+def _node(own: np.ndarray) -> bytes:
+    return struct.pack(">qq", *_print(own))
 
 
 def _signature(own: np.ndarray) -> np.ndarray:
@@ -150,7 +157,7 @@ def summarise(docs: DataFrame, width: int) -> tuple[DataFrame, np.ndarray]:
             n = len(sets)
             sigs = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * (BITS // 64)), pa.array(np.concatenate([_signature(s) for s in sets])))
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_print(s) for s in sets], pa.binary()), sigs, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
+                [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_node(s) for s in sets], pa.binary()), sigs, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
                 ["doc_id", "n", "node", "sig", "tile", "counts"],
             )
         if id_type is not None:
@@ -179,13 +186,15 @@ def summarise(docs: DataFrame, width: int) -> tuple[DataFrame, np.ndarray]:
 
 
 def prefixes(docs: DataFrame, table: np.ndarray, width: int, percent: int) -> DataFrame:
-    """``token, node, n, pos``: the rarest shingles of each node, as many as the threshold asks for."""
-    # The rank of a counter is enough for the order and takes half the room.
+    """``token, high, low, size``: the rarest shingles of each node, as many as the threshold asks for.
+
+    ``high`` and ``low`` are the node's 128 bits; ``size`` is its number of shingles, then the shingle's place in 32 bits each.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(np.minimum(table, np.uint64(2**32 - 1)).astype(np.uint32).tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.frombuffer(shared.value, np.uint32)
-        seen: set[bytes] = set()
+        seen: set[tuple[int, int]] = set()
         for part in _groups(batches):
             tokens, nodes, sizes = [], [], []
             for own in shingle_sets(part.column(0).to_pylist(), width):
@@ -200,13 +209,11 @@ def prefixes(docs: DataFrame, table: np.ndarray, width: int, percent: int) -> Da
             if tokens:
                 each = np.array([len(t) for t in tokens])
                 pos = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
-                which = pa.array(np.repeat(np.arange(len(nodes)), each))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(tokens)), pa.array(nodes, pa.binary()).take(which), pa.array(np.repeat(sizes, each).astype(np.int32)), pa.array(pos.astype(np.int32))],
-                    ["token", "node", "n", "pos"],
-                )
+                high, low = (np.repeat(np.array(x, np.int64), each) for x in zip(*nodes))
+                size = (np.repeat(np.array(sizes, np.int64), each) << 32) + pos
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(tokens), high, low, size)], ["token", "high", "low", "size"])
 
-    return docs.select("text").mapInArrow(run, "token long, node binary, n int, pos int")
+    return docs.select("text").mapInArrow(run, "token long, high long, low long, size long")
 
 
 def _fits(percent: int, n: Column, m: Column, i: Column, j: Column) -> Column:
@@ -215,14 +222,17 @@ def _fits(percent: int, n: Column, m: Column, i: Column, j: Column) -> Column:
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * most >= percent * (n + m))
 
 
+def _may_share(percent: int, n: Column, m: Column, one: Column, two: Column) -> Column:
+    """Suffix filter: whether sets of n and m shingles with these signatures can share enough."""
+    bits = lambda x, y: sum((F.bit_count(F.get(x, F.lit(k)).bitwiseAND(F.get(y, F.lit(k)))) for k in range(BITS // 64)), F.lit(0))
+    most = bits(one, two) + F.least(n - bits(one, one), m - bits(two, two))
+    return (100 + percent) * most >= percent * (n + m)
+
+
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The distinct pairs ``a, b`` that link: first the suffix filter on signatures, then whole sets."""
     one, two = (nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"), F.col("rep").alias(f"rep_{x}")) for x in "ab")
-    words = range(BITS // 64)
-    bits = lambda *sigs: sum((F.bit_count(F.get(sigs[0], F.lit(k)).bitwiseAND(F.get(sigs[-1], F.lit(k)))) for k in words), F.lit(0))
-    a, b = F.col("sig_a"), F.col("sig_b")
-    most = bits(a, b) + F.least(F.col("n_a") - bits(a), F.col("n_b") - bits(b))
-    left = pairs.distinct().join(one, "a").join(two, "b").where((100 + percent) * most >= percent * (F.col("n_a") + F.col("n_b")))
+    left = pairs.distinct().join(one, "a").join(two, "b").where(_may_share(percent, F.col("n_a"), F.col("n_b"), F.col("sig_a"), F.col("sig_b")))
     left = materialise(left.select("a", "b", "rep_a", "rep_b"), "to_verify")
     wanted = materialise(left.select(F.col("rep_a").alias("rep")).union(left.select("rep_b")).distinct(), "wanted")
     few = wanted.count() <= BROADCAST_IDS
@@ -231,7 +241,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, p
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _groups(batches):
             sets = shingle_sets(part.column(0).to_pylist(), width)
-            yield pa.RecordBatch.from_arrays([pa.array([_print(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "items"])
+            yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "items"])
 
     # An id may stand for several rows, and rows with one id may have other sets: the node tells which set is meant.
     sets = materialise(texts.select("text").mapInArrow(run, "node binary, items binary").dropDuplicates(["node"]), "sets")
@@ -251,6 +261,28 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, p
     return materialise(full.select("a", "b", "items_a", "items_b").mapInArrow(check, "a binary, b binary"), "verified")
 
 
+def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``node, root`` after more links: the components of the roots that the links join."""
+    ends = links
+    for x in "ab":
+        ends = ends.join(roots.select(F.col("node").alias(x), "root"), x, "left").withColumn(x, F.coalesce("root", x)).drop("root")
+    new = materialise(components(ends), "joined")
+    old = roots.join(new.select(F.col("node").alias("root"), F.col("root").alias("next")), "root", "left").select("node", F.coalesce("next", "root").alias("root"))
+    # Nodes without links so far are their own root and stand in ``new`` alone.
+    return materialise(old.union(new.join(roots.select("node"), "node", "left_anti").select("node", "root")), "roots")
+
+
+def _mixed(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows of ``shared`` with their ``root``, under shingles with nodes of several components, and the largest of these as ``major``.
+
+    Two nodes under one shingle have been compared with each other, so there must be three at least.
+    """
+    placed = materialise(shared.select("token", "node", "n", "pos").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
+    by_root = placed.groupBy("token", "root").agg(F.count("*").alias("c"))
+    mixed = by_root.groupBy("token").agg(F.max_by("root", F.struct("c", "root")).alias("major"), F.count("*").alias("k"), F.sum("c").alias("all")).where("k > 1 and all > 2")
+    return materialise(placed.join(mixed.select("token", "major"), "token"), "mixed")
+
+
 def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id`` per document; ``percent`` is the least Jaccard similarity of a link."""
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
@@ -258,40 +290,46 @@ def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     nodes = summary.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     nodes = materialise(nodes, "nodes")
 
-    order = Window.partitionBy("token").orderBy("n", "node")
-    at = F.struct("node", "n", "pos")
+    # Nodes of one size stand in one of two orders, so that not all have the same one first.
+    order = Window.partitionBy("token").orderBy(F.shiftright("size", 32), F.xxhash64("high", "low", F.col("token").bitwiseAND(F.lit(1))), "high", "low")
+    at = F.struct("high", "low", "size")
+    same = lambda x: (F.col(f"{x}.high") == F.col("high")) & (F.col(f"{x}.low") == F.col("low"))
+    name = lambda x: F.unhex(F.concat(*[F.lpad(F.hex(f"{x}{y}"), 16, "0") for y in ("high", "low")]))
+    sizes = lambda x: (F.shiftright(f"{x}size", 32).cast("int"), F.col(f"{x}size").bitwiseAND(F.lit(2**31 - 1)).cast("int"))
     posted = (
         prefixes(docs, table, width, percent)
-        .withColumns({"prev": F.lag(at).over(order), "next": F.lead("node").over(order), "first": F.first(at).over(order)})
+        .withColumns({"prev": F.lag(at).over(order), "next": F.lead(at).over(order), "first": F.first(at).over(order)})
         # Copies of a node that other tasks posted too stand side by side; one is kept.
-        .where(F.col("prev").isNull() | (F.col("prev.node") != F.col("node")))
-        .where(F.col("prev").isNotNull() | (F.col("next") != F.col("node")) | F.col("next").isNotNull())
+        .where((F.col("prev").isNull() & F.col("next").isNotNull()) | ~same("prev"))
+        .select("token", name("").alias("node"), *[c.alias(k) for c, k in zip(sizes(""), ("n", "pos"))], F.when(~same("first"), F.struct(name("first.").alias("node"), *[c.alias(k) for c, k in zip(sizes("first."), ("n", "pos"))])).alias("first"))
     )
-    shared = materialise(posted.drop("next"), "shared")
+    shared = materialise(posted, "shared")
 
-    def near(other: str) -> DataFrame:
+    def pairs(rows: DataFrame, other: str) -> DataFrame:
         o = F.col(other)
-        good = (o["node"] != F.col("node")) & _fits(percent, F.col("n"), o["n"], F.col("pos"), o["pos"])
-        return shared.where(good).select(F.least("node", o["node"]).alias("a"), F.greatest("node", o["node"]).alias("b"))
+        good = o.isNotNull() & _fits(percent, F.col("n"), o["n"], F.col("pos"), o["pos"])
+        return rows.where(good).select(F.least("node", o["node"]).alias("a"), F.greatest("node", o["node"]).alias("b"))
 
-    links = _verified(near("prev").union(near("first")), nodes, docs, width, percent)
+    links = _verified(pairs(shared, "first"), nodes, docs, width, percent)
     roots = materialise(components(links), "roots")
 
-    placed = shared.select("token", "node", "n", "pos").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    placed = materialise(placed, "placed")
-    by_root = placed.groupBy("token", "root").agg(F.count("*").alias("c"))
-    mixed = by_root.groupBy("token").agg(F.max_by("root", F.struct("c", "root")).alias("major"), F.count("*").alias("k")).where("k > 1").drop("k")
-    among = materialise(placed.join(mixed, "token"), "among")
-    x = among.where("root != major").select(*[F.col(c).alias(f"x_{c}") for c in ("token", "node", "n", "pos", "root")])
-    crossing = among.join(
+    mixed = _mixed(shared, roots)
+    by_chance = Window.partitionBy("token").orderBy(F.xxhash64("node", "token"), "node").rowsBetween(Window.unboundedPreceding, -1)
+    of_major = F.last(F.when(F.col("root") == F.col("major"), F.struct("node", "n", "pos")), True).over(by_chance)
+    links = _verified(pairs(mixed.withColumn("some", of_major).where("root != major"), "some"), nodes, docs, width, percent)
+    roots = _joined(roots, links)
+
+    mixed = materialise(_mixed(mixed, roots).join(nodes.select("node", "sig"), "node"), "mixed")
+    x = mixed.where("root != major").select(*[F.col(c).alias(f"x_{c}") for c in ("token", "node", "n", "pos", "root", "sig")])
+    crossing = mixed.join(
         x,
         (F.col("token") == F.col("x_token"))
         & (F.col("root") != F.col("x_root"))
         & ((F.col("root") == F.col("major")) | (F.col("node") < F.col("x_node")))
-        & _fits(percent, F.col("n"), F.col("x_n"), F.col("pos"), F.col("x_pos")),
+        & _fits(percent, F.col("n"), F.col("x_n"), F.col("pos"), F.col("x_pos"))
+        & _may_share(percent, F.col("n"), F.col("x_n"), F.col("sig"), F.col("x_sig")),
     ).select(F.least("node", "x_node").alias("a"), F.greatest("node", "x_node").alias("b"))
-    more = _verified(crossing, nodes, docs, width, percent)
-    roots = materialise(components(links.union(more)), "roots")
+    roots = _joined(roots, _verified(crossing, nodes, docs, width, percent))
 
     keyed = summary.select("doc_id", "n", "node").join(roots, "node", "left").withColumn("class", F.when(F.col("n") > 0, F.coalesce("root", "node")))
     least = materialise(keyed.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least")), "least")
