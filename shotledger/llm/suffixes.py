@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from shotledger.llm.jaccard import _FACTOR, _INVERSE, _mix
 from shotledger.llm.shared import materialise
 
-GRAM, PIECE, MOST_WINDOWS, BATCH_BYTES = 36, 1 << 19, 1 << 15, 4 << 20
+GRAM, PIECE, MOST_WINDOWS, BATCH_BYTES, TASK_WINDOWS = 36, 1 << 19, 1 << 15, 1 << 20, 1 << 15
 #: Ids of at most so many documents are broadcast to pick texts; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 _POS = np.uint64((1 << 20) - 1)
@@ -143,12 +143,12 @@ def suffix_array(raw: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     while True:
         order = np.argsort(key, kind="stable")
         ordered = key[order]
-        rank = np.zeros(n, np.int64)
+        rank = np.zeros(n, np.int32)
         rank[order[1:]] = np.cumsum(ordered[1:] != ordered[:-1])
         ranks.append((span, rank))
         if span >= depth or rank[order[-1]] == n - 1:
             break
-        behind = np.zeros(n, np.int64)
+        behind = np.zeros(n, np.int32)
         behind[: max(0, n - span)] = rank[span:] + 1
         key = (rank.astype(np.uint64) << np.uint64(32)) | behind.astype(np.uint64)
         span *= 2
@@ -296,7 +296,10 @@ def repeats(docs: DataFrame, length: int = 100) -> DataFrame:
         if held:
             yield found(held)
 
-    some = fetched.where("bytes is not null").select("anchor", "doc_id", "at", "bytes").repartition("anchor").sortWithinPartitions("anchor")
+    some = fetched.where("bytes is not null").select("anchor", "doc_id", "at", "bytes")
+    # Sorting suffixes is work out of proportion to the bytes moved, so partitions aren't left to be merged by size.
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-some.count() // TASK_WINDOWS))
+    some = some.repartition(parts, "anchor").sortWithinPartitions("anchor")
     partly = some.mapInArrow(scan, f"doc_id {kind}, at long, length long")
     partly = partly.select("doc_id", *place_of, (F.col("at").bitwiseAND(F.lit((1 << 40) - 1)) + F.col("length")).alias("stop"))
     strings = fetched.where("second is not null")
