@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from shotledger.llm.shared import materialise, new_folder
 from shotledger.llm.tokens import END_ID, default_paths, id_arrays
 
-ROUNDS = 6
+ROUNDS, SAMPLE_ROWS, SAMPLE_SEQUENCES = 6, 1000, 2000
 
 
 def _round(x: np.ndarray, key: int, r: int) -> np.ndarray:
@@ -61,21 +62,36 @@ def permute(numbers: np.ndarray, count: int, key: int, inverse: bool = False) ->
     return x.astype(np.int64)
 
 
-def sequences(docs: DataFrame, length: int = 1024, paths: tuple[str, str] | None = None) -> DataFrame:
-    """``part, place, ids`` of every sequence; ids as 16-bit little-endian numbers."""
+def trained(docs: DataFrame, length: int, paths: tuple[str, str], rows: int = SAMPLE_ROWS) -> bytes | None:
+    """A compression dictionary for sequences from ``rows`` documents at most; nothing but the bytes on the way depends on it."""
+    some = [r["text"] for r in docs.select("text").limit(rows).collect()]
+    ids = np.concatenate([np.zeros(0, np.uint32), *id_arrays(pa.array(some, pa.string()), paths)]).astype("<u2")
+    samples = [ids[k : k + length].tobytes() for k in range(0, len(ids), length)]
+    try:
+        return zstandard.train_dictionary(112_640, samples[:SAMPLE_SEQUENCES], k=64, d=8).as_bytes()
+    except zstandard.ZstdError:  # too little text to train on
+        return None
+
+
+def _dictionary(raw: bytes | None) -> zstandard.ZstdCompressionDict | None:
+    return None if raw is None else zstandard.ZstdCompressionDict(raw)
+
+
+def sequences(docs: DataFrame, length: int = 1024, paths: tuple[str, str] | None = None, dictionary: bytes | None = None) -> DataFrame:
+    """``part, place, ids`` of every sequence; ids compressed, as they are written, shuffled and only then laid out."""
     paths = paths or default_paths()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, place = TaskContext.get().partitionId(), 0
         rest = np.zeros(0, np.uint32)
+        press = zstandard.ZstdCompressor(level=9, dict_data=_dictionary(dictionary))
 
         def rows(ids: np.ndarray) -> pa.RecordBatch:
             nonlocal place
             n = len(ids) // length
-            raw = ids.astype("<u2").reshape(n, length)
             place += n
             return pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, part, np.int64)), pa.array(np.arange(place - n, place)), pa.array([x.tobytes() for x in raw], pa.binary())], ["part", "place", "ids"]
+                [pa.array(np.full(n, part, np.int64)), pa.array(np.arange(place - n, place)), pa.array([press.compress(x.tobytes()) for x in ids.astype("<u2").reshape(n, length)], pa.binary())], ["part", "place", "ids"]
             )
 
         for batch in batches:
@@ -93,7 +109,9 @@ def sequences(docs: DataFrame, length: int = 1024, paths: tuple[str, str] | None
 
 def write_shards(docs: DataFrame, folder: str, length: int = 1024, per_shard: int = 8192, key: int = 1) -> DataFrame:
     """The manifest ``shard, path, first_slot, n_sequences, n_bytes, crc32``; all sequences are numbered, permuted and written."""
-    made = materialise(sequences(docs, length), "sequences")
+    paths = default_paths()
+    dictionary = trained(docs, length, paths)
+    made = materialise(sequences(docs, length, paths, dictionary), "sequences")
     counts = made.groupBy("part").agg(F.count("*").alias("n"))
     # One row per input partition.
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -113,6 +131,7 @@ def write_shards(docs: DataFrame, folder: str, length: int = 1024, per_shard: in
         store.create_dir(base, recursive=True)
         out = now = None
         found: list[dict] = []
+        press = zstandard.ZstdDecompressor(dict_data=_dictionary(dictionary))
         for batch in batches:
             for shard, slot, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 if now is None or shard != now["shard"]:
@@ -121,7 +140,7 @@ def write_shards(docs: DataFrame, folder: str, length: int = 1024, per_shard: in
                     now = {"shard": shard, "path": f"{folder}/{shard:08d}-{uuid.uuid4().hex}.bin", "first_slot": slot, "n_sequences": 0, "n_bytes": 0, "crc32": 0}
                     found.append(now)
                     out = store.open_output_stream(f"{base}/{now['path'].rpartition('/')[2]}", compression=None)
-                raw = ids.as_buffer()
+                raw = press.decompress(ids.as_buffer())
                 out.write(raw)
                 now["n_sequences"] += 1
                 now["n_bytes"] += len(raw)
