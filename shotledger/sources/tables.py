@@ -28,7 +28,7 @@ def cluster_key(job: Column, supplier: Column) -> Column:
 def photos(spark: SparkSession, folder: str) -> DataFrame:
     c = F.col
     return scan(spark, folder, "lineitem").select(
-        F.concat_ws("-", *[c(x).cast("string") for x in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]).alias("photo_id"),
+        F.concat_ws("-", *[c(x).cast("long").cast("string") for x in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")]).alias("photo_id"),
         c("l_orderkey").alias("job_id"),
         cluster_key(c("l_orderkey"), c("l_suppkey")).alias("cluster_id"),
         c("l_linenumber").alias("order_index"),
