@@ -9,7 +9,7 @@ Only classes are asked for, so not all pairs of a group that shares a prefix shi
 
 1. each node is compared with the first one, in order of size, under each of its prefix shingles;
 2. the links found give components; where nodes of more than one component share a shingle, each node outside the largest of them is
-   compared with one node of it, another one under each shingle;
+   compared with nodes of it picked by chance under its shingles, again and again as long as that joins many;
 3. what is still outside the largest component under a shared shingle is compared with all nodes of the other components there, so that
    each pair that could still join two components is looked at. Few nodes come this far, as those that link a lot are joined by now.
 
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from shotledger.llm.components import components
 from shotledger.llm.shared import materialise
 
-COUNTERS, BITS, TILE = 1 << 20, 2048, 1024
+COUNTERS, BITS, TILE, ROUNDS = 1 << 20, 2048, 1024, 8
 #: Ids of at most so many documents are broadcast to pick texts for verification; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -229,12 +229,9 @@ def _may_share(percent: int, n: Column, m: Column, one: Column, two: Column) ->
     return (100 + percent) * most >= percent * (n + m)
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The distinct pairs ``a, b`` that link: first the suffix filter on signatures, then whole sets."""
-    one, two = (nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"), F.col("rep").alias(f"rep_{x}")) for x in "ab")
-    left = pairs.distinct().join(one, "a").join(two, "b").where(_may_share(percent, F.col("n_a"), F.col("n_b"), F.col("sig_a"), F.col("sig_b")))
-    left = materialise(left.select("a", "b", "rep_a", "rep_b"), "to_verify")
-    wanted = materialise(left.select(F.col("rep_a").alias("rep")).union(left.select("rep_b")).distinct(), "wanted")
+def _sets(wanted: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """``node, items``: the whole sets of the documents whose ids are in ``wanted.rep``."""
+    wanted = materialise(wanted.select("rep").distinct(), "wanted")
     few = wanted.count() <= BROADCAST_IDS
     texts = docs.join(F.broadcast(wanted) if few else wanted, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
 
@@ -244,7 +241,16 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, p
             yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "items"])
 
     # An id may stand for several rows, and rows with one id may have other sets: the node tells which set is meant.
-    sets = materialise(texts.select("text").mapInArrow(run, "node binary, items binary").dropDuplicates(["node"]), "sets")
+    return materialise(texts.select("text").mapInArrow(run, "node binary, items binary").dropDuplicates(["node"]), "sets")
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame | None, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The distinct pairs ``a, b`` that link: first the suffix filter on signatures, then whole sets, which are made if not given."""
+    one, two = (nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"), F.col("rep").alias(f"rep_{x}")) for x in "ab")
+    left = pairs.distinct().join(one, "a").join(two, "b").where(_may_share(percent, F.col("n_a"), F.col("n_b"), F.col("sig_a"), F.col("sig_b")))
+    left = materialise(left.select("a", "b", "rep_a", "rep_b"), "to_verify")
+    if sets is None:
+        sets = _sets(left.select(F.col("rep_a").alias("rep")).union(left.select("rep_b")), docs, width)
     full = left.select("a", "b")
     for x in "ba":
         full = full.join(sets.select(F.col("node").alias(x), F.col("items").alias(f"items_{x}")), x)
@@ -310,16 +316,26 @@ def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
         good = o.isNotNull() & _fits(percent, F.col("n"), o["n"], F.col("pos"), o["pos"])
         return rows.where(good).select(F.least("node", o["node"]).alias("a"), F.greatest("node", o["node"]).alias("b"))
 
-    links = _verified(pairs(shared, "first"), nodes, docs, width, percent)
+    links = _verified(pairs(shared, "first"), nodes, None, docs, width, percent)
     roots = materialise(components(links), "roots")
 
     mixed = _mixed(shared, roots)
-    by_chance = Window.partitionBy("token").orderBy(F.xxhash64("node", "token"), "node").rowsBetween(Window.unboundedPreceding, -1)
-    of_major = F.last(F.when(F.col("root") == F.col("major"), F.struct("node", "n", "pos")), True).over(by_chance)
-    links = _verified(pairs(mixed.withColumn("some", of_major).where("root != major"), "some"), nodes, docs, width, percent)
-    roots = _joined(roots, links)
-
-    mixed = materialise(_mixed(mixed, roots).join(nodes.select("node", "sig"), "node"), "mixed")
+    open_nodes = materialise(nodes.join(mixed.select("node").distinct(), "node", "left_semi"), "open")
+    sets = _sets(open_nodes, docs, width)
+    outside = mixed.where("root != major").count()
+    for r in range(ROUNDS):
+        if not outside:
+            break
+        by_chance = Window.partitionBy("token").orderBy(F.xxhash64("node", F.col("token").bitwiseAND(F.lit(7)), F.lit(r)), "node").rowsBetween(Window.unboundedPreceding, -1)
+        of_major = F.last(F.when(F.col("root") == F.col("major"), F.struct("node", "n", "pos")), True).over(by_chance)
+        links = _verified(pairs(mixed.withColumn("some", of_major).where("root != major"), "some"), open_nodes, sets, docs, width, percent)
+        roots = _joined(roots, links)
+        mixed = _mixed(mixed, roots)
+        before, outside = outside, mixed.where("root != major").count()
+        if outside > 0.9 * before:  # more rounds gain little; what follows is exact in any case
+            break
+
+    mixed = materialise(mixed.join(open_nodes.select("node", "sig"), "node"), "mixed")
     x = mixed.where("root != major").select(*[F.col(c).alias(f"x_{c}") for c in ("token", "node", "n", "pos", "root", "sig")])
     crossing = mixed.join(
         x,
@@ -329,7 +345,7 @@ def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
         & _fits(percent, F.col("n"), F.col("x_n"), F.col("pos"), F.col("x_pos"))
         & _may_share(percent, F.col("n"), F.col("x_n"), F.col("sig"), F.col("x_sig")),
     ).select(F.least("node", "x_node").alias("a"), F.greatest("node", "x_node").alias("b"))
-    roots = _joined(roots, _verified(crossing, nodes, docs, width, percent))
+    roots = _joined(roots, _verified(crossing, open_nodes, sets, docs, width, percent))
 
     keyed = summary.select("doc_id", "n", "node").join(roots, "node", "left").withColumn("class", F.when(F.col("n") > 0, F.coalesce("root", "node")))
     least = materialise(keyed.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least")), "least")
