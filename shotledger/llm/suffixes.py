@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from shotledger.llm.jaccard import _FACTOR, _INVERSE, _mix
 from shotledger.llm.shared import materialise
 
-GRAM, PIECE, MOST_WINDOWS, BATCH_BYTES, TASK_WINDOWS = 36, 1 << 19, 1 << 15, 1 << 20, 1 << 15
+GRAM, PIECE, MOST_WINDOWS, BATCH_BYTES, TASK_WINDOWS, TASK_ROWS = 36, 1 << 19, 1 << 15, 1 << 20, 1 << 15, 1 << 19
 #: Ids of at most so many documents are broadcast to pick texts; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 _POS = np.uint64((1 << 20) - 1)
@@ -95,22 +95,56 @@ def _checksum(text: bytes) -> int:
 
 
 def _anchored(docs: DataFrame, length: int) -> DataFrame:
-    """``anchor, kind, doc_id, at, size`` of every window; ``at`` is the checksum of the text, then the place in it."""
+    """``anchor, kind, doc_id, at, size`` of windows; ``at`` is the checksum of the text, then the place in it.
 
-    def flush(ids: list, ties: list, offsets: list, parts: list[bytes], id_type: pa.DataType) -> pa.RecordBatch:
-        raw = np.frombuffer(b"".join(parts), np.uint8)
-        bounds = np.cumsum([0, *map(len, parts)])
-        doc, start, size, anchor, kind = windows(raw, bounds, length)
+    Of equal windows that come up together in a task only the earliest is a row; the others are repeats already, and rows
+    without ``kind`` give the spans that they cover.
+    """
+
+    def flush(ids: list, ties: list, offsets: list, found: list[tuple[np.ndarray, ...]], id_type: pa.DataType) -> pa.RecordBatch:
+        doc, start, size, anchor, kind = (np.concatenate(x) for x in zip(*found))
         at = (np.array(ties, np.int64)[doc] << 40) + np.array(offsets, np.int64)[doc] + start
-        return pa.RecordBatch.from_arrays(
-            [pa.array(anchor.view(np.int64)), pa.array(kind.view(np.int64)), pa.array(ids, id_type).take(pa.array(doc)), pa.array(at), pa.array(size.astype(np.int32))],
-            ["anchor", "kind", "doc_id", "at", "size"],
-        )
+        known = {x: k for k, x in enumerate(sorted(set(ids), key=lambda x: (x is not None, x)))}
+        age = np.array([known[x] for x in ids])[doc]
+        order = np.lexsort((at, age, size, kind, anchor))
+        same = lambda x: x[order[1:]] == x[order[:-1]]
+        head = np.concatenate(([True], ~(same(anchor) & same(kind) & same(size))))
+        start_of = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
+        keep = order[head | ((at[order] == at[start_of]) & (age[order] == age[start_of]))]
+        rest = np.setdiff1d(order, keep)
+        rest = rest[np.lexsort((at[rest], doc[rest]))]
+        # Windows of one document that touch make one span.
+        cut = np.ones(len(rest), bool)
+        cut[1:] = (doc[rest[1:]] != doc[rest[:-1]]) | (at[rest[1:]] > at[rest[:-1]] + size[rest[:-1]])
+        first, last = rest[cut], rest[np.concatenate((np.flatnonzero(cut)[1:] - 1, [len(rest) - 1]))] if len(rest) else rest
+        whole = at[last] + size[last] - at[first]
+        columns = [
+            pa.array(np.concatenate([anchor[keep], _mix(at[first].astype(np.uint64) + age[first].astype(np.uint64))]).view(np.int64)),
+            pa.array(np.concatenate([kind[keep].view(np.int64), np.zeros(len(first), np.int64)]), mask=np.arange(len(keep) + len(first)) >= len(keep)),
+            pa.array(ids, id_type).take(pa.array(np.concatenate([doc[keep], doc[first]]))),
+            pa.array(np.concatenate([at[keep], at[first]])),
+            pa.array(np.concatenate([size[keep], whole])),
+        ]
+        return pa.RecordBatch.from_arrays(columns, ["anchor", "kind", "doc_id", "at", "size"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, ties, offsets, found = [], [], [], []
+        parts: list[bytes] = []
+        rows = held = 0
+        id_type = None
+
+        def search() -> None:
+            nonlocal rows, held
+            if parts:
+                raw = np.frombuffer(b"".join(parts), np.uint8)
+                doc, *rest = windows(raw, np.cumsum([0, *map(len, parts)]), length)
+                found.append((doc + (len(ids) - len(parts)), *rest))
+                rows += len(doc)
+                parts.clear()
+                held = 0
+
         for batch in batches:
-            held: tuple[list, list, list, list] = ([], [], [], [])
-            n = 0
+            id_type = batch.column(0).type
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = (text.as_py() or "").encode()
                 tie = _checksum(text)
@@ -118,28 +152,34 @@ def _anchored(docs: DataFrame, length: int) -> DataFrame:
                     part = text[a : a + PIECE + length - 1]
                     if len(part) < length:
                         continue
-                    if n + len(part) > PIECE and n:
-                        yield flush(*held, batch.column(0).type)
-                        held, n = ([], [], [], []), 0
-                    for x, y in zip(held, (key, tie, a, part)):
+                    if held + len(part) > PIECE:
+                        search()
+                        if rows > TASK_ROWS:
+                            yield flush(ids, ties, offsets, found, id_type)
+                            ids, ties, offsets, found, rows = [], [], [], [], 0
+                    for x, y in ((ids, key), (ties, tie), (offsets, a), (parts, part)):
                         x.append(y)
-                    n += len(part)
-            if n:
-                yield flush(*held, batch.column(0).type)
+                    held += len(part)
+        search()
+        if rows:
+            yield flush(ids, ties, offsets, found, id_type)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"anchor long, kind long, doc_id {kind}, at long, size int")
+    return docs.select("doc_id", "text").mapInArrow(run, f"anchor long, kind long, doc_id {kind}, at long, size long")
 
 
-def suffix_array(raw: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes in the order of their first ``depth`` bytes or more, and with each the length it shares with the one before (up to that depth)."""
-    n = len(raw)
-    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+def suffix_array(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes in the order of their first ``depth`` symbols or more, and with each the length it shares with the one before (up to that depth).
+
+    Symbols are numbers under 512.
+    """
+    n = len(symbols)
+    span = 7
+    padded = np.concatenate([symbols, np.zeros(span, symbols.dtype)]).astype(np.uint64)
     key = np.zeros(n, np.uint64)
-    for k in range(8):
-        key = (key << np.uint64(8)) | padded[k : k + n]
+    for k in range(span):
+        key = (key << np.uint64(9)) | padded[k : k + n]
     ranks = []
-    span = 8
     while True:
         order = np.argsort(key, kind="stable")
         ordered = key[order]
@@ -160,9 +200,9 @@ def suffix_array(raw: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         common[1:][same] += span
         x[same] += span
         y[same] += span
-    for _ in range(7):  # what is left is under eight bytes
+    for _ in range(6):  # what is left is under seven symbols
         same = (x < n) & (y < n)
-        same[same] = raw[x[same]] == raw[y[same]]
+        same[same] = symbols[x[same]] == symbols[y[same]]
         common[1:][same] += 1
         x, y = np.where(same, x + 1, n), np.where(same, y + 1, n)
     return order, common
@@ -170,23 +210,25 @@ def suffix_array(raw: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
 
 def maximal_repeats(parts: list[bytes], length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(size, part numbers, places) of every maximal repeat of at least ``length`` bytes among windows, with all its occurrences."""
-    raw = np.frombuffer(b"".join(parts), np.uint8)
+    # An end mark below all bytes stands behind each window: what ends there comes before all that goes on.
+    symbols = np.frombuffer(b"\0".join([*parts, b""]), np.uint8).astype(np.uint16) + np.uint16(1)
     each = np.array([len(p) for p in parts])
-    ends = np.cumsum(each)
-    part = np.repeat(np.arange(len(parts)), each)
-    order, common = suffix_array(raw, max(128, int(each.max())))
-    room = ends[part] - np.arange(len(raw))
+    ends = np.cumsum(each + 1) - 1
+    starts = ends - each
+    symbols[ends] = 0
+    part = np.repeat(np.arange(len(parts)), each + 1)
+    order, common = suffix_array(symbols, max(128, int(each.max())))
+    room = ends[part] - np.arange(len(symbols))
     use = room[order] >= length
     # Between suffixes that are used, the common length is the least of those passed over.
     keep = np.flatnonzero(use)
     if len(keep) < 2:
         return
-    shared = np.minimum.reduceat(common, np.concatenate(([0], keep[:-1] + 1)))
+    shared = np.minimum.reduceat(common[: keep[-1] + 1], np.concatenate(([0], keep[:-1] + 1)))
     sa = order[keep]
     shared[1:] = np.minimum(shared[1:], np.minimum(room[sa[1:]], room[sa[:-1]]))
     shared[0] = 0
-    begins = sa == (ends - each)[part[sa]]
-    left = np.where(begins, 256, raw[sa - 1].astype(np.int64))
+    left = np.where(sa == starts[part[sa]], 256, symbols[sa - 1].astype(np.int64) - 1)
     linked = shared >= length
     heads = np.flatnonzero(~linked)
     tails = np.concatenate((heads[1:], [len(sa)]))
@@ -210,7 +252,7 @@ def maximal_repeats(parts: list[bytes], length: int) -> Iterator[tuple[int, np.n
                 seen = own if own == seen else -1
                 if seen == -1:
                     places = sa[a + begin : a + i]
-                    yield size, part[places], places - (ends - each)[part[places]]
+                    yield size, part[places], places - starts[part[places]]
             if now >= length:
                 if stack and stack[-1][0] == now:
                     stack[-1][2] = stack[-1][2] if stack[-1][2] == seen else -1
@@ -228,12 +270,12 @@ def repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     met = (
         _anchored(docs, length)
         .withColumns({"prev": F.lag("kind").over(order), "next": F.lead("kind").over(order), "first": F.first(place).over(Window.partitionBy("anchor", "kind").orderBy(F.col("doc_id").asc_nulls_first(), "at"))})
-        .where("prev is not null or next is not null")
-        .withColumn("is_head", F.col("prev").isNull() | (F.col("prev") != F.col("kind")))
+        .where("kind is null or prev is not null or next is not null")
+        .withColumn("is_head", F.col("kind").isNotNull() & (F.col("prev").isNull() | (F.col("prev") != F.col("kind"))))
     )
     met = materialise(met.drop("prev", "next"), "met")
     place_of = [F.shiftright("at", 40).cast("int").alias("tie"), F.col("at").bitwiseAND(F.lit((1 << 40) - 1)).alias("start")]
-    whole = met.where(F.col("first") != place).select("doc_id", *place_of, (F.col("at").bitwiseAND(F.lit((1 << 40) - 1)) + F.col("size")).alias("stop"))
+    whole = met.where(F.col("kind").isNull() | (F.col("first") != place)).select("doc_id", *place_of, (F.col("at").bitwiseAND(F.lit((1 << 40) - 1)) + F.col("size")).alias("stop"))
 
     heads = met.where("is_head")
     rivals = heads.groupBy("anchor").agg(F.count("*").alias("rivals")).where("rivals > 1")
@@ -276,11 +318,13 @@ def repeats(docs: DataFrame, length: int = 100) -> DataFrame:
         def found(rows: list[tuple]) -> pa.RecordBatch:
             parts = [r[3] for r in rows]
             ids, at = [r[1] for r in rows], [r[2] for r in rows]
-            out: list[tuple] = []
+            covered: dict[int, list[tuple[int, int]]] = {}
             for size, part, places in maximal_repeats(parts, length):
-                spots = [(ids[p] is not None, ids[p], at[p] + q) for p, q in zip(part.tolist(), places.tolist())]
-                first = min(spots)
-                out += [(x[1], x[2], size) for x in spots if x != first]
+                spots = [(ids[p] is not None, ids[p], at[p] + q, p) for p, q in zip(part.tolist(), places.tolist())]
+                first = min(spots)[:3]
+                for _, _, a, p in (x for x in spots if x[:3] != first):
+                    covered.setdefault(p, []).append((a, a + size))
+            out = [(ids[p], a, b - a) for p, spans in covered.items() for a, b in merged(spans)]
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((id_type, pa.int64(), pa.int64()))], names)
 
         held: list[tuple] = []
