@@ -25,8 +25,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shotledger.llm.shared import materialise, new_folder
 from shotledger.llm.tokens import END_ID, default_paths, id_arrays
+from shotledger.sources.shared import materialise, new_folder
 
 ROUNDS, SAMPLE_ROWS, SAMPLE_SEQUENCES = 6, 1000, 2000
 
