@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from shotledger import schemas
 from shotledger.functions import exif, scalars as X
-from shotledger.operators import clustering, mutations, ordering, relations, states
+from shotledger.operators import clustering, mutations, ordering, relations, states, views
 from shotledger.sources import files, tables
 from shotledger.sources.shared import new_folder
 from shotledger.streaming import fold as streams
@@ -609,3 +609,34 @@ def upload_plan(spark: SparkSession, d: str) -> DataFrame:
     rows = tables.scan(spark, d, "orders")
     w, h = X.fit_within((F.col("o_orderkey") % 3000 + 100).cast("double"), (F.col("o_custkey") % 2000 + 100).cast("double"))
     return rows.select(F.col("o_orderkey").alias("job_id"), (F.col("o_orderkey") % 2 == 0).alias("small"), X.upload_strategy(F.col("o_totalprice"), 100000).alias("strategy"), w.alias("width"), h.alias("height"))
+
+
+@query(LATEST.format("").replace("j.user_id AS job_id, j.company_name AS title, e.export_id,", "j.user_id AS job_id, j.company_name AS title, e.pdf_path,"), "users", "exports")
+def export_status(spark: SparkSession, d: str) -> DataFrame:
+    jobs, runs = _user_jobs(spark, d), tables.exports(spark, d).withColumn("error_message", F.lit(None).cast("string"))
+    return views.export_status(jobs, runs).join(jobs.select("job_id", "title"), "job_id").select("job_id", "title", "pdf_path", "export_status")
+
+
+@query("SELECT j.job_id, j.title, j.status, j.created_at, 'PENDING' AS export_status FROM jobs j WHERE j.user_id IN (SELECT max(user_id) FROM jobs)", "jobs")
+def job_list_of_user(spark: SparkSession, d: str) -> DataFrame:
+    jobs = tables.jobs(spark, d)
+    last = jobs.agg(F.max("user_id")).first()[0]
+    none = tables.exports(spark, d).withColumn("job_id", -F.col("job_id") - 1)
+    return views.job_list(jobs, none, last)
+
+
+@query(
+    """SELECT c.cluster_id, c.job_id, c.name, c.order_index, coalesce(p.shown, '') AS shown FROM clusters c LEFT JOIN (SELECT cluster_id,
+  string_agg(photo_id || '/' || coalesce(nullif(thumbnail_path, ''), '-') || '/' || coalesce(strftime(meta_timestamp, '%Y'), '-'), ',' ORDER BY order_index, photo_id) AS shown FROM photos WHERE deleted_at IS NULL GROUP BY 1) p USING (cluster_id)""",
+    "clusters",
+    "photos",
+)
+def cluster_view(spark: SparkSession, d: str) -> DataFrame:
+    rows = views.cluster_view(tables.clusters(spark, d), tables.photos(spark, d))
+    text = lambda p: F.concat_ws("/", p["id"], F.coalesce(p["thumbnail_path"], F.lit("-")), F.coalesce(F.year(p["timestamp"]).cast("string"), F.lit("-")))
+    return rows.select("cluster_id", "job_id", "name", "order_index", F.array_join(F.transform("photos", text), ",").alias("shown"))
+
+
+@query("SELECT photo_id, job_id, cluster_id, storage_path, thumbnail_path, order_index, meta_timestamp AS timestamp FROM photos", "photos")
+def photo_view(spark: SparkSession, d: str) -> DataFrame:
+    return views.photo_view(tables.photos(spark, d))

@@ -49,7 +49,7 @@ def read_json(spark: SparkSession, path: str, schema: StructType | str, lines: b
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:
     """One row per file."""
-    return spark.read.option("wholetext", "true").text(path)
+    return spark.read.text(path, wholetext=True)
 
 
 def write_json(rows: DataFrame, path: str) -> None:

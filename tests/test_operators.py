@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
+import struct
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,7 +14,8 @@ from shotledger.functions import exif
 from shotledger.functions import scalars as X
 from shotledger.operators import clustering, mutations, ordering, relations, states
 from shotledger.operators.components import components
-from shotledger.sources import files, tables
+from shotledger.sources import files, photos, tables
+from shotledger.streaming import callbacks
 
 
 def now():
@@ -157,6 +160,8 @@ def test_files(spark, tmp_path):
     assert {bytes(r.content) for r in files.contents(spark, str(tmp_path / "a.JPG"), 3).collect()} == {b"0123"}
     left = files.outside(listed.select(F.regexp_replace("path", ".*/", "p/x/").alias("path")).union(spark.createDataFrame([("p/xy",)], "path string")), "p/x")
     assert [r.path for r in left.collect()] == ["p/xy"]
+    (tmp_path / "c.txt").write_text("two\nlines")
+    assert [r.value for r in files.read_text(spark, str(tmp_path / "c.txt")).collect()] == ["two\nlines"]
     (tmp_path / "bad.json").write_text("{bad")
     with pytest.raises(Exception):
         files.read_json(spark, str(tmp_path / "bad.json"), "a int").collect()
@@ -179,3 +184,65 @@ def test_unique_stops_on_a_second_row(spark):
     with pytest.raises(Exception, match="more than one row"):
         tables.unique(twice, "username").collect()
     assert rows(tables.unique(twice.where("n <> 2"), "username")) == [("a", 1), ("b", 3)]
+
+
+def tiff(order="<"):
+    """A TIFF block with the tags the decoder reads, a GPS block and an embedded thumbnail."""
+    out = bytearray(b"II*\0" if order == "<" else b"MM\0*") + struct.pack(order + "I", 8)
+
+    def block(at, tags, following=0):
+        data_at = at + 2 + 12 * len(tags) + 4
+        head, data = struct.pack(order + "H", len(tags)), b""
+        for tag, kind, count, raw in tags:
+            if len(raw) > 4:
+                head += struct.pack(order + "HHII", tag, kind, count, data_at + len(data))
+                data += raw
+            else:
+                head += struct.pack(order + "HHI", tag, kind, count) + raw.ljust(4, b"\0")
+        return head + struct.pack(order + "I", following) + data
+
+    text = lambda s: (2, len(s) + 1, s.encode() + b"\0")
+    short = lambda n: (3, 1, struct.pack(order + "H", n))
+    long = lambda n: (4, 1, struct.pack(order + "I", n))
+    ratio = lambda *xs: (5, len(xs) // 2, struct.pack(f"{order}{len(xs)}I", *xs))
+    main = [(0x010F, *text("Maker")), (0x0110, *text("Cam")), (0x0112, *short(6)), (0x8769, *long(200)), (0x8825, *long(400))]
+    sub = [(0x829A, *ratio(1, 100)), (0x8827, *short(200)), (0x9003, *text("2024:01:02 03:04:05")), (0x9011, *text("+00:00")), (0x920A, *ratio(50, 10)), (0x9291, *text("25"))]
+    gps = [(1, *text("N")), (2, *ratio(37, 1, 30, 1, 0, 1)), (3, *text("W")), (4, *ratio(127, 1, 0, 1, 0, 1)), (5, 1, 1, b"\1"), (6, *ratio(15, 2)), (16, *text("M")), (17, *ratio(5, 1))]
+    thumb = [(0x0201, *long(700)), (0x0202, *long(4))]
+    for at, raw in ((8, block(8, main, 600)), (200, block(200, sub)), (400, block(400, gps)), (600, block(600, thumb)), (700, b"\xff\xd8TH")):
+        out = out.ljust(at, b"\0") + raw
+    return bytes(out)
+
+
+@pytest.mark.parametrize("order", ["<", ">"])
+def test_exif_of_files(spark, tmp_path, order):
+    block = b"Exif\0\0" + tiff(order)
+    jpeg = b"\xff\xd8" + b"\xff\xe0\0\x04ab" + b"\xff\xe1" + struct.pack(">H", len(block) + 2) + block + b"\xff\xda\0\2pixels"
+    folder = tmp_path / "up"
+    folder.mkdir()
+    (folder / "good.jpg").write_bytes(jpeg)
+    (folder / "bad.jpg").write_bytes(jpeg[:60])
+    (folder / "none.jpg").write_bytes(b"none")
+    got = {r.original_name: r for r in photos.metadata(files.contents(spark, str(folder))).collect()}
+    good = got["good.jpg"]
+    assert (good.lat, good.lon, good.alt, good.gps_img_direction, good.device) == (37.5, -127.0, -7.5, 356.5, "Maker Cam")
+    assert (good.focal_length, good.exposure_time, good.iso, good.orientation, bytes(good.thumbnail)) == (5.0, 0.01, 200, 6, b"\xff\xd8TH")
+    assert good.timestamp == dt.datetime(2024, 1, 2, 3, 4, 5, 250000, tzinfo=dt.timezone.utc).timestamp()
+    assert got["bad.jpg"].lat is got["none.jpg"].timestamp is None
+    infos = spark.createDataFrame([("one", "good.jpg", None), ("two", "none.jpg", "t.jpg"), ("three", "missing.jpg", None)], "filename string, storage_path string, thumbnail_path string")
+    rows_ = {r.original_filename: r for r in photos.register_uploads(spark, infos, str(folder), 20).collect()}
+    assert set(rows_) == {"one", "two"} and rows_["two"].thumbnail_path == "t.jpg"
+    assert rows_["one"].meta_timestamp == dt.datetime(2024, 1, 2, 12, 4, 5, 250000) and rows_["one"].meta_lat == 37.5
+
+
+def test_reply_stream(spark, tmp_path):
+    drop, out = tmp_path / "drop", tmp_path / "out"
+    drop.mkdir()
+    replies = [{"request_id": "e1", "status": "SUCCESS", "result": {"pdf_url": "p"}}, {"request_id": "e2", "status": "FAILURE", "error": "why"}, {"request_id": "e9", "status": "SUCCESS"}, {"request_id": "e3", "status": "SUCCESS"}]
+    for k, r in enumerate(replies):
+        (drop / f"{k}.json").write_text(json.dumps(r, indent=2))
+    (drop / "bad.json").write_text("{no")
+    requests = spark.createDataFrame([("e1", 1), ("e2", 2), ("e3", 3)], "export_id string, job_id long")
+    events = callbacks.as_events(callbacks.reply_stream(spark, str(drop)), requests)
+    events.writeStream.option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).format("parquet").start(str(out)).awaitTermination()
+    assert rows(spark.read.parquet(str(out)).select("job_id", "status", "error", "pdf_path")) == [(1, "EXPORTED", None, "p"), (2, "FAILED", "why", None), (3, "FAILED", "no file", None)]
