@@ -229,31 +229,36 @@ def _may_share(percent: int, n: Column, m: Column, one: Column, two: Column) ->
     return (100 + percent) * most >= percent * (n + m)
 
 
+def _small(ids: DataFrame) -> DataFrame:
+    """``ids``, a written table, to be broadcast if it has no more than ``BROADCAST_IDS`` rows; else joins shuffle it."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def _sets(wanted: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     """``node, items``: the whole sets of the documents whose ids are in ``wanted.rep``."""
     wanted = materialise(wanted.select("rep").distinct(), "wanted")
-    few = wanted.count() <= BROADCAST_IDS
-    texts = docs.join(F.broadcast(wanted) if few else wanted, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
+    texts = docs.join(_small(wanted), F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _groups(batches):
             sets = shingle_sets(part.column(0).to_pylist(), width)
             yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "items"])
 
+    made = materialise(texts.select("text").mapInArrow(run, "node binary, items binary"), "sets")
     # An id may stand for several rows, and rows with one id may have other sets: the node tells which set is meant.
-    return materialise(texts.select("text").mapInArrow(run, "node binary, items binary").dropDuplicates(["node"]), "sets")
+    return made if made.count() <= wanted.count() else made.dropDuplicates(["node"])
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame | None, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The distinct pairs ``a, b`` that link: first the suffix filter on signatures, then whole sets, which are made if not given."""
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The distinct pairs ``a, b`` that link: first the suffix filter on signatures, then whole sets."""
     one, two = (nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"), F.col("rep").alias(f"rep_{x}")) for x in "ab")
     left = pairs.distinct().join(one, "a").join(two, "b").where(_may_share(percent, F.col("n_a"), F.col("n_b"), F.col("sig_a"), F.col("sig_b")))
     left = materialise(left.select("a", "b", "rep_a", "rep_b"), "to_verify")
-    if sets is None:
-        sets = _sets(left.select(F.col("rep_a").alias("rep")).union(left.select("rep_b")), docs, width)
+    sets = _sets(left.select(F.col("rep_a").alias("rep")).union(left.select("rep_b")), docs, width)
     full = left.select("a", "b")
     for x in "ba":
-        full = full.join(sets.select(F.col("node").alias(x), F.col("items").alias(f"items_{x}")), x)
+        own = _small(materialise(left.select(F.col(x).alias("node")).distinct(), "ends"))
+        full = full.join(sets.join(own, "node", "left_semi").select(F.col("node").alias(x), F.col("items").alias(f"items_{x}")), x)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -283,10 +288,11 @@ def _mixed(shared: DataFrame, roots: DataFrame) -> DataFrame:
 
     Two nodes under one shingle have been compared with each other, so there must be three at least.
     """
-    placed = materialise(shared.select("token", "node", "n", "pos").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
-    by_root = placed.groupBy("token", "root").agg(F.count("*").alias("c"))
-    mixed = by_root.groupBy("token").agg(F.max_by("root", F.struct("c", "root")).alias("major"), F.count("*").alias("k"), F.sum("c").alias("all")).where("k > 1 and all > 2")
-    return materialise(placed.join(mixed.select("token", "major"), "token"), "mixed")
+    placed = shared.select("token", "node", "n", "pos").join(_small(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    token = Window.partitionBy("token")
+    counted = placed.withColumn("c", F.count("*").over(Window.partitionBy("token", "root")))
+    judged = counted.withColumns({"major": F.max(F.struct("c", "root")).over(token), "least": F.min("root").over(token), "most": F.max("root").over(token), "all": F.count("*").over(token)})
+    return materialise(judged.where("least != most and all > 2").select("token", "node", "n", "pos", "root", F.col("major.root").alias("major")), "mixed")
 
 
 def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -316,19 +322,18 @@ def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
         good = o.isNotNull() & _fits(percent, F.col("n"), o["n"], F.col("pos"), o["pos"])
         return rows.where(good).select(F.least("node", o["node"]).alias("a"), F.greatest("node", o["node"]).alias("b"))
 
-    links = _verified(pairs(shared, "first"), nodes, None, docs, width, percent)
+    links = _verified(pairs(shared, "first"), nodes, docs, width, percent)
     roots = materialise(components(links), "roots")
 
     mixed = _mixed(shared, roots)
     open_nodes = materialise(nodes.join(mixed.select("node").distinct(), "node", "left_semi"), "open")
-    sets = _sets(open_nodes, docs, width)
     outside = mixed.where("root != major").count()
     for r in range(ROUNDS):
         if not outside:
             break
         by_chance = Window.partitionBy("token").orderBy(F.xxhash64("node", F.col("token").bitwiseAND(F.lit(7)), F.lit(r)), "node").rowsBetween(Window.unboundedPreceding, -1)
         of_major = F.last(F.when(F.col("root") == F.col("major"), F.struct("node", "n", "pos")), True).over(by_chance)
-        links = _verified(pairs(mixed.withColumn("some", of_major).where("root != major"), "some"), open_nodes, sets, docs, width, percent)
+        links = _verified(pairs(mixed.withColumn("some", of_major).where("root != major"), "some"), open_nodes, docs, width, percent)
         roots = _joined(roots, links)
         mixed = _mixed(mixed, roots)
         before, outside = outside, mixed.where("root != major").count()
@@ -345,7 +350,7 @@ def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
         & _fits(percent, F.col("n"), F.col("x_n"), F.col("pos"), F.col("x_pos"))
         & _may_share(percent, F.col("n"), F.col("x_n"), F.col("sig"), F.col("x_sig")),
     ).select(F.least("node", "x_node").alias("a"), F.greatest("node", "x_node").alias("b"))
-    roots = _joined(roots, _verified(crossing, open_nodes, sets, docs, width, percent))
+    roots = _joined(roots, _verified(crossing, open_nodes, docs, width, percent))
 
     keyed = summary.select("doc_id", "n", "node").join(roots, "node", "left").withColumn("class", F.when(F.col("n") > 0, F.coalesce("root", "node")))
     least = materialise(keyed.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least")), "least")
