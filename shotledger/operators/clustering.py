@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from shotledger.functions import scalars as X
 from shotledger.operators.components import components
 from shotledger.operators.relations import last_written, suffix_match
-from shotledger.sources.shared import materialise
+from shotledger.sources.shared import materialise, scratch
 
 EARTH_M = 6_371_000.0
 
@@ -60,6 +60,11 @@ def density_clusters(points: DataFrame, min_samples: int = 3, max_dist_m: float
     A point with ``min_samples`` neighbours, itself included, is a core point; core points that are neighbours share a cluster, and other points join
     the cluster with the least number among their core neighbours'. Points must be unique; jobs of any size are spread over tasks by place.
     """
+    with scratch(points.sparkSession) as kept:
+        return kept(_density_clusters(points, min_samples, max_dist_m, max_alt_m, min_cosine), "density_clusters")
+
+
+def _density_clusters(points: DataFrame, min_samples: int, max_dist_m: float, max_alt_m: float | None, min_cosine: float | None) -> DataFrame:
     pairs = materialise(neighbours(points, max_dist_m, max_alt_m, min_cosine), "pairs")
     cores = materialise(
         points.select("job_id", "point").join(pairs.groupBy("a").agg(F.count("*").alias("n")), F.col("point") == F.col("a"), "left").where(F.coalesce("n", F.lit(0)) + 1 >= min_samples).select("job_id", "point"), "cores"

@@ -1,16 +1,22 @@
 """Tables written to the folder that the driver and all executors share.
 
 ``checkpoint()`` computes its input twice unless it is persisted; a written Parquet table computes it once, keeps only
-the columns asked for, and survives the loss of any executor, so the operators cut lineage with these tables.
+the columns asked for, and survives the loss of any executor, so the operators cut lineage with these tables. An operator that needs
+many of them works in a ``scratch``: what it doesn't keep is deleted when it is done.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Paths written in each open scratch, the innermost last.
+_open: list[list[str]] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; in local mode, where it is unset, a temporary one of our own."""
@@ -28,8 +34,27 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/shotledger-{uuid.uuid4().hex}/{name}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and return a scan of what was written."""
+def materialise(df: DataFrame, name: str, depth: int = -1) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and return a scan of what was written; it goes with the scratch it is written in."""
     path = new_folder(df.sparkSession, name)
+    if len(_open) >= -depth:
+        _open[depth].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder that ``new_folder`` gave, in whatever store it is."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path.rsplit("/", 1)[0])  # noqa: SLF001
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)  # noqa: SLF001
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Delete the tables that are written inside when it ends. What it gives writes a table that stays, or goes with the scratch around this one."""
+    _open.append([])
+    try:
+        yield lambda df, name: materialise(df, name, -2)
+    finally:
+        for path in _open.pop():
+            delete(spark, path)
