@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shotledger.operators.components import components
-from shotledger.sources.shared import materialise
+from shotledger.sources.shared import materialise, scratch
 
 COUNTERS, BITS, TILE, ROUNDS = 1 << 20, 2048, 1024, 8
 #: Ids of at most so many documents are broadcast to pick texts for verification; more are joined by shuffle.
@@ -297,6 +297,11 @@ def _mixed(shared: DataFrame, roots: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id`` per document; ``percent`` is the least Jaccard similarity of a link."""
+    with scratch(docs.sparkSession) as kept:
+        return kept(_classes(docs, width, percent), "classes")
+
+
+def _classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     summary, table = summarise(docs, width)
     nodes = summary.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"))
@@ -362,7 +367,7 @@ def one_per_class(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFra
 
     Rows with one id but texts of which neither is the other's copy are told apart by nothing and stay together.
     """
-    found = materialise(classes(docs, width, percent), "classes")
+    found = classes(docs, width, percent)
     kept = materialise(found.where("doc_id <=> component_id").groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("n")), "kept")
     rows = docs.join(kept.select("kept_id"), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
     # Ids are unique as a rule; only otherwise are texts shuffled for this.

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shotledger.llm.tokens import END_ID, default_paths, id_arrays
-from shotledger.sources.shared import materialise, new_folder
+from shotledger.sources.shared import materialise, new_folder, scratch
 
 ROUNDS, SAMPLE_ROWS, SAMPLE_SEQUENCES = 6, 1000, 2000
 
@@ -109,6 +109,11 @@ def sequences(docs: DataFrame, length: int = 1024, paths: tuple[str, str] | None
 
 def write_shards(docs: DataFrame, folder: str, length: int = 1024, per_shard: int = 8192, key: int = 1) -> DataFrame:
     """The manifest ``shard, path, first_slot, n_sequences, n_bytes, crc32``; all sequences are numbered, permuted and written."""
+    with scratch(docs.sparkSession) as kept:
+        return kept(_written(docs, folder, length, per_shard, key), "manifest")
+
+
+def _written(docs: DataFrame, folder: str, length: int, per_shard: int, key: int) -> DataFrame:
     paths = default_paths()
     dictionary = trained(docs, length, paths)
     made = materialise(sequences(docs, length, paths, dictionary), "sequences")
@@ -151,8 +156,7 @@ def write_shards(docs: DataFrame, folder: str, length: int = 1024, per_shard: in
             yield pa.RecordBatch.from_pylist(found)
 
     dealt = numbered.mapInArrow(slots, "shard long, slot long, ids binary").repartition("shard").sortWithinPartitions("shard", "slot")
-    manifest = dealt.mapInArrow(write, "shard long, path string, first_slot long, n_sequences long, n_bytes long, crc32 long")
-    return materialise(manifest, "manifest")
+    return dealt.mapInArrow(write, "shard long, path string, first_slot long, n_sequences long, n_bytes long, crc32 long")
 
 
 def read_shards(manifest: DataFrame, length: int = 1024, start: int = 0, stop: int | None = None) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shotledger.llm.jaccard import _FACTOR, _INVERSE, _mix
-from shotledger.sources.shared import materialise
+from shotledger.sources.shared import materialise, scratch
 
 GRAM, PIECE, MOST_WINDOWS, BATCH_BYTES, TASK_WINDOWS, TASK_ROWS = 36, 1 << 19, 1 << 15, 1 << 20, 1 << 15, 1 << 19
 #: Ids of at most so many documents are broadcast to pick texts; more are joined by shuffle.
@@ -371,8 +371,9 @@ def without_repeats(docs: DataFrame, length: int = 100, keep: Sequence[str] = ()
     rest = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.lit(None).cast("int")
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"), rest.alias("rest"))
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    spans = repeats(docs, length).groupBy("doc_id").agg(F.collect_set(F.struct("tie", "start", "stop")).alias("spans"))
-    spans = materialise(spans.withColumnRenamed("doc_id", "span_id"), "spans")
+    with scratch(docs.sparkSession) as kept:
+        found = repeats(docs, length).groupBy("doc_id").agg(F.collect_set(F.struct("tie", "start", "stop")).alias("spans"))
+        spans = kept(found.withColumnRenamed("doc_id", "span_id"), "spans")
     same = F.col("doc_id").eqNullSafe(F.col("span_id"))
     if spans.count() <= BROADCAST_IDS:
         ids = F.broadcast(spans.select("span_id"))

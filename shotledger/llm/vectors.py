@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shotledger.operators.components import components
-from shotledger.sources.shared import materialise
+from shotledger.sources.shared import materialise, scratch
 
 GROUPS, CODES, MEMBERS, QUERIES = 16, 256, 2048, 4096
 
@@ -139,6 +139,11 @@ def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def link_classes(vectors: DataFrame, least: float = 0.9, probes: int = 24, sample: int = 32768, lists: int | None = None) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for every vector; ``least`` is the cosine of a link, ``sample`` bounds what the index is fitted on."""
+    with scratch(vectors.sparkSession) as kept:
+        return kept(_link_classes(vectors, least, probes, sample, lists), "link_classes")
+
+
+def _link_classes(vectors: DataFrame, least: float, probes: int, sample: int, lists: int | None) -> DataFrame:
     spark = vectors.sparkSession
     rows, number = prepare(vectors)
     rows = materialise(rows.withColumn("node", F.unhex(F.md5("raw"))), "vectors")
