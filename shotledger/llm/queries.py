@@ -76,8 +76,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op1_warc_zstd": warc.oracle_sql(),
+    "op2_product_quantised_links": vectors.oracle_sql(),
     "op4_event_sourced_chat": chat.oracle_sql(),
     "op7_line_first_cleaning": quality.oracle_sql(),
     "op8_rare_first_jaccard": jaccard.oracle_sql(),
     "op9_time_varying_curriculum": mixing.oracle_sql(),
+    "op10_maximal_repeats": suffixes.oracle_sql(),
 }

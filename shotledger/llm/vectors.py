@@ -224,3 +224,17 @@ def _link_classes(vectors: DataFrame, least: float, probes: int, sample: int, li
     component = F.when(F.col("class").isNotNull(), F.col("lowest")).otherwise(F.col("vec_id"))
     n_links = F.coalesce(F.col("copies") - 1 + F.coalesce("links", F.lit(0)), F.lit(0)).cast("long")
     return keyed.join(lowest, "class", "left").select("vec_id", n_links.alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
+
+
+def oracle_sql(least: float = 0.9) -> str:
+    """All pairs, as SQL."""
+    return f"""
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+g AS (SELECT * FROM v WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+d AS (SELECT len(e) AS n FROM g GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1),
+ok AS (SELECT g.* FROM g JOIN d ON len(g.e) = d.n),
+l AS (SELECT a.r AS a, b.r AS b FROM ok a JOIN ok b ON a.r <> b.r WHERE list_cosine_similarity(a.e, b.e) >= {least}),
+reach AS (SELECT r AS s, r AS t FROM v UNION SELECT reach.s, l.b FROM reach JOIN l ON reach.t = l.a),
+c AS (SELECT s AS r, min(v.vec_id) AS component_id FROM reach JOIN v ON v.r = reach.t GROUP BY 1),
+n AS (SELECT a AS r, count(*) AS n FROM l GROUP BY 1)
+SELECT v.vec_id, coalesce(n.n, 0) AS n_links, c.component_id, coalesce(v.vec_id = c.component_id, v.vec_id IS NULL) AS kept FROM v JOIN c USING (r) LEFT JOIN n USING (r)"""
