@@ -425,15 +425,16 @@ def digest(cleaned: DataFrame) -> DataFrame:
 def oracle_sql(length: int = 100) -> str:
     """Every string of ``length`` bytes with its first occurrence, as SQL; bytes stand as two hex digits."""
     return f"""
-WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-g AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, {2 * length})) AS s FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - {length - 1})) AS i FROM d WHERE length(h) >= {2 * length})),
-o AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id NULLS FIRST, i) AS k FROM g) WHERE k > 1),
-n AS (SELECT doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + {length}, true) AS new FROM o),
-m AS (SELECT doc_id, i, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM n),
-s AS (SELECT doc_id, min(i) AS a, max(i) + {length} AS b FROM m GROUP BY doc_id, span),
-e AS (SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS since, row_number() OVER (PARTITION BY doc_id ORDER BY a DESC) AS k FROM s),
-k AS (SELECT e.doc_id, sum(b - a) AS removed, count(*) AS spans,
+WITH d0 AS (SELECT doc_id, coalesce(text, '') AS text, dense_rank() OVER (ORDER BY doc_id NULLS FIRST, coalesce(text, '')) AS r FROM documents),
+d AS (SELECT DISTINCT r, hex(encode(text)) AS h FROM d0),
+g AS (SELECT r, i, md5(substr(h, 2 * i + 1, {2 * length})) AS s FROM (SELECT r, h, unnest(range(0, length(h) // 2 - {length - 1})) AS i FROM d WHERE length(h) >= {2 * length})),
+o AS (SELECT r, i FROM (SELECT r, i, row_number() OVER (PARTITION BY s ORDER BY r, i) AS k FROM g) WHERE k > 1),
+n AS (SELECT r, i, coalesce(i > lag(i) OVER (PARTITION BY r ORDER BY i) + {length}, true) AS new FROM o),
+m AS (SELECT r, i, sum(new::INT) OVER (PARTITION BY r ORDER BY i) AS span FROM n),
+s AS (SELECT r, min(i) AS a, max(i) + {length} AS b FROM m GROUP BY r, span),
+e AS (SELECT r, a, b, lag(b, 1, 0) OVER (PARTITION BY r ORDER BY a) AS since, row_number() OVER (PARTITION BY r ORDER BY a DESC) AS k FROM s),
+k AS (SELECT e.r, sum(b - a) AS removed, count(*) AS spans,
              string_agg(substr(h, 2 * since + 1, 2 * (a - since)), '' ORDER BY a) || max(CASE WHEN k = 1 THEN substr(h, 2 * b + 1) ELSE '' END) AS kept
-      FROM e JOIN d USING (doc_id) GROUP BY e.doc_id)
-SELECT d.doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
-FROM d LEFT JOIN k USING (doc_id)"""
+      FROM e JOIN d USING (r) GROUP BY e.r)
+SELECT d0.doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d0 JOIN d USING (r) LEFT JOIN k USING (r)"""

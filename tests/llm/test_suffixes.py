@@ -101,3 +101,13 @@ def test_cleaned_keeps_all_rows_and_columns(spark):
     docs = spark.createDataFrame([(1, "start " + passage, "s", 3), (2, passage, "s", 3), (3, None, None, None)], "doc_id long, text string, source string, n_chars long")
     rows = {r.doc_id: r for r in suffixes.cleaned(docs).collect()}
     assert set(rows) == {1, 2, 3} and rows[2].text == "" and rows[2].n_chars == 0 and rows[1].text == "start " + passage and rows[1].source == "s"
+
+
+def test_sql_says_the_same():
+    import duckdb
+
+    rows = [r for r in sample(8) if r[0] is not None] + [(None, "z" * 150)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [list(r) for r in rows])
+    assert sorted(con.execute(suffixes.oracle_sql()).fetchall(), key=repr) == brute(rows)

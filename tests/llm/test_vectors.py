@@ -68,3 +68,13 @@ def test_nothing_to_link(spark):
     assert run(spark, []) == []
     assert run(spark, [(1, None), (2, [0.0] * 8)]) == [(1, 0, 1, True), (2, 0, 2, True)]
     assert run(spark, [(1, [1.0] * 8)]) == [(1, 0, 1, True)]
+
+
+def test_sql_says_the_same():
+    import duckdb
+
+    rows = sample(3, 6)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding DOUBLE[])")
+    con.executemany("INSERT INTO embeddings VALUES (?, ?)", [[i, v] for i, v in rows])
+    assert sorted(con.execute(vectors.oracle_sql()).fetchall(), key=repr) == brute(rows, 0.9)
