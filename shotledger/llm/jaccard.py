@@ -222,13 +222,24 @@ def _fits(percent: int, n: Column, m: Column, i: Column, j: Column) -> Column:
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * most >= percent * (n + m))
 
 
-def _may_share(percent: int, n: Column, m: Column, one: Column, two: Column) -> Column:
+def _may_share(percent: int, n: Column, m: Column, one: Column, two: Column, words: int = BITS // 64) -> Column:
     """Suffix filter: whether sets of n and m shingles with these signatures can share enough."""
-    bits = lambda x, y: sum((F.bit_count(F.get(x, F.lit(k)).bitwiseAND(F.get(y, F.lit(k)))) for k in range(BITS // 64)), F.lit(0))
+    bits = lambda x, y: sum((F.bit_count(F.get(x, F.lit(k)).bitwiseAND(F.get(y, F.lit(k)))) for k in range(words)), F.lit(0))
     most = bits(one, two) + F.least(n - bits(one, one), m - bits(two, two))
     return (100 + percent) * most >= percent * (n + m)
 
 
+def _short(own: np.ndarray) -> bytes:
+    """The upper 48 bits of each hash, which are enough to compare two sets."""
+    return own.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+
+
+def _long(raw: pa.Buffer) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, 2:] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
 def _small(ids: DataFrame) -> DataFrame:
     """``ids``, a written table, to be broadcast if it has no more than ``BROADCAST_IDS`` rows; else joins shuffle it."""
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
@@ -242,7 +253,7 @@ def _sets(wanted: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _groups(batches):
             sets = shingle_sets(part.column(0).to_pylist(), width)
-            yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "items"])
+            yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in sets], pa.binary()), pa.array([_short(s) for s in sets], pa.binary())], ["node", "items"])
 
     made = materialise(texts.select("text").mapInArrow(run, "node binary, items binary"), "sets")
     # An id may stand for several rows, and rows with one id may have other sets: the node tells which set is meant.
@@ -264,7 +275,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, p
         for batch in batches:
             found = []
             for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
+                x, y = (_long(z.as_buffer()) for z in (x, y))
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 found.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(found, pa.bool_()))
@@ -288,7 +299,7 @@ def _mixed(shared: DataFrame, roots: DataFrame) -> DataFrame:
 
     Two nodes under one shingle have been compared with each other, so there must be three at least.
     """
-    placed = shared.select("token", "node", "n", "pos").join(_small(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = shared.select("token", "node", "n", "pos").join(_small(roots), "node", "left").withColumn("root", F.coalesce("root", "node")).repartition("token")
     token = Window.partitionBy("token")
     counted = placed.withColumn("c", F.count("*").over(Window.partitionBy("token", "root")))
     judged = counted.withColumns({"major": F.max(F.struct("c", "root")).over(token), "least": F.min("root").over(token), "most": F.max("root").over(token), "all": F.count("*").over(token)})
@@ -313,12 +324,14 @@ def _classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
     same = lambda x: (F.col(f"{x}.high") == F.col("high")) & (F.col(f"{x}.low") == F.col("low"))
     name = lambda x: F.unhex(F.concat(*[F.lpad(F.hex(f"{x}{y}"), 16, "0") for y in ("high", "low")]))
     sizes = lambda x: (F.shiftright(f"{x}size", 32).cast("int"), F.col(f"{x}size").bitwiseAND(F.lit(2**31 - 1)).cast("int"))
+    # Only under shingles with three nodes or more, as far as copies don't count, is anything left to do after the first comparison.
+    crowded = F.col("third").isNotNull() | (F.col("prev").isNotNull() & F.col("next").isNotNull())
     posted = (
         prefixes(docs, table, width, percent)
-        .withColumns({"prev": F.lag(at).over(order), "next": F.lead(at).over(order), "first": F.first(at).over(order)})
+        .withColumns({"prev": F.lag(at).over(order), "next": F.lead(at).over(order), "first": F.first(at).over(order), "third": F.coalesce(F.lag("size", 2).over(order), F.lead("size", 2).over(order))})
         # Copies of a node that other tasks posted too stand side by side; one is kept.
         .where((F.col("prev").isNull() & F.col("next").isNotNull()) | ~same("prev"))
-        .select("token", name("").alias("node"), *[c.alias(k) for c, k in zip(sizes(""), ("n", "pos"))], F.when(~same("first"), F.struct(name("first.").alias("node"), *[c.alias(k) for c, k in zip(sizes("first."), ("n", "pos"))])).alias("first"))
+        .select("token", name("").alias("node"), *[c.alias(k) for c, k in zip(sizes(""), ("n", "pos"))], F.when(~same("first"), F.struct(name("first.").alias("node"), *[c.alias(k) for c, k in zip(sizes("first."), ("n", "pos"))])).alias("first"), crowded.alias("crowded"))
     )
     shared = materialise(posted, "shared")
 
@@ -330,7 +343,7 @@ def _classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
     links = _verified(pairs(shared, "first"), nodes, docs, width, percent)
     roots = materialise(components(links), "roots")
 
-    mixed = _mixed(shared, roots)
+    mixed = _mixed(shared.where("crowded"), roots)
     open_nodes = materialise(nodes.join(mixed.select("node").distinct(), "node", "left_semi"), "open")
     outside = mixed.where("root != major").count()
     for r in range(ROUNDS):
@@ -345,7 +358,10 @@ def _classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
         if outside > 0.9 * before:  # more rounds gain little; what follows is exact in any case
             break
 
-    mixed = materialise(mixed.join(open_nodes.select("node", "sig"), "node"), "mixed")
+    # Under each shingle a signature of half the bits will do: pairs that pass meet the whole one before they are verified.
+    half = BITS // 128
+    folded = F.zip_with(F.slice("sig", 1, half), F.slice("sig", half + 1, half), lambda a, b: a.bitwiseOR(b))
+    mixed = materialise(mixed.join(open_nodes.select("node", folded.alias("sig")), "node"), "mixed")
     x = mixed.where("root != major").select(*[F.col(c).alias(f"x_{c}") for c in ("token", "node", "n", "pos", "root", "sig")])
     crossing = mixed.join(
         x,
@@ -353,7 +369,7 @@ def _classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
         & (F.col("root") != F.col("x_root"))
         & ((F.col("root") == F.col("major")) | (F.col("node") < F.col("x_node")))
         & _fits(percent, F.col("n"), F.col("x_n"), F.col("pos"), F.col("x_pos"))
-        & _may_share(percent, F.col("n"), F.col("x_n"), F.col("sig"), F.col("x_sig")),
+        & _may_share(percent, F.col("n"), F.col("x_n"), F.col("sig"), F.col("x_sig"), half),
     ).select(F.least("node", "x_node").alias("a"), F.greatest("node", "x_node").alias("b"))
     roots = _joined(roots, _verified(crossing, open_nodes, docs, width, percent))
 
