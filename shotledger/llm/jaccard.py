@@ -222,10 +222,13 @@ def _fits(percent: int, n: Column, m: Column, i: Column, j: Column) -> Column:
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * most >= percent * (n + m))
 
 
+def _bits(one: Column, two: Column, words: int = BITS // 64) -> Column:
+    return sum((F.bit_count(F.get(one, F.lit(k)).bitwiseAND(F.get(two, F.lit(k)))) for k in range(words)), F.lit(0))
+
+
 def _may_share(percent: int, n: Column, m: Column, one: Column, two: Column, words: int = BITS // 64) -> Column:
     """Suffix filter: whether sets of n and m shingles with these signatures can share enough."""
-    bits = lambda x, y: sum((F.bit_count(F.get(x, F.lit(k)).bitwiseAND(F.get(y, F.lit(k)))) for k in range(words)), F.lit(0))
-    most = bits(one, two) + F.least(n - bits(one, one), m - bits(two, two))
+    most = _bits(one, two, words) + F.least(n - _bits(one, one, words), m - _bits(two, two, words))
     return (100 + percent) * most >= percent * (n + m)
 
 
@@ -260,16 +263,20 @@ def _sets(wanted: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     return made if made.count() <= wanted.count() else made.dropDuplicates(["node"])
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The distinct pairs ``a, b`` that link: first the suffix filter on signatures, then whole sets."""
+def _plausible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The distinct pairs ``a, b`` that pass the suffix filter, with an id of each end and the number of common signature bits."""
     one, two = (nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"), F.col("rep").alias(f"rep_{x}")) for x in "ab")
     left = pairs.distinct().join(one, "a").join(two, "b").where(_may_share(percent, F.col("n_a"), F.col("n_b"), F.col("sig_a"), F.col("sig_b")))
-    left = materialise(left.select("a", "b", "rep_a", "rep_b"), "to_verify")
+    return materialise(left.select("a", "b", "rep_a", "rep_b", _bits(F.col("sig_a"), F.col("sig_b")).alias("common")), "plausible")
+
+
+def _verified(left: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs of a written table of plausible ones that link, by their whole sets."""
     sets = _sets(left.select(F.col("rep_a").alias("rep")).union(left.select("rep_b")), docs, width)
-    full = left.select("a", "b")
-    for x in "ba":
-        own = _small(materialise(left.select(F.col(x).alias("node")).distinct(), "ends"))
-        full = full.join(sets.join(own, "node", "left_semi").select(F.col("node").alias(x), F.col("items").alias(f"items_{x}")), x)
+    others = sets.join(_small(materialise(left.select(F.col("a").alias("node")).distinct(), "ends")), "node", "left_semi")
+    # Pairs are small beside sets: those meet the one end's sets where these lie.
+    full = sets.join(_small(left.select("a", F.col("b").alias("node"))), "node").select("a", F.col("node").alias("b"), F.col("items").alias("items_b"))
+    full = full.join(others.select(F.col("node").alias("a"), F.col("items").alias("items_a")), "a")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -283,6 +290,28 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, p
     return materialise(full.select("a", "b", "items_a", "items_b").mapInArrow(check, "a binary, b binary"), "verified")
 
 
+def _linked(roots: DataFrame | None, pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """``node, root`` after verifying the pairs: for each node the likeliest pair first, then those that still join two components."""
+    left = _plausible(pairs, nodes, percent)
+    for last in (False, False, True):
+        best = left
+        if not last:
+            pick = [left.groupBy(x).agg(F.max_by(F.struct("a", "b"), F.struct("common", "a", "b")).alias("p")).select("p.*") for x in "ab"]
+            best = materialise(left.join(pick[0].union(pick[1]).distinct(), ["a", "b"], "left_semi"), "best")
+        links = _verified(best, docs, width, percent)
+        roots = materialise(components(links), "roots") if roots is None else _joined(roots, links)
+        if last:
+            break
+        rest = left.join(best.select("a", "b"), ["a", "b"], "left_anti")
+        known = _small(roots)
+        for x in "ab":
+            rest = rest.join(known.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")), x, "left").withColumn(f"root_{x}", F.coalesce(f"root_{x}", x))
+        left = materialise(rest.where("root_a != root_b").select(*left.columns), "plausible")
+        if left.isEmpty():
+            break
+    return roots
+
+
 def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
     """``node, root`` after more links: the components of the roots that the links join."""
     ends = links
@@ -340,8 +369,7 @@ def _classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
         good = o.isNotNull() & _fits(percent, F.col("n"), o["n"], F.col("pos"), o["pos"])
         return rows.where(good).select(F.least("node", o["node"]).alias("a"), F.greatest("node", o["node"]).alias("b"))
 
-    links = _verified(pairs(shared, "first"), nodes, docs, width, percent)
-    roots = materialise(components(links), "roots")
+    roots = _linked(None, pairs(shared, "first"), nodes, docs, width, percent)
 
     mixed = _mixed(shared.where("crowded"), roots)
     open_nodes = materialise(nodes.join(mixed.select("node").distinct(), "node", "left_semi"), "open")
@@ -350,9 +378,9 @@ def _classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
         if not outside:
             break
         by_chance = Window.partitionBy("token").orderBy(F.xxhash64("node", F.col("token").bitwiseAND(F.lit(7)), F.lit(r)), "node").rowsBetween(Window.unboundedPreceding, -1)
-        of_major = F.last(F.when(F.col("root") == F.col("major"), F.struct("node", "n", "pos")), True).over(by_chance)
-        links = _verified(pairs(mixed.withColumn("some", of_major).where("root != major"), "some"), open_nodes, docs, width, percent)
-        roots = _joined(roots, links)
+        of_major = F.last(F.when(F.col("in_major"), F.struct("node", "n", "pos")), True).over(by_chance)
+        rows = mixed.select("token", "node", "n", "pos", (F.col("root") == F.col("major")).alias("in_major")).withColumn("some", of_major)
+        roots = _linked(roots, pairs(rows.where("not in_major"), "some"), open_nodes, docs, width, percent)
         mixed = _mixed(mixed, roots)
         before, outside = outside, mixed.where("root != major").count()
         if outside > 0.9 * before:  # more rounds gain little; what follows is exact in any case
@@ -371,7 +399,7 @@ def _classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
         & _fits(percent, F.col("n"), F.col("x_n"), F.col("pos"), F.col("x_pos"))
         & _may_share(percent, F.col("n"), F.col("x_n"), F.col("sig"), F.col("x_sig"), half),
     ).select(F.least("node", "x_node").alias("a"), F.greatest("node", "x_node").alias("b"))
-    roots = _joined(roots, _verified(crossing, open_nodes, docs, width, percent))
+    roots = _linked(roots, crossing, open_nodes, docs, width, percent)
 
     keyed = summary.select("doc_id", "n", "node").join(roots, "node", "left").withColumn("class", F.when(F.col("n") > 0, F.coalesce("root", "node")))
     least = materialise(keyed.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least")), "least")
