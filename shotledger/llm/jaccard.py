@@ -273,6 +273,12 @@ def _plausible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 def _verified(left: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs of a written table of plausible ones that link, by their whole sets."""
     sets = _sets(left.select(F.col("rep_a").alias("rep")).union(left.select("rep_b")), docs, width)
+    # The end that stands in more pairs is the one whose set is moved once for all of them.
+    degree = _small(materialise(left.select(F.col("a").alias("node")).union(left.select("b")).groupBy("node").agg(F.count("*").alias("n")), "degree"))
+    for x in "ab":
+        left = left.join(degree.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}")), x)
+    more = F.when(F.col("n_a") >= F.col("n_b"), F.struct("a", "b")).otherwise(F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    left = materialise(left.select(more.alias("p")).select("p.*"), "pairs")
     others = sets.join(_small(materialise(left.select(F.col("a").alias("node")).distinct(), "ends")), "node", "left_semi")
     # Pairs are small beside sets: those meet the one end's sets where these lie.
     full = sets.join(_small(left.select("a", F.col("b").alias("node"))), "node").select("a", F.col("node").alias("b"), F.col("items").alias("items_b"))
@@ -413,7 +419,7 @@ def one_per_class(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFra
     """
     found = classes(docs, width, percent)
     kept = materialise(found.where("doc_id <=> component_id").groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("n")), "kept")
-    rows = docs.join(kept.select("kept_id"), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    rows = docs.join(_small(kept.select("kept_id")), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
     # Ids are unique as a rule; only otherwise are texts shuffled for this.
     return rows if kept.where("n > 1").isEmpty() else rows.dropDuplicates(["doc_id", "text"])
 
