@@ -415,8 +415,8 @@ def exif_time(spark: SparkSession, d: str) -> DataFrame:
     """WITH g AS (SELECT event_id, CASE WHEN event_id % 17 = 0 THEN NULL WHEN event_id % 10 = 0 THEN 0.0 ELSE (37 + (event_id % 60) / 60.0 + (event_id % 6000) / 100.0 / 3600.0) * CASE WHEN event_id % 4 = 1 THEN -1 ELSE 1 END END AS lat,
     CASE WHEN event_id % 10 = 0 THEN 0.0 ELSE (127 + (event_id % 50) / 60.0) * CASE WHEN event_id % 4 = 2 THEN -1 ELSE 1 END END AS lon, (event_id % 500) / 10.0 * CASE WHEN event_id % 7 = 0 THEN -1 ELSE 1 END AS alt,
     (event_id % 360) * 1.0 - CASE WHEN event_id % 2 = 0 THEN 8.5 ELSE 0 END AS dir FROM events)
-SELECT event_id, CASE WHEN lat = 0 AND lon = 0 THEN NULL ELSE lat END AS lat, CASE WHEN lat = 0 AND lon = 0 THEN NULL ELSE lon END AS lon, CASE WHEN lat = 0 AND lon = 0 THEN NULL ELSE alt END AS alt,
-  CASE WHEN lat = 0 AND lon = 0 THEN NULL WHEN dir < 0 THEN dir + 360 ELSE dir END AS direction FROM g"""
+SELECT event_id, CASE WHEN lat = 0 AND lon = 0 THEN NULL ELSE lat::DOUBLE END AS lat, CASE WHEN lat = 0 AND lon = 0 THEN NULL ELSE lon::DOUBLE END AS lon,
+  CASE WHEN lat = 0 AND lon = 0 THEN NULL ELSE alt::DOUBLE END AS alt, CASE WHEN lat = 0 AND lon = 0 THEN NULL WHEN dir < 0 THEN (dir + 360)::DOUBLE ELSE dir::DOUBLE END AS direction FROM g"""
 )
 def exif_gps(spark: SparkSession, d: str) -> DataFrame:
     n = F.col("event_id")
