@@ -2,14 +2,20 @@
 
 An index is fitted on a bounded sample (``sample`` vectors, by hash of their bytes): k-means centroids for the lists, and per group of
 components a codebook for what is left after subtracting the centroid. Every vector is indexed: its nearest list, its code, and
-the exact error of its code. Every vector is also a query: it probes its ``probes`` nearest lists, where table lookups give its
-distance to each member's code. The error of the code bounds how far that can be from the true distance, so the
-lookups drop only what can't link; what is left is compared by exact cosine in double precision. A pair is lost only if neither end
-probes the other's list (the tests measure recall against all pairs).
-
-Lists are cut into blocks of members and of queries, so that a list that holds a third of all vectors is many tasks. Blocks don't put
+the exact error of its code. Every vector is also a query: it asks every list that can hold a link of it, where table lookups give its
+product with each member's code. The error of the code bounds how far that can be from the true one, so the
+lookups drop only what can't link; what is left is compared by exact cosine in double precision.
+
+Which lists can hold a link follows from bounds on distances, not from a number of probes: the list's least and greatest distance from its
+centroid, and the plane half-way between its centroid and the query's own (a member is no nearer to the query's centroid than to
+its own). Both are certain, so no link is lost, and of two lists only the one earlier in their order asks the other. Where vectors spread over
+many dimensions the bounds admit most lists, and the work is the square of the rows. ``probes`` cuts it to so many nearest lists, and then
+a pair is lost if neither end asks the other's list.
+
+Lists are put on shelves of about ``MEMBERS`` members, along their main axis, and a query goes once to each shelf that it asks. Shelves are cut into
+blocks of members and of queries, so that a list that holds a third of all vectors is many tasks. Blocks don't put
 out pairs: they count links per vector and give a spanning set of the links for the components. A link found from both ends
-is counted once per end: a member is credited only if it doesn't probe the query's list itself. Equal vectors are one node with a count.
+is counted once per end: a member is credited only if it doesn't ask the query's list itself. Equal vectors are one node with a count.
 
 Defined results: vectors that are null or zero, that hold null or non-finite components, or whose dimension isn't the commonest one link
 with nothing; repeated rows are vectors that link; null ids don't name a component unless all its ids are null; other columns are ignored.
@@ -85,40 +91,82 @@ class Index:
         rest = sample - self.centres[_nearest(sample, self.centres)]
         self.books = [k_means(rest[:8192, s], min(CODES, max(1, len(rest) // 4))) for s in self.splits]
 
-    def encode(self, x: np.ndarray, probes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Nearest lists, nearest first; codes of what is left under the first; the codes' errors."""
-        far = (self.centres**2).sum(1)[None, :] - 2 * x @ self.centres.T
-        k = min(probes, far.shape[1])
-        near = np.argpartition(far, k - 1, axis=1)[:, :k]
-        near = np.take_along_axis(near, np.take_along_axis(far, near, 1).argsort(1), 1)
-        rest = x - self.centres[near[:, 0]]
+    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Nearest lists; codes of what is left; the codes' errors; distances from the centroids."""
+        home = _nearest(x, self.centres)
+        rest = x - self.centres[home]
         codes = np.stack([_nearest(rest[:, s], b) for s, b in zip(self.splits, self.books)], 1)
         error = np.sqrt(sum(((rest[:, s] - b[codes[:, g]]) ** 2).sum(1) for g, (s, b) in enumerate(zip(self.splits, self.books))))
-        return near, codes.astype(np.uint8), error
+        return home, codes.astype(np.uint8), error, np.linalg.norm(rest, axis=1)
+
+    def shelve(self, held: dict[int, tuple[int, float, float]]) -> None:
+        """From each list's members and their least and greatest distance from its centroid: the order of lists and their shelves."""
+        k = len(self.centres)
+        self.inner, self.outer = np.full(k, np.inf), np.full(k, -np.inf)
+        self.rank, self.shelf = np.zeros(k, int), np.zeros(k, int)
+        axis = np.linalg.svd(self.centres - self.centres.mean(0), full_matrices=False)[2][0]
+        on_shelf = shelf = 0
+        for place, c in enumerate((self.centres @ axis).argsort()):
+            n, self.inner[c], self.outer[c] = held.get(int(c), (0, np.inf, -np.inf))
+            if on_shelf and on_shelf + n > MEMBERS:
+                on_shelf, shelf = 0, shelf + 1
+            on_shelf += n
+            self.rank[c], self.shelf[c] = place, shelf
+
+    def asked(self, x: np.ndarray, home: np.ndarray, least: float, probes: int | None) -> np.ndarray:
+        """For each vector, which lists it asks: all that can hold a link of it, where they come after its own; or its ``probes`` nearest."""
+        sizes, own = (self.centres**2).sum(1)[None, :], (np.arange(len(x)), home)
+        square = np.maximum((x**2).sum(1)[:, None] + sizes - 2 * x @ self.centres.T, 0)
+        if probes is not None:
+            asks = np.zeros(square.shape, bool)
+            np.put_along_axis(asks, square.argpartition(min(probes, square.shape[1]) - 1, axis=1)[:, :probes], True, 1)
+        else:
+            gap = np.sqrt(np.maximum(sizes[0, home][:, None] + sizes - 2 * self.centres[home] @ self.centres.T, 0))
+            asks = square - square[own][:, None] <= 2 * reach(least) * gap + 1e-6
+            far = np.sqrt(square)
+            asks &= (far - self.outer <= reach(least)) & (self.inner - far <= reach(least)) & (self.rank > self.rank[home][:, None])
+        asks[own] = True
+        return asks
+
+    def products(self, queries: np.ndarray, where: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Products of coded members (rows) with queries (columns), by table lookup, in single precision."""
+        lists, place = np.unique(where, return_inverse=True)
+        total = (self.centres[lists] @ queries.T).astype(np.float32)[place]
+        for g, (s, b) in enumerate(zip(self.splits, self.books)):
+            total += (b @ queries[:, s].T).astype(np.float32)[codes[:, g]]
+        return total
 
-    def distances(self, queries: np.ndarray, where: int, codes: np.ndarray) -> np.ndarray:
-        """Asymmetric distances of queries to members of a list, by table lookup."""
-        rest = queries - self.centres[where]
-        total = np.zeros((len(queries), len(codes)))
+    def decoded(self, where: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        x = self.centres[where]
         for g, (s, b) in enumerate(zip(self.splits, self.books)):
-            table = (rest[:, s] ** 2).sum(1)[:, None] + (b**2).sum(1)[None, :] - 2 * rest[:, s] @ b.T
-            total += table[:, codes[:, g]]
-        return np.sqrt(np.maximum(total, 0))
+            x[:, s] += b[codes[:, g]]
+        return x
+
+
+def reach(least: float) -> float:
+    """The distance within which unit vectors link, and a little for rounding."""
+    return math.sqrt(max(0, 2 - 2 * least)) + 1e-6
 
 
-def block_links(index: Index, where: int, q: dict, m: dict, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Query and member numbers of the links between a block's queries and its members, a node with itself left out."""
-    reach = math.sqrt(2 - 2 * least) + 1e-6
+def block_links(index: Index, q: dict, m: dict, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Query and member numbers of the links between a block's queries and the members whose lists they ask, a node with itself left out."""
+    # |q - m| >= |q - code| - error, written for the product of q and code; the last term is far over what single precision loses.
+    need = (1 + (index.decoded(m["list"], m["codes"]) ** 2).sum(1) - (reach(least) + m["error"]) ** 2) / 2 - 1e-4
     found = []
     for a in range(0, len(q["unit"]), 512):
-        part = q["unit"][a : a + 512]
-        close = index.distances(part, where, m["codes"]) - m["error"][None, :] <= reach
+        part, asks = q["unit"][a : a + 512], q["asks"][a : a + 512]
+        some = np.flatnonzero(asks.any(0)[m["list"]])
+        if not len(some):
+            continue
+        where = m["list"][some]
+        close = (index.products(part, where, m["codes"][some]) >= need[some, None]) & asks.T[where]
         if close.mean() > 0.1:
-            i, j = np.nonzero(close & (part @ m["unit"].T >= least))
+            j, i = np.nonzero(close & (m["unit"][some] @ part.T >= least))
         else:
-            i, j = np.nonzero(close)
-            good = np.einsum("ij,ij->i", part[i], m["unit"][j]) >= least
+            j, i = np.nonzero(close)
+            good = np.einsum("ij,ij->i", part[i], m["unit"][some[j]]) >= least
             i, j = i[good], j[good]
+        j = some[j]
         other = q["number"][a + i] != m["number"][j]
         found.append((a + i[other], j[other]))
     return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, int), np.zeros(0, int))
@@ -137,13 +185,13 @@ def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def link_classes(vectors: DataFrame, least: float = 0.9, probes: int = 24, sample: int = 32768, lists: int | None = None) -> DataFrame:
-    """``vec_id, n_links, component_id, kept`` for every vector; ``least`` is the cosine of a link, ``sample`` bounds what the index is fitted on."""
+def link_classes(vectors: DataFrame, least: float = 0.9, probes: int | None = None, sample: int = 32768, lists: int | None = None) -> DataFrame:
+    """``vec_id, n_links, component_id, kept`` for every vector; ``least`` is the cosine of a link, ``sample`` bounds what the index is fitted on; ``probes``, if given, loses links."""
     with scratch(vectors.sparkSession) as kept:
         return kept(_link_classes(vectors, least, probes, sample, lists), "link_classes")
 
 
-def _link_classes(vectors: DataFrame, least: float, probes: int, sample: int, lists: int | None) -> DataFrame:
+def _link_classes(vectors: DataFrame, least: float, probes: int | None, sample: int, lists: int | None) -> DataFrame:
     spark = vectors.sparkSession
     rows, number = prepare(vectors)
     rows = materialise(rows.withColumn("node", F.unhex(F.md5("raw"))), "vectors")
@@ -157,64 +205,76 @@ def _link_classes(vectors: DataFrame, least: float, probes: int, sample: int, li
     fitted = unit(np.stack([np.frombuffer(r["raw"], number) for r in some]))
     lists = lists or 1 << math.ceil(math.log2(max(1, sizes["nodes"])) / 2)
     index = Index(fitted, max(1, min(lists, sample // 8)))
-    shared = spark.sparkContext.broadcast(index)
+    fitted_on = spark.sparkContext.broadcast(index)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(i, 2048) for i in range(0, batch.num_rows, 2048)):
                 x = unit(np.stack([np.frombuffer(r.as_buffer(), number) for r in part.column(1)]))
-                near, codes, error = shared.value.encode(x, probes)
+                home, codes, error, far = fitted_on.value.encode(x)
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array(near[:, 0].astype(np.int32)), pa.array(list(near.astype(np.int32)), pa.list_(pa.int32())), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error)],
-                    ["node", "raw", "copies", "list", "near", "codes", "error"],
+                    [*part.columns, pa.array(home.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error), pa.array(far)],
+                    ["node", "raw", "copies", "list", "codes", "error", "far"],
                 )
 
-    placed = materialise(nodes.select("node", "raw", "copies").mapInArrow(place, "node binary, raw binary, copies long, list int, near array<int>, codes binary, error double"), "placed")
-    members = placed.groupBy("list").agg(F.count("*").alias("m"))
-    probing = placed.select(F.explode("near").alias("list")).groupBy("list").agg(F.count("*").alias("q"))
-    blocks = members.join(probing, "list").select("list", F.ceil(F.col("m") / MEMBERS).cast("int").alias("m_blocks"), F.ceil(F.col("q") / QUERIES).cast("int").alias("q_blocks"))
-    blocks = F.broadcast(materialise(blocks, "blocks"))  # one row per list
+    placed = materialise(nodes.select("node", "raw", "copies").mapInArrow(place, "node binary, raw binary, copies long, list int, codes binary, error double, far double"), "placed")
+    index.shelve({r["list"]: (r["m"], r["inner"], r["outer"]) for r in placed.groupBy("list").agg(F.count("*").alias("m"), F.min("far").alias("inner"), F.max("far").alias("outer")).collect()})
+    shared = spark.sparkContext.broadcast(index)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(i, 512) for i in range(0, batch.num_rows, 512)):
+                x, home = unit(np.stack([np.frombuffer(r.as_buffer(), number) for r in part.column("raw")])), part.column("list").to_numpy()
+                asks = shared.value.asked(x, home, least, probes)
+                shelves = [np.unique(shared.value.shelf[a]).astype(np.int32) for a in asks]
+                asks = [np.packbits(a).tobytes() for a in asks]
+                shelf = shared.value.shelf[home].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(asks, pa.binary()), pa.array(shelf), pa.array(shelves, pa.list_(pa.int32()))], [*part.schema.names, "asks", "shelf", "shelves"])
+
+    types = "node binary, raw binary, copies long, list int, codes binary, error double"
+    asking = materialise(placed.drop("far").mapInArrow(ask, f"{types}, asks binary, shelf int, shelves array<int>"), "asking")
+    members = asking.groupBy("shelf").agg(F.count("*").alias("m"))
+    probing = asking.select(F.explode("shelves").alias("shelf")).groupBy("shelf").agg(F.count("*").alias("q"))
+    blocks = members.join(probing, "shelf").select("shelf", F.ceil(F.col("m") / MEMBERS).cast("int").alias("m_blocks"), F.ceil(F.col("q") / QUERIES).cast("int").alias("q_blocks"))
+    blocks = F.broadcast(materialise(blocks, "blocks"))  # one row per shelf
     place_m = F.pmod(F.xxhash64("node"), F.col("m_blocks")).cast("int")
     place_q = F.pmod(F.xxhash64("node", F.lit(1)), F.col("q_blocks")).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    cols = ["node", "raw", "copies", "home", "near", "codes", "error"]
-    as_members = placed.join(blocks, "list").withColumn("home", F.col("list")).select("list", place_m.alias("mb"), every("q_blocks").alias("qb"), F.lit(True).alias("is_member"), *cols)
-    asked = placed.withColumnRenamed("list", "home").withColumn("list", F.explode("near")).join(blocks, "list")
-    none = {"near": F.lit(None).cast("array<int>"), "codes": F.lit(None).cast("binary"), "error": F.lit(None).cast("double")}
-    as_queries = asked.select("list", every("m_blocks").alias("mb"), place_q.alias("qb"), F.lit(False).alias("is_member"), *[none[c].alias(c) if c in none else F.col(c) for c in cols])
+    cols = ["node", "raw", "copies", "list", "asks", "codes", "error"]
+    as_members = asking.drop("shelves").join(blocks, "shelf").select("shelf", place_m.alias("mb"), every("q_blocks").alias("qb"), F.lit(True).alias("is_member"), *cols)
+    asked = asking.drop("shelf").withColumn("shelf", F.explode("shelves")).join(blocks, "shelf")
+    none = {"codes": F.lit(None).cast("binary"), "error": F.lit(None).cast("double")}
+    as_queries = asked.select("shelf", every("m_blocks").alias("mb"), place_q.alias("qb"), F.lit(False).alias("is_member"), *[none[c].alias(c) if c in none else F.col(c) for c in cols])
 
     def compare(table: pa.Table) -> pa.Table:
-        where = table.column("list")[0].as_py()
         is_member = table.column("is_member").combine_chunks()
-        m, q = table.filter(is_member), table.filter(pc.invert(is_member))
+        m, q = table.filter(is_member), table.filter(pc.invert(is_member)).sort_by("list")
         empty = pa.table({"node": pa.array([], pa.binary()), "links": pa.array([], pa.int64()), "other": pa.array([], pa.binary())})
         if not m.num_rows or not q.num_rows:
             return empty
         matrix = lambda t: unit(np.stack([np.frombuffer(r.as_buffer(), number) for r in t.column("raw")]))
+        n_lists = len(shared.value.centres)
+        asks = lambda t: np.unpackbits(np.stack([np.frombuffer(r.as_buffer(), np.uint8) for r in t.column("asks")]), axis=1, count=n_lists).view(bool)
         ids = q.column("node").to_pylist() + m.column("node").to_pylist()
         places: dict[bytes, int] = {}
         numbers = np.array([places.setdefault(x, len(places)) for x in ids])
         key = list(places)
         nq = q.num_rows
         codes = np.stack([np.frombuffer(c.as_buffer(), np.uint8) for c in m.column("codes")])
-        own = {"unit": matrix(m), "codes": codes, "error": m.column("error").to_numpy(), "number": numbers[nq:]}
-        i, j = block_links(shared.value, where, {"unit": matrix(q), "number": numbers[:nq]}, own, least)
+        own = {"unit": matrix(m), "list": m.column("list").to_numpy(), "codes": codes, "error": m.column("error").to_numpy(), "number": numbers[nq:]}
+        i, j = block_links(shared.value, {"unit": matrix(q), "asks": asks(q), "number": numbers[:nq]}, own, least)
         if not len(i):
             return empty
-        near = np.stack([np.array(x) for x in m.column("near").to_pylist()])
-        home, mult_q, mult_m = q.column("home").to_numpy(), q.column("copies").to_numpy(), m.column("copies").to_numpy()
+        home, mult_q, mult_m = q.column("list").to_numpy(), q.column("copies").to_numpy(), m.column("copies").to_numpy()
         links = np.zeros(len(key), np.int64)
         np.add.at(links, numbers[:nq][i], mult_m[j])
-        unseen = np.ones(len(i), bool)
-        for a in range(0, len(i), 1 << 16):
-            s = slice(a, a + (1 << 16))
-            unseen[s] = ~(near[j[s]] == home[i[s]][:, None]).any(1)
+        unseen = ~asks(m)[j, home[i]]
         np.add.at(links, numbers[nq:][j[unseen]], mult_q[i[unseen]])
         label = _labels(len(key), numbers[:nq][i], numbers[nq:][j])
         touched = np.unique(np.concatenate([numbers[:nq][i], numbers[nq:][j]]))
         return pa.table({"node": pa.array([key[k] for k in touched], pa.binary()), "links": pa.array(links[touched]), "other": pa.array([key[label[k]] for k in touched], pa.binary())})
 
-    found = as_members.union(as_queries).groupBy("list", "mb", "qb").applyInArrow(compare, "node binary, links long, other binary")
+    found = as_members.union(as_queries).groupBy("shelf", "mb", "qb").applyInArrow(compare, "node binary, links long, other binary")
     found = materialise(found, "found")
     roots = components(found.select(F.col("node").alias("a"), F.col("other").alias("b")))
     credit = found.groupBy("node").agg(F.sum("links").alias("links"))

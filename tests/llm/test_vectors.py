@@ -64,6 +64,17 @@ def test_recall_with_few_probes(spark, monkeypatch):
     assert all(g[1] <= w[1] for g, w in zip(got, want))
 
 
+def test_hot_group_of_near_copies_keeps_its_links(spark):
+    pick = np.random.default_rng(5)
+    centre = pick.normal(size=64)
+    x = np.concatenate([centre + pick.normal(size=(4000, 64)) * 0.2, pick.normal(size=(8000, 64))]).astype(np.float32)
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    want = [int((part @ unit.T >= 0.9).sum()) - 1 for part in unit[:, None]]
+    got = {r[0]: r for r in run(spark, list(enumerate(x.astype(float).tolist())))}
+    assert sum(want) > 10_000_000 and [got[k][1] for k in range(len(x))] == want
+    assert {got[k][2] for k in range(4000)} == {0}
+
+
 def test_nothing_to_link(spark):
     assert run(spark, []) == []
     assert run(spark, [(1, None), (2, [0.0] * 8)]) == [(1, 0, 1, True), (2, 0, 2, True)]
