@@ -4,7 +4,8 @@ Training time runs from 0 to 1. Each source has a schedule: one weight for each
 integral of the schedule is the source's weight, from which its target follows; the running integral, scaled to the target, is
 the source's cumulative demand ``D(t)`` in words. Documents of a source stand in the order of a hash; a copy that takes the
 source's words ``c .. c + size`` is trained on at the position ``t`` where ``D(t)`` reaches the middle of that span, so the
-inverse of the demand spreads copies as the schedule asks. ``training_order`` range-sorts all copies by position.
+inverse of the demand spreads copies as the schedule asks. ``training_order`` range-sorts all copies by position; ``scheduled`` gives each
+document the positions of its copies and their ranks in that order.
 
 Targets: sources share the words of all documents by weight, but none gets more than ``max_epochs`` times its own words; the
 excess is shared by weight among the others until none is above. Sources are ordered by code point, null last.
@@ -29,7 +30,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shotledger.sources.shared import materialise
+from shotledger.sources.shared import materialise, scratch
 
 #: Relative weight in each phase of training; early phases favour the sources at odd places of the order.
 SCHEDULES = ((1.5, 1.0, 0.5), (0.5, 1.0, 1.5))
@@ -145,6 +146,37 @@ def training_order(planned: DataFrame) -> DataFrame:
     return planned.select("*", F.posexplode("positions").alias("copy", "position")).orderBy("position", "source", "doc_id", "copy")
 
 
+def scheduled(docs: DataFrame, **options: object) -> DataFrame:
+    """One row per document, also of those that aren't taken: ``doc_id, size, source, source_size, target, taken, positions, ranks``.
+
+    All copies are put in training order; ``taken`` is summed over a document's copies there, and ``ranks`` are their places in it, from 0.
+    """
+    with scratch(docs.sparkSession) as kept:
+        return kept(_scheduled(docs, **options), "scheduled")
+
+
+def _scheduled(docs: DataFrame, **options: object) -> DataFrame:
+    plan = materialise(curriculum(docs, **options).withColumn("row", F.monotonically_increasing_id()), "planned")
+    ordered = training_order(plan.select("row", "doc_id", "source", "size", "positions"))
+    # A row's number in its partition stands in the lower 33 bits; partitions stand in training order.
+    ordered = materialise(ordered.select("row", "size", "copy", "position", F.monotonically_increasing_id().alias("at")), "order")
+    ordered = ordered.withColumn("part", F.shiftright("at", 33))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    starts = ordered.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    ranked = ordered.join(F.broadcast(starts), "part").withColumn("rank", F.col("start") + F.col("at").bitwiseAND((1 << 33) - 1))
+    found = ranked.groupBy("row").agg(F.sum("size").alias("all_taken"), F.array_sort(F.collect_list(F.struct("copy", "position", "rank"))).alias("found"))
+    return plan.join(found, "row", "left").select(
+        "doc_id",
+        "size",
+        "source",
+        "source_size",
+        "target",
+        F.coalesce("all_taken", F.lit(0)).alias("taken"),
+        F.coalesce(F.col("found.position"), F.array().cast("array<double>")).alias("positions"),
+        F.coalesce(F.col("found.rank"), F.array().cast("array<bigint>")).alias("ranks"),
+    )
+
+
 def mixed(docs: DataFrame, **options: object) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it, range-sorted by training position.
 

@@ -53,8 +53,7 @@ def op8_rare_first_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_time_varying_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plan = mixing.curriculum(table(spark, sf_dir, "documents"))
-    return plan.select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.scheduled(table(spark, sf_dir, "documents")).drop("source")
 
 
 def op10_maximal_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@ from __future__ import annotations
 import duckdb
 import pytest
 
-from shotledger.llm import mixing
+from shotledger.llm import mixing, queries
 
 SCHEMA = "doc_id long, text string, source string, target string, bucket string, size string, key string"
 
@@ -68,3 +68,24 @@ def test_empty_table(spark):
 
 def test_all_empty_texts(spark):
     assert {r.taken for r in mixing.curriculum(docs(spark, [(1, None, "a"), (2, "", None)])).collect()} == {0}
+
+
+@pytest.mark.parametrize("per_bucket", [4096, 20])
+def test_ranks_are_the_training_order(spark, per_bucket):
+    rows = sources(70) + [(1001, "w w", "s1"), (1001, "w w", "s1")]
+    got = mixing.scheduled(docs(spark, rows), rows_per_bucket=per_bucket).collect()
+    assert rounded((r.doc_id, r.size, r.source_size, r.target, r.taken) for r in got) == rounded(oracle(rows))
+    plan = mixing.curriculum(docs(spark, rows), rows_per_bucket=per_bucket).collect()
+    assert sorted((str(r.doc_id), r.size, r.positions) for r in got) == sorted((str(r.doc_id), r.size, r.positions) for r in plan)
+    copies = sorted((n, p, r.source is not None, r.source or "") for r in got for n, p in zip(r.ranks, r.positions, strict=True))
+    assert [n for n, *_ in copies] == list(range(len(copies))) and len(copies) > 500
+    assert [c[1:] for c in copies] == sorted(c[1:] for c in copies)
+
+
+def test_query_returns_the_whole_curriculum(spark):
+    got = queries.QUERIES["op9_time_varying_curriculum"](spark, "/root/testdata/sf0.001")
+    assert {"doc_id", "size", "source_size", "target", "taken", "positions", "ranks"} == set(got.columns)
+    got = got.collect()
+    order = sorted((n, p) for r in got for n, p in zip(r.ranks, r.positions, strict=True))
+    assert [n for n, _ in order] == list(range(len(order))) and [p for _, p in order] == sorted(p for _, p in order)
+    assert all(r.taken == r.size * len(r.ranks) for r in got) and any(r.ranks for r in got)
