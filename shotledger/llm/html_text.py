@@ -5,7 +5,8 @@ punctuation are summed and divided by the number of blocks with that path, which
 over the page with a short Gaussian window and fused by their product; a path whose mean fused score reaches a share of the
 series' spread is content. Blocks in the same container as a content path, such as its headings and lists, belong to the article
 unless they are mostly links. Elements that are never article text (menus, forms, notices, comments and so on) are left out
-first, by tag and by words in their class, id or role, so that they don't enter the ratios.
+first, by tag and by words in their class, id or role, so that they don't enter the ratios. A word alone doesn't drop the article: an
+element that holds the main element, the only article elements, or most of the page's text outside links stays in, and the ratios decide.
 
 Defined results: null, empty and text-free pages give the empty text; text outside any block tag is a block of the body; tags that are
 not closed, or closed without being open, are tolerated; repeated rows are extracted one by one. Texts of any length are read whole.
@@ -17,7 +18,8 @@ import html
 import math
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterator, Set
+from dataclasses import dataclass, field
 from statistics import pstdev
 
 import pyarrow as pa
@@ -41,27 +43,69 @@ NOT_ARTICLE_WORDS = frozenset(
     "footer form header legal login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pagination pager paywall popup promo promoted promotion "
     "recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags teaser toc toolbar widget".split()
 )
+#: Of these, the ones for what readers add or what leads elsewhere, which can be longer than the article beside it.
+REPLY_WORDS = frozenset("comment comments disqus recommended related replies reply respond".split())
 PUNCTUATION = re.compile(r"[,.;:!?…，。；：！？、]")
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>", re.S)
 _NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 
 
+@dataclass
+class Dropped:
+    """An element left out for a word: the one around it, its text outside links and outside others of its kind, and article elements in it."""
+
+    around: int | None
+    replies: bool
+    chars: int = 0
+    holds: set[str] = field(default_factory=set)
+
+
 def noise(tag: str, attributes: str, inside: list[str]) -> bool:
-    """Whether an element and all in it is no article text."""
+    """Whether an element and all in it is no article text, by its tag or because it is hidden."""
     if tag in NOT_ARTICLE or tag == "header" and not {"article", "main"} & set(inside):
         return True
-    if not attributes or tag in ("html", "body", "article", "main"):
-        return False
-    words = {w for m in _NAMES.finditer(attributes) for w in re.split(r"[^a-z0-9]+", (m[1] or m[2] or m[3] or "").lower())}
-    return bool(words & NOT_ARTICLE_WORDS) or _HIDDEN.search(attributes) is not None
+    return bool(attributes) and tag not in ("html", "body", "article", "main") and _HIDDEN.search(attributes) is not None
 
 
-def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
-    """(path, text, characters in links) of each block that may be article text, in page order."""
+def noise_words(tag: str, attributes: str) -> Set[str]:
+    """Words in class, id and role for what isn't article text."""
+    if not attributes or tag in ("html", "body", "article", "main"):
+        return frozenset()
+    return NOT_ARTICLE_WORDS & {w for m in _NAMES.finditer(attributes) for w in re.split(r"[^a-z0-9]+", (m[1] or m[2] or m[3] or "").lower())}
+
+
+def to_spare(found: list[tuple[tuple[str, ...], str, int]], dropped: list[Dropped]) -> set[int]:
+    """Which dropped elements, by number, can hold the article; those around them are among them."""
+    left = sum(max(0, len(text) - links) for _, text, links in found)
+    has_article = any({"article", "main"} & set(path) and len(text) > links for path, text, links in found)
+    longest = max((d.chars for d in dropped if not d.replies), default=0)
+    spared: set[int] = set()
+
+    def spare(k: int | None) -> None:
+        while k is not None and k not in spared:
+            spared.add(k)
+            k = dropped[k].around
+
+    for k, d in enumerate(dropped):
+        holds = "main" in d.holds or not has_article and not d.replies and "article" in d.holds
+        # Beside an article element, only if next to nothing is left.
+        if d.chars and (holds or not d.replies and 2 * d.chars >= longest and (0.2 if has_article else 1) * d.chars > left):
+            spare(k)
+    left += sum(dropped[k].chars for k in spared)
+    has_article |= any(dropped[k].holds for k in spared)
+    for k, d in enumerate(dropped):
+        if d.replies and not has_article and 0.1 * d.chars > left:
+            spare(k)
+    return spared
+
+
+def blocks(page: str, spared: Set[int] = frozenset()) -> tuple[list[tuple[tuple[str, ...], str, int]], list[Dropped]]:
+    """(path, text, characters in links) of each block that may be article text, in page order; and the elements with noise words, but for ``spared`` left out."""
     found: list[tuple[tuple[str, ...], str, int]] = []
     tags: list[str] = []
-    out: list[bool] = []  # for each open element, whether it is noise or inside noise
+    dropped: list[Dropped] = []
+    out: list[int | None] = []  # for each open element, None if it isn't noise or inside noise, else the number of the dropped element, or -1
     buf: list[str] = []
     links, at = 0, 0
 
@@ -76,7 +120,11 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
 
     def text(upto: int) -> None:
         nonlocal links
-        if upto > at and not (out and out[-1]):
+        inside = out[-1] if out else None
+        if inside is not None:
+            if inside >= 0 and "a" not in tags:
+                dropped[inside].chars += len("".join(page[at:upto].split()))
+        elif upto > at:
             buf.append(page[at:upto])
             if "a" in tags:
                 links += upto - at
@@ -100,7 +148,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
         ends, attributes = bool(m[1] or m[4]), m[3] or m[6] or ""
         if tag not in INLINE:
             flush()
-        elif tag == "br" and not (out and out[-1]):
+        elif tag == "br" and not (out and out[-1] is not None):
             buf.append(" ")
         if ends:
             if tag in tags:
@@ -115,12 +163,21 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
             if not attributes.rstrip().endswith("/") or tag not in ("svg", "math"):
                 at = end.end() if end else len(page)
         elif tag not in VOID:
-            is_out = (bool(out) and out[-1]) or noise(tag, attributes, tags)
+            inside = out[-1] if out else None
+            if inside != -1:
+                if noise(tag, attributes, tags):
+                    inside = -1
+                elif marks := noise_words(tag, attributes):
+                    dropped.append(Dropped(inside, bool(marks & REPLY_WORDS)))
+                    if len(dropped) - 1 not in spared:
+                        inside = len(dropped) - 1
+                elif inside is not None and tag in ("article", "main"):
+                    dropped[inside].holds.add(tag)
             tags.append(tag)
-            out.append(is_out)
+            out.append(inside)
     text(len(page))
     flush()
-    return found
+    return found, dropped
 
 
 def smoothed(series: list[float], radius: int = 2) -> list[float]:
@@ -136,7 +193,9 @@ def smoothed(series: list[float], radius: int = 2) -> list[float]:
 
 def main_text(page: str | None, share: float = 0.5) -> str:
     """The article's blocks joined by one space; ``share``: of the fused series' standard deviation, that a path's score must reach."""
-    found = blocks(page or "")
+    found, dropped = blocks(page or "")
+    if spared := to_spare(found, dropped):
+        found, _ = blocks(page or "", spared)
     if not found:
         return ""
     sums: dict[tuple[str, ...], list[int]] = defaultdict(lambda: [0, 0, 0])

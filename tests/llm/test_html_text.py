@@ -28,6 +28,24 @@ def test_article_only(body, want):
     assert main_text(page(body)) == want.strip()
 
 
+@pytest.mark.parametrize(
+    "body, want",
+    [
+        (f"<div class='content-sidebar-wrap'><main><p>{PROSE}</p><p>{PROSE}</p></main><div class='sidebar'>Hot, now.</div></div>", PROSE + PROSE),
+        (f"<div class='has-sidebar'><div><p>{PROSE}</p><p>{PROSE}</p></div><div class='sidebar'><p>Hot, now.</p></div></div>", PROSE + PROSE),
+        (f"<div id='page-header-social'><div class='share-layout'><article><p>{PROSE}</p></article><div class='ad'>Buy, buy.</div></div></div>", PROSE),
+        (f"<p>Tagline.</p><div class='has-sidebar'><div><p>{PROSE * 3}</p></div><div class='comments'><p>{PROSE * 5}</p></div></div>", PROSE * 3),
+        (f"<div><p>{PROSE}</p></div><div id='comments'><article class='comment'><p>{PROSE}</p><p>{PROSE}</p></article></div>", PROSE),
+        (f"<article><p>{PROSE}</p></article><div class='sidebar'><p>{PROSE}{PROSE}</p></div>", PROSE),
+        (f"<article><p>{PROSE}</p></article><div class='comments'><p>{PROSE * 30}</p></div>", PROSE),
+        (f"<div class='has-comments'><div><p>{PROSE}</p></div></div>", PROSE),
+        (f"<div style='display:none'><main><p>{PROSE}</p></main></div><div><p>Shown, here.</p></div>", "Shown, here."),
+    ],
+)
+def test_a_word_alone_does_not_drop_the_article(body, want):
+    assert main_text(page(body)) == want.strip()
+
+
 def test_odd_pages():
     assert main_text(None) == main_text("") == main_text("<html></html>") == ""
     assert main_text("plain text, no tags.") == "plain text, no tags."
