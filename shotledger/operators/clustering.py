@@ -30,19 +30,19 @@ def neighbours(points: DataFrame, max_dist_m: float, max_alt_m: float | None = N
     """Pairs ``job_id, a, b`` of near points of a job, both ways; a point isn't its own neighbour.
 
     ``points`` has ``job_id, point, lat, lon`` and, if asked for, ``alt`` and ``features``. Points are joined on cells of the
-    distance's size, each with the cells around its own, so that far points never meet.
+    distance's size, each with the cells around its own, across the 180th meridian too, so that far points never meet.
     """
     step = max_dist_m / 111_000.0
     row = F.floor(F.col("lat") / step).cast("long")
-    # Degrees of longitude shrink towards the poles: a band of rows has cells of its own width.
-    band = F.greatest(F.lit(0.01), F.cos(F.radians(F.floor(F.abs("lat")) + 1)))
+    # Degrees of longitude shrink towards the poles: a band of rows has cells of its own width, a whole number of them around the
+    # globe; next to a pole it is one cell. The width is right for the next band too, as neighbours may be on both sides of its edge.
     placed = points.where("lat is not null and lon is not null").withColumns({"_row": row, "_band": F.floor(F.abs("lat")).cast("int")})
-    col = lambda b: F.floor(F.col("lon") / (step / b)).cast("long")
-    around = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+    n_cols = F.when(F.col("_band") >= 88, 1).otherwise(F.greatest(F.lit(1), F.floor(360 / step * F.cos(F.radians(F.col("_band") + 2))))).cast("long")
+    col = F.pmod(F.floor((F.col("lon") + 180) / 360 * n_cols).cast("long"), n_cols)
     left = placed.withColumn("_band", F.explode(F.array(F.col("_band"), F.col("_band") - 1, F.col("_band") + 1))).where("_band >= 0")
-    width = lambda: F.greatest(F.lit(0.01), F.cos(F.radians(F.col("_band") + 1)))
-    right = placed.withColumn("_col", col(width()))
-    left = left.withColumn("_col", col(width())).withColumn("_d", F.explode(F.array(*around))).withColumns({"_row": F.col("_row") + F.col("_d.i"), "_col": F.col("_col") + F.col("_d.j")})
+    right = placed.withColumn("_col", col)
+    left = left.withColumn("_row", F.explode(F.array(*[F.col("_row") + i for i in (-1, 0, 1)])))
+    left = left.withColumn("_col", F.explode(F.array_distinct(F.array(*[F.pmod(col + j, n_cols) for j in (-1, 0, 1)]))))
     names = [c for c in ("point", "lat", "lon", "alt", "features") if c in points.columns]
     a = left.select("job_id", "_band", "_row", "_col", *[F.col(c).alias(f"a_{c}") for c in names])
     b = right.select("job_id", "_band", "_row", "_col", *[F.col(c).alias(f"b_{c}") for c in names])

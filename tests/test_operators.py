@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import math
 import struct
 
 import pytest
@@ -246,3 +247,19 @@ def test_reply_stream(spark, tmp_path):
     events = callbacks.as_events(callbacks.reply_stream(spark, str(drop)), requests)
     events.writeStream.option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).format("parquet").start(str(out)).awaitTermination()
     assert rows(spark.read.parquet(str(out)).select("job_id", "status", "error", "pdf_path")) == [(1, "EXPORTED", None, "p"), (2, "FAILED", "why", None), (3, "FAILED", "no file", None)]
+
+
+def test_neighbours_meet_across_the_meridian_and_the_poles(spark):
+    spots = [(10.0, 179.99999), (10.0, -179.99999), (10.0, 180.0), (10.0, 179.0), (-45.00001, -179.99998), (-44.99999, 179.99998), (89.99999, 0.0), (89.99999, 180.0), (-89.995, 50.0), (-89.995, 51.0), (89.6, 10.0), (89.6, 10.0245), (88.999999, 30.0), (89.000001, 30.006), (0.0, 0.0), (0.0001, -0.0001)]
+    points = spark.createDataFrame([(1, k, lat, lon) for k, (lat, lon) in enumerate(spots)], "job_id long, point long, lat double, lon double")
+
+    def metres(p, q):
+        a, b = math.radians(p[0]), math.radians(q[0])
+        h = math.sin((b - a) / 2) ** 2 + math.cos(a) * math.cos(b) * math.sin(math.radians(q[1] - p[1]) / 2) ** 2
+        return 2 * clustering.EARTH_M * math.asin(math.sqrt(h))
+
+    for far in (20.0, 1000.0):
+        want = sorted((i, j) for i, p in enumerate(spots) for j, q in enumerate(spots) if i != j and metres(p, q) <= far)
+        assert sorted((r.a, r.b) for r in clustering.neighbours(points, far).collect()) == want and (0, 1) in want and (6, 7) in want
+    labels = {r.point: r.label for r in clustering.density_clusters(points, 3, 20.0).collect()}
+    assert labels[0] == labels[1] == labels[2] >= 0
