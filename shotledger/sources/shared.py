@@ -11,11 +11,15 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-#: Paths written in each open scratch, the innermost last.
-_open: list[list[str]] = []
+#: Paths written in each scratch open in this thread, the innermost last.
+_open: ContextVar[tuple[list[str], ...]] = ContextVar("_open", default=())
+#: The most bytes of a table that is broadcast on purpose.
+BROADCAST_BYTES = 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,16 +33,17 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other call gets."""
-    return f"{shared_dir(spark)}/shotledger-{uuid.uuid4().hex}/{name}"
+def new_folder(spark: SparkSession, name: str, depth: int = -1) -> str:
+    """A path in the shared folder that no other call gets; it goes with the scratch it is made in."""
+    path = f"{shared_dir(spark)}/shotledger-{uuid.uuid4().hex}/{name}"
+    if len(_open.get()) >= -depth:
+        _open.get()[depth].append(path)
+    return path
 
 
 def materialise(df: DataFrame, name: str, depth: int = -1) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and return a scan of what was written; it goes with the scratch it is written in."""
-    path = new_folder(df.sparkSession, name)
-    if len(_open) >= -depth:
-        _open[depth].append(path)
+    path = new_folder(df.sparkSession, name, depth)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -52,9 +57,31 @@ def delete(spark: SparkSession, path: str) -> None:
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
     """Delete the tables that are written inside when it ends. What it gives writes a table that stays, or goes with the scratch around this one."""
-    _open.append([])
+    before = _open.set((*_open.get(), []))
     try:
         yield lambda df, name: materialise(df, name, -2)
     finally:
-        for path in _open.pop():
+        paths = _open.get()[-1]
+        _open.reset(before)
+        for path in paths:
             delete(spark, path)
+
+
+def size_in_bytes(table: DataFrame) -> int:
+    """Bytes of the values of a written table: those of fixed size by their type, texts, binaries and arrays by their length."""
+    each = F.lit(0).cast("long")
+    for f in table.schema:
+        kind, col = f.dataType.typeName(), F.col(f"`{f.name}`")
+        if kind in ("string", "binary"):
+            own = F.octet_length(col)
+        elif kind in ("array", "map", "struct", "variant"):
+            own = F.octet_length(F.to_json(F.struct(col)))
+        else:
+            own = F.lit(16)
+        each = each + F.coalesce(own.cast("long"), F.lit(0)) + 16
+    return table.agg(F.sum(each)).first()[0] or 0
+
+
+def broadcast_if_small(table: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """A written table marked for broadcast if its values take no more than ``most`` bytes; beyond that joins shuffle it."""
+    return F.broadcast(table) if size_in_bytes(table) <= most else table
