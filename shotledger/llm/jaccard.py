@@ -1,21 +1,23 @@
 """N-gram Jaccard self-join by rare-first prefix filtering, and the classes of documents that its links join.
 
 A document is the set of 64-bit hashes of its distinct five-word shingles. Documents with the same set are one *node*. Shingles have one
-global order, rare ones first: by a counter table over all documents (``COUNTERS`` fixed counters, so what is
-broadcast doesn't grow), then by hash. Two nodes with Jaccard similarity of at least t share a shingle among the first ``n - ceil(t n) + 1``
-of each in that order; so only those prefixes are shuffled.
+global order, rare ones first: by the exact number of nodes that have them, then by hash. Two nodes with Jaccard
+similarity of at least t share a shingle among the first ``n - ceil(t n) + 1`` of each in that order. A shingle that only one node has joins nothing, so only
+those of a prefix that another node has too are shuffled, which are few, as the rarest come first.
+
+Counts come without moving shingles as rows: each group of documents sends sorted lists of shortened shingles, coded in a few bits each, and gets
+the counts back in the same order (``shared_counts``). Nothing is broadcast for that, and no counter is shared between shingles at any size.
 
 Only classes are asked for, so not all pairs of a group that shares a prefix shingle are made:
 
 1. each node is compared with the first one, in order of size, under each of its prefix shingles;
-2. the links found give components; where nodes of more than one component share a shingle, each node outside the largest of them is
-   compared with nodes of it picked by chance under its shingles, again and again as long as that joins many;
-3. what is still outside the largest component under a shared shingle is compared with all nodes of the other components there, so that
-   each pair that could still join two components is looked at. Few nodes come this far, as those that link a lot are joined by now.
+2. the links found give components; where many nodes of more than one component share a shingle, each node outside the largest of them is
+   compared with one of it picked by chance, again as long as that joins many;
+3. all pairs of nodes that still lie in two components and share a prefix shingle are compared, in blocks of nodes.
 
 Pairs must pass the length filter, the positional filter, and a suffix filter: the number of shingles that two sets can share is bounded by
-the common bits of 2048-bit signatures plus the shingles that fell on taken bits. What is left is made distinct and
-verified once per pair against the whole sets.
+the common bits of 2048-bit signatures of the shingles that others have too, plus those that fell on taken bits. What is left is made distinct and
+verified once per pair by the whole hashes; a pair tried in one round isn't tried in another.
 
 Defined results: null, empty and blank texts have the empty set, link with nothing and are their own component; fewer than
 five words give one shingle of all words; repeated rows are copies of each other; null ids don't name a component unless all its
@@ -24,21 +26,23 @@ ids are null; extra columns are ignored.
 
 from __future__ import annotations
 
-import struct
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+import zstandard
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shotledger.operators.components import components
-from shotledger.sources.shared import materialise, scratch
+from shotledger.sources.shared import broadcast_if_small, materialise, scratch
 
-COUNTERS, BITS, TILE, ROUNDS = 1 << 20, 2048, 1024, 8
-#: Ids of at most so many documents are broadcast to pick texts for verification; more are joined by shuffle.
-BROADCAST_IDS = 1_000_000
+#: Bits of a signature; bytes of text in a group; shingles counted by one task at a time; nodes in a block of a crowded shingle.
+BITS, GROUP_BYTES, RANGE_SHINGLES, BLOCK = 2048, 4 << 20, 4 << 20, 512
+#: Most rounds by chance, and how many pairs a row may stand for before another round is worth it.
+ROUNDS, PAIRS_PER_ROW = 8, 16
 
 _FACTOR = 0x9E3779B97F4A7C15
 _INVERSE = pow(_FACTOR, -1, 1 << 64)
@@ -89,9 +93,9 @@ def _pieces(raw: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, np.ndar
         at = end
 
 
-def shingle_sets(texts: list[str | None], width: int = 5) -> list[np.ndarray]:
+def shingle_sets(texts: Sequence[str | bytes | None], width: int = 5) -> list[np.ndarray]:
     """For each text the sorted distinct hashes of its shingles of ``width`` words; with fewer words, of the whole sequence."""
-    parts = [(t or "").encode() for t in texts]
+    parts = [t if isinstance(t, bytes) else (t or "").encode() for t in texts]
     raw = np.frombuffer(b" ".join(parts) + b" ", np.uint8)
     bounds = np.cumsum([0, *(len(p) + 1 for p in parts)])
     found = [(at + s, h) for at, piece in _pieces(raw) for s, h in (_word_hashes(piece),)]
@@ -116,7 +120,7 @@ def shingle_sets(texts: list[str | None], width: int = 5) -> list[np.ndarray]:
     return sets
 
 
-def _groups(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def _groups(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     """Slices of about ``most`` bytes of text; the text is the last column."""
     for batch in batches:
         lengths = pc.fill_null(pc.binary_length(batch.column(batch.num_columns - 1)), 0).to_numpy(zero_copy_only=False)
@@ -132,194 +136,232 @@ def _print(own: np.ndarray) -> tuple[int, int]:
     return tuple(int((_mix(own ^ np.uint64(k)).sum() + np.uint64(len(own))).view(np.int64)) for k in (0x51ED27, 0xA3C59AC3))
 
 
-def _node(own: np.ndarray) -> bytes:
-    return struct.pack(">qq", *_print(own))
-
-
 def _signature(own: np.ndarray) -> np.ndarray:
     bits = np.zeros(BITS, np.uint8)
     bits[(own >> np.uint64(32)) & np.uint64(BITS - 1)] = 1
     return np.packbits(bits, bitorder="little").view(np.int64)
 
 
-def summarise(docs: DataFrame, width: int) -> tuple[DataFrame, np.ndarray]:
-    """``doc_id, n, node, sig`` per document, and the counter table of all documents' shingles. One pass over the texts."""
+def packed(docs: DataFrame, width: int) -> DataFrame:
+    """``grp, docs, texts``: documents in groups of about ``GROUP_BYTES`` of text, one row each, so that later passes meet the same documents together.
+
+    ``docs`` has for each document its id, its number of shingles and 128 bits that equal sets share; ``texts`` is compressed. Of
+    documents with one set that come up in one task only the first has its text there.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n long, node binary, sig array<long>, tile int, counts binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(COUNTERS, np.uint32)
-        id_type = None
-        for part in _groups(batches):
-            id_type = part.column(0).type
-            sets = shingle_sets(part.column(1).to_pylist(), width)
-            counts += np.bincount((np.concatenate(sets) & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
-            n = len(sets)
-            sigs = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * (BITS // 64)), pa.array(np.concatenate([_signature(s) for s in sets])))
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_node(s) for s in sets], pa.binary()), sigs, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())],
-                ["doc_id", "n", "node", "sig", "tile", "counts"],
-            )
-        if id_type is not None:
-            tiles = counts.reshape(-1, TILE)
-            n = len(tiles)
+        number = TaskContext.get().partitionId() << 24
+        seen: set[tuple[int, int]] = set()
+        press = zstandard.ZstdCompressor(level=1)
+        for part in _groups(batches, GROUP_BYTES):
+            texts, rows, kept = [(t or "").encode() for t in part.column(1).to_pylist()], [], []
+            for text, own in zip(texts, _sets_by_piece(texts, width)):
+                node = _print(own) if len(own) else (0, 0)
+                fresh = len(own) > 0 and node not in seen
+                if fresh:
+                    seen.add(node)
+                kept.append(text if fresh else None)
+                rows.append((len(own), *node))
+            n, high, low = (pa.array(x, pa.int64()) for x in zip(*rows))
+            struct = pa.StructArray.from_arrays([part.column(0), n, high, low], ["doc_id", "n", "high", "low"])
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(n, id_type), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.list_(pa.int64())), pa.array(np.arange(n), pa.int32()), pa.array([t.tobytes() for t in tiles], pa.binary())],
-                ["doc_id", "n", "node", "sig", "tile", "counts"],
+                [pa.array([number], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), struct), pa.array([_pack(kept, press)], pa.binary())], ["grp", "docs", "texts"]
             )
+            number += 1
 
-    both = materialise(docs.select("doc_id", "text").mapInArrow(run, schema), "summary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"grp long, docs array<struct<doc_id: {kind}, n: long, high: long, low: long>>, texts binary")
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for tile, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                sums[tile] = sums.get(tile, 0) + np.frombuffer(raw, np.uint32).astype(np.uint64)
-        if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], ["tile", "counts"])
 
-    table = np.zeros((COUNTERS // TILE, TILE), np.uint64)
-    tiles = both.where("tile is not null").select("tile", "counts").repartition("tile").mapInArrow(add, "tile int, counts binary")
-    for tile, raw in tiles.collect():  # COUNTERS numbers, whatever the input
-        table[tile] = np.frombuffer(raw, np.uint64)
-    return both.where("tile is null").drop("tile", "counts"), table.ravel()
+def _sets_by_piece(texts: list[bytes], width: int, most: int = 1 << 20) -> Iterator[np.ndarray]:
+    """The sets of many texts, hashed together about ``most`` bytes at a time."""
+    held, size = [], 0
+    for text in texts:
+        held.append(text)
+        size += len(text) + 64
+        if size > most:
+            yield from shingle_sets(held, width)
+            held, size = [], 0
+    if held:
+        yield from shingle_sets(held, width)
 
 
-def prefixes(docs: DataFrame, table: np.ndarray, width: int, percent: int) -> DataFrame:
-    """``token, high, low, size``: the rarest shingles of each node, as many as the threshold asks for.
+def _pack(texts: list[bytes | None], press: zstandard.ZstdCompressor) -> bytes:
+    lengths = np.array([-1 if t is None else len(t) for t in texts], "<i8")
+    return press.compress(b"".join([np.int64(len(texts)).tobytes(), lengths.tobytes(), *(t for t in texts if t)]))
 
-    ``high`` and ``low`` are the node's 128 bits; ``size`` is its number of shingles, then the shingle's place in 32 bits each.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(np.minimum(table, np.uint64(2**32 - 1)).astype(np.uint32).tobytes())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.frombuffer(shared.value, np.uint32)
-        seen: set[tuple[int, int]] = set()
-        for part in _groups(batches):
-            tokens, nodes, sizes = [], [], []
-            for own in shingle_sets(part.column(0).to_pylist(), width):
-                n = len(own)
-                if not n or (node := _print(own)) in seen:
-                    continue
-                seen.add(node)
-                order = np.argsort(counts[(own & np.uint64(COUNTERS - 1)).astype(np.int64)], kind="stable")
-                tokens.append(own[order[: n - (percent * n + 99) // 100 + 1]].view(np.int64))
-                nodes.append(node)
-                sizes.append(n)
-            if tokens:
-                each = np.array([len(t) for t in tokens])
-                pos = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
-                high, low = (np.repeat(np.array(x, np.int64), each) for x in zip(*nodes))
-                size = (np.repeat(np.array(sizes, np.int64), each) << 32) + pos
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(tokens), high, low, size)], ["token", "high", "low", "size"])
-
-    return docs.select("text").mapInArrow(run, "token long, high long, low long, size long")
+def _unpack(blob: pa.Buffer, places: list[int]) -> list[bytes]:
+    raw = memoryview(zstandard.ZstdDecompressor().decompress(blob))
+    n = int(np.frombuffer(raw[:8], "<i8")[0])
+    lengths = np.maximum(np.frombuffer(raw[8 : 8 + 8 * n], "<i8"), 0)
+    stops = 8 + 8 * n + np.cumsum(lengths)
+    return [bytes(raw[stops[k] - lengths[k] : stops[k]]) for k in places]
 
 
-def _fits(percent: int, n: Column, m: Column, i: Column, j: Column) -> Column:
-    """Length and positional filter for sets of n and m shingles that share the i-th and j-th, each from 0, as their first."""
-    most = F.least(n - i, m - j)
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * most >= percent * (n + m))
+def _squeeze(values: np.ndarray) -> bytes:
+    """Whole numbers from 0 in few bytes: byte planes, the upper ones of which are nearly empty, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes())
 
 
-def _bits(one: Column, two: Column, words: int = BITS // 64) -> Column:
-    return sum((F.bit_count(F.get(one, F.lit(k)).bitwiseAND(F.get(two, F.lit(k)))) for k in range(words)), F.lit(0))
+def _spread(blob: bytes | memoryview | pa.Buffer) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view("<u8").ravel()
 
 
-def _may_share(percent: int, n: Column, m: Column, one: Column, two: Column, words: int = BITS // 64) -> Column:
-    """Suffix filter: whether sets of n and m shingles with these signatures can share enough."""
-    most = _bits(one, two, words) + F.least(n - _bits(one, one, words), m - _bits(two, two, words))
-    return (100 + percent) * most >= percent * (n + m)
+def _owned(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[dict, list[int], list[np.ndarray]]]:
+    """Per group: its row but for texts, the places of the nodes whose text stands there, and their sets."""
+    for batch in batches:
+        names = batch.schema.names
+        for k in range(batch.num_rows):
+            row = {x: batch.column(i)[k] for i, x in enumerate(names)}
+            places = sorted(row.pop("places").as_py())
+            yield row, places, list(_sets_by_piece(_unpack(row.pop("texts").as_buffer(), places), width))
 
 
-def _short(own: np.ndarray) -> bytes:
-    """The upper 48 bits of each hash, which are enough to compare two sets."""
-    return own.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+def shared_counts(groups: DataFrame, width: int, total: int) -> DataFrame:
+    """``grp, counts``: for the distinct shingles of each group, in order, how many nodes of all groups have them.
 
+    ``groups`` has ``grp, places, texts``, ``total`` is the number of shingles in all. Shingles are cut to 8 bits more than it takes to
+    number them all, so that few meet by chance, which only makes a count too high. Each group sends its sorted list in
+    ranges, a shingle once with its count; a range's task adds all groups' lists up and answers each group in the same order. A
+    shingle that a third of all nodes have so comes once per group, and an answer about one that no other group has takes next to no room.
+    """
+    bits = min(60, max(16, int(total).bit_length() + 8))
+    at_once = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = np.uint64(max(1, -(-total // RANGE_SHINGLES), min(at_once, total // (RANGE_SHINGLES // 64))))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row, _, sets in _owned(batches, width):
+            values, n = np.unique(np.concatenate(sets) >> np.uint64(64 - bits), return_counts=True)
+            at, cuts = _ranges(values, bits, ranges)
+            lists = [_squeeze(np.concatenate([values[a:b][:1], np.diff(values[a:b])])) for a, b in zip(cuts, cuts[1:])]
+            own = [_squeeze(n[a:b] - 1) for a, b in zip(cuts, cuts[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array([row["grp"].as_py()] * len(at), pa.int64()), pa.array(lists, pa.binary()), pa.array(own, pa.binary())], ["range", "grp", "list", "own"])
+
+    def add(table: pa.Table) -> pa.Table:
+        lists = [np.cumsum(_spread(x.as_buffer()), dtype=np.uint64) for x in table.column("list")]
+        own = np.concatenate([_spread(x.as_buffer()) for x in table.column("own")]) + np.uint64(1)
+        values, place = np.unique(np.concatenate(lists), return_inverse=True)
+        sums = np.zeros(len(values), np.uint64)
+        np.add.at(sums, place, own)
+        cuts = np.cumsum([0, *map(len, lists)])
+        answers = [_squeeze(sums[place[a:b]] - np.uint64(1)) for a, b in zip(cuts, cuts[1:])]
+        return pa.table({"grp": table.column("grp"), "range": table.column("range"), "answer": pa.array(answers, pa.binary())})
+
+    sent = groups.mapInArrow(send, "range long, grp long, list binary, own binary")
+    answered = sent.groupBy("range").applyInArrow(add, "grp long, range long, answer binary")
+    return answered.groupBy("grp").agg(F.sort_array(F.collect_list(F.struct("range", "answer"))).alias("answers"))
+
+
+def _ranges(values: np.ndarray, bits: int, ranges: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """The ranges in which there are values, and where each begins, for sorted values; then the end."""
+    high = values >> np.uint64(max(0, bits - 36))
+    at = (high * ranges) >> np.uint64(min(bits, 36))
+    starts = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+    return at[starts], np.concatenate((starts, [len(values)]))
+
+
+def posted(groups: DataFrame, width: int, percent: int, total: int) -> DataFrame:
+    """The rarest shingles of each node, as many as the threshold asks for, of which only those that another node has too are rows.
+
+    Rows ``token, node, n, pos`` have a shingle of a prefix; rows ``node, n, sig, items`` have the set of a node with such a shingle, without
+    the shingles that no other node has, which can be in no intersection.
+    """
+    bits = min(60, max(16, int(total).bit_length() + 8))
 
-def _long(raw: pa.Buffer) -> np.ndarray:
-    out = np.zeros((len(raw) // 6, 8), np.uint8)
-    out[:, 2:] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    return out.view("<u8").ravel()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row, places, sets in _owned(batches, width):
+            values = np.unique(np.concatenate(sets) >> np.uint64(64 - bits))
+            counts = _answers(row["answers"])
+            if len(counts) != len(values):
+                raise ValueError("answers don't fit the group's shingles")
+            first = row["grp"].as_py() << 16
+            tokens, owners, sizes, spots, full = [], [], [], [], []
+            for place, own in zip(places, sets):
+                others = counts[np.searchsorted(values, own >> np.uint64(64 - bits))]
+                n = len(own)
+                order = np.argsort(others, kind="stable")[: n - (percent * n + 99) // 100 + 1]
+                pos = np.flatnonzero(others[order] > 0)
+                if len(pos):
+                    tokens.append(own[order[pos]].view(np.int64))
+                    spots.append(pos)
+                    owners.append(first + place)
+                    sizes.append(n)
+                    full.append(own[others > 0])
+            if not tokens:
+                continue
+            each = np.array([len(t) for t in tokens])
+            a, b = int(each.sum()), len(full)
+            node, n = np.array(owners, np.int64), np.array(sizes, np.int64)
+            sigs = pa.array([None] * a + [_signature(x) for x in full], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.concat_arrays([pa.array(np.concatenate(tokens)), pa.nulls(b, pa.int64())]),
+                    pa.array(np.concatenate([np.repeat(node, each), node])),
+                    pa.array(np.concatenate([np.repeat(n, each), n])),
+                    pa.concat_arrays([pa.array(np.concatenate(spots), pa.int64()), pa.nulls(b, pa.int64())]),
+                    sigs,
+                    pa.array([None] * a + [x.astype("<u8").tobytes() for x in full], pa.binary()),
+                ],
+                ["token", "node", "n", "pos", "sig", "items"],
+            )
 
+    return groups.mapInArrow(run, "token long, node long, n long, pos long, sig array<long>, items binary")
 
-def _small(ids: DataFrame) -> DataFrame:
-    """``ids``, a written table, to be broadcast if it has no more than ``BROADCAST_IDS`` rows; else joins shuffle it."""
-    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
+def _answers(found: pa.ListScalar) -> np.ndarray:
+    """How many other nodes have each shingle, all ranges in a row."""
+    return np.concatenate([_spread(x) for x in found.values.field("answer").to_pylist()])
 
-def _sets(wanted: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """``node, items``: the whole sets of the documents whose ids are in ``wanted.rep``."""
-    wanted = materialise(wanted.select("rep").distinct(), "wanted")
-    texts = docs.join(_small(wanted), F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _groups(batches):
-            sets = shingle_sets(part.column(0).to_pylist(), width)
-            yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in sets], pa.binary()), pa.array([_short(s) for s in sets], pa.binary())], ["node", "items"])
+def _fits(percent: int, n: Column, m: Column, i: Column, j: Column) -> Column:
+    """Length and positional filter for sets of n and m shingles that share the i-th and j-th, each from 0, as their first."""
+    most = F.least(n - i, m - j)
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * most >= percent * (n + m))
 
-    made = materialise(texts.select("text").mapInArrow(run, "node binary, items binary"), "sets")
-    # An id may stand for several rows, and rows with one id may have other sets: the node tells which set is meant.
-    return made if made.count() <= wanted.count() else made.dropDuplicates(["node"])
+
+def _bits(one: Column, two: Column, words: int = BITS // 64) -> Column:
+    return sum((F.bit_count(F.get(one, F.lit(k)).bitwiseAND(F.get(two, F.lit(k)))) for k in range(words)), F.lit(0))
 
 
-def _plausible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """The distinct pairs ``a, b`` that pass the suffix filter, with an id of each end and the number of common signature bits."""
-    one, two = (nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"), F.col("rep").alias(f"rep_{x}")) for x in "ab")
-    left = pairs.distinct().join(one, "a").join(two, "b").where(_may_share(percent, F.col("n_a"), F.col("n_b"), F.col("sig_a"), F.col("sig_b")))
-    return materialise(left.select("a", "b", "rep_a", "rep_b", _bits(F.col("sig_a"), F.col("sig_b")).alias("common")), "plausible")
+def _may_share(percent: int, x: str, y: str) -> Column:
+    """Suffix filter: whether two sets can share enough, by their sizes, their shared parts' sizes and signatures."""
+    n, m, s, t, one, two = (F.col(f"{c}_{e}") for c in ("n", "s", "sig") for e in (x, y))
+    most = _bits(one, two) + F.least(s - _bits(one, one), t - _bits(two, two))
+    return (100 + percent) * most >= percent * (n + m)
 
 
-def _verified(left: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs of a written table of plausible ones that link, by their whole sets."""
-    sets = _sets(left.select(F.col("rep_a").alias("rep")).union(left.select("rep_b")), docs, width)
-    # The end that stands in more pairs is the one whose set is moved once for all of them.
-    degree = _small(materialise(left.select(F.col("a").alias("node")).union(left.select("b")).groupBy("node").agg(F.count("*").alias("n")), "degree"))
-    for x in "ab":
-        left = left.join(degree.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}")), x)
-    more = F.when(F.col("n_a") >= F.col("n_b"), F.struct("a", "b")).otherwise(F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
-    left = materialise(left.select(more.alias("p")).select("p.*"), "pairs")
-    others = sets.join(_small(materialise(left.select(F.col("a").alias("node")).distinct(), "ends")), "node", "left_semi")
-    # Pairs are small beside sets: those meet the one end's sets where these lie.
-    full = sets.join(_small(left.select("a", F.col("b").alias("node"))), "node").select("a", F.col("node").alias("b"), F.col("items").alias("items_b"))
-    full = full.join(others.select(F.col("node").alias("a"), F.col("items").alias("items_a")), "a")
+def _links(pairs: DataFrame, sets: DataFrame, tried: DataFrame | None, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The pairs ``a, b`` that link, by their whole sets, and all that have been tried by now."""
+    pairs = pairs.distinct()
+    if tried is not None:
+        pairs = pairs.join(tried, ["a", "b"], "left_anti")
+    pairs = materialise(pairs, "pairs")
+    ends = [sets.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), (F.octet_length("items") / 8).cast("long").alias(f"s_{x}"), F.col("sig").alias(f"sig_{x}")) for x in "ab"]
+    left = materialise(pairs.join(ends[0], "a").join(ends[1], "b").where(_may_share(percent, "a", "b")).select("a", "b"), "plausible")
+    whole = [sets.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("items").alias(f"items_{x}")) for x in "ab"]
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = (_long(z.as_buffer()) for z in (x, y))
+            for n, m, x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), batch.column(5)):
+                x, y = (np.frombuffer(z.as_buffer(), "<u8") for z in (x, y))
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                found.append(100 * both >= percent * (len(x) + len(y) - both))
+                found.append(100 * both >= percent * (n + m - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(found, pa.bool_()))
 
-    return materialise(full.select("a", "b", "items_a", "items_b").mapInArrow(check, "a binary, b binary"), "verified")
+    full = left.join(whole[1], "b").join(whole[0], "a").select("a", "b", "n_a", "n_b", "items_a", "items_b")
+    links = materialise(full.mapInArrow(check, "a long, b long"), "links")
+    return links, pairs if tried is None else tried.union(pairs)
 
 
-def _linked(roots: DataFrame | None, pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """``node, root`` after verifying the pairs: for each node the likeliest pair first, then those that still join two components."""
-    left = _plausible(pairs, nodes, percent)
-    for last in (False, False, True):
-        best = left
-        if not last:
-            pick = [left.groupBy(x).agg(F.max_by(F.struct("a", "b"), F.struct("common", "a", "b")).alias("p")).select("p.*") for x in "ab"]
-            best = materialise(left.join(pick[0].union(pick[1]).distinct(), ["a", "b"], "left_semi"), "best")
-        links = _verified(best, docs, width, percent)
-        roots = materialise(components(links), "roots") if roots is None else _joined(roots, links)
-        if last:
-            break
-        rest = left.join(best.select("a", "b"), ["a", "b"], "left_anti")
-        known = _small(roots)
-        for x in "ab":
-            rest = rest.join(known.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")), x, "left").withColumn(f"root_{x}", F.coalesce(f"root_{x}", x))
-        left = materialise(rest.where("root_a != root_b").select(*left.columns), "plausible")
-        if left.isEmpty():
-            break
-    return roots
-
-
-def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+def _joined(roots: DataFrame | None, links: DataFrame) -> DataFrame:
     """``node, root`` after more links: the components of the roots that the links join."""
+    if roots is None:
+        return materialise(components(links), "roots")
+    if links.isEmpty():
+        return roots
     ends = links
     for x in "ab":
         ends = ends.join(roots.select(F.col("node").alias(x), "root"), x, "left").withColumn(x, F.coalesce("root", x)).drop("root")
@@ -329,16 +371,32 @@ def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
     return materialise(old.union(new.join(roots.select("node"), "node", "left_anti").select("node", "root")), "roots")
 
 
-def _mixed(shared: DataFrame, roots: DataFrame) -> DataFrame:
-    """Rows of ``shared`` with their ``root``, under shingles with nodes of several components, and the largest of these as ``major``.
+def _mixed(rows: DataFrame, roots: DataFrame) -> tuple[DataFrame, int, int]:
+    """Rows under shingles with nodes of several components, with their ``root``; the number of them, and of pairs to try among them.
+
+    ``k`` is the number of a shingle's rows, ``major`` the root of the most of them.
+    """
+    placed = rows.select("token", "node", "n", "pos").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = materialise(placed, "placed")
+    by_root = placed.groupBy("token", "root").agg(F.count("*").alias("c"))
+    by_token = by_root.groupBy("token").agg(F.sum("c").alias("k"), F.count("*").alias("r"), F.max(F.struct("c", "root"))["root"].alias("major"), F.sum(F.col("c") * F.col("c")).alias("same"))
+    by_token = materialise(by_token.where("r > 1"), "mixed_tokens")
+    rows_left, pairs = by_token.agg(F.sum("k"), F.sum((F.col("k") * F.col("k") - F.col("same")) / 2)).first()
+    return placed.join(by_token.select("token", "k", "major"), "token"), rows_left or 0, pairs or 0
+
+
+def _across(mixed: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+    """All pairs of nodes of two components that share a shingle and pass the length and positional filter.
 
-    Two nodes under one shingle have been compared with each other, so there must be three at least.
+    The nodes under a shingle are cut into blocks and each pair of blocks is a key of its own, so that no task holds a crowded shingle.
     """
-    placed = shared.select("token", "node", "n", "pos").join(_small(roots), "node", "left").withColumn("root", F.coalesce("root", "node")).repartition("token")
-    token = Window.partitionBy("token")
-    counted = placed.withColumn("c", F.count("*").over(Window.partitionBy("token", "root")))
-    judged = counted.withColumns({"major": F.max(F.struct("c", "root")).over(token), "least": F.min("root").over(token), "most": F.max("root").over(token), "all": F.count("*").over(token)})
-    return materialise(judged.where("least != most and all > 2").select("token", "node", "n", "pos", "root", F.col("major.root").alias("major")), "mixed")
+    blocks = F.ceil(F.col("k") / block).cast("int")
+    cut = mixed.select("token", "node", "n", "pos", "root", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("own"))
+    a = cut.withColumn("i", F.col("own")).withColumn("j", F.explode(F.sequence(F.col("own"), F.col("blocks") - 1))).drop("blocks", "own")
+    b = cut.withColumn("j", F.col("own")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("own")))).drop("blocks", "own")
+    b = b.withColumnsRenamed({"node": "m_node", "n": "m", "pos": "m_pos", "root": "m_root"})
+    good = (F.col("root") != F.col("m_root")) & ((F.col("i") != F.col("j")) | (F.col("node") < F.col("m_node"))) & _fits(percent, F.col("n"), F.col("m"), F.col("pos"), F.col("m_pos"))
+    return a.join(b, ["token", "i", "j"]).where(good).select(F.least("node", "m_node").alias("a"), F.greatest("node", "m_node").alias("b"))
 
 
 def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -348,68 +406,51 @@ def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
 
 
 def _classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    summary, table = summarise(docs, width)
-    nodes = summary.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"))
-    nodes = materialise(nodes, "nodes")
-
-    # Nodes of one size stand in one of two orders, so that not all have the same one first.
-    order = Window.partitionBy("token").orderBy(F.shiftright("size", 32), F.xxhash64("high", "low", F.col("token").bitwiseAND(F.lit(1))), "high", "low")
-    at = F.struct("high", "low", "size")
-    same = lambda x: (F.col(f"{x}.high") == F.col("high")) & (F.col(f"{x}.low") == F.col("low"))
-    name = lambda x: F.unhex(F.concat(*[F.lpad(F.hex(f"{x}{y}"), 16, "0") for y in ("high", "low")]))
-    sizes = lambda x: (F.shiftright(f"{x}size", 32).cast("int"), F.col(f"{x}size").bitwiseAND(F.lit(2**31 - 1)).cast("int"))
-    # Only under shingles with three nodes or more, as far as copies don't count, is anything left to do after the first comparison.
-    crowded = F.col("third").isNotNull() | (F.col("prev").isNotNull() & F.col("next").isNotNull())
-    posted = (
-        prefixes(docs, table, width, percent)
-        .withColumns({"prev": F.lag(at).over(order), "next": F.lead(at).over(order), "first": F.first(at).over(order), "third": F.coalesce(F.lag("size", 2).over(order), F.lead("size", 2).over(order))})
-        # Copies of a node that other tasks posted too stand side by side; one is kept.
-        .where((F.col("prev").isNull() & F.col("next").isNotNull()) | ~same("prev"))
-        .select("token", name("").alias("node"), *[c.alias(k) for c, k in zip(sizes(""), ("n", "pos"))], F.when(~same("first"), F.struct(name("first.").alias("node"), *[c.alias(k) for c, k in zip(sizes("first."), ("n", "pos"))])).alias("first"), crowded.alias("crowded"))
-    )
-    shared = materialise(posted, "shared")
-
-    def pairs(rows: DataFrame, other: str) -> DataFrame:
-        o = F.col(other)
-        good = o.isNotNull() & _fits(percent, F.col("n"), o["n"], F.col("pos"), o["pos"])
-        return rows.where(good).select(F.least("node", o["node"]).alias("a"), F.greatest("node", o["node"]).alias("b"))
-
-    roots = _linked(None, pairs(shared, "first"), nodes, docs, width, percent)
-
-    mixed = _mixed(shared.where("crowded"), roots)
-    open_nodes = materialise(nodes.join(mixed.select("node").distinct(), "node", "left_semi"), "open")
-    outside = mixed.where("root != major").count()
+    groups = materialise(packed(docs.select("doc_id", F.col("text").cast("string").alias("text")), width), "groups")
+    summary = groups.select("grp", F.posexplode("docs").alias("place", "d")).select("grp", "place", "d.*")
+    own = F.min(F.col("grp") * 65536 + F.col("place"))
+    nodes = materialise(summary.where("n > 0").groupBy("high", "low").agg(own.alias("node"), F.first("n").alias("n"), F.min("doc_id").alias("least")), "nodes")
+    total = nodes.agg(F.sum("n")).first()[0] or 0
+
+    places = nodes.groupBy(F.shiftright("node", 16).alias("grp")).agg(F.collect_list(F.col("node").bitwiseAND(F.lit(65535)).cast("int")).alias("places"))
+    owned = groups.select("grp", "texts").join(places, "grp")
+    answers = shared_counts(owned.select("grp", "places", "texts"), width, total)
+    rows = materialise(posted(owned.join(answers, "grp").select("grp", "places", "texts", "answers"), width, percent, total), "posted")
+    sets = rows.where("token is null").select("node", "n", "sig", "items")
+    rows = rows.where("token is not null").select("token", "node", "n", "pos")
+
+    # The first node under a shingle is that of the least size; of one size two orders are used, so that not all have the same one first.
+    at = F.struct("n", F.xxhash64("node", F.col("token").bitwiseAND(F.lit(1))).alias("h"), "node", "pos")
+    by_token = rows.groupBy("token").agg(F.count("*").alias("k"), F.min(at).alias("first")).where("k > 1")
+    rows = materialise(rows.join(by_token.select("token", F.col("first.node").alias("o"), F.col("first.n").alias("o_n"), F.col("first.pos").alias("o_pos")), "token"), "shared")
+
+    def pairs(rows: DataFrame) -> DataFrame:
+        good = (F.col("node") != F.col("o")) & _fits(percent, F.col("n"), F.col("o_n"), F.col("pos"), F.col("o_pos"))
+        return rows.where(good).select(F.least("node", "o").alias("a"), F.greatest("node", "o").alias("b"))
+
+    links, tried = _links(pairs(rows), sets, None, percent)
+    roots = _joined(None, links)
+    mixed, n_rows, n_pairs = _mixed(rows, roots)
     for r in range(ROUNDS):
-        if not outside:
+        if n_pairs <= PAIRS_PER_ROW * n_rows:
             break
-        by_chance = Window.partitionBy("token").orderBy(F.xxhash64("node", F.col("token").bitwiseAND(F.lit(7)), F.lit(r)), "node").rowsBetween(Window.unboundedPreceding, -1)
-        of_major = F.last(F.when(F.col("in_major"), F.struct("node", "n", "pos")), True).over(by_chance)
-        rows = mixed.select("token", "node", "n", "pos", (F.col("root") == F.col("major")).alias("in_major")).withColumn("some", of_major)
-        roots = _linked(roots, pairs(rows.where("not in_major"), "some"), open_nodes, docs, width, percent)
-        mixed = _mixed(mixed, roots)
-        before, outside = outside, mixed.where("root != major").count()
-        if outside > 0.9 * before:  # more rounds gain little; what follows is exact in any case
+        by_chance = F.struct(F.xxhash64("node", F.col("token").bitwiseAND(F.lit(7)), F.lit(r)).alias("h"), "node", "n", "pos")
+        some = mixed.where("root = major").groupBy("token").agg(F.min(by_chance).alias("s")).select("token", F.col("s.node").alias("o"), F.col("s.n").alias("o_n"), F.col("s.pos").alias("o_pos"))
+        links, tried = _links(pairs(mixed.where("root != major").join(some, "token")), sets, tried, percent)
+        roots = _joined(roots, links)
+        before = n_pairs
+        mixed, n_rows, n_pairs = _mixed(mixed, roots)
+        if n_pairs > 0.9 * before:  # more rounds gain little; what follows is exact in any case
             break
+    if n_pairs:
+        links, tried = _links(_across(mixed, percent), sets, tried, percent)
+        roots = _joined(roots, links)
 
-    # Under each shingle a signature of half the bits will do: pairs that pass meet the whole one before they are verified.
-    half = BITS // 128
-    folded = F.zip_with(F.slice("sig", 1, half), F.slice("sig", half + 1, half), lambda a, b: a.bitwiseOR(b))
-    mixed = materialise(mixed.join(open_nodes.select("node", folded.alias("sig")), "node"), "mixed")
-    x = mixed.where("root != major").select(*[F.col(c).alias(f"x_{c}") for c in ("token", "node", "n", "pos", "root", "sig")])
-    crossing = mixed.join(
-        x,
-        (F.col("token") == F.col("x_token"))
-        & (F.col("root") != F.col("x_root"))
-        & ((F.col("root") == F.col("major")) | (F.col("node") < F.col("x_node")))
-        & _fits(percent, F.col("n"), F.col("x_n"), F.col("pos"), F.col("x_pos"))
-        & _may_share(percent, F.col("n"), F.col("x_n"), F.col("sig"), F.col("x_sig"), half),
-    ).select(F.least("node", "x_node").alias("a"), F.greatest("node", "x_node").alias("b"))
-    roots = _linked(roots, crossing, open_nodes, docs, width, percent)
-
-    keyed = summary.select("doc_id", "n", "node").join(roots, "node", "left").withColumn("class", F.when(F.col("n") > 0, F.coalesce("root", "node")))
-    least = materialise(keyed.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least")), "least")
-    return keyed.join(least, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    named = nodes.join(roots, "node", "left").select("high", "low", "least", F.coalesce("root", "node").alias("class"))
+    named = materialise(named, "named")
+    lowest = named.groupBy("class").agg(F.min("least").alias("lowest"))
+    by_set = named.join(lowest, "class").select("high", "low", "lowest")
+    return summary.join(by_set, ["high", "low"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("lowest")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def one_per_class(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -419,7 +460,7 @@ def one_per_class(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFra
     """
     found = classes(docs, width, percent)
     kept = materialise(found.where("doc_id <=> component_id").groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("n")), "kept")
-    rows = docs.join(_small(kept.select("kept_id")), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    rows = docs.join(broadcast_if_small(kept.select("kept_id")), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
     # Ids are unique as a rule; only otherwise are texts shuffled for this.
     return rows if kept.where("n > 1").isEmpty() else rows.dropDuplicates(["doc_id", "text"])
 
