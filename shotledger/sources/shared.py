@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: Paths written in each scratch open in this thread, the innermost last.
 _open: ContextVar[tuple[list[str], ...]] = ContextVar("_open", default=())
+#: Spark's setting that deletes the shuffle files of a query when it has ended; a written table doesn't need them any more.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: The most bytes of a table that is broadcast on purpose.
 BROADCAST_BYTES = 32 << 20
 
@@ -44,7 +46,13 @@ def new_folder(spark: SparkSession, name: str, depth: int = -1) -> str:
 def materialise(df: DataFrame, name: str, depth: int = -1) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and return a scan of what was written; it goes with the scratch it is written in."""
     path = new_folder(df.sparkSession, name, depth)
-    df.write.parquet(path)
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, None)
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
