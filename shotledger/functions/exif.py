@@ -13,11 +13,6 @@ def rational(r: Column) -> Column:
     return F.try_divide(r["num"].cast("double"), r["den"].cast("double"))
 
 
-def first_rational(rs: Column) -> Column:
-    """The first of a list of rationals."""
-    return rational(F.get(rs, F.lit(0)))
-
-
 def degrees(dms: Column, ref: Column) -> Column:
     """Decimal degrees of a list of three rationals. North and east are positive; all other marks, a missing one too, negative."""
     part = lambda k: rational(F.get(dms, F.lit(k)))

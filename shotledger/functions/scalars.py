@@ -76,7 +76,7 @@ def from_epoch(seconds: Column, zone: str = "UTC") -> Column:
 
 
 def trimmed_list(text: Column) -> Column:
-    return F.transform(F.split(text, ","), F.trim)
+    return F.transform(F.split(text, ","), lambda x: F.trim(x))
 
 
 def clamp(k: Column, low: Column | int, high: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shotledger.functions import scalars as X
 from shotledger.operators.components import components
+from shotledger.operators.mutations import upsert
 from shotledger.operators.relations import last_written, suffix_match
 from shotledger.sources.shared import materialise, scratch
 
@@ -81,24 +82,29 @@ def _density_clusters(points: DataFrame, min_samples: int, max_dist_m: float, ma
     return out.select("job_id", "point", F.coalesce("label", "edge_label", F.lit(-1)).cast("int").alias("label"))
 
 
-def apply_result(result: DataFrame, jobs: DataFrame, clusters: DataFrame, photos: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Clusters and photos after a clustering: the job's old clusters go, new ones are named by the job, photos are matched by path.
+#: Fields of a photo's details, and what they are called in a clustering's result.
+DETAILS = {"device": "device", "focal_length": "focal_length", "exposure_time": "exposure_time", "iso": "iso_speed_rating", "flash": "flash", "orientation": "orientation", "gps_img_direction": "gps_img_direction"}
 
-    ``result`` is the parsed payload per job: ``job_id, clusters: array<struct<id, photos: array<struct<path, lat, lon>>>>``. Number -1 (or a missing one
-    read as 0) names the reserve cluster; each other entry makes a cluster, also without photos. All photos of the job can be matched, deleted ones too; an item
-    written later wins; unmatched photos keep their place and lose their cluster.
+
+def apply_result(result: DataFrame, jobs: DataFrame, clusters: DataFrame, photos: DataFrame, details: DataFrame, zone: str = "Asia/Seoul") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Clusters, photos and photo details after a clustering: the job's old clusters go, new ones are named by the job, photos are matched by path.
+
+    ``result`` is the parsed payload, one row per job: ``job_id, clusters: array<struct<id, photos: array<struct<path, timestamp, lat, lon, device, ...>>>>``. Number -1
+    names the reserve cluster; each other entry makes a cluster, also without photos, with the number (a missing one is 0) as its place. All photos of
+    the job can be matched, deleted ones too; an item written later wins; a time, latitude or longitude that is null or zero keeps what the photo had, and its
+    details are replaced as a whole. Unmatched photos keep their place and lose their cluster.
     """
     done = result.select("job_id")
     entries = result.select("job_id", F.posexplode("clusters").alias("entry", "c")).select("job_id", "entry", F.coalesce("c.id", F.lit(0)).alias("number"), F.col("c.photos").alias("items"))
     name = jobs.select("job_id", X.first_filled(F.col("construction_type"), F.col("title")).alias("job_name"))
     key = F.when(F.col("number") == -1, F.concat_ws("-", "job_id", F.lit("reserve"))).otherwise(F.concat_ws("-", "job_id", F.lit("new"), "entry"))
-    place = F.sum(F.when(F.col("number") != -1, 1).otherwise(0)).over(Window.partitionBy("job_id").orderBy("entry")) - 1
-    made = entries.join(name, "job_id", "left").withColumns({"cluster_id": key, "place": place})
+    made = entries.join(name, "job_id", "left").withColumn("cluster_id", key)
     reserve = done.select(F.concat_ws("-", "job_id", F.lit("reserve")).alias("cluster_id"), "job_id", F.lit("reserve").alias("name"), F.lit(-1).alias("order_index"))
-    new = made.where("number <> -1").select("cluster_id", "job_id", F.col("job_name").alias("name"), F.col("place").cast("int").alias("order_index"))
+    new = made.where("number <> -1").select("cluster_id", "job_id", F.col("job_name").alias("name"), F.col("number").cast("int").alias("order_index"))
     kept = clusters.join(done, "job_id", "left_anti")
     new_clusters = kept.select("cluster_id", "job_id", "name", "order_index").unionByName(reserve).unionByName(new)
-    items = made.select("job_id", "entry", "cluster_id", F.posexplode("items").alias("at", "i")).select("job_id", F.struct("entry", "at", "cluster_id", F.col("i.lat").alias("lat"), F.col("i.lon").alias("lon")).alias("item"), F.col("i.path").alias("path"))
+
+    items = made.select("job_id", "entry", "cluster_id", F.posexplode("items").alias("at", "i")).select("job_id", F.struct("entry", "at", "cluster_id", "i").alias("item"), F.col("i.path").alias("path"))
     hits = last_written(suffix_match(items, photos).select("photo_id", "item"), "photo_id", "item")
     cleared = photos.join(done.withColumn("_done", F.lit(True)), "job_id", "left").withColumn("cluster_id", F.when(F.col("_done").isNull(), F.col("cluster_id")))
     merged = cleared.join(hits.select("photo_id", "item"), "photo_id", "left")
@@ -106,8 +112,31 @@ def apply_result(result: DataFrame, jobs: DataFrame, clusters: DataFrame, photos
         {
             "cluster_id": F.coalesce("item.cluster_id", "cluster_id"),
             "order_index": F.coalesce("item.at", "order_index").cast("int"),
-            "meta_lat": X.filled_number(F.col("item.lat"), F.col("meta_lat")),
-            "meta_lon": X.filled_number(F.col("item.lon"), F.col("meta_lon")),
+            "meta_timestamp": F.coalesce(X.from_epoch(F.col("item.i.timestamp"), zone), F.col("meta_timestamp").cast("timestamp_ntz")),
+            "meta_lat": X.filled_number(F.col("item.i.lat"), F.col("meta_lat")),
+            "meta_lon": X.filled_number(F.col("item.i.lon"), F.col("meta_lon")),
         }
     )
-    return new_clusters, new_photos.select(*photos.columns)
+    fresh = hits.select("photo_id", *[F.col(f"item.i.{b}").alias(a) for a, b in DETAILS.items()])
+    return new_clusters, new_photos.select(*photos.columns), upsert(details, fresh, "photo_id")
+
+
+def apply_replies(replies: DataFrame, runs: DataFrame, jobs: DataFrame, clusters: DataFrame, photos: DataFrame, details: DataFrame, now: Column) -> dict[str, DataFrame]:
+    """All tables after the clustering worker's replies: ``runs, jobs, clusters, photos, details``.
+
+    ``replies`` has ``request_id, status, error, result: struct<clusters>``; ``runs`` has ``cluster_job_id, job_id, error_message, result, finished_at``. A reply
+    ``completed`` applies its result, ends the run and completes the job; ``failed`` leaves its error at the run and fails the job; other
+    states, unknown runs and runs of unknown jobs change nothing. Of several replies to one job the last by request id counts.
+    """
+    known = replies.where(F.col("status").isin("completed", "failed")).join(runs.select(F.col("cluster_job_id").alias("request_id"), "job_id"), "request_id").join(jobs.select("job_id"), "job_id", "left_semi")
+    last = known.groupBy("job_id").agg(F.max_by(F.struct("request_id", "status", "error", "result"), F.col("request_id")).alias("r")).select("job_id", "r.*")
+    done = last.where("status = 'completed'").select("job_id", F.coalesce(F.col("result.clusters"), F.array().cast(last.select("result.clusters").schema[0].dataType)).alias("clusters"))
+    new_clusters, new_photos, new_details = apply_result(done, jobs, clusters, photos, details)
+    said = last.select(F.col("request_id").alias("cluster_job_id"), F.col("status").alias("_said"), F.col("error").alias("_error"), F.to_json("result").alias("_result"))
+    ok = F.col("_said") == "completed"
+    new_runs = runs.join(said, "cluster_job_id", "left").withColumns(
+        {"error_message": F.when(F.col("_said") == "failed", F.col("_error")).otherwise(F.col("error_message")), "result": F.when(ok, F.col("_result")).otherwise(F.col("result")), "finished_at": F.when(ok, now).otherwise(F.col("finished_at"))}
+    )
+    state = F.when(ok, "COMPLETED").when(F.col("_said") == "failed", "FAILED").otherwise(F.col("status"))
+    new_jobs = jobs.join(last.select("job_id", F.col("status").alias("_said")), "job_id", "left").withColumn("status", state)
+    return {"runs": new_runs.select(*runs.columns), "jobs": new_jobs.select(*jobs.columns), "clusters": new_clusters, "photos": new_photos, "details": new_details}

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shotledger.functions import scalars as X
+from shotledger.operators.relations import in_list_order
+from shotledger.sources.shared import materialise
 
 
 def _marked(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
@@ -117,6 +119,55 @@ def register(users: DataFrame, requests: DataFrame) -> DataFrame:
     return fresh.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n", "password").select("request", "username", "company_name")
 
 
+#: Fixed value: name of a cluster whose job has neither a construction type nor a title.
+UNNAMED = "이름 없음"
+
+
+def create_cluster(clusters: DataFrame, photos: DataFrame, jobs: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Clusters and photos after new clusters are put between the others of their job and take photos over.
+
+    ``requests`` has ``job_id, cluster_id, order_index, photo_ids``, one per job; ``cluster_id`` is the new one's. It is named by the job. The place is clamped to 0 and
+    the job's number of clusters, and null is that number; clusters from there on move up. The photos, wherever they are, are numbered from 0 in the
+    order of the places that they had. Requests for unknown jobs change nothing.
+    """
+    name = X.first_filled(F.col("construction_type"), F.col("title"), F.lit(UNNAMED))
+    wanted = requests.join(jobs.select("job_id", name.alias("name")), "job_id")
+    n = clusters.groupBy("job_id").agg(F.count("*").alias("_n"))
+    wanted = wanted.join(n, "job_id", "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+    wanted = wanted.withColumn("order_index", X.clamp(F.coalesce("order_index", "_n"), 0, F.col("_n")).cast("int"))
+    at = wanted.select("job_id", F.col("order_index").alias("_at"))
+    place = F.when(F.col("order_index") >= F.col("_at"), F.col("order_index") + 1).otherwise(F.col("order_index"))
+    moved = clusters.join(at, "job_id", "left").withColumn("order_index", place.cast("int")).select(*clusters.columns)
+    new = wanted.select(*[F.col(c) if c in ("cluster_id", "job_id", "name", "order_index") else F.lit(None).cast(t).alias(c) for c, t in clusters.dtypes])
+    taken = in_list_order(wanted.select(F.col("cluster_id").alias("list_id"), "photo_ids"), photos, by_index=True)
+    to = taken.select("photo_id", F.col("list_id").alias("_to"), F.col("order_index").alias("_place"))
+    new_photos = photos.join(to, "photo_id", "left").withColumns({"cluster_id": F.coalesce("_to", "cluster_id"), "order_index": F.coalesce("_place", "order_index").cast("int")})
+    return moved.unionByName(new), new_photos.select(*photos.columns)
+
+
+def delete_clusters(clusters: DataFrame, photos: DataFrame, ids: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """Clusters and photos after a cluster of each job is deleted: its photos lose it and are softly deleted, the gap is closed.
+
+    ``ids`` has ``cluster_id``, one per job; unknown ones change nothing.
+    """
+    from shotledger.operators.ordering import close_gap
+
+    gone = clusters.join(ids.select("cluster_id").distinct(), "cluster_id", "left_semi").select("job_id", F.col("order_index").alias("removed_index"))
+    return close_gap(without(clusters, ids, "cluster_id"), gone, "job_id"), unassign(photos, clusters.select("cluster_id").join(ids, "cluster_id", "left_semi"), now)
+
+
+def add_photos(clusters: DataFrame, photos: DataFrame, requests: DataFrame) -> DataFrame:
+    """Photos after each cluster took some over: numbered on from the number of photos it had, deleted ones included, in the order of the places that they had.
+
+    ``requests`` has ``cluster_id, photo_ids``; unknown clusters and photos change nothing, and no photo may be asked for twice.
+    """
+    known = requests.join(clusters.select("cluster_id"), "cluster_id", "left_semi")
+    taken = in_list_order(known.select(F.col("cluster_id").alias("list_id"), "photo_ids"), photos, by_index=True)
+    start = photos.groupBy(F.col("cluster_id").alias("list_id")).agg(F.count("*").alias("_start"))
+    to = taken.join(start, "list_id", "left").select("photo_id", F.col("list_id").alias("_to"), (F.coalesce("_start", F.lit(0)) + F.col("order_index")).alias("_place"))
+    return photos.join(to, "photo_id", "left").withColumns({"cluster_id": F.coalesce("_to", "cluster_id"), "order_index": F.coalesce("_place", "order_index").cast("int")}).select(*photos.columns)
+
+
 def move_photos(clusters: DataFrame, photos: DataFrame, moves: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
     """Photos moved to another cluster of their job at a place, and clusters left empty taken away with the gap closed.
 
@@ -132,11 +183,16 @@ def move_photos(clusters: DataFrame, photos: DataFrame, moves: DataFrame, now: C
     made = wanted.where("cluster_id is null and _reserve is null").select(reserve.alias("cluster_id"), "job_id", F.lit("reserve").alias("name"), F.lit(-1).alias("order_index"))
     wanted = wanted.withColumn("cluster_id", F.coalesce("cluster_id", "_reserve", reserve)).drop("_reserve")
     allowed = clusters.select("cluster_id", "job_id").union(made.select("cluster_id", "job_id"))
-    wanted = wanted.join(allowed, ["cluster_id", "job_id"], "left_semi")
+    # One row per move: written once, as everything below is made from it.
+    wanted = materialise(wanted.join(allowed, ["cluster_id", "job_id"], "left_semi"), "moves")
+    made = made.join(wanted, ["cluster_id", "job_id"], "left_semi")
     new_photos = insert_at(photos, wanted.select("cluster_id", "photo_id", "to_index"))
     left = wanted.where("from_id <> cluster_id").select(F.col("from_id").alias("cluster_id"))
-    still = new_photos.where("deleted_at is null").select("cluster_id").distinct()
-    empty = left.join(still, "cluster_id", "left_anti").join(clusters.where("name <> 'reserve'").select("cluster_id", "job_id", F.col("order_index").alias("removed_index")), "cluster_id")
+    # A cluster that a photo left has no other active photo, unless another photo moved in; photos moved away don't count.
+    stayed = photos.where("deleted_at is null").select("photo_id", "cluster_id").join(left, "cluster_id", "left_semi").join(wanted.select("photo_id"), "photo_id", "left_anti").select("cluster_id")
+    came = wanted.join(photos.where("deleted_at is null").select("photo_id"), "photo_id", "left_semi").select("cluster_id")
+    empty = left.join(stayed.union(came), "cluster_id", "left_anti").join(clusters.where("name <> 'reserve'").select("cluster_id", "job_id", F.col("order_index").alias("removed_index")), "cluster_id")
+    empty = materialise(empty, "empty")
     new_photos = unassign(new_photos, empty.select("cluster_id"), now)
     kept = without(clusters, empty.select("cluster_id"), "cluster_id").unionByName(made.select(*clusters.columns))
     return close_gap(kept, empty, "job_id"), new_photos

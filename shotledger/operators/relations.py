@@ -125,3 +125,9 @@ def histogram(rows: DataFrame, group: str, value: str, bounds: tuple[float, ...]
     """Count, sum and cumulative counts up to each bound, per group."""
     upto = [F.count_if(F.col(value) <= b).alias(f"le_{i}") for i, b in enumerate(bounds)]
     return rows.groupBy(group).agg(F.count("*").alias("n"), F.sum(value).alias("total"), *upto)
+
+
+def deltas(rows: DataFrame) -> DataFrame:
+    """``task, seconds, mib``: run time and growth of memory of each run, from ``began, ended`` and the bytes ``before, after``."""
+    seconds = F.timestamp_diff("MICROSECOND", F.col("began"), F.col("ended")) / 1e6
+    return rows.select("task", seconds.alias("seconds"), X.mebibytes(F.col("after") - F.col("before")).alias("mib"))

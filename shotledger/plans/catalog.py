@@ -49,6 +49,12 @@ def query(sql: str | None, *views: str) -> Callable[[Query], Query]:
     return put
 
 
+#: Places of events: a grid of a few hundred metres per user, with some points far off.
+PLACE = {"lat": "37.5 + (event_id % 97) * 0.0004", "lon": "127.0 + (event_id % 89) * 0.0005", "alt": "(event_id % 41) * 1.0"}
+POINTS = f"pts AS (SELECT user_id AS job_id, event_id AS point, ({PLACE['lat']})::DOUBLE AS lat, ({PLACE['lon']})::DOUBLE AS lon, ({PLACE['alt']})::DOUBLE AS alt FROM events)"
+DIST = "2 * 6371000.0 * asin(sqrt(least(1.0, pow(sin((radians(b.lat) - radians(a.lat)) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin((radians(b.lon) - radians(a.lon)) / 2), 2))))"
+
+
 def _user_jobs(spark: SparkSession, d: str) -> DataFrame:
     """Customers as jobs, as exports hang on them."""
     return tables.users(spark, d).select(F.col("user_id").alias("job_id"), F.col("company_name").alias("title"), "username")
@@ -203,10 +209,28 @@ SELECT a.cluster_id, a.job_id, a.name, CASE WHEN a.order_index > e.gone THEN a.o
     "clusters",
 )
 def move_to_reserve(spark: SparkSession, d: str) -> DataFrame:
+    return _moved_to_reserve(spark, d)[0].select("cluster_id", "job_id", "name", "order_index")
+
+
+def _moved_to_reserve(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     photos = tables.photos(spark, d)
     moves = photos.groupBy("job_id").agg(F.min("photo_id").alias("photo_id")).select("photo_id", F.lit(None).cast("string").alias("cluster_id"), F.lit(None).cast("int").alias("to_index"))
-    after, _ = mutations.move_photos(tables.clusters(spark, d), photos, moves, F.lit(NOW).cast("timestamp_ntz"))
-    return after.select("cluster_id", "job_id", "name", "order_index")
+    return mutations.move_photos(tables.clusters(spark, d), photos, moves, F.lit(NOW).cast("timestamp_ntz"))
+
+
+@query(
+    f""", m AS (SELECT p.job_id, min(p.photo_id) AS moved FROM photos p GROUP BY 1), t AS (SELECT m.*, coalesce(r.cluster_id, m.job_id || '-reserve') AS to_id FROM m LEFT JOIN (SELECT job_id, cluster_id FROM clusters WHERE name = 'reserve') r USING (job_id)),
+n AS (SELECT p.photo_id, p.job_id, p.deleted_at, p.order_index, p.cluster_id AS from_id, t.to_id, CASE WHEN p.photo_id = t.moved THEN t.to_id ELSE p.cluster_id END AS cluster_id, p.photo_id = t.moved AS is_moved FROM photos p JOIN t USING (job_id)),
+e AS (SELECT DISTINCT n.from_id FROM n JOIN clusters c ON c.cluster_id = n.from_id WHERE n.is_moved AND n.from_id <> n.to_id AND c.name <> 'reserve'
+  AND NOT EXISTS (SELECT 1 FROM photos p WHERE p.cluster_id = n.from_id AND p.photo_id <> n.photo_id AND p.deleted_at IS NULL))
+SELECT photo_id, CASE WHEN e.from_id IS NULL THEN n.cluster_id END AS cluster_id, CASE WHEN e.from_id IS NULL THEN n.deleted_at ELSE TIMESTAMP '{NOW}' END AS deleted_at,
+  (CASE WHEN n.cluster_id = n.to_id THEN row_number() OVER (PARTITION BY n.cluster_id ORDER BY is_moved, order_index, photo_id) - 1 ELSE order_index END)::INT AS order_index
+FROM n LEFT JOIN e ON e.from_id = n.cluster_id""",
+    "photos",
+    "clusters",
+)
+def move_to_reserve_photos(spark: SparkSession, d: str) -> DataFrame:
+    return _moved_to_reserve(spark, d)[1].select("photo_id", "cluster_id", "deleted_at", "order_index")
 
 
 @query(
@@ -254,10 +278,14 @@ def top3_layout(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """, p AS (SELECT c.job_id, c.cluster_id, CASE WHEN c.order_index % 2 = 0 THEN 'renamed ' || c.cluster_id ELSE '' END AS name, c.order_index + 10 AS idx FROM clusters c WHERE c.name <> 'reserve'),
-m AS (SELECT p.cluster_id, p.idx, ph.photo_id, row_number() OVER (PARTITION BY p.cluster_id ORDER BY ph.order_index DESC, ph.photo_id DESC) - 1 AS place FROM p JOIN photos ph USING (cluster_id))
-SELECT ph.photo_id, ph.cluster_id, coalesce(m.place, ph.order_index)::INT AS order_index, coalesce(nullif(p.name, ''), c.name) AS cluster_name, coalesce(p.idx, c.order_index)::INT AS cluster_index
-FROM photos ph JOIN clusters c USING (cluster_id) LEFT JOIN p ON p.cluster_id = c.cluster_id LEFT JOIN m ON m.photo_id = ph.photo_id""",
+    """, p AS (SELECT c.job_id, c.cluster_id, CASE WHEN c.order_index % 2 = 0 THEN 'renamed ' || c.cluster_id ELSE '' END AS name, c.order_index + 10 AS idx,
+  min(c.order_index + 10) OVER (PARTITION BY c.job_id) AS first_idx, max(c.order_index + 10) OVER (PARTITION BY c.job_id) AS last_idx FROM clusters c WHERE c.name <> 'reserve'),
+own AS (SELECT p.job_id, p.cluster_id, p.idx, p.first_idx, p.last_idx, ph.photo_id, row_number() OVER (PARTITION BY p.cluster_id ORDER BY ph.order_index DESC, ph.photo_id DESC) - 1 AS place, count(*) OVER (PARTITION BY p.cluster_id) AS n FROM p JOIN photos ph USING (cluster_id)),
+claimed AS (SELECT l.cluster_id, l.idx, f.photo_id, l.n + f.place AS place FROM (SELECT DISTINCT job_id, cluster_id, idx, n FROM own WHERE idx = last_idx AND first_idx <> last_idx) l JOIN own f ON f.job_id = l.job_id AND f.idx = f.first_idx),
+known AS (SELECT * FROM p WHERE NOT (job_id % 10 = 3 AND idx = 11)),
+m AS (SELECT photo_id, arg_max(cluster_id, idx) AS cluster_id, arg_max(place, idx) AS place FROM (SELECT photo_id, cluster_id, idx, place FROM own UNION ALL SELECT photo_id, cluster_id, idx, place FROM claimed) WHERE cluster_id IN (SELECT cluster_id FROM known) GROUP BY 1),
+t AS (SELECT ph.photo_id, coalesce(m.cluster_id, ph.cluster_id) AS cluster_id, coalesce(m.place, ph.order_index)::INT AS order_index FROM photos ph LEFT JOIN m USING (photo_id))
+SELECT t.photo_id, t.cluster_id, t.order_index, coalesce(nullif(k.name, ''), c.name) AS cluster_name, coalesce(k.idx, c.order_index)::INT AS cluster_index FROM t JOIN clusters c USING (cluster_id) LEFT JOIN known k USING (cluster_id)""",
     "clusters",
     "photos",
 )
@@ -266,6 +294,10 @@ def sync_apply(spark: SparkSession, d: str) -> DataFrame:
     lists = photos.groupBy("cluster_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("order_index", "photo_id")), asc=False), lambda x: x["photo_id"]).alias("photo_ids"))
     name = F.when(F.col("order_index") % 2 == 0, F.concat(F.lit("renamed "), "cluster_id")).otherwise("")
     payload = clusters.where(F.col("name") != schemas.RESERVE).join(lists, "cluster_id").select("job_id", "cluster_id", name.alias("name"), (F.col("order_index") + 10).alias("order_index"), "photo_ids")
+    # Some clusters are named under another job, which passes them over; the last cluster of every job also claims the photos of the first.
+    first = payload.groupBy("job_id").agg(F.min_by("photo_ids", "order_index").alias("claimed"), F.max("order_index").alias("last"), F.min("order_index").alias("first"))
+    payload = payload.join(first, "job_id").withColumn("photo_ids", F.when((F.col("order_index") == F.col("last")) & (F.col("first") != F.col("last")), F.concat("photo_ids", "claimed")).otherwise(F.col("photo_ids"))).drop("claimed", "last", "first")
+    payload = payload.withColumn("job_id", F.when((F.col("job_id") % 10 == 3) & (F.col("order_index") == 11), -F.col("job_id") - 1).otherwise(F.col("job_id")))
     c, p = mutations.sync(clusters, photos, payload)
     named = c.select("cluster_id", F.col("name").alias("cluster_name"), F.col("order_index").alias("cluster_index"))
     return p.join(named, "cluster_id").select("photo_id", "cluster_id", "order_index", "cluster_name", "cluster_index")
@@ -451,31 +483,162 @@ def path_functions(spark: SparkSession, d: str) -> DataFrame:
 
 
 APPLY = """, r AS (SELECT l_orderkey AS job_id, l_suppkey AS s, dense_rank() OVER (PARTITION BY l_orderkey ORDER BY l_suppkey) - 1 AS entry FROM lineitem),
-e AS (SELECT DISTINCT job_id, s, entry, CASE WHEN entry = 0 AND job_id % 3 = 0 THEN -1 ELSE entry END AS number FROM r),
+said AS (SELECT DISTINCT job_id, CASE WHEN job_id % 13 = 6 THEN 'running' WHEN job_id % 11 = 5 THEN 'failed' ELSE 'completed' END AS said FROM r),
+dn AS (SELECT job_id FROM said WHERE said = 'completed'),
+e AS (SELECT DISTINCT job_id, s, entry, CASE WHEN entry = 0 AND job_id % 3 = 0 THEN -1 ELSE 2 * entry END AS number FROM r WHERE job_id IN (SELECT job_id FROM dn)),
 k AS (SELECT *, CASE WHEN number = -1 THEN job_id || '-reserve' ELSE job_id || '-new-' || entry END AS cluster_id FROM e),
-i AS (SELECT k.job_id, k.cluster_id, k.entry, 'bucket/' || p.storage_path AS path, row_number() OVER (PARTITION BY k.job_id, k.entry ORDER BY p.photo_id) - 1 AS at_
+i AS (SELECT k.job_id, k.cluster_id, k.entry, p.order_index AS o, 'bucket/' || p.storage_path AS path, row_number() OVER (PARTITION BY k.job_id, k.entry ORDER BY p.photo_id) - 1 AS at_
   FROM k JOIN photos p ON p.cluster_id = k.job_id || '-' || k.s WHERE p.order_index <> 2),
 h AS (SELECT i.*, min(p.photo_id) AS photo_id FROM i JOIN photos p ON p.job_id = i.job_id AND suffix(i.path, coalesce(nullif(p.thumbnail_path, ''), p.storage_path)) GROUP BY ALL),
-w AS (SELECT *, row_number() OVER (PARTITION BY photo_id ORDER BY entry DESC, at_ DESC) AS n FROM h)
-SELECT p.photo_id, w.cluster_id, coalesce(w.at_, p.order_index)::INT AS order_index FROM photos p LEFT JOIN w ON w.photo_id = p.photo_id AND w.n = 1"""
-
-
-@query(APPLY, "photos")
-def apply_cluster_result(spark: SparkSession, d: str) -> DataFrame:
-    """The payload is built as JSON text per job and parsed again with the fixed schema."""
-    photos = tables.photos(spark, d).withColumns({"meta_lat": F.lit(None).cast("double"), "meta_lon": F.lit(None).cast("double")})
-    items = photos.where("order_index <> 2").select("cluster_id", F.struct("photo_id", F.struct(F.concat(F.lit("bucket/"), "storage_path").alias("path"), F.lit(0.0).alias("lat"), F.lit(0.0).alias("lon")).alias("i")).alias("x"))
-    lists = items.groupBy("cluster_id").agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["i"]).alias("photos"))
+w AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY photo_id ORDER BY entry DESC, at_ DESC) AS n FROM h) WHERE n = 1)
+"""
+
+
+def _cluster_replies(spark: SparkSession, d: str, photos: DataFrame) -> DataFrame:
+    """A reply per job as the worker sends it, built as JSON text and parsed again with the fixed schema."""
+    o = F.col("order_index")
+    item = F.struct(
+        F.concat(F.lit("bucket/"), "storage_path").alias("path"), F.when(o == 1, 0.0).otherwise(1_700_000_000.0 + o).alias("timestamp"), ((o - 1) * 1.5).alias("lat"), F.lit(0.0).alias("lon"),
+        F.concat(F.lit("cam"), o.cast("string")).alias("device"), o.alias("iso_speed_rating"),
+    )
+    lists = photos.where("order_index <> 2").select("cluster_id", F.struct("photo_id", item.alias("i")).alias("x")).groupBy("cluster_id").agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["i"]).alias("photos"))
     pairs = tables.scan(spark, d, "lineitem").select(F.col("l_orderkey").alias("job_id"), F.col("l_suppkey").alias("s")).distinct()
     entry = (F.row_number().over(Window.partitionBy("job_id").orderBy("s")) - 1).cast("int")
     made = pairs.withColumns({"entry": entry, "cluster_id": tables.cluster_key(F.col("job_id"), F.col("s"))}).join(lists, "cluster_id", "left")
-    number = F.when((F.col("entry") == 0) & (F.col("job_id") % 3 == 0), -1).otherwise(F.col("entry"))
+    number = F.when((F.col("entry") == 0) & (F.col("job_id") % 3 == 0), -1).otherwise(2 * F.col("entry"))
     per_job = made.groupBy("job_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("entry", F.struct(number.alias("id"), "photos").alias("c")))), lambda x: x["c"]).alias("clusters"))
-    text = per_job.select("job_id", F.to_json(F.struct(F.lit("SUCCESS").alias("status"), F.col("job_id").cast("string").alias("request_id"), F.struct("clusters").alias("result"))).alias("body"))
-    parsed = text.select("job_id", F.from_json("body", schemas.PAYLOADS["cluster_result"], {"mode": "FAILFAST"}).alias("p")).select("job_id", F.col("p.result.clusters").alias("clusters"))
+    status = F.when(F.col("job_id") % 13 == 6, "running").when(F.col("job_id") % 11 == 5, "failed").otherwise("completed")
+    name = F.concat(F.lit("run-"), "job_id")
+    error = F.when(status == "failed", F.concat(F.lit("no result for "), "job_id"))
+    text = per_job.select(F.to_json(F.struct(status.alias("status"), name.alias("request_id"), error.alias("error"), F.when(status != "failed", F.struct("clusters")).alias("result"))).alias("body"))
+    return text.select(F.from_json("body", schemas.PAYLOADS["cluster_result"], {"mode": "FAILFAST"}).alias("p")).select("p.*")
+
+
+def _applied(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    photos = tables.photos(spark, d).withColumns({"meta_lat": F.lit(None).cast("double"), "meta_lon": F.lit(None).cast("double")})
     jobs = tables.jobs(spark, d).withColumn("construction_type", F.lit(""))
-    _, after = clustering.apply_result(parsed, jobs, tables.clusters(spark, d), photos)
-    return after.select("photo_id", "cluster_id", "order_index")
+    none = F.lit(None)
+    runs = jobs.select(F.concat(F.lit("run-"), "job_id").alias("cluster_job_id"), "job_id", none.cast("string").alias("error_message"), none.cast("string").alias("result"), none.cast("timestamp_ntz").alias("finished_at"))
+    fields = [none.cast(t).alias(c) for c, t in (("focal_length", "double"), ("exposure_time", "double"), ("iso", "int"), ("flash", "int"), ("orientation", "int"), ("gps_img_direction", "double"))]
+    details = photos.where("order_index = 1").select("photo_id", F.lit("old").alias("device"), *fields)
+    return clustering.apply_replies(_cluster_replies(spark, d, photos), runs, jobs, tables.clusters(spark, d), photos, details, F.lit(NOW).cast("timestamp_ntz"))
+
+
+@query(
+    APPLY
+    + """SELECT p.photo_id, CASE WHEN p.job_id IN (SELECT job_id FROM dn) THEN w.cluster_id ELSE p.cluster_id END AS cluster_id, coalesce(w.at_, p.order_index)::INT AS order_index,
+  CASE WHEN w.o > 1 THEN TIMESTAMP '2023-11-15 07:13:20' + to_seconds(w.o) ELSE p.meta_timestamp END AS meta_timestamp, CASE WHEN w.o > 1 THEN ((w.o - 1) * 1.5)::DOUBLE END AS meta_lat
+FROM photos p LEFT JOIN w USING (photo_id)""",
+    "photos",
+)
+def apply_cluster_result(spark: SparkSession, d: str) -> DataFrame:
+    return _applied(spark, d)["photos"].select("photo_id", "cluster_id", "order_index", "meta_timestamp", "meta_lat")
+
+
+@query(
+    APPLY
+    + """SELECT cluster_id, job_id, name, order_index FROM clusters WHERE job_id NOT IN (SELECT job_id FROM dn)
+UNION ALL SELECT job_id || '-reserve', job_id, 'reserve', -1 FROM dn
+UNION ALL SELECT k.cluster_id, k.job_id, j.title, k.number::INT FROM k JOIN jobs j USING (job_id) WHERE number <> -1""",
+    "photos",
+    "jobs",
+    "clusters",
+)
+def apply_result_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return _applied(spark, d)["clusters"].select("cluster_id", "job_id", "name", "order_index")
+
+
+@query(
+    APPLY
+    + """SELECT coalesce(w.photo_id, o.photo_id) AS photo_id, CASE WHEN w.photo_id IS NULL THEN 'old' ELSE 'cam' || w.o END AS device, w.o::INT AS iso
+FROM (SELECT photo_id FROM photos WHERE order_index = 1) o FULL JOIN w ON w.photo_id = o.photo_id""",
+    "photos",
+)
+def apply_result_details(spark: SparkSession, d: str) -> DataFrame:
+    return _applied(spark, d)["details"].select("photo_id", "device", "iso")
+
+
+@query(
+    APPLY
+    + f"""SELECT j.job_id, CASE said WHEN 'completed' THEN 'COMPLETED' WHEN 'failed' THEN 'FAILED' ELSE j.status END AS status, CASE said WHEN 'failed' THEN 'no result for ' || j.job_id END AS error_message,
+  CASE said WHEN 'completed' THEN TIMESTAMP '{NOW}' END AS finished_at, coalesce(said = 'completed', false) AS has_result FROM jobs j LEFT JOIN said USING (job_id)""",
+    "photos",
+    "jobs",
+)
+def apply_result_jobs(spark: SparkSession, d: str) -> DataFrame:
+    after = _applied(spark, d)
+    runs = after["runs"].select("job_id", "error_message", "finished_at", F.col("result").isNotNull().alias("has_result"))
+    return after["jobs"].select("job_id", "status").join(runs, "job_id")
+
+
+CREATE = """, q AS (SELECT job_id, job_id || '-made' AS cluster_id, CASE WHEN job_id % 5 > 0 THEN (job_id % 5)::INT - 2 END AS asked, CASE WHEN job_id % 3 = 0 THEN 'build' WHEN job_id % 4 = 0 THEN '이름 없음' ELSE title END AS name FROM jobs WHERE job_id % 2 = 0),
+a AS (SELECT q.*, greatest(0, least(coalesce(asked, n), n))::INT AS place FROM (SELECT q.*, coalesce(c.n, 0) AS n FROM q LEFT JOIN (SELECT job_id, count(*) AS n FROM clusters GROUP BY 1) c USING (job_id)) q)
+"""
+
+
+def _created(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    k = F.col("job_id")
+    jobs = tables.jobs(spark, d).withColumns({"construction_type": F.when(k % 3 == 0, "build").otherwise(""), "title": F.when(k % 4 == 0, "").otherwise(F.col("title"))})
+    photos = tables.photos(spark, d)
+    lists = photos.where("order_index <= 2").groupBy("job_id").agg(F.collect_list("photo_id").alias("photo_ids"))
+    requests = jobs.where(k % 2 == 0).select("job_id", F.concat("job_id", F.lit("-made")).alias("cluster_id"), F.when(k % 5 > 0, (k % 5).cast("int") - 2).alias("order_index")).join(lists, "job_id", "left")
+    return mutations.create_cluster(tables.clusters(spark, d), photos, jobs, requests)
+
+
+@query(
+    CREATE
+    + """SELECT c.cluster_id, c.job_id, c.name, CASE WHEN c.order_index >= a.place THEN c.order_index + 1 ELSE c.order_index END::INT AS order_index FROM clusters c LEFT JOIN a USING (job_id)
+UNION ALL SELECT cluster_id, job_id, name, place FROM a""",
+    "jobs",
+    "clusters",
+)
+def create_cluster(spark: SparkSession, d: str) -> DataFrame:
+    return _created(spark, d)[0].select("cluster_id", "job_id", "name", "order_index")
+
+
+@query(
+    CREATE
+    + """SELECT p.photo_id, coalesce(t.cluster_id, p.cluster_id) AS cluster_id, coalesce(t.n, p.order_index)::INT AS order_index FROM photos p LEFT JOIN
+  (SELECT p.photo_id, a.cluster_id, row_number() OVER (PARTITION BY p.job_id ORDER BY p.order_index, p.photo_id) - 1 AS n FROM photos p JOIN a USING (job_id) WHERE p.order_index <= 2) t USING (photo_id)""",
+    "jobs",
+    "clusters",
+    "photos",
+)
+def create_cluster_photos(spark: SparkSession, d: str) -> DataFrame:
+    return _created(spark, d)[1].select("photo_id", "cluster_id", "order_index")
+
+
+GONE = ", g AS (SELECT job_id, cluster_id, order_index AS k FROM clusters WHERE cluster_id IN (SELECT max(cluster_id) FROM clusters GROUP BY job_id))\n"
+
+
+def _deleted(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    clusters = tables.clusters(spark, d)
+    ids = clusters.groupBy("job_id").agg(F.max("cluster_id").alias("cluster_id")).select("cluster_id")
+    return mutations.delete_clusters(clusters, tables.photos(spark, d), ids, F.lit(NOW).cast("timestamp_ntz"))
+
+
+@query(GONE + "SELECT c.cluster_id, c.job_id, (CASE WHEN c.order_index > g.k THEN c.order_index - 1 ELSE c.order_index END)::INT AS order_index FROM clusters c JOIN g USING (job_id) WHERE c.cluster_id <> g.cluster_id", "clusters")
+def delete_cluster(spark: SparkSession, d: str) -> DataFrame:
+    return _deleted(spark, d)[0].select("cluster_id", "job_id", "order_index")
+
+
+@query(GONE + f"SELECT p.photo_id, CASE WHEN g.cluster_id IS NULL THEN p.cluster_id END AS cluster_id, CASE WHEN g.cluster_id IS NULL THEN p.deleted_at ELSE TIMESTAMP '{NOW}' END AS deleted_at FROM photos p LEFT JOIN g USING (cluster_id)", "clusters", "photos")
+def delete_cluster_photos(spark: SparkSession, d: str) -> DataFrame:
+    return _deleted(spark, d)[1].select("photo_id", "cluster_id", "deleted_at")
+
+
+@query(
+    """, t AS (SELECT job_id, max(cluster_id) AS target FROM clusters GROUP BY 1), n AS (SELECT cluster_id AS target, count(*) AS n FROM photos GROUP BY 1),
+m AS (SELECT p.photo_id, t.target, n.n + row_number() OVER (PARTITION BY t.target ORDER BY p.order_index, p.photo_id) - 1 AS place FROM photos p JOIN t USING (job_id) JOIN n USING (target) WHERE p.order_index = 1)
+SELECT p.photo_id, coalesce(m.target, p.cluster_id) AS cluster_id, coalesce(m.place, p.order_index)::INT AS order_index FROM photos p LEFT JOIN m USING (photo_id)""",
+    "clusters",
+    "photos",
+)
+def add_photos(spark: SparkSession, d: str) -> DataFrame:
+    clusters, photos = tables.clusters(spark, d), tables.photos(spark, d)
+    target = clusters.groupBy("job_id").agg(F.max("cluster_id").alias("cluster_id"))
+    lists = photos.where("order_index = 1").groupBy("job_id").agg(F.collect_list("photo_id").alias("photo_ids"))
+    return mutations.add_photos(clusters, photos, target.join(lists, "job_id")).select("photo_id", "cluster_id", "order_index")
 
 
 @query(
@@ -509,18 +672,10 @@ def bucket_path_pick(spark: SparkSession, d: str) -> DataFrame:
     return relations.bucket_folder(tables.photos(spark, d)).select("job_id", "photo_cnt", "bucket_path")
 
 
-#: Places of events: a grid of a few hundred metres per user, with some points far off.
-PLACE = {"lat": "37.5 + (event_id % 97) * 0.0004", "lon": "127.0 + (event_id % 89) * 0.0005", "alt": "(event_id % 41) * 1.0"}
-
-
 def _points(spark: SparkSession, d: str) -> DataFrame:
     return tables.scan(spark, d, "events").select(F.col("user_id").alias("job_id"), F.col("event_id").alias("point"), *[F.expr(f"cast({e} as double)").alias(n) for n, e in PLACE.items()])
 
 
-POINTS = f"pts AS (SELECT user_id AS job_id, event_id AS point, ({PLACE['lat']})::DOUBLE AS lat, ({PLACE['lon']})::DOUBLE AS lon, ({PLACE['alt']})::DOUBLE AS alt FROM events)"
-DIST = "2 * 6371000.0 * asin(sqrt(least(1.0, pow(sin((radians(b.lat) - radians(a.lat)) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin((radians(b.lon) - radians(a.lon)) / 2), 2))))"
-
-
 @query(f"WITH {POINTS} SELECT a.point AS a, b.point AS b, round({DIST}, 3) AS metres FROM pts a JOIN pts b ON a.job_id = b.job_id AND a.point < b.point WHERE {DIST} <= 150")
 def haversine_pairs(spark: SparkSession, d: str) -> DataFrame:
     points = _points(spark, d)
@@ -611,18 +766,154 @@ def upload_plan(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(F.col("o_orderkey").alias("job_id"), (F.col("o_orderkey") % 2 == 0).alias("small"), X.upload_strategy(F.col("o_totalprice"), 100000).alias("strategy"), w.alias("width"), h.alias("height"))
 
 
-@query(LATEST.format("").replace("j.user_id AS job_id, j.company_name AS title, e.export_id,", "j.user_id AS job_id, j.company_name AS title, e.pdf_path,"), "users", "exports")
+@query(LATEST.format("").replace("j.user_id AS job_id, j.company_name AS title, e.export_id,", "j.user_id AS job_id, j.company_name AS title, e.pdf_path, CASE WHEN e.status = 'FAILED' THEN 'event ' || e.export_id END AS error_message,"), "users", "exports")
 def export_status(spark: SparkSession, d: str) -> DataFrame:
-    jobs, runs = _user_jobs(spark, d), tables.exports(spark, d).withColumn("error_message", F.lit(None).cast("string"))
-    return views.export_status(jobs, runs).join(jobs.select("job_id", "title"), "job_id").select("job_id", "title", "pdf_path", "export_status")
+    jobs, runs = _user_jobs(spark, d), tables.exports(spark, d).withColumn("error_message", F.when(F.col("status") == "FAILED", F.concat(F.lit("event "), "export_id")))
+    return views.export_status(jobs, runs).join(jobs.select("job_id", "title"), "job_id").select("job_id", "title", "pdf_path", "error_message", "export_status")
 
 
-@query("SELECT j.job_id, j.title, j.status, j.created_at, 'PENDING' AS export_status FROM jobs j WHERE j.user_id IN (SELECT max(user_id) FROM jobs)", "jobs")
+@query(
+    """SELECT j.job_id, j.title, j.status, j.created_at, coalesce(e.status, 'PENDING') AS export_status FROM jobs j LEFT JOIN
+  (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY created_at DESC NULLS FIRST, export_id) AS n FROM exports) e ON e.job_id = j.job_id AND e.n = 1""",
+    "jobs",
+    "exports",
+)
+def job_list(spark: SparkSession, d: str) -> DataFrame:
+    return views.job_list(tables.jobs(spark, d), tables.exports(spark, d))
+
+
+@query(
+    """SELECT j.job_id, j.title, j.status, j.created_at, coalesce(e.status, 'PENDING') AS export_status FROM jobs j LEFT JOIN
+  (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY created_at DESC NULLS FIRST, export_id) AS n FROM exports WHERE finished_at IS NULL) e ON e.job_id = j.job_id AND e.n = 1
+WHERE j.user_id = (SELECT max(user_id) FROM jobs WHERE job_id IN (SELECT job_id FROM exports WHERE finished_at IS NULL))""",
+    "jobs",
+    "exports",
+)
 def job_list_of_user(spark: SparkSession, d: str) -> DataFrame:
-    jobs = tables.jobs(spark, d)
-    last = jobs.agg(F.max("user_id")).first()[0]
-    none = tables.exports(spark, d).withColumn("job_id", -F.col("job_id") - 1)
-    return views.job_list(jobs, none, last)
+    """The jobs of the last user who has an open export."""
+    jobs, runs = tables.jobs(spark, d), tables.exports(spark, d)
+    last = jobs.join(runs.where("finished_at is null").select("job_id"), "job_id", "left_semi").agg(F.max("user_id")).first()[0]
+    return views.job_list(jobs, runs, last, unfinished_only=True)
+
+
+@query("SELECT job_id, title, status, CASE WHEN job_id % 3 = 0 THEN 'build' END AS construction_type, company_name, created_at, 'PENDING' AS export_status FROM jobs JOIN users USING (user_id)", "jobs", "users")
+def created_jobs(spark: SparkSession, d: str) -> DataFrame:
+    jobs = tables.jobs(spark, d).join(tables.users(spark, d), "user_id").withColumn("construction_type", F.when(F.col("job_id") % 3 == 0, "build"))
+    return views.created_job(jobs)
+
+
+@query("SELECT user_id, username, company_name FROM users", "users")
+def user_profile(spark: SparkSession, d: str) -> DataFrame:
+    return views.profile(tables.users(spark, d).withColumn("password_hash", F.sha2("username", 256)))
+
+
+@query(
+    """SELECT c.cluster_id, coalesce(p.n, 0) AS n_photos, coalesce(p.ids, '') AS ids FROM clusters c LEFT JOIN (SELECT cluster_id, count(*) AS n, string_agg(photo_id, ',' ORDER BY order_index, photo_id) AS ids FROM photos GROUP BY 1) p USING (cluster_id)""",
+    "clusters",
+    "photos",
+)
+def clusters_with_all_photos(spark: SparkSession, d: str) -> DataFrame:
+    rows = relations.clusters_with_photos(tables.clusters(spark, d), tables.photos(spark, d), active_only=False)
+    return rows.select("cluster_id", F.size("photos").cast("long").alias("n_photos"), F.array_join(F.transform("photos", lambda p: p["photo_id"]), ",").alias("ids"))
+
+
+@query("SELECT photo_id, job_id, CASE WHEN cluster_id <> '' THEN meta_timestamp END AS timestamp FROM photos WHERE deleted_at IS NULL", "photos")
+def job_detail_times(spark: SparkSession, d: str) -> DataFrame:
+    """The photos nested in all jobs' details, with the time that is shown."""
+    found = relations.job_details(tables.jobs(spark, d), tables.clusters(spark, d), tables.photos(spark, d), tables.exports(spark, d))
+    return found.select("job_id", F.explode("photos").alias("p")).select("p.photo_id", "job_id", "p.timestamp")
+
+
+@query("SELECT conv_id AS list_id, turn AS photo_id, (row_number() OVER (PARTITION BY conv_id ORDER BY nullif(turn % 3, 2) NULLS LAST, conv_id || '-' || turn) - 1)::INT AS order_index FROM conversations")
+def list_order_by_index(spark: SparkSession, d: str) -> DataFrame:
+    """Listed rows numbered in their own order instead of the list's."""
+    rows = tables.scan(spark, d, "conversations").select("conv_id", "turn", F.concat_ws("-", "conv_id", "turn").alias("photo_id"))
+    lists = rows.groupBy("conv_id").agg(F.collect_list("photo_id").alias("photo_ids")).withColumnRenamed("conv_id", "list_id")
+    found = relations.in_list_order(lists, rows.select("photo_id", F.nullif(F.col("turn") % 3, F.lit(2)).alias("order_index")), by_index=True)
+    return found.select("list_id", F.element_at(F.split("photo_id", "-"), -1).cast("long").alias("photo_id"), F.col("order_index").cast("int").alias("order_index"))
+
+
+@query(
+    """SELECT cluster_id::VARCHAR AS cluster_id, job_id::VARCHAR AS job_id, name, order_index::INT AS order_index, NULL::TIMESTAMP AS created_at,
+  'cl_' || substr(sha256(job_id || chr(31) || cluster_id), 1, 10) AS row_key FROM clusters""",
+    "clusters",
+)
+def conformed_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Clusters with the columns of their table, and a stable id made of their natural key."""
+    rows = schemas.conform(tables.clusters(spark, d).withColumn("unknown", F.lit(1)), "clusters").withColumn("created_at", F.col("created_at").cast("timestamp_ntz"))
+    return rows.withColumn("row_key", schemas.key("cl", F.col("job_id"), F.col("cluster_id")))
+
+
+@query(
+    """SELECT event_id, CASE WHEN event_id % 7 > 0 THEN TIMESTAMP '1970-01-01 09:00:00' + to_seconds(event_id * 1000) END AS taken, epoch(date_trunc('second', ts)) - epoch(TIMESTAMP '2020-01-01') AS seconds_since,
+  array_to_string(list_transform(string_split(' a , ' || event_type || ',b ', ','), lambda x: trim(x)), '|') AS parts, (event_id % 5) - 2 AS asked, greatest(0, least((event_id % 5) - 2, 1))::INT AS clamped FROM events"""
+)
+def scalar_functions(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("event_id")
+    seconds = F.when(n % 7 > 0, (n * 1000).cast("double")).when(n % 2 == 0, 0.0)
+    since = exif.seconds_of(F.col("ts")) - exif.seconds_of(F.lit("2020-01-01").cast("timestamp_ntz"))
+    parts = F.array_join(X.trimmed_list(F.concat(F.lit(" a , "), "event_type", F.lit(",b "))), "|")
+    return tables.scan(spark, d, "events").select("event_id", X.from_epoch(seconds, "Asia/Seoul").alias("taken"), since.alias("seconds_since"), parts.alias("parts"), (n % 5 - 2).alias("asked"), X.clamp(n % 5 - 2, 0, F.lit(1)).cast("int").alias("clamped"))
+
+
+@query(
+    """SELECT task, n, seconds, round(mib, 6) AS mib FROM (SELECT event_type AS task, count(*) AS n, sum(epoch(ts) - epoch(date_trunc('day', ts)))::DOUBLE AS seconds, sum(event_id * 3.0 - event_id) / 1048576.0 AS mib FROM events GROUP BY 1)"""
+)
+def process_deltas(spark: SparkSession, d: str) -> DataFrame:
+    """Run time and growth of memory of each task, from what was measured before and after."""
+    rows = tables.scan(spark, d, "events").select(F.col("event_type").alias("task"), F.date_trunc("day", "ts").cast("timestamp_ntz").alias("began"), F.col("ts").alias("ended"), F.col("event_id").alias("before"), (F.col("event_id") * 3).alias("after"))
+    deltas = relations.deltas(rows)
+    return deltas.groupBy("task").agg(F.count("*").alias("n"), F.sum("seconds").alias("seconds"), F.round(F.sum("mib"), 6).alias("mib"))
+
+
+MACHINE = """WITH RECURSIVE e AS (SELECT user_id AS job_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, count(*) OVER (PARTITION BY user_id) AS n_events, {wanted} AS s FROM events),
+f AS (SELECT job_id, n, CASE WHEN s = '{first}' THEN s END AS status, CASE WHEN s = '{first}' THEN ts END AS at_, CASE WHEN s = '{first}' THEN 0 ELSE 1 END AS refused FROM e WHERE n = 1
+UNION ALL SELECT e.job_id, e.n, CASE WHEN ok THEN s ELSE status END, CASE WHEN ok THEN ts ELSE at_ END, refused + CASE WHEN ok THEN 0 ELSE 1 END FROM
+  (SELECT e.*, f.status, f.at_, f.refused, coalesce((f.status IS NULL AND e.s = '{first}') OR concat(f.status, '>', e.s) IN ({steps}), false) AS ok FROM f JOIN e ON e.job_id = f.job_id AND e.n = f.n + 1) e)
+SELECT f.job_id, f.status, f.at_ AS at, e.n_events, f.refused::BIGINT AS n_refused FROM f JOIN e ON e.job_id = f.job_id AND e.n = f.n AND e.n = e.n_events"""
+
+
+def _machine(steps: dict, first: str, wanted: str) -> str:
+    return MACHINE.format(wanted=wanted, first=first, steps=", ".join(f"'{a}>{b}'" for a, after in steps.items() if a for b in after))
+
+
+EXPORT_STATUS = "CASE event_type WHEN 'view' THEN 'PROCESSING' WHEN 'purchase' THEN 'EXPORTED' WHEN 'error' THEN 'FAILED' ELSE 'PENDING' END"
+JOB_STATUS = "CASE WHEN event_id % 4 = 0 THEN 'CREATED' WHEN event_id % 4 = 1 THEN 'PENDING' WHEN event_type = 'error' THEN 'FAILED' WHEN event_type = 'view' THEN 'UPLOADING' WHEN event_id % 41 = 7 THEN 'DELETED' ELSE 'COMPLETED' END"
+
+
+@query(_machine(states.EXPORT_STEPS, "PENDING", EXPORT_STATUS))
+def export_machine(spark: SparkSession, d: str) -> DataFrame:
+    rows = tables.scan(spark, d, "events").select(F.col("user_id").alias("job_id"), "event_id", "ts", F.expr(EXPORT_STATUS).alias("status"))
+    return states.run_machine(rows, states.EXPORT_STEPS)
+
+
+@query(_machine(states.JOB_STEPS, "CREATED", JOB_STATUS))
+def job_machine(spark: SparkSession, d: str) -> DataFrame:
+    rows = tables.scan(spark, d, "events").select(F.col("user_id").alias("job_id"), "event_id", "ts", F.expr(JOB_STATUS).alias("status"))
+    return states.run_machine(rows, states.JOB_STEPS)
+
+
+FEATURES = """pts AS (SELECT vec_id % 20 AS job_id, vec_id AS point, (37.5 + (vec_id % 7) * 0.0004)::DOUBLE AS lat, (-180 + 0.0008 + (vec_id % 5) * 0.0005 + CASE WHEN vec_id % 3 = 0 THEN 359.998 ELSE 0 END)::DOUBLE AS lon, embedding::DOUBLE[] AS f FROM embeddings)"""
+
+
+@query(
+    f"""WITH RECURSIVE {FEATURES},
+near AS (SELECT a.job_id, a.point AS a, b.point AS b FROM pts a JOIN pts b ON a.job_id = b.job_id AND a.point <> b.point WHERE {DIST} <= 300 AND list_cosine_similarity(a.f, b.f) >= 0.1),
+core AS (SELECT a AS p FROM near GROUP BY a HAVING count(*) + 1 >= 3),
+link AS (SELECT n.* FROM near n WHERE a IN (SELECT p FROM core) AND b IN (SELECT p FROM core)),
+reach AS (SELECT p AS s, p AS t FROM core UNION SELECT r.s, l.b FROM reach r JOIN link l ON r.t = l.a),
+root AS (SELECT s AS point, min(t) AS root FROM reach GROUP BY 1),
+num AS (SELECT p.job_id, r.root, dense_rank() OVER (PARTITION BY p.job_id ORDER BY r.root) - 1 AS label FROM root r JOIN pts p USING (point)),
+lab AS (SELECT r.point, n.label FROM root r JOIN (SELECT DISTINCT root, label FROM num) n USING (root)),
+edge AS (SELECT n.a AS point, min(l.label) AS label FROM near n JOIN lab l ON l.point = n.b GROUP BY 1)
+SELECT p.job_id, p.point, coalesce(l.label, e.label, -1)::INT AS label FROM pts p LEFT JOIN lab l USING (point) LEFT JOIN edge e USING (point)"""
+)
+def density_cluster_features(spark: SparkSession, d: str) -> DataFrame:
+    """Points on both sides of the 180th meridian, near in place and alike in their features."""
+    n = F.col("vec_id")
+    lon = F.lit(-180 + 0.0008) + (n % 5) * 0.0005 + F.when(n % 3 == 0, 359.998).otherwise(0.0)
+    points = tables.scan(spark, d, "embeddings").select((n % 20).alias("job_id"), n.alias("point"), (37.5 + (n % 7) * 0.0004).alias("lat"), lon.alias("lon"), F.col("embedding").cast("array<double>").alias("features"))
+    return clustering.density_clusters(points, 3, 300.0, None, 0.1).select("job_id", "point", "label")
 
 
 @query(

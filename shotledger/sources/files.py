@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -24,10 +28,45 @@ def list_photos(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def contents(spark: SparkSession, folder: str, first_bytes: int | None = None) -> DataFrame:
-    """``path, content``; with ``first_bytes`` of n, bytes 0 to n, both included."""
+    """``path, content``; with ``first_bytes`` of n, bytes 0 to n, both included, and no more is read."""
     files = spark.read.format("binaryFile").load(folder)
-    part = F.col("content") if first_bytes is None else F.substring("content", 1, first_bytes + 1)
-    return files.select("path", part.alias("content"))
+    if first_bytes is None:
+        return files.select("path", "content")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for batch in batches:
+            heads = []
+            for path in batch.column(0).to_pylist():
+                store, name = fs.FileSystem.from_uri(re.sub("^file:/*", "file:///", path))
+                with store.open_input_file(name) as stream:
+                    heads.append(stream.read(first_bytes + 1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(heads, pa.binary())], ["path", "content"])
+
+    return files.select("path").mapInArrow(run, "path string, content binary")
+
+
+def put_objects(rows: DataFrame, folder: str) -> int:
+    """Write each row's ``content`` as a file ``name`` below the folder, from the tasks; gives the number of files. A task that is run again writes the same files again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(re.sub("^file:/*", "file:///", folder))
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                store.create_dir(f"{base}/{name}".rpartition("/")[0], recursive=True)
+                with store.open_output_stream(f"{base}/{name}", compression=None) as out:
+                    out.write(content.as_buffer() if content.is_valid else b"")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    return rows.select("name", "content").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+
+
+def below(objects: DataFrame, prefix: str) -> DataFrame:
+    """Objects below a folder."""
+    return objects.where(F.col("path").startswith(prefix.rstrip("/") + "/"))
 
 
 def outside(objects: DataFrame, prefix: str) -> DataFrame:
@@ -48,10 +87,28 @@ def read_json(spark: SparkSession, path: str, schema: StructType | str, lines: b
 
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:
-    """One row per file."""
+    """One row per file that isn't empty; a listing passes empty files over."""
     return spark.read.text(path, wholetext=True)
 
 
+def read_paths(paths: DataFrame) -> DataFrame:
+    """``path, value`` of the named files as texts; an empty JSON file reads as ``{}``, another empty one as the empty text; a missing one stops the query."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for batch in batches:
+            texts = []
+            for path in batch.column(0).to_pylist():
+                store, name = fs.FileSystem.from_uri(re.sub("^file:/*", "file:///", path))
+                with store.open_input_file(name) as stream:
+                    text = stream.read().decode()
+                texts.append(text or ("{}" if path.lower().endswith(".json") else ""))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["path", "value"])
+
+    return paths.select("path").mapInArrow(run, "path string, value string")
+
+
 def write_json(rows: DataFrame, path: str) -> None:
     rows.write.mode("errorifexists").json(path)
 

@@ -6,6 +6,7 @@ are written. What they mean is left to the column functions in ``functions.exif`
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Iterator
 
@@ -118,32 +119,65 @@ def raw_metadata(files: DataFrame) -> DataFrame:
 
 
 def metadata(files: DataFrame) -> DataFrame:
-    """What the fields mean: place, height, direction, epoch seconds and camera settings."""
+    """``described`` for the files in ``path, content``."""
+    return described(raw_metadata(files))
+
+
+def by_origin(paths: DataFrame) -> DataFrame:
+    """``origin`` of each path: ``http`` for what is fetched over the network, which no Spark job does, else ``local``."""
+    return paths.withColumn("origin", F.when(F.col("path").startswith("http"), "http").otherwise("local"))
+
+
+def described(raw: DataFrame) -> DataFrame:
+    """What the decoded fields mean: place, height, direction, epoch seconds and camera settings."""
     c = F.col
     lat, lon = exif.degrees(c("lat"), c("lat_ref")), exif.degrees(c("lon"), c("lon_ref"))
-    rows = raw_metadata(files).withColumns({"_lat": lat, "_lon": lon, "_alt": exif.altitude(c("alt"), c("alt_ref")), "_way": exif.direction(c("way"), c("way_ref"))})
+    rows = raw.withColumns({"_lat": lat, "_lon": lon, "_alt": exif.altitude(c("alt"), c("alt_ref")), "_way": exif.direction(c("way"), c("way_ref"))})
     there = lambda x: exif.located(c("_lat"), c("_lon"), c(x))
     return rows.select(
         "path", X.basename(c("path")).alias("original_name"), there("_lat").alias("lat"), there("_lon").alias("lon"), there("_alt").alias("alt"), there("_way").alias("gps_img_direction"),
-        exif.epoch_seconds(F.coalesce("taken", "changed"), c("subsec"), c("offset")).alias("timestamp"), F.nullif(F.trim(F.concat_ws(" ", "make", "model")), F.lit("")).alias("device"),
+        exif.epoch_seconds(c("taken"), c("subsec"), c("offset")).alias("timestamp"), F.nullif(F.trim(F.concat_ws(" ", "make", "model")), F.lit("")).alias("device"),
         exif.rational(c("focal")).alias("focal_length"), c("focal_35mm").cast("double").alias("focal_35mm"), exif.rational(c("exposure")).alias("exposure_time"), exif.rational(c("zoom")).alias("digital_zoom"),
         "iso", "flash", "orientation", c("scene").alias("scene_capture_type"), "white_balance", "exposure_mode", "thumbnail",
     )
 
 
-def register_uploads(spark: SparkSession, infos: DataFrame, folder: str, first_bytes: int = 100 * 1024) -> DataFrame:
-    """Photos for uploaded files: ``infos`` has ``filename, storage_path, thumbnail_path``; files that aren't in the folder are dropped.
+def read_heads(paths: DataFrame, first_bytes: int) -> DataFrame:
+    """``path`` and the decoded fields of each file in ``path``: from its first bytes, ``first_bytes`` and one more, and from the whole file only where these have no
+    thumbnail or no time and place. Only as much is read; a file that can't be opened or decoded gives nulls."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for batch in batches:
+            got = []
+            for path in batch.column(0).to_pylist():
+                try:
+                    store, name = fs.FileSystem.from_uri(path if "://" in path else re.sub("^file:/*", "file:///", path))
+                    with store.open_input_file(name) as stream:
+                        found = decode(stream.read(first_bytes + 1))
+                        if "thumbnail" not in found or not {"taken", "lat"} & set(found):
+                            stream.seek(0)
+                            found = decode(stream.read()) or found
+                except (OSError, pa.ArrowInvalid):
+                    found = {}
+                got.append(found)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([g.get(n) for g in got], t) for n, t in FIELDS.items())], ["path", *FIELDS])
+
+    return paths.select("path").mapInArrow(run, f"path string, {SCHEMA}")
+
+
+def register_uploads(spark: SparkSession, infos: DataFrame, folder: str, first_bytes: int = 100 * 1024, fan_out: int = 10) -> DataFrame:
+    """Photos for uploaded files: ``infos`` has ``filename, storage_path, thumbnail_path``, the path below ``folder``.
 
-    Metadata is taken from the first bytes, and from the whole file where these have none.
+    Every info gives a photo, also where the file is missing or can't be decoded, with nulls for what it should have said. The thumbnail's path is the derived one if the
+    file holds a thumbnail, else null; one that was supplied doesn't stay. At most ``fan_out`` files are open at a time; the listing of the folder isn't needed.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "content")
-    key = F.regexp_replace(F.col("path"), f"^.*{folder.rstrip('/').rsplit('/', 1)[-1]}/", "")
-    near = infos.join(files.withColumn("storage_path", key), "storage_path")
-    parts = near.select("storage_path", "filename", "thumbnail_path", "path", F.substring("content", 1, first_bytes + 1).alias("head"), "content")
-    head = metadata(parts.select("path", F.col("head").alias("content"))).where("timestamp is not null or lat is not null")
-    rest = metadata(parts.select("path", "content").join(head.select("path"), "path", "left_anti"))
-    found = head.unionByName(rest)
-    return parts.select("path", "storage_path", "filename", "thumbnail_path").join(found, "path").select(
-        "storage_path", F.col("filename").alias("original_filename"), X.thumbnail_path(F.col("storage_path"), F.col("thumbnail_path")).alias("thumbnail_path"),
+    base = folder if "://" in folder else f"file://{folder}"
+    placed = infos.withColumn("path", F.concat(F.lit(base.rstrip("/") + "/"), F.regexp_replace("storage_path", "^/+", "")))
+    found = described(read_heads(placed.select("path").distinct().repartition(fan_out, "path"), first_bytes))
+    made = F.when(F.col("thumbnail").isNotNull(), X.thumbnail_path(F.col("storage_path"), F.lit(None).cast("string")))
+    return placed.join(found, "path", "left").select(
+        "storage_path", F.col("filename").alias("original_filename"), made.alias("thumbnail_path"),
         F.col("lat").alias("meta_lat"), F.col("lon").alias("meta_lon"), X.from_epoch(F.col("timestamp"), "Asia/Seoul").alias("meta_timestamp"), "device", "orientation",
     )

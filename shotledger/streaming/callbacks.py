@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shotledger.schemas import PAYLOADS
+from shotledger.sources.shared import new_folder
 
 
 def reply_stream(spark: SparkSession, folder: str, payload: str = "export_result") -> DataFrame:
@@ -16,7 +17,19 @@ def reply_stream(spark: SparkSession, folder: str, payload: str = "export_result
 
 
 def as_events(replies: DataFrame, requests: DataFrame) -> DataFrame:
-    """State events of known requests: SUCCESS with a file is EXPORTED, anything else FAILED with its message; unknown ids change nothing."""
-    done = (F.col("status") == "SUCCESS") & F.col("result.pdf_url").isNotNull()
-    known = replies.where("readable").withColumnRenamed("request_id", "export_id").join(requests, "export_id")
-    return known.select("job_id", "export_id", F.when(done, "EXPORTED").otherwise("FAILED").alias("status"), F.when(~F.coalesce(done, F.lit(False)), F.coalesce("error", F.lit("no file"))).alias("error"), F.col("result.pdf_url").alias("pdf_path"))
+    """State events of known requests: ``completed`` is EXPORTED with its file, ``failed`` is FAILED with its message; other states and unknown ids change nothing."""
+    done = F.col("status") == "completed"
+    known = replies.where("readable").where(F.col("status").isin("completed", "failed")).withColumnRenamed("request_id", "export_id").join(requests, "export_id")
+    return known.select("job_id", "export_id", F.when(done, "EXPORTED").otherwise("FAILED").alias("status"), F.when(~done, F.col("error")).alias("error"), F.when(done, F.col("result.pdf_url")).alias("pdf_path"))
+
+
+def collected(replies: DataFrame) -> DataFrame:
+    """Run the stream over all files there are, and return the replies as a table; a batch that is run again replaces itself."""
+    spark = replies.sparkSession
+    target, checkpoint = new_folder(spark, "replies"), new_folder(spark, "stream")
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+    replies.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    return spark.read.schema(replies.schema).parquet(target).select(*replies.columns)
