@@ -108,10 +108,11 @@ def curriculum(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_epochs:
         .drop("source_t", "bucket_size"),
         "plan",
     )
-    within = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    line = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size")
+    within = line.rowsBetween(Window.unboundedPreceding, -1)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     placed = (
-        sized.withColumn("own", F.coalesce(F.sum("size").over(within), F.lit(0)))
+        sized.withColumns({"own": F.coalesce(F.sum("size").over(within), F.lit(0)), "nth": F.row_number().over(line)})
         .join(plan, F.col("source").eqNullSafe(F.col("source_")) & (F.col("bucket") == F.col("bucket_")))
         .drop("source_", "bucket_", "bucket")
         .withColumn("start", F.col("own") + F.col("shift"))
@@ -127,10 +128,11 @@ def curriculum(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_epochs:
     joined = placed.join(gaps, F.col("source").eqNullSafe(F.col("source_")), "left").drop("source_")
     off = F.abs(F.col("gap") - F.col("size"))
     fits = ~F.col("more") & (F.col("size") > 0) & (off < F.col("gap"))
-    best = joined.where(fits).groupBy("source").agg(F.min(F.struct(off.alias("off"), "key", "doc_id", "size")).alias("best"))
+    # Equal rows differ by their number within the bucket, which the key names, so one row is added and not its copies too.
+    best = joined.where(fits).groupBy("source").agg(F.min(F.struct(off.alias("off"), "key", "doc_id", "size", "nth")).alias("best"))
     best = materialise(best.select(F.col("source").alias("source_"), "best"), "best")
     final = joined.join(best, F.col("source").eqNullSafe(F.col("source_")), "left").drop("source_")
-    added = F.coalesce(F.col("best.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("best.size") == F.col("size")) & (F.col("best.key") == F.col("key")) & ~F.col("more"), F.lit(False))
+    added = F.coalesce((F.col("best.key") == F.col("key")) & (F.col("best.nth") == F.col("nth")) & ~F.col("more"), F.lit(False))
     copies = F.col("epochs") + F.when(F.col("more") | added, 1).otherwise(0)
     middle = lambda i: F.least(F.col("target"), i * F.col("source_size") + F.col("start") + F.col("size") / 2.0)
     return (
@@ -183,11 +185,15 @@ def mixed(docs: DataFrame, **options: object) -> DataFrame:
     The plan is made without texts and joined to them by id; rows whose ids aren't unique carry their columns through the plan.
     """
     names = docs.columns
-    if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
-        plan = curriculum(docs, **options).where(F.size("positions") > 0).select(F.col("doc_id").alias("plan_id"), "positions")
+    unique = docs.groupBy("doc_id").count().where("count > 1").isEmpty()
+    with scratch(docs.sparkSession) as kept:
+        plan = curriculum(docs, keep=() if unique else names, **options).where(F.size("positions") > 0)
+        plan = kept(plan.select("doc_id", *[f"keep_{c}" for c in ([] if unique else names)], "positions"), "plan")
+    if unique:
+        plan = plan.withColumnRenamed("doc_id", "plan_id")
         taken = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("plan_id"))).select(*[F.col(f"`{c}`").alias(f"keep_{c}") for c in names], "positions")
     else:
-        taken = curriculum(docs, keep=names, **options).select(*[f"keep_{c}" for c in names], "positions")
+        taken = plan.drop("doc_id")
     copies = taken.select(*[F.col(f"keep_{c}") for c in names], F.posexplode("positions").alias("copy", "position"))
     return copies.orderBy("position", "keep_source", "keep_doc_id", "copy").select(*[F.col(f"keep_{c}").alias(c) for c in names])
 

@@ -36,6 +36,25 @@ def test_against_sql(spark, per_bucket):
     assert rounded(got) == rounded(oracle(rows))
 
 
+@pytest.mark.parametrize(
+    "rows",
+    [
+        [(1, "w " * 10, "a")] * 100 + [(2, "w " * 700, "b")],
+        [(k % 3, "w " * (k % 3 + 4), "a") for k in range(90)] + [(9, "w " * 40, "b")] * 7 + [(None, "w " * 5, None)] * 11,
+        [(5, "w " * 3, "a")] * 40 + [(5, "w " * 8, "a")] * 40 + [(6, None, "b")] * 5 + [(7, "w " * 500, "b")],
+    ],
+)
+def test_repeated_rows(spark, rows):
+    got = mixing.curriculum(docs(spark, rows)).select("doc_id", "size", "source_size", "target", "taken").collect()
+    assert rounded(got) == rounded(oracle(rows))
+    assert all(r.taken <= 3 * r.size for r in got)
+    sums = {}
+    for r in got:  # sources differ in size here
+        sums.setdefault((r.source_size, r.target), []).append(r)
+    for (_, target), own in sums.items():
+        assert abs(sum(r.taken for r in own) - target) < max(1, max(r.size for r in own))
+
+
 def test_takes_near_targets_and_positions(spark):
     rows = sources(300)
     got = mixing.curriculum(docs(spark, rows)).collect()
