@@ -47,6 +47,13 @@ def encoder(json_path: str, ranks_path: str) -> Callable[[str], list[int]]:
     return encode
 
 
+@functools.lru_cache(maxsize=2)
+def vocabulary_size(paths: tuple[str, str]) -> int:
+    """One more than the largest id, by the ranks and the special token."""
+    with open(paths[1], "rb") as lines:
+        return max(END_ID, *(int(line.split()[1]) for line in lines)) + 1
+
+
 def id_arrays(texts: pa.Array, paths: tuple[str, str]) -> Iterator[np.ndarray]:
     """Ids of each text and the end id; a null text is empty."""
     encode = encoder(*paths)
