@@ -2,13 +2,17 @@
 
 A page becomes blocks: runs of text between block-level tags, each with its root-to-leaf path of block tags. Per path, text length and
 punctuation are summed and divided by the number of blocks with that path, which gives two ratios. Both series are smoothed
-over the page with a short Gaussian window and fused by their product; a path whose mean fused score reaches a share of the
+over the page with a short Gaussian window and fused, length times one more than punctuation, so that text without any still counts; a path whose mean fused score reaches a share of the
 series' spread is content. Blocks in the same container as a content path, such as its headings and lists, belong to the article
-unless they are mostly links. Elements that are never article text (menus, forms, notices, comments and so on) are left out
-first, by tag and by words in their class, id or role, so that they don't enter the ratios. A word alone doesn't drop the article: an
-element that holds the main element, the only article elements, or most of the page's text outside links stays in, and the ratios decide.
+unless they are mostly links.
 
-Defined results: null, empty and text-free pages give the empty text; text outside any block tag is a block of the body; tags that are
+Elements that are never article text by their tag (menus, forms, footers, scripts and so on), or that are hidden, don't enter the ratios. Words in
+class, id or role drop nothing: they enter the path as a mark, and text under a mark counts for less in both ratios (``MARKED`` where the name
+says nothing but noise, such as ``cookie-notice``; ``HINTED`` where it may as well be a subject, such as ``share`` or ``search-for-truth``). An article or main
+element under a mark counts in full again, except among readers' replies.
+
+Pages are read in one pass with work in proportion to their length. As in browsers, elements nested over ``DEPTH`` deep add nothing
+to the path. Defined results: null, empty and text-free pages give the empty text; text outside any block tag is a block of the body; tags that are
 not closed, or closed without being open, are tolerated; repeated rows are extracted one by one. Texts of any length are read whole.
 """
 
@@ -17,9 +21,8 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import defaultdict
-from collections.abc import Iterator, Set
-from dataclasses import dataclass, field
+from collections import Counter
+from collections.abc import Iterator
 from statistics import pstdev
 
 import pyarrow as pa
@@ -37,147 +40,167 @@ CLOSES_P = frozenset(
     "address article aside blockquote center details dialog div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()
 )
 CLOSES = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
-#: Words in class, id or role that mark what isn't article text.
-NOT_ARTICLE_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs byline comment comments complementary contentinfo cookie cookies consent copyright disclaimer disqus "
-    "footer form header legal login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pagination pager paywall popup promo promoted promotion "
-    "recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags teaser toc toolbar widget".split()
+#: Words in class, id or role for what isn't article text.
+NOISE_WORDS = frozenset(
+    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary contentinfo cookie cookies consent copyright disqus "
+    "footer masthead menu modal nav navbar navigation newsletter notice notices notification overlay pagination pager paywall popup promo promoted promotion "
+    "replies respond sidebar signup sponsor sponsored subscribe subscription toolbar widget login".split()
 )
-#: Of these, the ones for what readers add or what leads elsewhere, which can be longer than the article beside it.
-REPLY_WORDS = frozenset("comment comments disqus recommended related replies reply respond".split())
+#: Words for the same that can also be what an article is about, or stand in the middle of it.
+HINT_WORDS = frozenset("byline disclaimer form header legal recommended related reply search share sharing skip social tags teaser toc".split())
+#: Of the noise words, those for what readers add.
+REPLY_WORDS = frozenset("comment comments disqus replies respond".split())
+#: Words that say where something stands, and nothing of what it is.
+PLACE_WORDS = frozenset("area bar block bottom box col column container global group inner item items left list main outer page panel right section site slot top unit wrap wrapper".split())
+MARKED, HINTED, DEPTH = 0.001, 0.5, 512
 PUNCTUATION = re.compile(r"[,.;:!?…，。；：！？、]")
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>", re.S)
+_TAG_NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
 _NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
-
-
-@dataclass
-class Dropped:
-    """An element left out for a word: the one around it, its text outside links and outside others of its kind, and article elements in it."""
-
-    around: int | None
-    replies: bool
-    chars: int = 0
-    holds: set[str] = field(default_factory=set)
-
-
-def noise(tag: str, attributes: str, inside: list[str]) -> bool:
-    """Whether an element and all in it is no article text, by its tag or because it is hidden."""
-    if tag in NOT_ARTICLE or tag == "header" and not {"article", "main"} & set(inside):
-        return True
-    return bool(attributes) and tag not in ("html", "body", "article", "main") and _HIDDEN.search(attributes) is not None
-
-
-def noise_words(tag: str, attributes: str) -> Set[str]:
-    """Words in class, id and role for what isn't article text."""
-    if not attributes or tag in ("html", "body", "article", "main"):
-        return frozenset()
-    return NOT_ARTICLE_WORDS & {w for m in _NAMES.finditer(attributes) for w in re.split(r"[^a-z0-9]+", (m[1] or m[2] or m[3] or "").lower())}
-
-
-def to_spare(found: list[tuple[tuple[str, ...], str, int]], dropped: list[Dropped]) -> set[int]:
-    """Which dropped elements, by number, can hold the article; those around them are among them."""
-    left = sum(max(0, len(text) - links) for _, text, links in found)
-    has_article = any({"article", "main"} & set(path) and len(text) > links for path, text, links in found)
-    longest = max((d.chars for d in dropped if not d.replies), default=0)
-    spared: set[int] = set()
-
-    def spare(k: int | None) -> None:
-        while k is not None and k not in spared:
-            spared.add(k)
-            k = dropped[k].around
-
-    for k, d in enumerate(dropped):
-        holds = "main" in d.holds or not has_article and not d.replies and "article" in d.holds
-        # Beside an article element, only if next to nothing is left.
-        if d.chars and (holds or not d.replies and 2 * d.chars >= longest and (0.2 if has_article else 1) * d.chars > left):
-            spare(k)
-    left += sum(dropped[k].chars for k in spared)
-    has_article |= any(dropped[k].holds for k in spared)
-    for k, d in enumerate(dropped):
-        if d.replies and not has_article and 0.1 * d.chars > left:
-            spare(k)
-    return spared
-
-
-def blocks(page: str, spared: Set[int] = frozenset()) -> tuple[list[tuple[tuple[str, ...], str, int]], list[Dropped]]:
-    """(path, text, characters in links) of each block that may be article text, in page order; and the elements with noise words, but for ``spared`` left out."""
-    found: list[tuple[tuple[str, ...], str, int]] = []
+_QUOTE_OR_END = re.compile(r"[>\"']")
+
+
+class Path:
+    """A path of tags, one object for each path of a page: its last tag, the path above, and how much text under it counts."""
+
+    __slots__ = ("tag", "above", "noise", "reply", "weight", "below")
+
+    def __init__(self, tag: str, above: Path | None, noise: bool = False, hint: bool = False, reply: bool = False):
+        self.tag, self.above, self.noise = tag, above, noise
+        self.reply = reply or above is not None and above.reply
+        if tag in ("article", "main") and not self.reply:
+            self.weight = 1.0
+        else:
+            self.weight = (above.weight if above else 1.0) * (MARKED if noise else HINTED if hint else 1.0)
+        self.below: dict[tuple[str, bool, bool, bool], Path] = {}
+
+    def child(self, tag: str, marks: tuple[bool, bool, bool]) -> Path:
+        found = self.below.get((tag, *marks))
+        if found is None:
+            found = self.below[(tag, *marks)] = Path(tag, self, *marks)
+        return found
+
+
+def marks(tag: str, attributes: str) -> tuple[bool, bool, bool]:
+    """Whether an element's names mark it as noise, hint at noise, and mark it as readers' replies."""
+    noise = hint = reply = False
+    if attributes and tag not in ("html", "body", "article", "main"):
+        for m in _NAMES.finditer(attributes):
+            for name in (m[1] or m[2] or m[3] or "").lower().split():
+                words = set(re.findall(r"[a-z]+", name))
+                if not words & NOISE_WORDS:
+                    hint |= bool(words & HINT_WORDS)
+                elif words <= NOISE_WORDS | HINT_WORDS | PLACE_WORDS:
+                    noise, reply = True, reply or bool(words & REPLY_WORDS)
+                else:
+                    hint = True
+    return noise, hint and not noise, reply
+
+
+def tokens(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """Start, end, name, whether it ends an element, and attributes of each tag; the name is empty for comments and the like."""
+    at, quoted = 0, True
+    while (at := page.find("<", at)) >= 0:
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            end = len(page) if end < 0 else end + 3
+            yield at, end, "", False, ""
+            at = end
+            continue
+        m = _TAG_NAME.match(page, at + 1)
+        if m is None and page[at + 1 : at + 2] not in ("!", "?", "/"):
+            at += 1
+            continue
+        end = page.find(">", m.end() if m else at + 1)
+        if end < 0:
+            return  # no tag can end any more
+        if m and quoted:
+            upto = m.end()
+            while (q := _QUOTE_OR_END.search(page, upto)) and q[0] != ">" and (close := page.find(q[0], q.end())) >= 0:
+                upto = close + 1
+            if q and q[0] == ">":
+                end = q.start()
+            else:
+                quoted = False  # from here on quotes don't pair up, so they hide no end of a tag
+        if m:
+            yield at, end + 1, m[1].lower(), page[at + 1] == "/", page[m.end() : end]
+        else:
+            yield at, end + 1, "", False, ""
+        at = end + 1
+
+
+def blocks(page: str) -> list[tuple[Path, str, int]]:
+    """(path, text, characters in links) of each block that may be article text, in page order."""
+    found: list[tuple[Path, str, int]] = []
     tags: list[str] = []
-    dropped: list[Dropped] = []
-    out: list[int | None] = []  # for each open element, None if it isn't noise or inside noise, else the number of the dropped element, or -1
+    paths: list[Path] = [Path("", None)]
+    dropped: list[bool] = [False]
+    is_open: Counter[str] = Counter()
     buf: list[str] = []
-    links, at = 0, 0
+    links = at = 0
 
     def flush() -> None:
         nonlocal links
         if buf:
             text = " ".join(html.unescape("".join(buf)).split())
             if text:
-                found.append((tuple(t for t in tags if t not in INLINE), text, links))
+                found.append((paths[-1], text, links))
             buf.clear()
         links = 0
 
     def text(upto: int) -> None:
         nonlocal links
-        inside = out[-1] if out else None
-        if inside is not None:
-            if inside >= 0 and "a" not in tags:
-                dropped[inside].chars += len("".join(page[at:upto].split()))
-        elif upto > at:
+        if upto > at and not dropped[-1]:
             buf.append(page[at:upto])
-            if "a" in tags:
+            if is_open["a"]:
                 links += upto - at
 
     def cut(k: int) -> None:
-        del tags[k:], out[k:]
-
-    def close(names: str, within: tuple[str, ...]) -> None:
-        for k in range(len(tags) - 1, -1, -1):
-            if tags[k] in within:
-                return
-            if tags[k] in names.split():
-                return cut(k)
-
-    while m := _TOKEN.search(page, at):
-        text(m.start())
-        at = m.end()
-        tag = (m[2] or m[5] or "").lower()
+        is_open.subtract(tags[k:])
+        del tags[k:], paths[k + 1 :], dropped[k + 1 :]
+
+    def close(names: tuple[str, ...], within: tuple[str, ...] = ()) -> None:
+        if any(is_open[x] for x in names):
+            for k in range(len(tags) - 1, -1, -1):
+                if tags[k] in within:
+                    return
+                if tags[k] in names:
+                    return cut(k)
+
+    for start, end, tag, ends, attributes in tokens(page):
+        if start < at:  # inside an element that is read raw
+            continue
+        text(start)
+        at = end
         if not tag:
             continue
-        ends, attributes = bool(m[1] or m[4]), m[3] or m[6] or ""
         if tag not in INLINE:
             flush()
-        elif tag == "br" and not (out and out[-1] is not None):
+        elif tag == "br" and not dropped[-1]:
             buf.append(" ")
         if ends:
-            if tag in tags:
-                cut(len(tags) - 1 - tags[::-1].index(tag))
+            close((tag,))
             continue
         if tag in CLOSES_P:
-            close("p", ("table", "td", "th", "button", "object", "article", "section", "div"))
+            close(("p",), ("table", "td", "th", "button", "object", "article", "section", "div"))
         if tag in CLOSES:
-            close(*CLOSES[tag])
+            names, within = CLOSES[tag]
+            close(tuple(names.split()), within)
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-            if not attributes.rstrip().endswith("/") or tag not in ("svg", "math"):
-                at = end.end() if end else len(page)
-        elif tag not in VOID:
-            inside = out[-1] if out else None
-            if inside != -1:
-                if noise(tag, attributes, tags):
-                    inside = -1
-                elif marks := noise_words(tag, attributes):
-                    dropped.append(Dropped(inside, bool(marks & REPLY_WORDS)))
-                    if len(dropped) - 1 not in spared:
-                        inside = len(dropped) - 1
-                elif inside is not None and tag in ("article", "main"):
-                    dropped[inside].holds.add(tag)
+            if not (tag in ("svg", "math") and attributes.rstrip().endswith("/")):
+                last = re.compile(rf"</{re.escape(tag)}\b", re.I).search(page, at)
+                stop = page.find(">", last.end()) if last else -1
+                at = len(page) if stop < 0 else stop + 1
+        elif tag not in VOID and len(tags) < DEPTH:
+            header = tag == "header" and not is_open["article"] and not is_open["main"]
+            hidden = bool(attributes) and tag not in ("html", "body", "article", "main") and _HIDDEN.search(attributes) is not None
+            dropped.append(dropped[-1] or tag in NOT_ARTICLE or header or hidden)
+            paths.append(paths[-1] if tag in INLINE or dropped[-1] else paths[-1].child(tag, marks(tag, attributes)))
             tags.append(tag)
-            out.append(inside)
+            is_open[tag] += 1
     text(len(page))
     flush()
-    return found, dropped
+    return found
 
 
 def smoothed(series: list[float], radius: int = 2) -> list[float]:
@@ -191,39 +214,51 @@ def smoothed(series: list[float], radius: int = 2) -> list[float]:
     return mean
 
 
-def main_text(page: str | None, share: float = 0.5) -> str:
-    """The article's blocks joined by one space; ``share``: of the fused series' standard deviation, that a path's score must reach."""
-    found, dropped = blocks(page or "")
-    if spared := to_spare(found, dropped):
-        found, _ = blocks(page or "", spared)
-    if not found:
-        return ""
-    sums: dict[tuple[str, ...], list[int]] = defaultdict(lambda: [0, 0, 0])
+def scores(found: list[tuple[Path, str, int]]) -> tuple[dict[Path, float], float]:
+    """The score of each path, and the standard deviation of the fused series."""
+    sums: dict[Path, list[float]] = {}
     for path, text, links in found:
-        s = sums[path]
-        s[0] += max(0, len(text) - links)
-        s[1] += len(PUNCTUATION.findall(text))
+        s = sums.setdefault(path, [0, 0, 0, 0])
+        s[0] += path.weight * max(0, len(text) - links)
+        s[1] += path.weight * len(PUNCTUATION.findall(text))
         s[2] += 1
     length = smoothed([sums[p][0] / sums[p][2] for p, _, _ in found])
     points = smoothed([sums[p][1] / sums[p][2] for p, _, _ in found])
-    fused = [a * (b if any(points) else 1) for a, b in zip(length, points)]
-    by_path: dict[tuple[str, ...], list[float]] = defaultdict(list)
+    fused = [a * (1 + b) for a, b in zip(length, points)]
     for (path, _, _), x in zip(found, fused):
-        by_path[path].append(x)
-    # A path's own ratios count as much as its surroundings, so that a lone link list beside long paragraphs stays out.
-    score = {p: math.sqrt(sum(x) / len(x) * (sums[p][0] / sums[p][2]) * max(sums[p][1] / sums[p][2], 0 if any(points) else 1)) for p, x in by_path.items()}
+        sums[path][3] += x
+    # A path's own ratios count for more than its surroundings, so that a short line or lone link list beside long paragraphs stays out.
+    return {p: math.cbrt(total / n * (chars / n * (1 + marks / n)) ** 2) for p, (chars, marks, n, total) in sums.items()}, pstdev(fused)
+
+
+def main_text(page: str | None, share: float = 0.5) -> str:
+    """The article's blocks joined by one space; ``share``: of the fused series' standard deviation, that a path's score must reach."""
+    found = blocks(page or "")
+    if not found:
+        return ""
+    score, spread = scores(found)
     top = max(score.values())
-    limit = min(share * pstdev(fused), top)
+    limit = min(share * spread, top)
     content = {p for p, x in score.items() if x >= limit and x >= 0.1 * top} or {max(score, key=score.get)}
-    homes = {p[:-1] for p in content if len(p) > 1 and p[-2] not in ("html", "body")}
-    bare = {p[:-1] for p in content} - homes
+    homes = {p.above for p in content if p.above is not None and p.above.tag not in ("", "html", "body")}
+    bare = {p.above for p in content} - homes
+    at_home: dict[Path | None, bool] = {None: False}
 
-    def belongs(path: tuple[str, ...], text: str, links: int) -> bool:
+    def belongs(path: Path, text: str, links: int) -> bool:
         if path in content:
             return True
-        if 2 * links > len(text):
+        if 2 * links > len(text) or path.noise:
             return False
-        return any(path[: len(h)] == h for h in homes) or (path[:-1] in bare and path[-1:] != () and re.fullmatch("h[1-6]|blockquote|pre", path[-1]) is not None)
+        up, way = path, []
+        while up not in at_home:
+            way.append(up)
+            if up in homes or up.noise:
+                at_home[up] = up in homes
+                break
+            up = up.above
+        for x in way:
+            at_home[x] = at_home[up]
+        return at_home[path] or path.above in bare and re.fullmatch("h[1-6]|blockquote|pre", path.tag) is not None
 
     return " ".join(t for p, t, links in found if belongs(p, t, links))
 

@@ -1,5 +1,10 @@
 from __future__ import annotations
 
+import math
+import random
+import time
+from html.parser import HTMLParser
+
 import pytest
 
 from shotledger.llm import html_text
@@ -39,6 +44,10 @@ def test_article_only(body, want):
         (f"<article><p>{PROSE}</p></article><div class='sidebar'><p>{PROSE}{PROSE}</p></div>", PROSE),
         (f"<article><p>{PROSE}</p></article><div class='comments'><p>{PROSE * 30}</p></div>", PROSE),
         (f"<div class='has-comments'><div><p>{PROSE}</p></div></div>", PROSE),
+        (f"<article><p>{PROSE}</p><p class='share'>{PROSE}</p><div class='search-for-truth'><p>{PROSE}</p></div></article>", PROSE * 3),
+        (f"<div class='share'><p>{PROSE}</p><p>{PROSE}</p></div><div class='ad-slot'><p>{PROSE}</p></div>", PROSE * 2),
+        (f"<div class='ad'>{PROSE}</div><article><h1>words</h1><p>{'words without marks ' * 9}</p></article>", "words " + "words without marks " * 9),
+        (f"<article><div class='legal-news'><p>{PROSE}</p></div><p class='ad'>{PROSE}</p></article>", PROSE),
         (f"<div style='display:none'><main><p>{PROSE}</p></main></div><div><p>Shown, here.</p></div>", "Shown, here."),
     ],
 )
@@ -55,6 +64,94 @@ def test_odd_pages():
     assert main_text("<p title='a>b'>in, text.</p><script>never closed <p>out</p>") == "in, text."
 
 
+class Tree(HTMLParser):
+    """Blocks of well-formed pages by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__()
+        self.path, self.blocks, self.link, self.fresh = [], [], 0, True
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "a":
+            self.link += 1
+        else:
+            self.path.append(tag + "".join(f".{v}" for _, v in attrs))
+            self.fresh = True
+
+    def handle_endtag(self, tag):
+        if tag == "a":
+            self.link -= 1
+        else:
+            self.path.pop()
+            self.fresh = True
+
+    def handle_data(self, data):
+        if self.fresh:
+            self.blocks.append([tuple(self.path), "", 0])
+            self.fresh = False
+        self.blocks[-1][1] += data
+        self.blocks[-1][2] += len(data) if self.link else 0
+
+
+def slow_scores(page):
+    """Each path's score straight from the definition, with a pass over all blocks for each number."""
+    tree = Tree()
+    tree.feed(page)
+    found = [(p, " ".join(t.split()), n) for p, t, n in tree.blocks if t.split()]
+    weight = lambda p: math.prod(0.001 if t.endswith(".ad") else 0.5 if t.endswith(".share") else 1 for t in p)
+    mean = lambda p, f: sum(weight(p) * f(t, n) for q, t, n in found if q == p) / sum(q == p for q, _, _ in found)
+    chars, points = (lambda t, n: max(0, len(t) - n)), (lambda t, n: sum(c in ",.;:!?" for c in t))
+
+    def smooth(f, i):
+        near = [(math.exp(-2 * (k / 2) ** 2), mean(found[i + k][0], f)) for k in range(-2, 3) if 0 <= i + k < len(found)]
+        return sum(w * x for w, x in near) / sum(w for w, _ in near)
+
+    fused = [smooth(chars, i) * (1 + smooth(points, i)) for i in range(len(found))]
+    out = {}
+    for p in {p for p, _, _ in found}:
+        own = [x for (q, _, _), x in zip(found, fused) if q == p]
+        out[p] = math.cbrt(sum(own) / len(own) * (mean(p, chars) * (1 + mean(p, points))) ** 2)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_ratios_against_a_slow_version(seed):
+    pick = random.Random(seed)
+
+    def part(depth):
+        kind = pick.choice(["p", "p", "h2", "div", "section", "ul"])
+        name = pick.choice(["", "", "", " class='ad'", " class='share'"])
+        text = lambda: " ".join(pick.choice(["word,", "another", "third.", "x"]) for _ in range(pick.randrange(1, 30)))
+        if kind == "ul":
+            return "<ul>" + "".join(f"<li><a href='x'>{text()}</a> {text()}</li>" for _ in range(3)) + "</ul>"
+        if kind in ("p", "h2") or not depth:
+            return f"<p{name}>{text()}, so.</p>"
+        return f"<{kind}{name}>" + "".join(part(depth - 1) for _ in range(pick.randrange(1, 5))) + f"</{kind}>"
+
+    page = "<html><body>" + "".join(part(3) for _ in range(6)) + "</body></html>"
+    got, _ = html_text.scores(html_text.blocks(page))
+
+    def names(path):
+        if path is None or not path.tag:
+            return ()
+        own = path.weight / (path.above.weight or 1)
+        return (*names(path.above), path.tag + (".ad" if own < 0.1 else ".share" if own < 1 else ""))
+
+    want = slow_scores(page)
+    assert {names(p) for p in got} == set(want)
+    assert all(math.isclose(x, want[names(p)], rel_tol=1e-9, abs_tol=1e-12) for p, x in got.items())
+
+
+@pytest.mark.parametrize(
+    "unit", ["<a ", "<div>", "<a '>", "<a \">\" ", "</div", "<span><hr>", "<svg/>", "<script></script ", "<!-- ", "<p><table><i>", "<li><b>", "&#38;", "<div class='a b c'", "</p>", "<td><em>", "< "]
+)
+def test_hostile_pages_are_read_in_linear_time(unit):
+    page = "<p>Start, here.</p>" + unit * (1_000_000 // len(unit))
+    began = time.monotonic()
+    main_text(page)
+    assert time.monotonic() - began < 8  # measured: at most 2 s; the machine may be busy
+
+
 def test_rows(spark):
     pages = spark.createDataFrame([(1, "u", page(f"<article><p>{PROSE}</p></article>"), "t"), (1, None, None, "t"), (None, "v", "", "t")], "page_id long, url string, html string, text string")
     got = sorted((tuple(r) for r in html_text.extract(pages).collect()), key=repr)
