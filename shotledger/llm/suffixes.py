@@ -4,14 +4,16 @@ A string of ``length`` bytes that occurs twice has the same *anchor* in both pla
 So each start in a document is dealt out by its anchor, and starts in a row with one anchor make one *window*: the bytes from
 the first of them to the end of the last one's string. Equal strings always meet under one anchor, whatever the partitions are.
 
-1. Windows that are equal byte for byte (by anchor, length and a 64-bit hash) form a class; all but the earliest of a class are
-   repeats as a whole, and no bytes of theirs are moved.
-2. Where an anchor has several classes, their earliest windows are fetched. Each task sorts all suffixes of its windows into an
-   enhanced suffix array (prefix doubling; common-prefix lengths from the doubling ranks) and scans it with a stack for the
-   common-prefix intervals of at least ``length`` bytes. An interval is a maximal repeat if its suffixes follow differing
-   bytes, or begin a window (what stands before lies under another anchor); it is put out with all its occurrences.
-3. An anchor with more than ``MOST_WINDOWS`` classes goes another, exact way that no single task must hold: its strings are
-   grouped one by one by a 128-bit hash, which Spark combines before the shuffle.
+1. Windows that are equal (by the 64-bit hash of the anchor, place of the anchor, length, and 96 more bits of hashes of the bytes) form a class; all but
+   the earliest of a class are repeats as a whole, and no bytes of theirs are moved.
+2. Where an anchor has several classes, their earliest windows are fetched. If more than ``GROUP_WINDOWS`` meet under one anchor, they are divided: a
+   string that starts some bytes before the anchor holds the bytes around it that all strings starting in the same half of that range hold, so
+   each half of a window's starts becomes a window under the longer piece, and equal strings still meet. Equal windows are one class
+   again, now compared byte for byte; what is still crowded is halved again, at most down to single strings. So no task holds a crowded anchor.
+3. Each task sorts all suffixes of its windows into an enhanced suffix array (prefix doubling; common-prefix lengths from the doubling
+   ranks) and scans it with a stack for the common-prefix intervals of at least ``length`` bytes. An interval is a maximal
+   repeat if its suffixes follow differing bytes, or begin a window (what stands before lies under another anchor); it is put out with all its
+   occurrences. ``repeat_groups`` gives these as rows. Within them a repeat longer than a window is as many groups as it has windows.
 
 In a repeat, every occurrence but the earliest (by document id, then place) covers bytes that are removed; bytes that a string with an
 earlier occurrence covers are covered by such a repeat, and the other way round.
@@ -33,13 +35,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shotledger.llm.jaccard import _FACTOR, _INVERSE, _mix
-from shotledger.sources.shared import materialise, scratch
+from shotledger.sources.shared import BROADCAST_BYTES, broadcast_if_small, materialise, scratch, size_in_bytes
 
-GRAM, PIECE, MOST_WINDOWS, BATCH_BYTES, TASK_WINDOWS, TASK_ROWS = 36, 1 << 19, 1 << 15, 1 << 20, 1 << 15, 1 << 19
-#: Ids of at most so many documents are broadcast to pick texts; more are joined by shuffle.
-BROADCAST_IDS = 1_000_000
+GRAM, PIECE, GROUP_WINDOWS, BATCH_BYTES, TASK_WINDOWS, TASK_ROWS = 36, 1 << 19, 512, 1 << 20, 1 << 15, 1 << 19
+#: A window's ``size`` column: its size in 12 bits, then how far the anchor stands behind its start, then more bits of a hash.
+SIZE_BITS, OFFSET_BITS, CHECK_BITS = 12, 12, 32
 _POS = np.uint64((1 << 20) - 1)
 _UP = _DOWN = np.ones(1, np.uint64)
+#: Other numbers for the bytes, so that a second hash of the same form doesn't agree where the first one does by chance.
+_OTHER = _mix(np.arange(256, dtype=np.uint64) + np.uint64(0x51ED27))
 
 
 def _range_hashes(raw: np.ndarray):
@@ -51,13 +55,13 @@ def _range_hashes(raw: np.ndarray):
         _UP[0] = _DOWN[0] = 1
         _UP, _DOWN = np.cumprod(_UP), np.cumprod(_DOWN)
     total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _UP[: len(raw)], out=total[1:])
+    np.cumsum((raw.astype(np.uint64, copy=False) + np.uint64(1)) * _UP[: len(raw)], out=total[1:])
     return lambda a, b: _mix((total[b] - total[a]) * _DOWN[a])
 
 
 def windows(raw: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """For documents ``raw[bounds[d]:bounds[d + 1]]``, under 2**20 bytes in all: document, first start, size, anchor hash, class hash of each window."""
-    none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
+    """For documents ``raw[bounds[d]:bounds[d + 1]]``, under 2**20 bytes in all: document, first start, size, anchor hash, class hash, place of the anchor and a second class hash of each window."""
+    none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64, np.int64, np.uint64))
     n, reach = len(raw), length - GRAM + 1
     if n < length:
         return none
@@ -87,7 +91,8 @@ def windows(raw: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.ndarra
     anchor = (least[first] & _POS).astype(np.int64)
     doc = np.searchsorted(bounds, first, side="right") - 1
     kind = _mix(hashes(first, first + size) + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (anchor - first).astype(np.uint64))
-    return doc, first - bounds[doc], size, gram[anchor], kind
+    check = _mix(_range_hashes(_OTHER[raw])(first, first + size)) >> np.uint64(64 - CHECK_BITS)
+    return doc, first - bounds[doc], size, gram[anchor], kind, anchor - first, check
 
 
 def _checksum(text: bytes) -> int:
@@ -95,20 +100,23 @@ def _checksum(text: bytes) -> int:
 
 
 def _anchored(docs: DataFrame, length: int) -> DataFrame:
-    """``anchor, kind, doc_id, at, size`` of windows; ``at`` is the checksum of the text, then the place in it.
+    """``anchor, kind, doc_id, at, size`` of windows; ``at`` is the checksum of the text, then the place in it, and ``size`` is packed.
 
     Of equal windows that come up together in a task only the earliest is a row; the others are repeats already, and rows
-    without ``kind`` give the spans that they cover.
+    without ``kind`` give the spans that they cover, with their plain size.
     """
+    if 2 * length >= 1 << SIZE_BITS:
+        raise ValueError(f"length must be under {1 << SIZE_BITS - 1}")
 
     def flush(ids: list, ties: list, offsets: list, found: list[tuple[np.ndarray, ...]], id_type: pa.DataType) -> pa.RecordBatch:
-        doc, start, size, anchor, kind = (np.concatenate(x) for x in zip(*found))
+        doc, start, size, anchor, kind, offset, check = (np.concatenate(x) for x in zip(*found))
         at = (np.array(ties, np.int64)[doc] << 40) + np.array(offsets, np.int64)[doc] + start
         known = {x: k for k, x in enumerate(sorted(set(ids), key=lambda x: (x is not None, x)))}
         age = np.array([known[x] for x in ids])[doc]
-        order = np.lexsort((at, age, size, kind, anchor))
+        packed = size + (offset << SIZE_BITS) + (check.astype(np.int64) << (SIZE_BITS + OFFSET_BITS))
+        order = np.lexsort((at, age, packed, kind, anchor))
         same = lambda x: x[order[1:]] == x[order[:-1]]
-        head = np.concatenate(([True], ~(same(anchor) & same(kind) & same(size))))
+        head = np.concatenate(([True], ~(same(anchor) & same(kind) & same(packed))))
         start_of = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
         keep = order[head | ((at[order] == at[start_of]) & (age[order] == age[start_of]))]
         rest = np.setdiff1d(order, keep)
@@ -123,7 +131,7 @@ def _anchored(docs: DataFrame, length: int) -> DataFrame:
             pa.array(np.concatenate([kind[keep].view(np.int64), np.zeros(len(first), np.int64)]), mask=np.arange(len(keep) + len(first)) >= len(keep)),
             pa.array(ids, id_type).take(pa.array(np.concatenate([doc[keep], doc[first]]))),
             pa.array(np.concatenate([at[keep], at[first]])),
-            pa.array(np.concatenate([size[keep], whole])),
+            pa.array(np.concatenate([packed[keep], whole])),
         ]
         return pa.RecordBatch.from_arrays(columns, ["anchor", "kind", "doc_id", "at", "size"])
 
@@ -260,72 +268,119 @@ def maximal_repeats(parts: list[bytes], length: int) -> Iterator[tuple[int, np.n
                     stack.append([now, begin, seen])
 
 
-def repeats(docs: DataFrame, length: int = 100) -> DataFrame:
-    """Spans ``doc_id, tie, start, stop`` in bytes, overlaps and all, that repeats cover outside their earliest occurrence."""
-    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+def _divided(rows: DataFrame, length: int, width: int) -> DataFrame:
+    """Windows cut so that each has starts from one range of ``width`` places before the anchor, under the hash of what all strings starting there share."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(i, 4096) for i in range(0, batch.num_rows, 4096)):
+                out: list[tuple] = []
+                for k, (anchor, at, offset, raw) in enumerate(zip(*(part.column(c).to_pylist() for c in ("anchor", "at", "offset", "bytes")))):
+                    last = offset - (len(raw) - length)
+                    for block in range(last // width, offset // width + 1):
+                        low, high = block * width, block * width + width - 1
+                        a, b = min(offset, high), max(last, low)
+                        common = raw[max(0, offset - low) : offset - high + length]
+                        key = hashlib.blake2b(common, digest_size=8, key=f"{anchor} {low}".encode()).digest()
+                        out.append((int.from_bytes(key, "little", signed=True), k, at + offset - a, a, raw[offset - a : offset - b + length]))
+                anchor, k, at, offset, raw = zip(*out)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(anchor, pa.int64()), part.column("doc_id").take(pa.array(k)), pa.array(at, pa.int64()), pa.array(offset, pa.int32()), pa.array(raw, pa.binary())], ["anchor", "doc_id", "at", "offset", "bytes"]
+                )
+
+    return rows.mapInArrow(run, f"anchor long, doc_id {rows.schema['doc_id'].dataType.simpleString()}, at long, offset int, bytes binary")
+
+
+def _windows(docs: DataFrame, length: int) -> tuple[DataFrame, list[DataFrame]]:
+    """``anchor, doc_id, at, bytes`` of distinct windows to be compared, at most ``GROUP_WINDOWS`` under an anchor; and spans ``doc_id, at, size`` that equal windows cover outside their earliest one."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     group = Window.partitionBy("anchor")
-    order = group.orderBy("kind", F.col("doc_id").asc_nulls_first(), "at")
-    place = F.struct("doc_id", "at")
+    order = group.orderBy("kind", "size", F.col("doc_id").asc_nulls_first(), "at")
+    place, same_class = F.struct("doc_id", "at"), F.struct("kind", "size")
     met = (
         _anchored(docs, length)
-        .withColumns({"prev": F.lag("kind").over(order), "next": F.lead("kind").over(order), "first": F.first(place).over(Window.partitionBy("anchor", "kind").orderBy(F.col("doc_id").asc_nulls_first(), "at"))})
+        .withColumns({"prev": F.lag(same_class).over(order), "next": F.lead(same_class).over(order), "first": F.first(place).over(Window.partitionBy("anchor", "kind", "size").orderBy(F.col("doc_id").asc_nulls_first(), "at"))})
         .where("kind is null or prev is not null or next is not null")
-        .withColumn("is_head", F.col("kind").isNotNull() & (F.col("prev").isNull() | (F.col("prev") != F.col("kind"))))
+        .withColumn("is_head", F.col("kind").isNotNull() & (F.col("prev").isNull() | (F.col("prev") != same_class)))
     )
     met = materialise(met.drop("prev", "next"), "met")
-    place_of = [F.shiftright("at", 40).cast("int").alias("tie"), F.col("at").bitwiseAND(F.lit((1 << 40) - 1)).alias("start")]
-    whole = met.where(F.col("kind").isNull() | (F.col("first") != place)).select("doc_id", *place_of, (F.col("at").bitwiseAND(F.lit((1 << 40) - 1)) + F.col("size")).alias("stop"))
+    size = F.col("size").bitwiseAND(F.lit((1 << SIZE_BITS) - 1))
+    covered = [met.where(F.col("kind").isNull() | (F.col("first") != place)).select("doc_id", "at", F.when(F.col("kind").isNull(), F.col("size")).otherwise(size).alias("size"))]
 
     heads = met.where("is_head")
     rivals = heads.groupBy("anchor").agg(F.count("*").alias("rivals")).where("rivals > 1")
-    wanted = heads.join(rivals, "anchor").select("doc_id", "at", "size", "anchor", (F.col("rivals") > MOST_WINDOWS).alias("hot"))
-    lists = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("at", "size", "anchor", "hot")).alias("wanted"))
+    offset = F.shiftright("size", SIZE_BITS).bitwiseAND(F.lit((1 << OFFSET_BITS) - 1)).cast("int")
+    wanted = heads.join(rivals, "anchor").select("doc_id", "at", size.cast("int").alias("size"), "anchor", offset.alias("offset"), (F.col("rivals") > GROUP_WINDOWS).alias("crowded"))
+    lists = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("at", "size", "anchor", "offset", "crowded")).alias("wanted"))
     lists = materialise(lists.withColumnRenamed("doc_id", "wanted_id"), "wanted")
     same = F.col("doc_id").eqNullSafe(F.col("wanted_id"))
-    few = lists.count() <= BROADCAST_IDS
-    near = docs.join(F.broadcast(lists.select("wanted_id")), same, "left_semi") if few else docs
+    near = docs.join(broadcast_if_small(lists.select("wanted_id")), same, "left_semi")
     cut = near.join(lists, same).select("doc_id", "text", "wanted")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["anchor", "second", "doc_id", "at", "bytes"]
+        names, types = ["anchor", "doc_id", "at", "offset", "bytes", "crowded"], (pa.int64(), None, pa.int64(), pa.int32(), pa.binary(), pa.bool_())
         for batch in batches:
             rows: list[tuple] = []
-            for key, text, wanted in zip(*(c.to_pylist() for c in batch.columns)):
+            for k, (key, text, wanted) in enumerate(zip(*(c.to_pylist() for c in batch.columns))):
                 text = (text or "").encode()
                 tie = _checksum(text)
                 for w in wanted:
-                    if w["at"] >> 40 != tie:
-                        continue
-                    a = w["at"] & ((1 << 40) - 1)
-                    if not w["hot"]:
-                        rows.append((w["anchor"], None, key, w["at"], text[a : a + w["size"]]))
-                    else:
-                        for i in range(w["size"] - length + 1):
-                            h = hashlib.blake2b(text[a + i : a + i + length], digest_size=16).digest()
-                            rows.append((int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True), key, w["at"] + i, None))
-                if len(rows) > 20000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), batch.column(0).type, pa.int64(), pa.binary()))], names)
+                    if w["at"] >> 40 == tie:
+                        a = w["at"] & ((1 << 40) - 1)
+                        rows.append((w["anchor"], key, w["at"], w["offset"], text[a : a + w["size"]], w["crowded"]))
+                if len(rows) > 20000 or rows and k == batch.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t or batch.column(0).type) for c, t in zip(zip(*rows), types)], names)
                     rows = []
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), batch.column(0).type, pa.int64(), pa.binary()))], names)
 
-    fetched = materialise(cut.mapInArrow(fetch, f"anchor long, second long, doc_id {kind}, at long, bytes binary"), "windows")
+    fetched = materialise(cut.mapInArrow(fetch, f"anchor long, doc_id {kind}, at long, offset int, bytes binary, crowded boolean"), "windows")
+    cols = ["anchor", "doc_id", "at", "offset", "bytes"]
+    ready = fetched.where("not crowded").select(*cols)
+    crowded = fetched.where("crowded").select(*cols)
+    width = 1 << (length - GRAM).bit_length()
+    while width > 1 and not crowded.isEmpty():
+        width //= 2
+        parts = materialise(_divided(crowded, length, width), "parts")
+        by_class = parts.groupBy("anchor", "bytes").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("named"), "doc_id", "at")).alias("first"), F.min("offset").alias("offset"), F.count("*").alias("n"))
+        by_class = materialise(by_class, "parts_by_class")
+        covered.append(
+            parts.join(by_class.where("n > 1").select("anchor", "bytes", "first"), ["anchor", "bytes"])
+            .where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("at") == F.col("first.at"))))
+            .select("doc_id", "at", F.octet_length("bytes").cast("long").alias("size"))
+        )
+        per_key = by_class.groupBy("anchor").agg(F.count("*").alias("rivals")).where("rivals > 1")
+        heads = by_class.join(per_key, "anchor").select("anchor", F.col("first.doc_id").alias("doc_id"), F.col("first.at").alias("at"), "offset", "bytes", "rivals")
+        heads = materialise(heads, "divided")
+        ready = ready.union(heads.where(F.col("rivals") <= GROUP_WINDOWS).select(*cols))
+        crowded = heads.where(F.col("rivals") > GROUP_WINDOWS).select(*cols)
+    return ready.select("anchor", "doc_id", "at", "bytes"), covered
+
+
+def _scanned(windows: DataFrame, length: int, groups: bool) -> DataFrame:
+    """Suffix arrays of all anchors' windows: spans ``doc_id, at, size`` outside each repeat's earliest occurrence; or with ``groups`` every occurrence ``grp, size, doc_id, at``."""
+    kind = windows.schema["doc_id"].dataType.simpleString()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "at", "length"]
+        names = ["grp", "size", "doc_id", "at"] if groups else ["doc_id", "at", "size"]
 
         def found(rows: list[tuple]) -> pa.RecordBatch:
             parts = [r[3] for r in rows]
             ids, at = [r[1] for r in rows], [r[2] for r in rows]
             covered: dict[int, list[tuple[int, int]]] = {}
+            out: list[tuple] = []
             for size, part, places in maximal_repeats(parts, length):
                 spots = [(ids[p] is not None, ids[p], at[p] + q, p) for p, q in zip(part.tolist(), places.tolist())]
                 first = min(spots)[:3]
-                for _, _, a, p in (x for x in spots if x[:3] != first):
-                    covered.setdefault(p, []).append((a, a + size))
-            out = [(ids[p], a, b - a) for p, spans in covered.items() for a, b in merged(spans)]
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((id_type, pa.int64(), pa.int64()))], names)
+                if groups:
+                    string = parts[part[0]][places[0] : places[0] + size]
+                    name = hashlib.blake2b(string, digest_size=16, key=str(rows[part[0]][0]).encode()).hexdigest()
+                    out += [(name, size, ids[p], a) for _, _, a, p in spots]
+                else:
+                    for _, _, a, p in (x for x in spots if x[:3] != first):
+                        covered.setdefault(p, []).append((a, a + size))
+            types = (pa.string(), pa.int64(), id_type, pa.int64()) if groups else (id_type, pa.int64(), pa.int64())
+            if not groups:
+                out = [(ids[p], a, b - a) for p, spans in covered.items() for a, b in merged(spans)]
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(types)], names)
 
         held: list[tuple] = []
         size, id_type = 0, None
@@ -340,17 +395,34 @@ def repeats(docs: DataFrame, length: int = 100) -> DataFrame:
         if held:
             yield found(held)
 
-    some = fetched.where("bytes is not null").select("anchor", "doc_id", "at", "bytes")
     # Sorting suffixes is work out of proportion to the bytes moved, so partitions aren't left to be merged by size.
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-some.count() // TASK_WINDOWS))
-    some = some.repartition(parts, "anchor").sortWithinPartitions("anchor")
-    partly = some.mapInArrow(scan, f"doc_id {kind}, at long, length long")
-    partly = partly.select("doc_id", *place_of, (F.col("at").bitwiseAND(F.lit((1 << 40) - 1)) + F.col("length")).alias("stop"))
-    strings = fetched.where("second is not null")
-    earliest = strings.groupBy("anchor", "second").agg(F.min(place).alias("first"), F.count("*").alias("c")).where("c > 1")
-    hot = strings.join(earliest, ["anchor", "second"]).where(F.col("first") != place)
-    hot = hot.select("doc_id", *place_of, (F.col("at").bitwiseAND(F.lit((1 << 40) - 1)) + length).alias("stop"))
-    return whole.union(partly).union(hot)
+    parts = max(int(windows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-windows.count() // TASK_WINDOWS))
+    dealt = windows.repartition(parts, "anchor").sortWithinPartitions("anchor")
+    return dealt.mapInArrow(scan, f"grp string, size long, doc_id {kind}, at long" if groups else f"doc_id {kind}, at long, size long")
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    """``doc_id, tie, start, stop`` of spans ``doc_id, at, size``."""
+    start = F.col("at").bitwiseAND(F.lit((1 << 40) - 1))
+    return rows.select("doc_id", F.shiftright("at", 40).cast("int").alias("tie"), start.alias("start"), (start + F.col("size")).alias("stop"))
+
+
+def repeats(docs: DataFrame, length: int = 100) -> DataFrame:
+    """Spans ``doc_id, tie, start, stop`` in bytes, overlaps and all, that repeats cover outside their earliest occurrence."""
+    windows, covered = _windows(docs.select("doc_id", F.col("text").cast("string").alias("text")), length)
+    found = _placed(_scanned(windows, length, False))
+    for part in covered:
+        found = found.union(_placed(part))
+    return found
+
+
+def repeat_groups(docs: DataFrame, length: int = 100) -> DataFrame:
+    """``grp, size, doc_id, tie, start``: every maximal repeat among the distinct windows, one row per occurrence; equal windows stand for each other once."""
+    with scratch(docs.sparkSession) as kept:
+        windows, _ = _windows(docs.select("doc_id", F.col("text").cast("string").alias("text")), length)
+        found = _scanned(windows, length, True)
+        start = F.col("at").bitwiseAND(F.lit((1 << 40) - 1))
+        return kept(found.select("grp", "size", "doc_id", F.shiftright("at", 40).cast("int").alias("tie"), start.alias("start")), "groups")
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -375,7 +447,7 @@ def without_repeats(docs: DataFrame, length: int = 100, keep: Sequence[str] = ()
         found = repeats(docs, length).groupBy("doc_id").agg(F.collect_set(F.struct("tie", "start", "stop")).alias("spans"))
         spans = kept(found.withColumnRenamed("doc_id", "span_id"), "spans")
     same = F.col("doc_id").eqNullSafe(F.col("span_id"))
-    if spans.count() <= BROADCAST_IDS:
+    if size_in_bytes(spans.select("span_id")) <= BROADCAST_BYTES:
         ids = F.broadcast(spans.select("span_id"))
         hit = docs.join(ids, same, "left_semi").join(spans, same).select("doc_id", "text", "rest", "spans")
         rest = docs.join(ids, same, "left_anti").withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType))

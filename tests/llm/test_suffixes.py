@@ -54,12 +54,44 @@ def test_repeated_rows_are_one_document(spark):
     assert run(spark, rows) == brute(rows)
 
 
-def test_crowded_anchors_go_the_other_way(spark, monkeypatch):
-    monkeypatch.setattr(suffixes, "MOST_WINDOWS", 3)
+def test_crowded_anchors_are_divided(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "GROUP_WINDOWS", 3)
     rows = sample(6)
     assert run(spark, rows) == brute(rows)
 
 
+def test_one_line_in_all_documents(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "GROUP_WINDOWS", 8)
+    pick = random.Random(4)
+    text = lambda n: "".join(pick.choice("abcdefgh ") for _ in range(n))
+    line, tails = text(70), [text(60) for _ in range(6)]
+    rows = [(k, text(pick.randrange(50)) + pick.choice(tails)[pick.randrange(30) :] + line + pick.choice(tails)[: pick.randrange(60)] + text(20)) for k in range(120)]
+    assert run(spark, rows) == brute(rows)
+
+
+@pytest.mark.parametrize("most", [512, 3])
+def test_groups_have_all_occurrences(spark, monkeypatch, most):
+    monkeypatch.setattr(suffixes, "GROUP_WINDOWS", most)
+    rows = [r for r in sample(12) if r[0] is not None]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    text = {(i, suffixes._checksum((t or "").encode())): (t or "").encode() for i, t in rows}
+    groups = {}
+    for r in suffixes.repeat_groups(docs).collect():
+        groups.setdefault((r.grp, r.size), set()).add((r.doc_id, r.tie, r.start))
+    covered = {}
+    for (_, size), spots in groups.items():
+        assert len(spots) > 1 and len({text[i, tie][a : a + size] for i, tie, a in spots}) == 1
+        for i, tie, a in spots:
+            covered.setdefault((i, tie), set()).update(range(a, a + size))
+    # Bytes that go are in a group, or in a window equal to another; windows that stand once are in groups only.
+    alone = {k: t for k, t in text.items() if list(text.values()).count(t) == 1}
+    seen = {}
+    for k, t in text.items():
+        for a in range(len(t) - 99):
+            seen.setdefault(t[a : a + 100], []).append((*k, a))
+    assert groups and all(len(seen[text[i, tie][a : a + 100]]) > 1 for spots in groups.values() for i, tie, a in spots) and alone
+
+
 def test_long_texts_in_pieces(spark, monkeypatch):
     pick = random.Random(9)
     body = "".join(chr(97 + pick.randrange(26)) for _ in range(700_000))
