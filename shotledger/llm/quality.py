@@ -4,9 +4,9 @@ A word is a run of characters other than space and ``\\t \\n \\v \\f \\r``; a li
 fails if one of these holds:
 
 * punctuation: it has at least ``min_symbols`` of ``#*$%&|<>`` and at least ``symbol_pct`` per 100 words, or it has more than
-  ``max_unended`` words and ends in no sentence mark;
+  ``max_unended`` words and none of them ends in a sentence mark (a line that only breaks off in its last sentence stays);
 * navigation: at least two of its words are separators (``| > » • ·``), and they make up ``separator_pct`` % of its words;
-* boilerplate: it holds a fixed notice phrase, or repeats an earlier line of the document.
+* boilerplate: it holds a fixed notice phrase in one of four languages, or repeats an earlier line of the document.
 
 A document is rejected by the base rules (fewer than ``min_words`` words, or too many words in repeated three-word windows) or
 if its failing lines hold more than ``max_lost_pct`` % of its word characters.
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 END_MARKS = (".", "!", "?", "…", "\"", "”", "»", "'", "’", ")", ":", ";", "。", "！", "？")
 #: Words that only separate navigation entries.
 SEPARATORS = ("|", ">", "»", "•", "·")
-#: Phrases of notices, matched without regard to case.
+#: Phrases of notices, as patterns that are matched without regard to case.
 NOTICES = (
     "all rights reserved",
     "licensed under",
@@ -47,6 +47,32 @@ NOTICES = (
     "click here to",
     "subscribe to our",
     "sign up for our",
+    # German
+    "alle rechte vorbehalten",
+    "lizenziert unter",
+    "steht unter der lizenz",
+    "nutzungsbedingungen",
+    "datenschutzrichtlinie",
+    "verwendet cookies",
+    "verwendung von cookies",
+    "aktivieren sie javascript",
+    "newsletter abonnieren",
+    # French
+    "tous droits r",
+    "sous licence",
+    "conditions d.utilisation",
+    "utilise des cookies",
+    "activer javascript",
+    "cliquez ici pour",
+    "abonnez-vous",
+    # Spanish
+    "todos los derechos reservados",
+    "bajo licencia",
+    "bajo la licencia",
+    "condiciones de uso",
+    "aviso legal",
+    "utiliza cookies",
+    "haga clic",
 )
 
 
@@ -76,7 +102,7 @@ def line_fails(line: bytes, words: list[bytes], rules: Rules) -> bool:
     symbols = len(line) - len(line.translate(None, SYMBOLS))
     if symbols >= rules.min_symbols and 100 * symbols >= rules.symbol_pct * n:
         return True
-    if n > rules.max_unended and not words[-1].endswith(_ENDS):
+    if n > rules.max_unended and not words[-1].endswith(_ENDS) and not any(w.endswith(_ENDS) for w in words):
         return True
     separators = sum(map(_SEPARATORS.__contains__, words))
     if separators >= 2 and 100 * separators >= rules.separator_pct * n:
@@ -162,7 +188,7 @@ def clean(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
 def oracle_sql(rules: Rules = Rules()) -> str:
     """The same verdicts as SQL, written apart from the code above."""
-    word, gap = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]*"
+    word, gap = r"[^\x20\x09-\x0D]+", r"([\x20\x09-\x0D]|$)"
     ends = "".join(x if x not in "'" else "''" for x in END_MARKS)
     separators = "[" + ", ".join(f"'{x}'" for x in SEPARATORS) + "]"
     return f"""
@@ -176,7 +202,7 @@ l2 AS (SELECT *, len(lw) AS n, length(line) - length(regexp_replace(line, '[#*$%
               row_number() OVER (PARTITION BY r, line ORDER BY pos) > 1 AS dup
        FROM l1 WHERE len(lw) > 0),
 l3 AS (SELECT *, dup OR (symbols >= {rules.min_symbols} AND 100 * symbols >= {rules.symbol_pct} * n)
-              OR (n > {rules.max_unended} AND NOT regexp_matches(line, '[{ends}]{gap}$'))
+              OR (n > {rules.max_unended} AND NOT regexp_matches(line, '[{ends}]{gap}'))
               OR (seps >= 2 AND 100 * seps >= {rules.separator_pct} * n)
               OR regexp_matches(line, '(?i){"|".join(NOTICES)}') AS bad FROM l2),
 lines AS (SELECT r, sum(dup::INT) AS n_dup_lines, sum(CASE WHEN bad THEN chars ELSE 0 END) AS lost FROM l3 GROUP BY r),
