@@ -5,7 +5,8 @@ lower bound on its sequences: the largest that a family of dual feasible functio
 function that rounds items over ``size - t`` up to a whole sequence and drops those under ``t``; and the functions that round sizes
 to k-ths). A partition whose count equals its bound is certified and done. The others exchange documents: pieces of their
 sequences that aren't full form a pool, which is dealt out anew and packed again, each time in larger shares of what is left, as
-long as the pool as a whole needs fewer sequences than before.
+long as the pool as a whole needs fewer sequences than before. What a piece's partition needed and what its bound proves is put out with it, so
+that a partition without a certificate can be seen.
 
 Defined results: an empty input gives no rows; repeated rows are packed each; a null id is an id like any other. Pieces that fill a
 sequence alone aren't moved at all. No partition holds more than a multiple of ``per_partition`` pieces, whatever the input.
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shotledger.llm.tokens import pieces
-from shotledger.sources.shared import materialise
+from shotledger.sources.shared import materialise, scratch
 
 PIECE = ("doc_id", "piece", "start", "length", "ids_crc32")
 
@@ -87,40 +88,37 @@ def _packed(rows: DataFrame, part: Column, size: int) -> DataFrame:
     return rows.select(*PIECE, part.cast("long").alias("part")).groupBy("part").applyInArrow(run, schema)
 
 
-def pack_pieces(rows: DataFrame, size: int = 1024, per_partition: int = 32768, rounds: int = 4) -> DataFrame:
-    """``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` for pieces of at most ``size`` ids."""
+def pack_pieces(rows: DataFrame, size: int = 1024, per_partition: int = 32768) -> DataFrame:
+    """``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` for pieces of at most ``size`` ids; and ``part_sequences, part_bound`` of the partition that placed it."""
     full = rows.where(F.col("length") == size)
     pool = rows.where(F.col("length") < size)
     done: list[DataFrame] = []
-    before = None
-    pool_packed = None
-    for r in range(rounds):
-        count = pool.count()
-        if not count:
-            break
+    before, waiting, r = None, None, 0
+    while count := pool.count():
         parts = max(1, math.ceil(count / (per_partition << min(r, 2))))
         part = F.pmod(F.xxhash64(F.lit(r), *[F.col(c) for c in PIECE]), F.lit(parts))
         packed = materialise(_packed(pool, part, size), f"packed{r}")
         by_part = packed.groupBy("part").agg(F.first("bins").alias("bins"), F.first("bound").alias("bound"))
         now = by_part.agg(F.sum("bins").alias("bins"), F.sum("bound").alias("bound")).first()
         if before is not None and now["bins"] >= before:
-            done.append(pool_packed)  # the exchange gained nothing: what was packed before stays
-            break
-        open_ = (F.col("bins") > F.col("bound")) & (F.col("fill") < size)
-        placed = lambda df, r=r: df.select(*PIECE, (F.lit(r) * (1 << 56) + F.col("part") * (1 << 24) + F.col("bin")).alias("sequence_id"), "offset")
-        if now["bins"] == now["bound"] or r == rounds - 1:
-            done.append(placed(packed))
+            done.append(waiting)  # the exchange gained nothing: what was packed before stays
             break
-        done.append(placed(packed.where(~open_)))
-        pool_packed = placed(packed.where(open_))
-        before = packed.where(open_).select("part", "bin").distinct().count()
-        pool = packed.where(open_).select(*PIECE)
+        placed = packed.select(*PIECE, (F.lit(r) * (1 << 48) + F.col("part") * (1 << 20) + F.col("bin")).alias("sequence_id"), "offset", F.col("bins").alias("part_sequences"), F.col("bound").alias("part_bound"), "fill")
+        is_open = (F.col("part_sequences") > F.col("part_bound")) & (F.col("fill") < size)
+        done.append(placed.where(~is_open).drop("fill"))
+        waiting = placed.where(is_open).drop("fill")
+        before = waiting.select("sequence_id").distinct().count()
+        pool = waiting.select(*PIECE)
+        r += 1
     # A piece that fills its sequence gets a number of its own below zero.
-    out = full.select(*PIECE, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    one = F.lit(1).cast("long")
+    out = full.select(*PIECE, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), one.alias("part_sequences"), one.alias("part_bound"))
     for part in done:
         out = out.union(part)
     return out
 
 
 def pack(docs: DataFrame, size: int = 1024, **options: int) -> DataFrame:
-    return pack_pieces(materialise(pieces(docs, size), "pieces"), size, **options)
+    """``pack_pieces`` for the pieces of all ``docs``."""
+    with scratch(docs.sparkSession) as kept:
+        return kept(pack_pieces(materialise(pieces(docs, size), "pieces"), size, **options), "packed")
