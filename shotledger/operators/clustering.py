@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,45 +29,63 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def neighbours(points: DataFrame, max_dist_m: float, max_alt_m: float | None = None, min_cosine: float | None = None) -> DataFrame:
-    """Pairs ``job_id, a, b`` of near points of a job, both ways; a point isn't its own neighbour.
+def _meeting(left: DataFrame, right: DataFrame, max_dist_m: float, max_alt_m: float | None = None, min_cosine: float | None = None) -> DataFrame:
+    """Pairs of a left and another right point of a job that are near, all columns named ``a_`` and ``b_``.
 
-    ``points`` has ``job_id, point, lat, lon`` and, if asked for, ``alt`` and ``features``. Points are joined on cells of the
-    distance's size, each with the cells around its own, across the 180th meridian too, so that far points never meet.
+    Points are joined on cells of the distance's size, each with the cells around its own, across the 180th meridian too, so that far points never meet.
     """
     step = max_dist_m / 111_000.0
-    row = F.floor(F.col("lat") / step).cast("long")
-    # Degrees of longitude shrink towards the poles: a band of rows has cells of its own width, a whole number of them around the
-    # globe; next to a pole it is one cell. The width is right for the next band too, as neighbours may be on both sides of its edge.
-    placed = points.where("lat is not null and lon is not null").withColumns({"_row": row, "_band": F.floor(F.abs("lat")).cast("int")})
+
+    def placed(points: DataFrame) -> DataFrame:
+        # Degrees of longitude shrink towards the poles: a band of rows has cells of its own width, a whole number of them around the
+        # globe; next to a pole it is one cell. The width is right for the next band too, as neighbours may be on both sides of its edge.
+        row = F.floor(F.col("lat") / step).cast("long")
+        return points.where("lat is not null and lon is not null").withColumns({"_row": row, "_band": F.floor(F.abs("lat")).cast("int")})
+
     n_cols = F.when(F.col("_band") >= 88, 1).otherwise(F.greatest(F.lit(1), F.floor(360 / step * F.cos(F.radians(F.col("_band") + 2))))).cast("long")
     col = F.pmod(F.floor((F.col("lon") + 180) / 360 * n_cols).cast("long"), n_cols)
-    left = placed.withColumn("_band", F.explode(F.array(F.col("_band"), F.col("_band") - 1, F.col("_band") + 1))).where("_band >= 0")
-    right = placed.withColumn("_col", col)
-    left = left.withColumn("_row", F.explode(F.array(*[F.col("_row") + i for i in (-1, 0, 1)])))
-    left = left.withColumn("_col", F.explode(F.array_distinct(F.array(*[F.pmod(col + j, n_cols) for j in (-1, 0, 1)]))))
-    names = [c for c in ("point", "lat", "lon", "alt", "features") if c in points.columns]
-    a = left.select("job_id", "_band", "_row", "_col", *[F.col(c).alias(f"a_{c}") for c in names])
-    b = right.select("job_id", "_band", "_row", "_col", *[F.col(c).alias(f"b_{c}") for c in names])
-    near = (F.col("a_point") != F.col("b_point")) & (haversine(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon")) <= max_dist_m)
+    b = placed(right).withColumn("_col", col)
+    a = placed(left).withColumn("_band", F.explode(F.array(F.col("_band"), F.col("_band") - 1, F.col("_band") + 1))).where("_band >= 0")
+    a = a.withColumn("_row", F.explode(F.array(*[F.col("_row") + i for i in (-1, 0, 1)])))
+    a = a.withColumn("_col", F.explode(F.array_distinct(F.array(*[F.pmod(col + j, n_cols) for j in (-1, 0, 1)]))))
+    keys = ["job_id", "_band", "_row", "_col"]
+    a = a.select(*keys, *[F.col(c).alias(f"a_{c}") for c in left.columns if c != "job_id"])
+    b = b.select(*keys, *[F.col(c).alias(f"b_{c}") for c in right.columns if c != "job_id"])
+    return a.join(b, keys).where((F.col("a_point") != F.col("b_point")) & _near(max_dist_m, max_alt_m, min_cosine)).drop("_band", "_row", "_col")
+
+
+def _near(max_dist_m: float, max_alt_m: float | None, min_cosine: float | None) -> Column:
+    near = haversine(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon")) <= max_dist_m
     if max_alt_m is not None:
         near = near & (F.abs(F.col("a_alt") - F.col("b_alt")) <= max_alt_m)
     if min_cosine is not None:
         near = near & (cosine(F.col("a_features"), F.col("b_features")) >= min_cosine)
-    return a.join(b, ["job_id", "_band", "_row", "_col"]).where(near).select("job_id", F.col("a_point").alias("a"), F.col("b_point").alias("b"))
+    return near
+
+
+def neighbours(points: DataFrame, max_dist_m: float, max_alt_m: float | None = None, min_cosine: float | None = None) -> DataFrame:
+    """Pairs ``job_id, a, b`` of near points of a job, both ways; a point isn't its own neighbour.
+
+    ``points`` has ``job_id, point, lat, lon`` and, if asked for, ``alt`` and ``features``.
+    """
+    points = points.select("job_id", *[c for c in ("point", "lat", "lon", "alt", "features") if c in points.columns])
+    return _meeting(points, points, max_dist_m, max_alt_m, min_cosine).select("job_id", F.col("a_point").alias("a"), F.col("b_point").alias("b"))
 
 
 def density_clusters(points: DataFrame, min_samples: int = 3, max_dist_m: float = 12.0, max_alt_m: float | None = None, min_cosine: float | None = None) -> DataFrame:
     """``job_id, point, label`` per point: clusters of a job numbered from 0 by their least core point, noise -1.
 
     A point with ``min_samples`` neighbours, itself included, is a core point; core points that are neighbours share a cluster, and other points join
-    the cluster with the least number among their core neighbours'. Points must be unique; jobs of any size are spread over tasks by place.
+    the cluster with the least number among their core neighbours'. Points must be unique; jobs of any size are spread over tasks by place. Points that
+    crowd in one place aren't paired with each other, unless likeness counts too, which no place bounds.
     """
     with scratch(points.sparkSession) as kept:
-        return kept(_density_clusters(points, min_samples, max_dist_m, max_alt_m, min_cosine), "density_clusters")
+        if min_cosine is None:
+            return kept(_by_cells(points, min_samples, max_dist_m, max_alt_m), "density_clusters")
+        return kept(_by_pairs(points, min_samples, max_dist_m, max_alt_m, min_cosine), "density_clusters")
 
 
-def _density_clusters(points: DataFrame, min_samples: int, max_dist_m: float, max_alt_m: float | None, min_cosine: float | None) -> DataFrame:
+def _by_pairs(points: DataFrame, min_samples: int, max_dist_m: float, max_alt_m: float | None, min_cosine: float | None) -> DataFrame:
     pairs = materialise(neighbours(points, max_dist_m, max_alt_m, min_cosine), "pairs")
     cores = materialise(
         points.select("job_id", "point").join(pairs.groupBy("a").agg(F.count("*").alias("n")), F.col("point") == F.col("a"), "left").where(F.coalesce("n", F.lit(0)) + 1 >= min_samples).select("job_id", "point"), "cores"
@@ -74,14 +94,84 @@ def _density_clusters(points: DataFrame, min_samples: int, max_dist_m: float, ma
     links = pairs.join(core, F.col("a") == F.col("core"), "left_semi").join(core, F.col("b") == F.col("core"), "left_semi").where("a < b")
     roots = components(links.select("a", "b"))
     rooted = cores.join(roots, F.col("point") == F.col("node"), "left").select("job_id", "point", F.coalesce("root", "point").alias("root"))
+    labelled = materialise(_numbered(rooted), "labelled")
+    edge = pairs.join(labelled, F.col("b") == F.col("point")).groupBy("a").agg(F.min("label").alias("edge_label"))
+    return _labels(points, labelled, edge)
+
+
+def _numbered(rooted: DataFrame) -> DataFrame:
+    """``point, label`` of core points with their ``root``: roots are numbered in each job by their least point."""
     firsts = rooted.groupBy("job_id", "root").agg(F.min("point").alias("least"))
     numbered = firsts.withColumn("label", (F.row_number().over(Window.partitionBy("job_id").orderBy("least")) - 1).cast("int"))
-    labelled = materialise(rooted.join(numbered, ["job_id", "root"]).select("point", "label"), "labelled")
-    edge = pairs.join(labelled, F.col("b") == F.col("point")).groupBy("a").agg(F.min("label").alias("edge_label"))
+    return rooted.join(numbered, ["job_id", "root"]).select("point", "label")
+
+
+def _labels(points: DataFrame, labelled: DataFrame, edge: DataFrame) -> DataFrame:
     out = points.select("job_id", "point").join(labelled, "point", "left").join(edge, F.col("point") == F.col("a"), "left")
     return out.select("job_id", "point", F.coalesce("label", "edge_label", F.lit(-1)).cast("int").alias("label"))
 
 
+def _by_cells(points: DataFrame, min_samples: int, max_dist_m: float, max_alt_m: float | None, block: int = 1024) -> DataFrame:
+    """The same clusters by cells so small that all points in one are neighbours.
+
+    A cell with ``min_samples`` points holds core points of one cluster only and is one node. Only points of other cells, of which there are few, are paired with
+    points one by one. Two crowded cells are one cluster if two points taken from them are near; where that doesn't say it and they
+    aren't in one cluster by other ways, their points are compared in blocks for one near pair.
+    """
+    side = 0.999 * max_dist_m / math.sqrt(2)
+    row = F.floor(F.radians("lat") * EARTH_M / side).cast("long")
+    low = F.least(F.abs(row), F.abs(row + 1)) * (side / EARTH_M)
+    n_cols = F.greatest(F.lit(1), F.ceil(2 * math.pi * EARTH_M * F.cos(F.least(low, F.lit(math.pi / 2))) / side)).cast("long")
+    parts = [row, F.floor(F.pmod(F.col("lon") + 180, F.lit(360.0)) / 360 * n_cols).cast("long")]
+    usable = F.col("lat").isNotNull() & F.col("lon").isNotNull()
+    names = ["job_id", "point", "lat", "lon"]
+    if max_alt_m is not None:
+        names.append("alt")
+        usable = usable & F.col("alt").isNotNull()
+        parts.append(F.floor(F.col("alt") / (0.999 * max_alt_m)).cast("long") if max_alt_m > 0 else F.col("alt"))
+    cell = F.concat_ws(":", F.lit("c"), "job_id", *[p.cast("string") for p in parts])
+    placed = points.where(usable).select(*names, cell.alias("cell"))
+    counts = placed.groupBy("cell").agg(F.count("*").alias("n"))
+    tagged = materialise(placed.join(counts, "cell").select(*names, "cell", (F.col("n") >= min_samples).alias("crowded")), "tagged")
+    few = tagged.where("not crowded").select(*names)
+    spots = tagged.select(*names)
+
+    own = F.concat(F.lit("p:"), F.col("point").cast("string"))
+    n_near = _meeting(few, spots, max_dist_m, max_alt_m).groupBy(F.col("a_point").alias("point")).agg(F.count("*").alias("n_near"))
+    lone = materialise(few.join(n_near, "point", "left").where(F.coalesce("n_near", F.lit(0)) + 1 >= min_samples).select(*names, own.alias("node")), "lone_cores")
+    cores = materialise(tagged.where("crowded").select(*names, F.col("cell").alias("node")).union(lone), "cores")
+    links = materialise(_meeting(lone, cores, max_dist_m, max_alt_m).select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct(), "lone_links")
+
+    first = F.min_by(F.struct("point", "lat", "lon", *names[4:]), "point").alias("f")
+    cells = tagged.where("crowded").groupBy("job_id", F.col("cell").alias("node")).agg(first, F.count("*").alias("n")).select("job_id", "node", "n", "f.*")
+    cells = materialise(cells, "cells")
+    # Two cells with near points have their firsts within three times the limits.
+    around = _meeting(cells, cells, 3 * max_dist_m, None if max_alt_m is None else 3 * max_alt_m).where("a_node < b_node")
+    around = materialise(around.withColumn("sure", _near(max_dist_m, max_alt_m, None)), "around")
+    links = links.union(around.where("sure").select(F.col("a_node").alias("a"), F.col("b_node").alias("b")))
+    roots = materialise(components(links), "roots")
+    unsure = around.where("not sure").select("a_node", "b_node", "a_n", "b_n")
+    for end in "ab":
+        unsure = unsure.join(roots.select(F.col("node").alias(f"{end}_node"), F.col("root").alias(f"{end}_root")), f"{end}_node", "left").withColumn(f"{end}_root", F.coalesce(f"{end}_root", f"{end}_node"))
+    unsure = unsure.where("a_root <> b_root")
+    for end in "ab":
+        unsure = unsure.withColumn(f"{end}_blocks", F.ceil(F.col(f"{end}_n") / block).cast("int")).withColumn(f"{end}_block", F.explode(F.sequence(F.lit(0), F.col(f"{end}_blocks") - 1)))
+    unsure = materialise(unsure, "unsure")
+    sides = []
+    for end in "ab":
+        spot = cores.select(F.col("node").alias(f"{end}_node"), *[F.col(c).alias(f"{end}_{c}") for c in names[1:]])
+        mine = unsure.join(spot, f"{end}_node").where(F.pmod(F.xxhash64(f"{end}_point"), F.col(f"{end}_blocks")) == F.col(f"{end}_block"))
+        sides.append(mine.select("a_node", "b_node", "a_block", "b_block", *[f"{end}_{c}" for c in names[1:]]))
+    met = sides[0].join(sides[1], ["a_node", "b_node", "a_block", "b_block"]).where(_near(max_dist_m, max_alt_m, None))
+    links = links.union(met.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct())
+    roots = components(links)
+    rooted = cores.join(roots, "node", "left").select("job_id", "point", F.coalesce("root", "node").alias("root"))
+    labelled = materialise(_numbered(rooted), "labelled")
+    rest = few.join(lone.select("point"), "point", "left_anti").select(*names)
+    edge = _meeting(rest, cores.select(*names).join(labelled, "point"), max_dist_m, max_alt_m).groupBy(F.col("a_point").alias("a")).agg(F.min("b_label").alias("edge_label"))
+    return _labels(points, labelled, edge)
+
+
 #: Fields of a photo's details, and what they are called in a clustering's result.
 DETAILS = {"device": "device", "focal_length": "focal_length", "exposure_time": "exposure_time", "iso": "iso_speed_rating", "flash": "flash", "orientation": "orientation", "gps_img_direction": "gps_img_direction"}
 

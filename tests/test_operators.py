@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import json
 import math
+import random
 import struct
 
 import pytest
@@ -267,3 +268,32 @@ def test_neighbours_meet_across_the_meridian_and_the_poles(spark):
         assert sorted((r.a, r.b) for r in clustering.neighbours(points, far).collect()) == want and (0, 1) in want and (6, 7) in want
     labels = {r.point: r.label for r in clustering.density_clusters(points, 3, 20.0).collect()}
     assert labels[0] == labels[1] == labels[2] >= 0
+
+
+@pytest.mark.parametrize("alt", [None, 5.0])
+def test_density_clusters_by_cells_are_those_by_pairs(spark, alt):
+    pick = random.Random(3)
+    data = []
+    for job in range(3):
+        for _ in range(14):
+            lat, lon, height = pick.choice([0.0, 60.0, -89.9995, 45.0]) + pick.random() * 0.002, pick.choice([179.9995, 10.0]) + pick.random() * 0.001, pick.random() * 20
+            for _ in range(pick.randrange(1, 25)):
+                east = lon + pick.gauss(0, 0.00006)
+                data.append((job, len(data), lat + pick.gauss(0, 0.00004), east - 360 if east > 180 else east, height + pick.gauss(0, 2)))
+    data += [(9, 5000, None, 1.0, 1.0), (9, 5001, 1.0, 1.0, None)]
+    points = spark.createDataFrame(data, "job_id long, point long, lat double, lon double, alt double")
+    by_pairs = clustering._by_pairs(points, 4, 12.0, alt, None)
+    assert rows(clustering.density_clusters(points, 4, 12.0, alt)) == rows(by_pairs) and by_pairs.select("label").distinct().count() > 3
+
+
+def test_a_crowd_in_one_place_is_not_paired(spark, monkeypatch):
+    """5,000 points within a metre, a chain of crowded cells, and a lone point at its end."""
+    met = []
+    real = clustering._meeting
+    monkeypatch.setattr(clustering, "_meeting", lambda *a, **k: met.append(real(*a, **k)) or met[-1])
+    step = 6 / 111_195
+    data = [(1, k, 10.0 + (k % 7) * 1e-7, 20.0) for k in range(5000)] + [(1, 6000 + k, 10.0 + (k // 20) * step, 20.0) for k in range(200)] + [(1, 7000, 10.0 + 9 * step + 10 / 111_195, 20.0)]
+    points = spark.createDataFrame(data, "job_id long, point long, lat double, lon double")
+    got = clustering.density_clusters(points, 3, 12.0)
+    assert {r.label for r in got.collect()} == {0}
+    assert len(met) == 4
