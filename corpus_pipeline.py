@@ -2,6 +2,9 @@
 
 Each stage works on all that the one before kept, is written as Parquet to the shared folder, and is read again by the next.
 SQL can't express the stages as they stand, so their tests compare them with brute force.
+
+Null, empty and short texts are rejected by the first stage; null ids and sources, ties, repeated rows and empty tables pass through as the operators define it:
+copies of a row are one document after the second stage, and an empty table gives no rows at the end.
 """
 
 from __future__ import annotations
@@ -11,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from shotledger.llm import jaccard, mixing, packing, quality, suffixes
-from shotledger.sources.shared import materialise
+from shotledger.sources.shared import materialise, scratch
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -54,6 +57,7 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with scratch(spark) as kept:
+        for name, stage in STAGES[:-1]:
+            docs = materialise(stage(spark, docs, sf_dir), name)
+        return kept(STAGES[-1][1](spark, docs, sf_dir), STAGES[-1][0])
