@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shotledger.llm import chat, html_text, jaccard, mixing, packing, quality, shards, suffixes, vectors, warc
-from shotledger.sources.shared import new_folder
+from shotledger.sources.shared import new_folder, scratch
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,8 +16,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
-    manifest = warc.write_archives(warc.plan_records(table(spark, sf_dir, "pages")), new_folder(spark, "warc"))
-    return warc.page_rows(warc.read_archives(manifest, payloads=False))
+    with scratch(spark) as kept:
+        manifest = warc.write_archives(warc.plan_records(table(spark, sf_dir, "pages")), new_folder(spark, "warc"))
+        return kept(warc.page_rows(warc.read_archives(manifest, payloads=False)), "records")
 
 
 def op2_product_quantised_links(spark: SparkSession, sf_dir: str) -> DataFrame:

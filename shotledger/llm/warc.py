@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shotledger.sources.shared import materialise
+from shotledger.sources.shared import broadcast_if_small, materialise
 
 #: Fixed values of the formats: skippable frame of a dictionary, frame of data, dictionary, revisit profile.
 DICTIONARY_FRAME, ZSTD_MAGIC = b"\x5d\x2a\x4d\x18", b"\x28\xb5\x2f\xfd"
@@ -46,8 +46,8 @@ RECORDS = (
 def plan_records(pages: DataFrame, min_revisit_bytes: int = 1000, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
     """``page_id, url, payload, digest, refers_to``: the last is the largest id of an equal payload, where that is another page.
 
-    The table joined has one row per repeated payload; a payload that a third of all pages share is one key on the large side
-    only, which adaptive execution splits.
+    The table joined has one row per repeated payload and no payload, so as a rule it is broadcast and payloads aren't shuffled; beyond the bound on its
+    bytes, a payload that a third of all pages share is one key on the large side only, which adaptive execution splits.
     """
     rows = pages.select(
         F.col(id_col).cast("long").alias("page_id"),
@@ -56,7 +56,7 @@ def plan_records(pages: DataFrame, min_revisit_bytes: int = 1000, id_col: str =
     ).withColumns({"digest": F.sha1("payload"), "n": F.octet_length("payload")})
     long_ones = rows.where(F.col("n") >= min_revisit_bytes)
     first = long_ones.groupBy("digest", "n").agg(F.max("page_id").alias("kept_id"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
-    found = rows.join(first, ["digest", "n"], "left")
+    found = rows.join(broadcast_if_small(materialise(first, "repeated")), ["digest", "n"], "left")
     return found.select("page_id", "url", "payload", "digest", F.when(F.col("page_id") != F.col("kept_id"), F.col("kept_id")).alias("refers_to"))
 
 
