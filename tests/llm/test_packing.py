@@ -36,6 +36,34 @@ def test_bound_and_packing(seed):
         assert 0 < at <= 100
 
 
+def fewest(lengths, size):
+    """The least number of sequences, by trying all ways."""
+    best = len(lengths)
+
+    def put(k, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if k == len(lengths):
+            best = len(rooms)
+            return
+        for room in sorted({r for r in rooms if r >= lengths[k]}):
+            i = rooms.index(room)
+            put(k + 1, rooms[:i] + [room - lengths[k]] + rooms[i + 1 :])
+        put(k + 1, [*rooms, size - lengths[k]])
+
+    put(0, [])
+    return best
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_bound_and_packing_against_the_optimum(seed):
+    pick = random.Random(1000 + seed)
+    lengths = sorted((pick.choice([pick.randrange(1, 101), pick.randrange(20, 60), 34, 51]) for _ in range(pick.randrange(1, 11))), reverse=True)
+    least = fewest(lengths, 100)
+    assert packing.lower_bound(np.array(lengths), 100) <= least <= packing.best_fit(np.array(lengths), 100)[2] <= 11 / 9 * least + 1
+
+
 def test_bound_beats_volume():
     assert packing.lower_bound(np.array([51] * 10), 100) == 10
     assert packing.lower_bound(np.array([34] * 9), 100) == 5
@@ -71,6 +99,12 @@ def test_sequences(spark, per_partition):
             assert o == at
             at += n
         assert at <= 1024
+    # The certificates: what a partition is said to need at least is no more than what it was packed into, and certified ones are packed into that.
+    assert all(r.part_bound <= r.part_sequences for r in got)
+    if per_partition > 1000:
+        mixed = [r for r in got if r.length < 1024]
+        (bound,) = {r.part_bound for r in mixed}
+        assert packing.lower_bound(np.array([r.length for r in mixed]), 1024) == bound <= len({r.sequence_id for r in mixed}) == mixed[0].part_sequences
     least = -(-sum(r.length for r in got) // 1024)
     assert len(seqs) <= least * 1.02 + (2 if per_partition > 1000 else 6)
 

@@ -11,6 +11,11 @@ from shotledger.llm import suffixes
 
 def brute(rows, length=100):
     """Every string of ``length`` bytes in the order of ids and places."""
+    return sorted((x for x, _ in brute_kept(rows, length)), key=repr)
+
+
+def brute_kept(rows, length=100):
+    """The digests and the bytes left of each row."""
     seen, out = {}, []
     for i, t in sorted(set(rows), key=lambda r: (r[0] is not None, r[0], (suffixes._checksum((r[1] or "").encode())))):
         raw = (t or "").encode()
@@ -21,9 +26,9 @@ def brute(rows, length=100):
                 cover[s : s + length] = True
         kept = bytes(b for b, c in zip(raw, cover) if not c)
         spans = int(np.sum(np.diff(cover[:-1].astype(int), prepend=0) == 1)) if len(raw) else 0
-        out.append(((i, t), (i, len(raw), len(raw) - len(kept), spans, hashlib.sha256(kept).hexdigest())))
+        out.append(((i, t), ((i, len(raw), len(raw) - len(kept), spans, hashlib.sha256(kept).hexdigest()), kept)))
     found = dict(out)
-    return sorted((found[r] for r in rows), key=repr)
+    return [found[r] for r in rows]
 
 
 def run(spark, rows):
@@ -70,7 +75,8 @@ def test_one_line_in_all_documents(spark, monkeypatch):
 
 
 @pytest.mark.parametrize("most", [512, 3])
-def test_groups_have_all_occurrences(spark, monkeypatch, most):
+def test_groups_and_equal_windows_cover_what_goes(spark, monkeypatch, most):
+    """All that is removed follows from the groups' occurrences but the earliest, and from windows equal to an earlier one; and nothing else does."""
     monkeypatch.setattr(suffixes, "GROUP_WINDOWS", most)
     rows = [r for r in sample(12) if r[0] is not None]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
@@ -78,18 +84,18 @@ def test_groups_have_all_occurrences(spark, monkeypatch, most):
     groups = {}
     for r in suffixes.repeat_groups(docs).collect():
         groups.setdefault((r.grp, r.size), set()).add((r.doc_id, r.tie, r.start))
-    covered = {}
+    gone = {k: np.zeros(len(t), bool) for k, t in text.items()}
     for (_, size), spots in groups.items():
-        assert len(spots) > 1 and len({text[i, tie][a : a + size] for i, tie, a in spots}) == 1
-        for i, tie, a in spots:
-            covered.setdefault((i, tie), set()).update(range(a, a + size))
-    # Bytes that go are in a group, or in a window equal to another; windows that stand once are in groups only.
-    alone = {k: t for k, t in text.items() if list(text.values()).count(t) == 1}
-    seen = {}
-    for k, t in text.items():
-        for a in range(len(t) - 99):
-            seen.setdefault(t[a : a + 100], []).append((*k, a))
-    assert groups and all(len(seen[text[i, tie][a : a + 100]]) > 1 for spots in groups.values() for i, tie, a in spots) and alone
+        assert size >= 100 and len(spots) > 1 and len({text[i, tie][a : a + size] for i, tie, a in spots}) == 1
+        for i, tie, a in sorted(spots)[1:]:
+            gone[i, tie][a : a + size] = True
+    _, covered = suffixes._windows(docs, 100)
+    for part in covered:
+        for r in suffixes._placed(part).collect():
+            gone[r.doc_id, r.tie][r.start : r.stop] = True
+    assert len(groups) > 20
+    want = {(i, suffixes._checksum((t or "").encode())): kept for (i, t), (_, kept) in zip(rows, brute_kept(rows))}
+    assert {k: bytes(np.frombuffer(t, np.uint8)[~gone[k]]) for k, t in text.items()} == want
 
 
 def test_long_texts_in_pieces(spark, monkeypatch):
