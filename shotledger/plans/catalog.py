@@ -11,7 +11,7 @@ from shotledger import schemas
 from shotledger.functions import exif, scalars as X
 from shotledger.operators import clustering, mutations, ordering, relations, states, views
 from shotledger.sources import files, tables
-from shotledger.sources.shared import new_folder
+from shotledger.sources.shared import new_folder, scratch
 from shotledger.streaming import fold as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -209,7 +209,8 @@ SELECT a.cluster_id, a.job_id, a.name, CASE WHEN a.order_index > e.gone THEN a.o
     "clusters",
 )
 def move_to_reserve(spark: SparkSession, d: str) -> DataFrame:
-    return _moved_to_reserve(spark, d)[0].select("cluster_id", "job_id", "name", "order_index")
+    with scratch(spark) as kept:
+        return kept(_moved_to_reserve(spark, d)[0].select("cluster_id", "job_id", "name", "order_index"), "clusters")
 
 
 def _moved_to_reserve(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -230,7 +231,8 @@ FROM n LEFT JOIN e ON e.from_id = n.cluster_id""",
     "clusters",
 )
 def move_to_reserve_photos(spark: SparkSession, d: str) -> DataFrame:
-    return _moved_to_reserve(spark, d)[1].select("photo_id", "cluster_id", "deleted_at", "order_index")
+    with scratch(spark) as kept:
+        return kept(_moved_to_reserve(spark, d)[1].select("photo_id", "cluster_id", "deleted_at", "order_index"), "photos")
 
 
 @query(
@@ -328,10 +330,11 @@ def delete_unassign_clear(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """SELECT 'jobs' AS part, count(*) AS n FROM jobs WHERE status <> 'FAILED'
-UNION ALL SELECT 'photos', count(*) FROM photos WHERE job_id IN (SELECT job_id FROM jobs WHERE status <> 'FAILED')
-UNION ALL SELECT 'clusters', count(*) FROM clusters WHERE job_id IN (SELECT job_id FROM jobs WHERE status <> 'FAILED')
-UNION ALL SELECT 'photo_details', count(*) FROM photos WHERE order_index = 1 AND job_id IN (SELECT job_id FROM jobs WHERE status <> 'FAILED')""",
+    """, j AS (SELECT job_id FROM jobs WHERE status <> 'FAILED')
+SELECT 'jobs' AS part, job_id::VARCHAR AS id FROM j
+UNION ALL SELECT 'photos', photo_id FROM photos WHERE job_id IN (SELECT job_id FROM j)
+UNION ALL SELECT 'clusters', cluster_id FROM clusters WHERE job_id IN (SELECT job_id FROM j)
+UNION ALL SELECT 'photo_details', photo_id FROM photos WHERE order_index = 1 AND job_id IN (SELECT job_id FROM j)""",
     "jobs",
     "photos",
     "clusters",
@@ -341,7 +344,8 @@ def cascade_delete(spark: SparkSession, d: str) -> DataFrame:
     details = photos.where("order_index = 1").select("photo_id", F.lit("camera").alias("device"))
     all_tables = {"jobs": tables.jobs(spark, d), "photos": photos, "clusters": tables.clusters(spark, d), "photo_details": details}
     left = mutations.delete_jobs(all_tables, tables.jobs(spark, d).where("status = 'FAILED'").select("job_id"))
-    parts = [rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("part"), "n") for name, rows in left.items()]
+    keys = {"jobs": "job_id", "photos": "photo_id", "clusters": "cluster_id", "photo_details": "photo_id"}
+    parts = [rows.select(F.lit(name).alias("part"), F.col(keys[name]).cast("string").alias("id")) for name, rows in left.items()]
     return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
 
 
@@ -731,28 +735,27 @@ def streaming_state_fold(spark: SparkSession, d: str) -> DataFrame:
     return streams.fold_all(_state_events(events)).select("job_id", "status", "error", "n_events")
 
 
-@query(
-    """SELECT (SELECT count(*) FROM exports e JOIN users u ON e.job_id = u.user_id WHERE u.user_id % 2 = 0) AS n_known,
-  (SELECT count(*) FROM exports e WHERE e.job_id NOT IN (SELECT user_id FROM users WHERE user_id % 2 = 0)) AS n_unknown""",
-    "users",
-    "exports",
-)
+@query("SELECT e.export_id, e.job_id AS request_id, u.username, u.user_id IS NOT NULL AS is_known FROM exports e LEFT JOIN (SELECT * FROM users WHERE user_id % 2 = 0) u ON e.job_id = u.user_id", "users", "exports")
 def correlate_replies(spark: SparkSession, d: str) -> DataFrame:
-    replies = tables.exports(spark, d).select(F.col("job_id").alias("request_id"), "export_id")
-    known, unknown = states.correlate(replies, tables.users(spark, d).where("user_id % 2 = 0").select(F.col("user_id").alias("request_id")))
-    return known.agg(F.count("*").alias("n_known")).crossJoin(unknown.agg(F.count("*").alias("n_unknown")))
+    replies = tables.exports(spark, d).select("export_id", F.col("job_id").alias("request_id"))
+    known, unknown = states.correlate(replies, tables.users(spark, d).where("user_id % 2 = 0").select(F.col("user_id").alias("request_id"), "username"))
+    unknown = unknown.withColumn("username", F.lit(None).cast("string"))
+    cols = ["export_id", "request_id", "username"]
+    return known.select(*cols, F.lit(True).alias("is_known")).union(unknown.select(*cols, F.lit(False)))
 
 
 @query("SELECT event_id, event_type, round(value, 6) AS value, '{\"event_id\":' || event_id || ',\"event_type\":\"' || event_type || '\"}' AS body FROM events")
 def json_text_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Events written as JSON and as text requests, and read back with a fixed schema."""
     events = tables.scan(spark, d, "events")
-    as_json, as_text = new_folder(spark, "json"), new_folder(spark, "text")
-    files.write_json(events.select("event_id", "event_type", "value"), as_json)
-    files.write_text(files.as_requests(events, "event_id", "event_type"), "body", as_text)
-    back = files.read_json(spark, as_json, "event_id long, event_type string, value double", lines=True)
-    bodies = spark.read.text(as_text).select(F.col("value").alias("body"), F.from_json("value", "event_id long").alias("p"))
-    return back.join(bodies.select("body", F.col("p.event_id").alias("event_id")), "event_id").select("event_id", "event_type", F.round("value", 6).alias("value"), "body")
+    with scratch(spark) as kept:
+        as_json, as_text = new_folder(spark, "json"), new_folder(spark, "text")
+        files.write_json(events.select("event_id", "event_type", "value"), as_json)
+        files.write_text(files.as_requests(events, "event_id", "event_type"), "body", as_text)
+        back = files.read_json(spark, as_json, "event_id long, event_type string, value double", lines=True)
+        bodies = spark.read.text(as_text).select(F.col("value").alias("body"), F.from_json("value", "event_id long").alias("p"))
+        rows = back.join(bodies.select("body", F.col("p.event_id").alias("event_id")), "event_id")
+        return kept(rows.select("event_id", "event_type", F.round("value", 6).alias("value"), "body"), "round_trip")
 
 
 @query(

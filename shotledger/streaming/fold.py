@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from shotledger.operators import states
-from shotledger.sources.shared import new_folder
+from shotledger.sources.shared import new_folder, scratch
 
 
 def event_stream(spark: SparkSession, folder: str, pattern: str, schema, files_per_batch: int = 100) -> DataFrame:
@@ -14,21 +15,25 @@ def event_stream(spark: SparkSession, folder: str, pattern: str, schema, files_p
 
 
 def fold_stream(events: DataFrame, target: str, checkpoint: str, key: str = "job_id"):
-    """Start the query: each batch writes the whole state to a folder of its own number, so that a batch that is run again replaces itself."""
+    """Start the query: each batch writes the states of the keys it changed to a folder of its own number, so that a batch that is run again replaces itself."""
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     folded = states.fold(events, key)
-    return folded.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
+    return folded.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
+
+
+def current(written: DataFrame, key: str = "job_id") -> DataFrame:
+    """Of each key the state of the last batch that changed it."""
+    names = [c for c in written.columns if c != "batch"]
+    return written.groupBy(key).agg(F.max_by(F.struct(*names), F.col("batch")).alias("s")).select("s.*")
 
 
 def fold_all(events: DataFrame, key: str = "job_id") -> DataFrame:
-    """Run the stream over all files there are, and return the last batch's state."""
+    """Run the stream over all files there are, and return the current states."""
     spark = events.sparkSession
-    target, checkpoint = new_folder(spark, "states"), new_folder(spark, "stream")
-    query = fold_stream(events, target, checkpoint, key)
-    query.awaitTermination()
-    done = spark.read.parquet(target)
-    last = done.agg({"batch": "max"}).first()[0]
-    return done.where(done.batch == last).drop("batch")
+    with scratch(spark) as kept:
+        target, checkpoint = new_folder(spark, "states"), new_folder(spark, "stream")
+        fold_stream(events, target, checkpoint, key).awaitTermination()
+        return kept(current(spark.read.parquet(target), key), "states")
