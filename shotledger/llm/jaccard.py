@@ -40,9 +40,9 @@ from shotledger.operators.components import components
 from shotledger.sources.shared import broadcast_if_small, materialise, scratch
 
 #: Bits of a signature; bytes of text in a group; shingles counted by one task at a time; nodes in a block of a crowded shingle.
-BITS, GROUP_BYTES, RANGE_SHINGLES, BLOCK = 2048, 4 << 20, 4 << 20, 512
+BITS, GROUP_BYTES, RANGE_SHINGLES, BLOCK = 2048, 2 << 20, 2 << 20, 512
 #: Most rounds by chance, and how many pairs a row may stand for before another round is worth it.
-ROUNDS, PAIRS_PER_ROW = 8, 16
+ROUNDS, PAIRS_PER_ROW = 8, 4
 
 _FACTOR = 0x9E3779B97F4A7C15
 _INVERSE = pow(_FACTOR, -1, 1 << 64)
@@ -136,10 +136,11 @@ def _print(own: np.ndarray) -> tuple[int, int]:
     return tuple(int((_mix(own ^ np.uint64(k)).sum() + np.uint64(len(own))).view(np.int64)) for k in (0x51ED27, 0xA3C59AC3))
 
 
-def _signature(own: np.ndarray) -> np.ndarray:
+def _signature(own: np.ndarray) -> tuple[np.ndarray, int]:
+    """A bit for each shingle, and how many shingles fell on taken bits."""
     bits = np.zeros(BITS, np.uint8)
     bits[(own >> np.uint64(32)) & np.uint64(BITS - 1)] = 1
-    return np.packbits(bits, bitorder="little").view(np.int64)
+    return np.packbits(bits, bitorder="little").view(np.int64), len(own) - int(bits.sum())
 
 
 def packed(docs: DataFrame, width: int) -> DataFrame:
@@ -220,7 +221,7 @@ def _owned(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[dict
 
 
 def shared_counts(groups: DataFrame, width: int, total: int) -> DataFrame:
-    """``grp, counts``: for the distinct shingles of each group, in order, how many nodes of all groups have them.
+    """``grp, answers``: for the distinct shingles of each group, in order and in ranges, how many other nodes of all groups have them.
 
     ``groups`` has ``grp, places, texts``, ``total`` is the number of shingles in all. Shingles are cut to 8 bits more than it takes to
     number them all, so that few meet by chance, which only makes a count too high. Each group sends its sorted list in
@@ -229,7 +230,7 @@ def shared_counts(groups: DataFrame, width: int, total: int) -> DataFrame:
     """
     bits = min(60, max(16, int(total).bit_length() + 8))
     at_once = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranges = np.uint64(max(1, -(-total // RANGE_SHINGLES), min(at_once, total // (RANGE_SHINGLES // 64))))
+    ranges = np.uint64(max(1, -(-total // RANGE_SHINGLES), min(at_once, total // (RANGE_SHINGLES // 32))))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, _, sets in _owned(batches, width):
@@ -265,7 +266,7 @@ def _ranges(values: np.ndarray, bits: int, ranges: np.uint64) -> tuple[np.ndarra
 def posted(groups: DataFrame, width: int, percent: int, total: int) -> DataFrame:
     """The rarest shingles of each node, as many as the threshold asks for, of which only those that another node has too are rows.
 
-    Rows ``token, node, n, pos`` have a shingle of a prefix; rows ``node, n, sig, items`` have the set of a node with such a shingle, without
+    Rows ``token, node, n, pos`` have a shingle of a prefix; rows ``node, n, sig, slack, items`` have the set of a node with such a shingle, without
     the shingles that no other node has, which can be in no intersection.
     """
     bits = min(60, max(16, int(total).bit_length() + 8))
@@ -294,20 +295,21 @@ def posted(groups: DataFrame, width: int, percent: int, total: int) -> DataFrame
             each = np.array([len(t) for t in tokens])
             a, b = int(each.sum()), len(full)
             node, n = np.array(owners, np.int64), np.array(sizes, np.int64)
-            sigs = pa.array([None] * a + [_signature(x) for x in full], pa.list_(pa.int64()))
+            sigs, slack = zip(*map(_signature, full))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.concat_arrays([pa.array(np.concatenate(tokens)), pa.nulls(b, pa.int64())]),
                     pa.array(np.concatenate([np.repeat(node, each), node])),
                     pa.array(np.concatenate([np.repeat(n, each), n])),
                     pa.concat_arrays([pa.array(np.concatenate(spots), pa.int64()), pa.nulls(b, pa.int64())]),
-                    sigs,
+                    pa.array([None] * a + list(sigs), pa.list_(pa.int64())),
+                    pa.array([None] * a + list(slack), pa.int64()),
                     pa.array([None] * a + [x.astype("<u8").tobytes() for x in full], pa.binary()),
                 ],
-                ["token", "node", "n", "pos", "sig", "items"],
+                ["token", "node", "n", "pos", "sig", "slack", "items"],
             )
 
-    return groups.mapInArrow(run, "token long, node long, n long, pos long, sig array<long>, items binary")
+    return groups.mapInArrow(run, "token long, node long, n long, pos long, sig array<long>, slack long, items binary")
 
 
 def _answers(found: pa.ListScalar) -> np.ndarray:
@@ -321,25 +323,21 @@ def _fits(percent: int, n: Column, m: Column, i: Column, j: Column) -> Column:
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * most >= percent * (n + m))
 
 
-def _bits(one: Column, two: Column, words: int = BITS // 64) -> Column:
-    return sum((F.bit_count(F.get(one, F.lit(k)).bitwiseAND(F.get(two, F.lit(k)))) for k in range(words)), F.lit(0))
-
-
-def _may_share(percent: int, x: str, y: str) -> Column:
-    """Suffix filter: whether two sets can share enough, by their sizes, their shared parts' sizes and signatures."""
-    n, m, s, t, one, two = (F.col(f"{c}_{e}") for c in ("n", "s", "sig") for e in (x, y))
-    most = _bits(one, two) + F.least(s - _bits(one, one), t - _bits(two, two))
-    return (100 + percent) * most >= percent * (n + m)
+def _may_share(percent: int, x: str, y: str, words: int = BITS // 64) -> Column:
+    """Suffix filter: whether two sets can share enough, by their sizes ``n``, signatures ``sig`` and what fell on taken bits, ``slack``; ``x`` and ``y`` are put behind these names."""
+    one, two = F.col(f"sig{x}"), F.col(f"sig{y}")
+    common = sum((F.bit_count(F.get(one, F.lit(k)).bitwiseAND(F.get(two, F.lit(k)))) for k in range(words)), F.lit(0))
+    most = common + F.least(F.col(f"slack{x}"), F.col(f"slack{y}"))
+    return (100 + percent) * most >= percent * (F.col(f"n{x}") + F.col(f"n{y}"))
 
 
 def _links(pairs: DataFrame, sets: DataFrame, tried: DataFrame | None, percent: int) -> tuple[DataFrame, DataFrame]:
     """The pairs ``a, b`` that link, by their whole sets, and all that have been tried by now."""
-    pairs = pairs.distinct()
+    pairs = materialise(pairs.distinct(), "distinct")
     if tried is not None:
-        pairs = pairs.join(tried, ["a", "b"], "left_anti")
-    pairs = materialise(pairs, "pairs")
-    ends = [sets.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), (F.octet_length("items") / 8).cast("long").alias(f"s_{x}"), F.col("sig").alias(f"sig_{x}")) for x in "ab"]
-    left = materialise(pairs.join(ends[0], "a").join(ends[1], "b").where(_may_share(percent, "a", "b")).select("a", "b"), "plausible")
+        pairs = materialise(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+    ends = [sets.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "sig", "slack")]) for x in "ab"]
+    left = materialise(pairs.join(ends[0], "a").join(ends[1], "b").where(_may_share(percent, "_a", "_b")).select("a", "b"), "plausible")
     whole = [sets.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("items").alias(f"items_{x}")) for x in "ab"]
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -374,29 +372,35 @@ def _joined(roots: DataFrame | None, links: DataFrame) -> DataFrame:
 def _mixed(rows: DataFrame, roots: DataFrame) -> tuple[DataFrame, int, int]:
     """Rows under shingles with nodes of several components, with their ``root``; the number of them, and of pairs to try among them.
 
-    ``k`` is the number of a shingle's rows, ``major`` the root of the most of them.
+    A node ``o`` with which all others under its shingle have been compared is left out there. ``k`` is the number of a shingle's rows, ``major`` the root of the most of them.
     """
-    placed = rows.select("token", "node", "n", "pos").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = rows.where("node <> o").select("token", "node", "n", "pos").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     placed = materialise(placed, "placed")
     by_root = placed.groupBy("token", "root").agg(F.count("*").alias("c"))
     by_token = by_root.groupBy("token").agg(F.sum("c").alias("k"), F.count("*").alias("r"), F.max(F.struct("c", "root"))["root"].alias("major"), F.sum(F.col("c") * F.col("c")).alias("same"))
     by_token = materialise(by_token.where("r > 1"), "mixed_tokens")
     rows_left, pairs = by_token.agg(F.sum("k"), F.sum((F.col("k") * F.col("k") - F.col("same")) / 2)).first()
-    return placed.join(by_token.select("token", "k", "major"), "token"), rows_left or 0, pairs or 0
+    return placed.join(broadcast_if_small(by_token.select("token", "k", "major")), "token"), rows_left or 0, pairs or 0
 
 
-def _across(mixed: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
-    """All pairs of nodes of two components that share a shingle and pass the length and positional filter.
+def _across(mixed: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+    """All pairs of nodes of two components that share a shingle and pass the filters.
 
     The nodes under a shingle are cut into blocks and each pair of blocks is a key of its own, so that no task holds a crowded shingle.
     """
     blocks = F.ceil(F.col("k") / block).cast("int")
-    cut = mixed.select("token", "node", "n", "pos", "root", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("own"))
+    # Signatures of half the bits do here: pairs that pass meet the whole ones before they are verified.
+    words = BITS // 64 // 2
+    fold = F.zip_with(F.slice("sig", 1, words), F.slice("sig", 1 + words, words), lambda x, y: x.bitwiseOR(y))
+    short = sets.select("node", (F.octet_length("items") / 8).cast("long").alias("s"), fold.alias("sig"))
+    short = short.select("node", "sig", (F.col("s") - sum((F.bit_count(F.get("sig", F.lit(k))) for k in range(words)), F.lit(0))).alias("slack"))
+    cut = mixed.join(short, "node").select("token", "node", "n", "pos", "root", "sig", "slack", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("own"))
     a = cut.withColumn("i", F.col("own")).withColumn("j", F.explode(F.sequence(F.col("own"), F.col("blocks") - 1))).drop("blocks", "own")
     b = cut.withColumn("j", F.col("own")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("own")))).drop("blocks", "own")
-    b = b.withColumnsRenamed({"node": "m_node", "n": "m", "pos": "m_pos", "root": "m_root"})
-    good = (F.col("root") != F.col("m_root")) & ((F.col("i") != F.col("j")) | (F.col("node") < F.col("m_node"))) & _fits(percent, F.col("n"), F.col("m"), F.col("pos"), F.col("m_pos"))
-    return a.join(b, ["token", "i", "j"]).where(good).select(F.least("node", "m_node").alias("a"), F.greatest("node", "m_node").alias("b"))
+    b = b.withColumnsRenamed({c: f"{c}_" for c in ("node", "n", "pos", "root", "sig", "slack", "token", "i", "j")})
+    same_key = (F.col("token") == F.col("token_")) & (F.col("i") == F.col("i_")) & (F.col("j") == F.col("j_"))
+    good = (F.col("root") != F.col("root_")) & ((F.col("i") != F.col("j")) | (F.col("node") < F.col("node_"))) & _fits(percent, F.col("n"), F.col("n_"), F.col("pos"), F.col("pos_"))
+    return a.join(b, same_key & good & _may_share(percent, "", "_", words)).select(F.least("node", "node_").alias("a"), F.greatest("node", "node_").alias("b"))
 
 
 def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -416,13 +420,14 @@ def _classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
     owned = groups.select("grp", "texts").join(places, "grp")
     answers = shared_counts(owned.select("grp", "places", "texts"), width, total)
     rows = materialise(posted(owned.join(answers, "grp").select("grp", "places", "texts", "answers"), width, percent, total), "posted")
-    sets = rows.where("token is null").select("node", "n", "sig", "items")
+    sets = rows.where("token is null").select("node", "n", "sig", "slack", "items")
     rows = rows.where("token is not null").select("token", "node", "n", "pos")
 
     # The first node under a shingle is that of the least size; of one size two orders are used, so that not all have the same one first.
     at = F.struct("n", F.xxhash64("node", F.col("token").bitwiseAND(F.lit(1))).alias("h"), "node", "pos")
     by_token = rows.groupBy("token").agg(F.count("*").alias("k"), F.min(at).alias("first")).where("k > 1")
-    rows = materialise(rows.join(by_token.select("token", F.col("first.node").alias("o"), F.col("first.n").alias("o_n"), F.col("first.pos").alias("o_pos")), "token"), "shared")
+    by_token = materialise(by_token.select("token", F.col("first.node").alias("o"), F.col("first.n").alias("o_n"), F.col("first.pos").alias("o_pos")), "firsts")
+    rows = materialise(rows.join(broadcast_if_small(by_token), "token"), "shared")
 
     def pairs(rows: DataFrame) -> DataFrame:
         good = (F.col("node") != F.col("o")) & _fits(percent, F.col("n"), F.col("o_n"), F.col("pos"), F.col("o_pos"))
@@ -436,14 +441,15 @@ def _classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
             break
         by_chance = F.struct(F.xxhash64("node", F.col("token").bitwiseAND(F.lit(7)), F.lit(r)).alias("h"), "node", "n", "pos")
         some = mixed.where("root = major").groupBy("token").agg(F.min(by_chance).alias("s")).select("token", F.col("s.node").alias("o"), F.col("s.n").alias("o_n"), F.col("s.pos").alias("o_pos"))
-        links, tried = _links(pairs(mixed.where("root != major").join(some, "token")), sets, tried, percent)
+        mixed = mixed.join(broadcast_if_small(materialise(some, "some")), "token")
+        links, tried = _links(pairs(mixed.where("root != major")), sets, tried, percent)
         roots = _joined(roots, links)
         before = n_pairs
         mixed, n_rows, n_pairs = _mixed(mixed, roots)
-        if n_pairs > 0.9 * before:  # more rounds gain little; what follows is exact in any case
+        if n_pairs > 0.8 * before:  # more rounds gain little; what follows is exact in any case
             break
     if n_pairs:
-        links, tried = _links(_across(mixed, percent), sets, tried, percent)
+        links, tried = _links(_across(mixed, sets, percent), sets, tried, percent)
         roots = _joined(roots, links)
 
     named = nodes.join(roots, "node", "left").select("high", "low", "least", F.coalesce("root", "node").alias("class"))
