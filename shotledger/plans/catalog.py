@@ -860,13 +860,13 @@ def scalar_functions(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """SELECT task, n, seconds, round(mib, 6) AS mib FROM (SELECT event_type AS task, count(*) AS n, sum(epoch(ts) - epoch(date_trunc('day', ts)))::DOUBLE AS seconds, sum(event_id * 3.0 - event_id) / 1048576.0 AS mib FROM events GROUP BY 1)"""
+    """SELECT task, n, round(seconds, 2) AS seconds, round(mib, 6) AS mib FROM (SELECT event_type AS task, count(*) AS n, sum(epoch(ts) - epoch(date_trunc('day', ts)))::DOUBLE AS seconds, sum(event_id * 3.0 - event_id) / 1048576.0 AS mib FROM events GROUP BY 1)"""
 )
 def process_deltas(spark: SparkSession, d: str) -> DataFrame:
     """Run time and growth of memory of each task, from what was measured before and after."""
     rows = tables.scan(spark, d, "events").select(F.col("event_type").alias("task"), F.date_trunc("day", "ts").cast("timestamp_ntz").alias("began"), F.col("ts").alias("ended"), F.col("event_id").alias("before"), (F.col("event_id") * 3).alias("after"))
     deltas = relations.deltas(rows)
-    return deltas.groupBy("task").agg(F.count("*").alias("n"), F.sum("seconds").alias("seconds"), F.round(F.sum("mib"), 6).alias("mib"))
+    return deltas.groupBy("task").agg(F.count("*").alias("n"), F.round(F.sum("seconds"), 2).alias("seconds"), F.round(F.sum("mib"), 6).alias("mib"))
 
 
 MACHINE = """WITH RECURSIVE e AS (SELECT user_id AS job_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, count(*) OVER (PARTITION BY user_id) AS n_events, {wanted} AS s FROM events),
