@@ -92,12 +92,14 @@ SPACES = b" \t\n\v\f\r"
 _ENDS = tuple(x.encode() for x in END_MARKS)
 _SEPARATORS = frozenset(x.encode() for x in SEPARATORS)
 _NOTICE = re.compile("|".join(NOTICES).encode(), re.IGNORECASE)
+#: What each notice begins with, up to its first wildcard: looked for once per document, as few hold any.
+_NOTICE_STARTS = [x.split(".")[0].encode() for x in NOTICES]
 #: Bytes that aren't the first of a character, and white space: deleting them leaves one byte per word character.
 _NOT_COUNTED = bytes(range(0x80, 0xC0)) + SPACES
 
 
-def line_fails(line: bytes, words: list[bytes], rules: Rules) -> bool:
-    """Whether a line with words fails by itself, repetition aside."""
+def line_fails(line: bytes, words: list[bytes], rules: Rules, noticed: bool = True) -> bool:
+    """Whether a line with words fails by itself, repetition aside; ``noticed``: whether its document may hold a notice at all."""
     n = len(words)
     symbols = len(line) - len(line.translate(None, SYMBOLS))
     if symbols >= rules.min_symbols and 100 * symbols >= rules.symbol_pct * n:
@@ -107,7 +109,7 @@ def line_fails(line: bytes, words: list[bytes], rules: Rules) -> bool:
     separators = sum(map(_SEPARATORS.__contains__, words))
     if separators >= 2 and 100 * separators >= rules.separator_pct * n:
         return True
-    return _NOTICE.search(line) is not None
+    return noticed and _NOTICE.search(line) is not None
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -126,6 +128,8 @@ def repeated_words(words: list[bytes]) -> int:
 def judge_text(text: str | None, rules: Rules) -> tuple[int, int, int, int, int, bool, bool, int, int, str]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, lines and characters lost, cleaned text."""
     raw = (text or "").encode()
+    low = raw.lower()
+    noticed = any(x in low for x in _NOTICE_STARTS)
     words: list[bytes] = []
     seen: set[bytes] = set()
     chars = dups = lost_lines = lost = 0
@@ -140,7 +144,7 @@ def judge_text(text: str | None, rules: Rules) -> tuple[int, int, int, int, int,
                 dups += 1
             else:
                 seen.add(line)
-            if repeats or line_fails(line, own, rules):
+            if repeats or line_fails(line, own, rules, noticed):
                 lost += n_chars
                 lost_lines += 1
                 continue
