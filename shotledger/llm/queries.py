@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shotledger.llm import chat, html_text, jaccard, mixing, packing, quality, shards, suffixes, vectors, warc
+from shotledger.llm import chat, filter_audit, html_text, jaccard, mixing, nearest, packing, quality, resampling, shards, suffixes, vectors, warc
 from shotledger.sources.shared import new_folder, scratch
 
 
@@ -61,6 +61,18 @@ def op10_maximal_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digest(suffixes.without_repeats(table(spark, sf_dir, "documents")))
 
 
+def op11_lattice_path_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_arrow_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_adaptive_dimension_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_zstd": op1_warc_zstd,
     "op2_product_quantised_links": op2_product_quantised_links,
@@ -72,6 +84,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_rare_first_jaccard": op8_rare_first_jaccard,
     "op9_time_varying_curriculum": op9_time_varying_curriculum,
     "op10_maximal_repeats": op10_maximal_repeats,
+    "op11_lattice_path_audit": op11_lattice_path_audit,
+    "op12_arrow_importance_resampling": op12_arrow_importance_resampling,
+    "op13_adaptive_dimension_scan": op13_adaptive_dimension_scan,
 }
 
 ORACLES: dict[str, str] = {
@@ -82,4 +97,6 @@ ORACLES: dict[str, str] = {
     "op8_rare_first_jaccard": jaccard.oracle_sql(),
     "op9_time_varying_curriculum": mixing.oracle_sql(),
     "op10_maximal_repeats": suffixes.oracle_sql(),
+    "op11_lattice_path_audit": filter_audit.oracle_sql(),
+    "op12_arrow_importance_resampling": resampling.oracle_sql(),
 }
