@@ -81,15 +81,15 @@ def sync(clusters: DataFrame, photos: DataFrame, payload: DataFrame) -> tuple[Da
     """Clusters and photos after a client's whole view: names, places and members as in the payload.
 
     ``payload`` has ``job_id, cluster_id, name, order_index, photo_ids``. Clusters that aren't of the payload's job are passed over; photos may come from
-    anywhere and are numbered in list order; what a photo leaves behind isn't renumbered. If lists share a photo, the last cluster by place has it.
+    anywhere and are numbered by their place in the list, where unknown ids count too; what a photo leaves behind isn't renumbered. If lists share a photo, the last
+    cluster by place has it. An empty name is a name; a null name or place keeps the old one.
     """
     p = payload.select("job_id", "cluster_id", F.col("name").alias("_name"), F.col("order_index").alias("_index"), "photo_ids")
     known = p.join(clusters.select("cluster_id", "job_id"), ["cluster_id", "job_id"], "left_semi")
     new_clusters = clusters.join(known.drop("photo_ids"), ["cluster_id", "job_id"], "left").withColumns(
-        {"name": F.coalesce(F.nullif("_name", F.lit("")), "name"), "order_index": F.coalesce("_index", "order_index").cast("int")}
+        {"name": F.coalesce("_name", "name"), "order_index": F.coalesce("_index", "order_index").cast("int")}
     )
-    members = known.select("cluster_id", "_index", F.posexplode("photo_ids").alias("_place", "photo_id")).join(photos.select("photo_id"), "photo_id")
-    members = members.withColumn("_place", F.row_number().over(Window.partitionBy("cluster_id").orderBy("_place")) - 1)
+    members = known.select("cluster_id", "_index", F.posexplode("photo_ids").alias("_place", "photo_id"))
     last = members.groupBy("photo_id").agg(F.max_by(F.struct("cluster_id", "_place"), F.struct("_index", "cluster_id", "_place")).alias("_to"))
     new_photos = photos.join(last, "photo_id", "left").withColumns({"cluster_id": F.coalesce("_to.cluster_id", "cluster_id"), "order_index": F.coalesce("_to._place", "order_index").cast("int")})
     return new_clusters.select(*clusters.columns), new_photos.select(*photos.columns)
@@ -171,8 +171,9 @@ def add_photos(clusters: DataFrame, photos: DataFrame, requests: DataFrame) -> D
 def move_photos(clusters: DataFrame, photos: DataFrame, moves: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
     """Photos moved to another cluster of their job at a place, and clusters left empty taken away with the gap closed.
 
-    ``moves`` has ``photo_id, cluster_id, to_index``, one per job at most. A null cluster means the job's reserve cluster, which is made if it
-    isn't there. A source is empty when no active photo but the moved one is in it; the reserve cluster stays.
+    ``moves`` has ``photo_id, cluster_id, to_index``, one per job at most (``replay`` takes many). A null cluster means the job's reserve cluster, which is made if it
+    isn't there. Deleted photos hold no place and keep their number, unless they are moved; a move within a cluster to no place changes nothing. A source is empty
+    when no active photo but the moved one is in it; the reserve cluster stays.
     """
     from shotledger.operators.ordering import close_gap, insert_at
 
@@ -186,7 +187,8 @@ def move_photos(clusters: DataFrame, photos: DataFrame, moves: DataFrame, now: C
     # One row per move: written once, as everything below is made from it.
     wanted = materialise(wanted.join(allowed, ["cluster_id", "job_id"], "left_semi"), "moves")
     made = made.join(wanted, ["cluster_id", "job_id"], "left_semi")
-    new_photos = insert_at(photos, wanted.select("cluster_id", "photo_id", "to_index"))
+    placed = wanted.where("from_id is null or from_id <> cluster_id or to_index is not null").select("cluster_id", "photo_id", "to_index")
+    new_photos = insert_at(photos, placed, counted=F.col("deleted_at").isNull())
     left = wanted.where("from_id <> cluster_id").select(F.col("from_id").alias("cluster_id"))
     # A cluster that a photo left has no other active photo, unless another photo moved in; photos moved away don't count.
     stayed = photos.where("deleted_at is null").select("photo_id", "cluster_id").join(left, "cluster_id", "left_semi").join(wanted.select("photo_id"), "photo_id", "left_anti").select("cluster_id")

@@ -6,24 +6,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def insert_at(rows: DataFrame, moves: DataFrame, parent: str = "cluster_id", key: str = "photo_id") -> DataFrame:
+def insert_at(rows: DataFrame, moves: DataFrame, parent: str = "cluster_id", key: str = "photo_id", counted: Column | None = None) -> DataFrame:
     """``rows`` with the moved one of each parent put at ``to_index`` and the parent's rows numbered from 0.
 
     ``moves`` has one row per parent: ``parent, key, to_index``; an index below 0 counts as 0, one past the end or null appends. Parents
-    without a move stay as they are. The moved row may come from another parent, whose numbers keep their hole.
+    without a move stay as they are. The moved row may come from another parent, whose numbers keep their hole. Rows that aren't ``counted`` hold no
+    place and keep their number, unless they are moved themselves.
     """
     m = moves.select(F.col(parent).alias("_parent"), F.col(key).alias("_key"), "to_index")
     placed = rows.join(m.select("_key", F.col("_parent").alias("_into")), rows[key] == F.col("_key"), "left").withColumn(parent, F.coalesce("_into", parent)).drop("_key", "_into")
     both = placed.join(m, placed[parent] == F.col("_parent"), "left")
     is_moved = F.coalesce(F.col(key) == F.col("_key"), F.lit(False))
-    others = Window.partitionBy(parent).orderBy(is_moved, F.col("order_index").asc_nulls_last(), key)
+    both = both.withColumns({"_moved": is_moved, "_in": F.lit(True) if counted is None else is_moved | counted})
+    others = Window.partitionBy(parent, "_in").orderBy("_moved", F.col("order_index").asc_nulls_last(), key)
     rank = F.row_number().over(others) - 1
-    n = F.count(F.when(~is_moved, 1)).over(Window.partitionBy(parent))
+    n = F.count(F.when(~F.col("_moved"), 1)).over(Window.partitionBy(parent, "_in"))
     target = F.greatest(F.lit(0), F.least(F.coalesce("to_index", "_n"), F.col("_n"))) - F.lit(0.5)
-    spot = F.when(is_moved, target).otherwise(F.col("_rank").cast("double"))
+    spot = F.when(F.col("_moved"), target).otherwise(F.col("_rank").cast("double"))
     numbered = both.withColumns({"_rank": rank, "_n": n}).withColumn("_spot", spot)
-    new = F.row_number().over(Window.partitionBy(parent).orderBy("_spot")) - 1
-    return numbered.withColumn("order_index", F.when(F.col("_parent").isNotNull(), new).otherwise(F.col("order_index")).cast("int")).select(*rows.columns)
+    new = F.row_number().over(Window.partitionBy(parent, "_in").orderBy("_spot")) - 1
+    return numbered.withColumn("order_index", F.when(F.col("_parent").isNotNull() & F.col("_in"), new).otherwise(F.col("order_index")).cast("int")).select(*rows.columns)
 
 
 def open_gap(rows: DataFrame, at: Column, parent: str) -> DataFrame:

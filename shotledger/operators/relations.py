@@ -29,8 +29,8 @@ def ordered_position(rows: DataFrame, parent: str, key: str) -> DataFrame:
 
 def latest_per_job(runs: DataFrame, key: str = "export_id") -> DataFrame:
     """The newest run of each job; one without a creation time counts as newest."""
-    order = Window.partitionBy("job_id").orderBy(F.col("created_at").desc_nulls_first(), F.col(key).asc())
-    return runs.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+    newest = F.min_by(F.struct(*runs.columns), F.struct(F.col("created_at").isNotNull(), -F.unix_micros(F.col("created_at").cast("timestamp")), F.col(key)))
+    return runs.groupBy("job_id").agg(newest.alias("_r")).select(*[F.col(f"_r.{c}").alias(c) for c in runs.columns])
 
 
 def jobs_with_latest_run(jobs: DataFrame, runs: DataFrame, unfinished_only: bool = False) -> DataFrame:
@@ -104,10 +104,9 @@ def in_list_order(lists: DataFrame, photos: DataFrame, by_index: bool = False) -
 
 
 def bucket_folder(photos: DataFrame) -> DataFrame:
-    """Per job the folder its photos lie in: that of the first photo's thumbnail, else of the first photo with a path of its own."""
-    thumb = F.min_by(F.nullif(F.col("thumbnail_path"), F.lit("")), F.struct("order_index", "photo_id"))
-    own = F.min_by("storage_path", F.when(F.nullif(F.col("storage_path"), F.lit("")).isNotNull(), F.struct("order_index", "photo_id")))
-    per_job = photos.groupBy("job_id").agg(thumb.alias("thumb"), own.alias("own"), F.count("*").alias("photo_cnt"))
+    """Per job the folder its photos lie in: that of the first thumbnail there is, else of the first photo with a path of its own."""
+    first = lambda c: F.min_by(c, F.when(F.nullif(F.col(c), F.lit("")).isNotNull(), F.struct(F.col("order_index").isNull(), "order_index", "photo_id")))
+    per_job = photos.groupBy("job_id").agg(first("thumbnail_path").alias("thumb"), first("storage_path").alias("own"), F.count("*").alias("photo_cnt"))
     return per_job.select("job_id", F.coalesce(X.parent(F.col("thumb")), X.parent(F.col("own"))).alias("bucket_path"), "photo_cnt")
 
 

@@ -92,9 +92,7 @@ def jobs_with_owner(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT job_id, count(*) AS n_all, count(*) FILTER (deleted_at IS NULL) AS n_active FROM photos GROUP BY job_id", "photos")
 def active_photos(spark: SparkSession, d: str) -> DataFrame:
-    photos = tables.photos(spark, d)
-    live = relations.active(photos).groupBy("job_id").agg(F.count("*").alias("n"))
-    return photos.groupBy("job_id").agg(F.count("*").alias("n_all")).join(live, "job_id", "left").select("job_id", "n_all", F.coalesce("n", F.lit(0)).alias("n_active"))
+    return tables.photos(spark, d).groupBy("job_id").agg(F.count("*").alias("n_all"), F.count_if(F.col("deleted_at").isNull()).alias("n_active"))
 
 
 @query(
@@ -185,16 +183,17 @@ def reindex_insert(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """SELECT photo_id, into_id AS cluster_id, (CASE WHEN into_id = target THEN row_number() OVER (PARTITION BY into_id ORDER BY photo_id <> moved, order_index, photo_id) - 1 ELSE order_index END)::INT AS order_index
-FROM (SELECT p.*, m.moved, t.target, CASE WHEN photo_id = m.moved AND t.target IS NOT NULL THEN t.target ELSE cluster_id END AS into_id FROM photos p
+    """, n AS (SELECT p.*, m.moved, t.target, CASE WHEN photo_id = m.moved AND t.target IS NOT NULL THEN t.target ELSE cluster_id END AS into_id FROM photos p
   JOIN (SELECT job_id, min(photo_id) AS moved FROM photos GROUP BY 1) m USING (job_id)
-  LEFT JOIN (SELECT job_id, max(cluster_id) AS target FROM photos GROUP BY 1) t USING (job_id))""",
+  LEFT JOIN (SELECT job_id, max(cluster_id) AS target FROM photos GROUP BY 1) t USING (job_id))
+SELECT photo_id, into_id AS cluster_id, (CASE WHEN into_id = target AND (photo_id = moved OR deleted_at IS NULL)
+  THEN (SELECT count(*) FROM n o WHERE o.into_id = n.into_id AND n.photo_id <> n.moved AND (o.photo_id = o.moved OR (o.deleted_at IS NULL AND (o.order_index, o.photo_id) < (n.order_index, n.photo_id)))) ELSE order_index END)::INT AS order_index FROM n""",
     "photos",
 )
 def move_between(spark: SparkSession, d: str) -> DataFrame:
     photos = tables.photos(spark, d)
     moves = photos.groupBy("job_id").agg(F.max("cluster_id").alias("cluster_id"), F.min("photo_id").alias("photo_id")).select("cluster_id", "photo_id", F.lit(0).alias("to_index"))
-    return ordering.insert_at(photos, moves).select("photo_id", "cluster_id", "order_index")
+    return ordering.insert_at(photos, moves, counted=F.col("deleted_at").isNull()).select("photo_id", "cluster_id", "order_index")
 
 
 @query(
@@ -221,11 +220,13 @@ def _moved_to_reserve(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame
 
 @query(
     f""", m AS (SELECT p.job_id, min(p.photo_id) AS moved FROM photos p GROUP BY 1), t AS (SELECT m.*, coalesce(r.cluster_id, m.job_id || '-reserve') AS to_id FROM m LEFT JOIN (SELECT job_id, cluster_id FROM clusters WHERE name = 'reserve') r USING (job_id)),
-n AS (SELECT p.photo_id, p.job_id, p.deleted_at, p.order_index, p.cluster_id AS from_id, t.to_id, CASE WHEN p.photo_id = t.moved THEN t.to_id ELSE p.cluster_id END AS cluster_id, p.photo_id = t.moved AS is_moved FROM photos p JOIN t USING (job_id)),
+n AS (SELECT p.photo_id, p.job_id, p.deleted_at, p.order_index, p.cluster_id AS from_id, t.to_id, CASE WHEN p.photo_id = t.moved THEN t.to_id ELSE p.cluster_id END AS cluster_id, p.photo_id = t.moved AS is_moved,
+  EXISTS (SELECT 1 FROM photos q WHERE q.photo_id = t.moved AND q.cluster_id <> t.to_id) AS came FROM photos p JOIN t USING (job_id)),
 e AS (SELECT DISTINCT n.from_id FROM n JOIN clusters c ON c.cluster_id = n.from_id WHERE n.is_moved AND n.from_id <> n.to_id AND c.name <> 'reserve'
   AND NOT EXISTS (SELECT 1 FROM photos p WHERE p.cluster_id = n.from_id AND p.photo_id <> n.photo_id AND p.deleted_at IS NULL))
 SELECT photo_id, CASE WHEN e.from_id IS NULL THEN n.cluster_id END AS cluster_id, CASE WHEN e.from_id IS NULL THEN n.deleted_at ELSE TIMESTAMP '{NOW}' END AS deleted_at,
-  (CASE WHEN n.cluster_id = n.to_id THEN row_number() OVER (PARTITION BY n.cluster_id ORDER BY is_moved, order_index, photo_id) - 1 ELSE order_index END)::INT AS order_index
+  (CASE WHEN n.cluster_id = n.to_id AND came AND (is_moved OR n.deleted_at IS NULL) THEN (SELECT count(*) FROM n o WHERE o.cluster_id = n.cluster_id AND o.photo_id <> n.photo_id AND o.deleted_at IS NULL
+    AND NOT o.is_moved AND (n.is_moved OR (o.order_index, o.photo_id) < (n.order_index, n.photo_id))) ELSE order_index END)::INT AS order_index
 FROM n LEFT JOIN e ON e.from_id = n.cluster_id""",
     "photos",
     "clusters",
@@ -282,12 +283,12 @@ def top3_layout(spark: SparkSession, d: str) -> DataFrame:
 @query(
     """, p AS (SELECT c.job_id, c.cluster_id, CASE WHEN c.order_index % 2 = 0 THEN 'renamed ' || c.cluster_id ELSE '' END AS name, c.order_index + 10 AS idx,
   min(c.order_index + 10) OVER (PARTITION BY c.job_id) AS first_idx, max(c.order_index + 10) OVER (PARTITION BY c.job_id) AS last_idx FROM clusters c WHERE c.name <> 'reserve'),
-own AS (SELECT p.job_id, p.cluster_id, p.idx, p.first_idx, p.last_idx, ph.photo_id, row_number() OVER (PARTITION BY p.cluster_id ORDER BY ph.order_index DESC, ph.photo_id DESC) - 1 AS place, count(*) OVER (PARTITION BY p.cluster_id) AS n FROM p JOIN photos ph USING (cluster_id)),
+own AS (SELECT p.job_id, p.cluster_id, p.idx, p.first_idx, p.last_idx, ph.photo_id, row_number() OVER (PARTITION BY p.cluster_id ORDER BY ph.order_index DESC, ph.photo_id DESC) - 1 + (p.idx % 2 = 0)::INT AS place, count(*) OVER (PARTITION BY p.cluster_id) + (p.idx % 2 = 0)::INT AS n FROM p JOIN photos ph USING (cluster_id)),
 claimed AS (SELECT l.cluster_id, l.idx, f.photo_id, l.n + f.place AS place FROM (SELECT DISTINCT job_id, cluster_id, idx, n FROM own WHERE idx = last_idx AND first_idx <> last_idx) l JOIN own f ON f.job_id = l.job_id AND f.idx = f.first_idx),
 known AS (SELECT * FROM p WHERE NOT (job_id % 10 = 3 AND idx = 11)),
 m AS (SELECT photo_id, arg_max(cluster_id, idx) AS cluster_id, arg_max(place, idx) AS place FROM (SELECT photo_id, cluster_id, idx, place FROM own UNION ALL SELECT photo_id, cluster_id, idx, place FROM claimed) WHERE cluster_id IN (SELECT cluster_id FROM known) GROUP BY 1),
 t AS (SELECT ph.photo_id, coalesce(m.cluster_id, ph.cluster_id) AS cluster_id, coalesce(m.place, ph.order_index)::INT AS order_index FROM photos ph LEFT JOIN m USING (photo_id))
-SELECT t.photo_id, t.cluster_id, t.order_index, coalesce(nullif(k.name, ''), c.name) AS cluster_name, coalesce(k.idx, c.order_index)::INT AS cluster_index FROM t JOIN clusters c USING (cluster_id) LEFT JOIN known k USING (cluster_id)""",
+SELECT t.photo_id, t.cluster_id, t.order_index, coalesce(k.name, c.name) AS cluster_name, coalesce(k.idx, c.order_index)::INT AS cluster_index FROM t JOIN clusters c USING (cluster_id) LEFT JOIN known k USING (cluster_id)""",
     "clusters",
     "photos",
 )
@@ -296,6 +297,8 @@ def sync_apply(spark: SparkSession, d: str) -> DataFrame:
     lists = photos.groupBy("cluster_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("order_index", "photo_id")), asc=False), lambda x: x["photo_id"]).alias("photo_ids"))
     name = F.when(F.col("order_index") % 2 == 0, F.concat(F.lit("renamed "), "cluster_id")).otherwise("")
     payload = clusters.where(F.col("name") != schemas.RESERVE).join(lists, "cluster_id").select("job_id", "cluster_id", name.alias("name"), (F.col("order_index") + 10).alias("order_index"), "photo_ids")
+    # Every other list begins with an id that nobody has, which holds its place.
+    payload = payload.withColumn("photo_ids", F.when(F.col("order_index") % 2 == 0, F.concat(F.array(F.lit("nobody")), "photo_ids")).otherwise(F.col("photo_ids")))
     # Some clusters are named under another job, which passes them over; the last cluster of every job also claims the photos of the first.
     first = payload.groupBy("job_id").agg(F.min_by("photo_ids", "order_index").alias("claimed"), F.max("order_index").alias("last"), F.min("order_index").alias("first"))
     payload = payload.join(first, "job_id").withColumn("photo_ids", F.when((F.col("order_index") == F.col("last")) & (F.col("first") != F.col("last")), F.concat("photo_ids", "claimed")).otherwise(F.col("photo_ids"))).drop("claimed", "last", "first")
@@ -668,7 +671,7 @@ def task_histogram(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """SELECT job_id, count(*) AS photo_cnt, CASE WHEN list(thumbnail_path ORDER BY order_index, photo_id)[1] = '' THEN 'photos/original' ELSE 'photos/thumbnail' END AS bucket_path
+    """SELECT job_id, count(*) AS photo_cnt, CASE WHEN bool_or(coalesce(thumbnail_path, '') <> '') THEN 'photos/thumbnail' ELSE 'photos/original' END AS bucket_path
 FROM photos GROUP BY job_id""",
     "photos",
 )
