@@ -521,14 +521,20 @@ def _cluster_replies(spark: SparkSession, d: str, photos: DataFrame) -> DataFram
     return text.select(F.from_json("body", schemas.PAYLOADS["cluster_result"], {"mode": "FAILFAST"}).alias("p")).select("p.*")
 
 
-def _applied(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+def before_replies(spark: SparkSession, d: str) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """The clustering worker's replies, and the tables as they were before."""
     photos = tables.photos(spark, d).withColumns({"meta_lat": F.lit(None).cast("double"), "meta_lon": F.lit(None).cast("double")})
     jobs = tables.jobs(spark, d).withColumn("construction_type", F.lit(""))
     none = F.lit(None)
     runs = jobs.select(F.concat(F.lit("run-"), "job_id").alias("cluster_job_id"), "job_id", none.cast("string").alias("error_message"), none.cast("string").alias("result"), none.cast("timestamp_ntz").alias("finished_at"))
     fields = [none.cast(t).alias(c) for c, t in (("focal_length", "double"), ("exposure_time", "double"), ("iso", "int"), ("flash", "int"), ("orientation", "int"), ("gps_img_direction", "double"))]
     details = photos.where("order_index = 1").select("photo_id", F.lit("old").alias("device"), *fields)
-    return clustering.apply_replies(_cluster_replies(spark, d, photos), runs, jobs, tables.clusters(spark, d), photos, details, F.lit(NOW).cast("timestamp_ntz"))
+    return _cluster_replies(spark, d, photos), {"runs": runs, "jobs": jobs, "clusters": tables.clusters(spark, d), "photos": photos, "details": details}
+
+
+def _applied(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    replies, before = before_replies(spark, d)
+    return clustering.apply_replies(replies, **before, now=F.lit(NOW).cast("timestamp_ntz"))
 
 
 @query(

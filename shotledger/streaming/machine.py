@@ -27,33 +27,45 @@ class _Machine(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("state", "status string")
+        self.state = handle.getValueState("state", "status string, due_ms long")
         self.waiting = handle.getListState("waiting", "us long, event_id long, status string")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         new = [(int(us), int(i), s) for part in rows for us, i, s in zip(part["us"], part["event_id"], part["status"]) if not pd.isna(i)]
         if new:
             self.waiting.appendList(new)
-            # In whole milliseconds, not before the event.
-            for ms in {-(-us // 1000) for us, _, _ in new}:
-                self.handle.registerTimer(ms)
+            status, due = self.state.get() if self.state.exists() else (None, None)
+            first = self._due(new)
+            if due is None or first < due:
+                self._wake(status, first, due)
         return iter(())
 
+    @staticmethod
+    def _due(events: list[tuple]) -> int:
+        """When the first of the events is ripe: in whole milliseconds, not before it."""
+        return -(-min(e[0] for e in events) // 1000)
+
+    def _wake(self, status: str | None, due: int | None, before: int | None = None) -> None:
+        """One timer per key, for the first event that waits."""
+        if before is not None:
+            self.handle.deleteTimer(before)
+        if due is not None:
+            self.handle.registerTimer(due)
+        self.state.update((status, due))
+
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         upto = timerValues.getCurrentWatermarkInMs() * 1000
         waiting = list(self.waiting.get())
         ripe = sorted(e for e in waiting if e[0] <= upto)
-        if not ripe:  # another timer of this batch has applied them
-            return
         rest = [e for e in waiting if e[0] > upto]
         self.waiting.put(rest) if rest else self.waiting.clear()
-        state = self.state.get()[0] if self.state.exists() else None
+        state = self.state.get()[0]
         out = []
         for us, event_id, wanted in ripe:
             taken = wanted in self.steps.get(state, ())
             state = wanted if taken else state
             out.append((*key, event_id, us, wanted, state, taken))
-        self.state.update((state,))
+        self._wake(state, self._due(rest) if rest else None)
         yield pd.DataFrame(out, columns=["key", "event_id", "us", "wanted", "status", "taken"])
 
 

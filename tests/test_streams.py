@@ -8,8 +8,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from shotledger.operators import states
-from shotledger.streaming import machine
+from shotledger.operators import clustering, states
+from shotledger.plans import catalog
+from shotledger.sources import versions
+from shotledger.streaming import apply, correlation, machine
 from tests.test_operators import rows
 
 EVENTS = "job_id long, event_id long, ts timestamp, status string"
@@ -83,3 +85,87 @@ def test_late_events_are_unheard(spark, tmp_path):
     log = folder.finish()
     assert {r.event_id: (r.status, r.taken) for r in log.collect()} == {1: ("PENDING", True), 2: ("EXPORTED", True), 4: ("PENDING", True), 5: ("FAILED", True)}
     assert [r.event_id for r in machine.unheard(spark.createDataFrame(first + late, EVENTS), log).collect()] == [3]
+
+
+ASKED, SAID = "request_id string, asked_at timestamp", "request_id string, answered_at timestamp, status string"
+
+
+class Two:
+    """Requests and replies in two folders."""
+
+    def __init__(self, spark, path):
+        self.spark, self.path, self.n = spark, path, 0
+        for name in ("asked", "said"):
+            (path / name).mkdir()
+
+    def add(self, asked, said):
+        self.n += 1
+        for name, rows_, schema in (("asked", asked, ASKED), ("said", said, SAID)):
+            if rows_:
+                self.spark.createDataFrame(rows_, schema).coalesce(1).write.parquet(f"{self.path}/tmp-{name}-{self.n}")
+                (part,) = (self.path / f"tmp-{name}-{self.n}").glob("part-*.parquet")
+                part.rename(self.path / name / f"{self.n:04d}.parquet")
+
+    def run(self):
+        source = lambda name, schema: self.spark.readStream.schema(schema).parquet(f"{self.path}/{name}")
+        machine.write_log(correlation.correlated(source("asked", ASKED), source("said", SAID)), f"{self.path}/log", f"{self.path}/checkpoint")
+        found = self.spark.read.schema("request_id string, asked_at timestamp, answered_at timestamp, status string, outcome string").parquet(f"{self.path}/log")
+        return sorted((r.request_id, r.outcome, r.status) for r in found.collect())
+
+
+def test_requests_and_replies(spark, tmp_path):
+    two = Two(spark, tmp_path)
+    two.add([("a", at(0)), ("b", at(10)), ("c", at(20)), ("e", at(30))], [("a", at(60), "completed"), ("x", at(70), "completed"), ("e", at(40), "failed"), ("e", at(41), "failed")])
+    assert two.run() == [("a", "answered", "completed"), ("e", "answered", "failed")]
+    # The same reply again, one before its request, one that is an hour late; and time goes on.
+    two.add([("d", at(900)), ("f", at(300))], [("a", at(65), "completed"), ("d", at(950), "failed"), ("b", at(3700), "completed")])
+    got = two.run()
+    assert ("d", "answered", "failed") in got and got.count(("a", "answered", "completed")) == 1
+    two.add([(None, at(100_000))], [(None, at(100_000), None)])
+    want = [("a", "answered", "completed"), ("b", "unanswered", None), ("b", "unknown", "completed"), ("c", "unanswered", None), ("d", "answered", "failed"), ("e", "answered", "failed"), ("f", "unanswered", None), ("x", "unknown", "completed")]
+    assert two.run() == want
+
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def test_replies_are_applied_once(spark, tmp_path, monkeypatch):
+    replies, before = catalog.before_replies(spark, SMALL)
+    some = [r["job_id"] for r in before["jobs"].orderBy("job_id").limit(40).collect()]
+    before = {n: t.where(F.col("job_id").isin(some)) for n, t in before.items() if n != "details"} | {"details": before["details"]}
+    photos = before["photos"].select("photo_id")
+    before["details"] = before["details"].join(photos, "photo_id", "left_semi")
+    replies = replies.where(F.regexp_extract("request_id", r"\d+", 0).cast("long").isin(some + [-5])).union(replies.limit(1).withColumn("request_id", F.lit("run-nobody")))
+    now = F.lit(catalog.NOW).cast("timestamp_ntz")
+    want = clustering.apply_replies(replies, **before, now=now)
+    store = versions.Store(spark, f"file://{tmp_path}/store")
+    apply.lay_out(store, before, 8)
+    (tmp_path / "drop").mkdir()
+    parts = replies.collect()
+    for k in range(3):
+        spark.createDataFrame(parts[k::3], replies.schema).coalesce(1).write.parquet(f"{tmp_path}/tmp{k}")
+        (part,) = (tmp_path / f"tmp{k}").glob("part-*.parquet")
+        part.rename(tmp_path / "drop" / f"{k}.parquet")
+    stream = lambda: spark.readStream.schema(replies.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/drop")
+    fine = versions.Transaction.commit
+    calls = []
+
+    def fails_once(t):
+        calls.append(1)
+        if len(calls) == 2:
+            raise OSError("the driver is lost before the second commit")
+        fine(t)
+        if len(calls) == 4:
+            raise OSError("and after the third, before the stream knows")
+
+    monkeypatch.setattr(versions.Transaction, "commit", fails_once)
+    for _ in range(2):
+        with pytest.raises(Exception, match="lost|stream knows|OSError"):
+            apply.apply_stream(stream(), store, "replies", f"{tmp_path}/checkpoint", now)
+    apply.apply_stream(stream(), store, "replies", f"{tmp_path}/checkpoint", now)
+    assert store.versions() == [1, 2, 3, 4] and store.applied("replies") == 2
+    assert not apply.apply_batch(store, "replies", 2, replies, now)
+    for name in apply.KEYS:
+        columns = sorted(set(want[name].columns) & set(store.read(name).columns) - {"result"})
+        text = lambda df: sorted(repr(tuple(r)) for r in df.select(*columns).collect())
+        assert text(store.read(name)) == text(want[name]), name
