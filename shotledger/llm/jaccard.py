@@ -459,14 +459,23 @@ def _classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
     return summary.join(by_set, ["high", "low"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("lowest")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def one_per_class(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` whose id is the least of their class; equal rows of one id and text are one.
 
     Rows with one id but texts of which neither is the other's copy are told apart by nothing and stay together.
     """
     found = classes(docs, width, percent)
-    kept = materialise(found.where("doc_id <=> component_id").groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("n")), "kept")
-    rows = docs.join(broadcast_if_small(kept.select("kept_id")), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    kept = materialise(found.where("doc_id <=> component_id").groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
+    own = unused(docs, "kept_id")
+    rows = docs.join(broadcast_if_small(kept.select(F.col("doc_id").alias(own))), F.col("doc_id").eqNullSafe(F.col(own)), "left_semi")
     # Ids are unique as a rule; only otherwise are texts shuffled for this.
     return rows if kept.where("n > 1").isEmpty() else rows.dropDuplicates(["doc_id", "text"])
 

@@ -92,7 +92,7 @@ def curriculum(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_epochs:
     """
     extra = [F.col(f"`{c}`").alias(f"keep_{c}") for c in keep]
     sized = materialise(
-        docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("key"), *extra),
+        docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("-"), F.md5(F.coalesce("text", F.lit("")))))).alias("key"), *extra),
         "sizes",
     )
     n_buckets = 16 ** max(0, math.ceil(math.log(max(1, sized.count()) / rows_per_bucket, 16)))
@@ -134,10 +134,12 @@ def curriculum(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_epochs:
     final = joined.join(best, F.col("source").eqNullSafe(F.col("source_")), "left").drop("source_")
     added = F.coalesce((F.col("best.key") == F.col("key")) & (F.col("best.nth") == F.col("nth")) & ~F.col("more"), F.lit(False))
     copies = F.col("epochs") + F.when(F.col("more") | added, 1).otherwise(0)
-    middle = lambda i: F.least(F.col("target"), i * F.col("source_size") + F.col("start") + F.col("size") / 2.0)
+    # Rounded, so that positions don't hang on the order in which a target was summed.
+    demand = F.round("target", 6)
+    middle = lambda i: F.least(demand, i * F.col("source_size") + F.col("start") + F.col("size") / 2.0)
     return (
         final.withColumn("copies", copies)
-        .withColumn("positions", F.when((F.col("copies") > 0) & (F.col("target") > 0), F.transform(F.sequence(F.lit(0), F.col("copies") - 1), lambda i: _position(middle(i), F.col("target"), F.col("schedule")))).otherwise(F.array().cast("array<double>")))
+        .withColumn("positions", F.when((F.col("copies") > 0) & (F.col("target") > 0), F.transform(F.sequence(F.lit(0), F.col("copies") - 1), lambda i: _position(middle(i), demand, F.col("schedule")))).otherwise(F.array().cast("array<double>")))
         .withColumn("taken", F.col("copies") * F.col("size"))
         .select("doc_id", "source", "size", "source_size", "weight", "target", "copies", "taken", "positions", *[F.col(f"keep_{c}").alias(f"keep_{c}") for c in keep])
     )
@@ -182,30 +184,41 @@ def _scheduled(docs: DataFrame, **options: object) -> DataFrame:
 def mixed(docs: DataFrame, **options: object) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it, range-sorted by training position.
 
-    The plan is made without texts and joined to them by id; rows whose ids aren't unique carry their columns through the plan.
+    The plan is made without texts and joined to them once, by id; rows whose ids aren't unique are written with a number for that.
     """
     names = docs.columns
-    unique = docs.groupBy("doc_id").count().where("count > 1").isEmpty()
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"keep_{c}") for c in names])
+    repeated = not docs.groupBy("doc_id").count().where("count > 1").isEmpty()
     with scratch(docs.sparkSession) as kept:
-        plan = curriculum(docs, keep=() if unique else names, **options).where(F.size("positions") > 0)
-        plan = kept(plan.select("doc_id", *[f"keep_{c}" for c in ([] if unique else names)], "positions"), "plan")
-    if unique:
-        plan = plan.withColumnRenamed("doc_id", "plan_id")
-        taken = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("plan_id"))).select(*[F.col(f"`{c}`").alias(f"keep_{c}") for c in names], "positions")
-    else:
-        taken = plan.drop("doc_id")
+        if repeated:
+            rows = kept(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
+        else:
+            rows = rows.withColumn("row", F.col("keep_doc_id"))
+        plan = curriculum(rows.select("row", *[F.col(f"keep_{c}").alias(c) for c in ("doc_id", "source", "text")]), keep=("row",), **options)
+        plan = kept(plan.where(F.size("positions") > 0).select(F.col("keep_row").alias("planned_row"), "positions"), "plan")
+    taken = rows.join(plan, F.col("row").eqNullSafe(F.col("planned_row")))
     copies = taken.select(*[F.col(f"keep_{c}") for c in names], F.posexplode("positions").alias("copy", "position"))
     return copies.orderBy("position", "keep_source", "keep_doc_id", "copy").select(*[F.col(f"keep_{c}").alias(c) for c in names])
 
 
 def oracle_sql() -> str:
-    """What each document is taken, as SQL: the targets by repeated resharing, the rest by running sums over whole sources."""
+    """What each document is taken and when, as SQL: the targets by repeated resharing, the rest by running sums over whole sources, positions phase by phase."""
     word = r"[^\x20\x09-\x0D]+"
+
+    def position(schedule: Sequence[float]) -> str:
+        whole, done, t = sum(schedule), "0.0::DOUBLE", "0.0::DOUBLE"
+        for w in schedule:
+            part = f"({w}::DOUBLE / {whole}::DOUBLE)"
+            t = f"({t} + greatest(0.0::DOUBLE, least(1.0::DOUBLE, (share - {done}) / {part})) * (1.0::DOUBLE / {len(schedule)}))"
+            done = f"({done} + {part})"
+        return t
+
+    positions = " ".join(f"WHEN {k} THEN {position(schedule)}" for k, schedule in enumerate(SCHEDULES))
     return f"""
-WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{word}'))::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '')) AS key,
+WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{word}'))::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '-' || md5(coalesce(text, '')))) AS key,
                             row_number() OVER () AS r FROM documents),
 s0 AS (SELECT coalesce(source, '') AS sk, source IS NULL AS sn, sum(size)::BIGINT AS ss FROM d GROUP BY 1, 2),
-s AS (SELECT *, ((row_number() OVER (ORDER BY sn, sk) - 1) % 3 + 1)::DOUBLE AS w FROM s0),
+s AS (SELECT *, ((row_number() OVER (ORDER BY sn, sk) - 1) % 3 + 1)::DOUBLE AS w, (row_number() OVER (ORDER BY sn, sk) - 1) % {len(SCHEDULES)} AS sched FROM s0),
 tot AS (SELECT sum(ss)::DOUBLE AS t FROM s),
 it AS (SELECT 0 AS n, sk, sn, ss, w, false AS capped, t * w / sum(w) OVER () AS target FROM s, tot
        UNION ALL
@@ -218,6 +231,10 @@ p AS (SELECT d.*, g.*, target - ep * ss AS rest,
 m AS (SELECT *, size > 0 AND start + size <= rest AS more FROM p),
 gap AS (SELECT *, rest - coalesce(sum(CASE WHEN more THEN size END) OVER (PARTITION BY sk, sn), 0) AS gap FROM m),
 b AS (SELECT *, CASE WHEN NOT more AND size > 0 AND abs(gap - size) < gap
-                     THEN row_number() OVER (PARTITION BY sk, sn, NOT more AND size > 0 AND abs(gap - size) < gap ORDER BY abs(gap - size), key, doc_id) END AS k FROM gap)
-SELECT doc_id, size, ss AS source_size, target, (size * (ep + CASE WHEN more OR coalesce(k, 0) = 1 THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM b"""
+                     THEN row_number() OVER (PARTITION BY sk, sn, NOT more AND size > 0 AND abs(gap - size) < gap ORDER BY abs(gap - size), key, doc_id) END AS k FROM gap),
+t AS MATERIALIZED (SELECT b.*, sched, (ep + CASE WHEN more OR coalesce(k, 0) = 1 THEN 1 ELSE 0 END)::INT AS copies FROM b JOIN (SELECT sk, sn, sched FROM s) USING (sk, sn)),
+c AS (SELECT r, doc_id, source, copy, CASE sched {positions} END AS position FROM
+  (SELECT r, doc_id, source, sched, copy, least(round(target, 6), (copy * ss + start)::DOUBLE + size / 2.0::DOUBLE) / round(target, 6) AS share FROM (SELECT *, unnest(range(0, copies)) AS copy FROM t WHERE target > 0))),
+o AS (SELECT r, list(position ORDER BY copy) AS positions, list(nth ORDER BY copy) AS ranks FROM
+  (SELECT *, row_number() OVER (ORDER BY position, source NULLS FIRST, doc_id NULLS FIRST, copy) - 1 AS nth FROM c) GROUP BY 1)
+SELECT doc_id, size, ss AS source_size, target, size * copies AS taken, coalesce(positions, []) AS positions, coalesce(ranks, []) AS ranks FROM t LEFT JOIN o USING (r)"""

@@ -6,7 +6,8 @@ fails if one of these holds:
 * punctuation: it has at least ``min_symbols`` of ``#*$%&|<>`` and at least ``symbol_pct`` per 100 words, or it has more than
   ``max_unended`` words and none of them ends in a sentence mark (a line that only breaks off in its last sentence stays);
 * navigation: at least two of its words are separators (``| > » • ·``), and they make up ``separator_pct`` % of its words;
-* boilerplate: it holds a fixed notice phrase in one of four languages, or repeats an earlier line of the document.
+* boilerplate: it holds fixed notice phrases in one of four languages, one for each ``words_per_notice`` of its words (so a notice stands alone or crowds its line; a paragraph that speaks of
+  one is text), or it repeats an earlier line of the document.
 
 A document is rejected by the base rules (fewer than ``min_words`` words, or too many words in repeated three-word windows) or
 if its failing lines hold more than ``max_lost_pct`` % of its word characters.
@@ -84,6 +85,7 @@ class Rules:
     symbol_pct: int = 30
     max_unended: int = 20
     separator_pct: int = 20
+    words_per_notice: int = 20
     max_lost_pct: int = 40
 
 
@@ -109,7 +111,7 @@ def line_fails(line: bytes, words: list[bytes], rules: Rules, noticed: bool = Tr
     separators = sum(map(_SEPARATORS.__contains__, words))
     if separators >= 2 and 100 * separators >= rules.separator_pct * n:
         return True
-    return noticed and _NOTICE.search(line) is not None
+    return noticed and n <= rules.words_per_notice * len(_NOTICE.findall(line))
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -208,7 +210,7 @@ l2 AS (SELECT *, len(lw) AS n, length(line) - length(regexp_replace(line, '[#*$%
 l3 AS (SELECT *, dup OR (symbols >= {rules.min_symbols} AND 100 * symbols >= {rules.symbol_pct} * n)
               OR (n > {rules.max_unended} AND NOT regexp_matches(line, '[{ends}]{gap}'))
               OR (seps >= 2 AND 100 * seps >= {rules.separator_pct} * n)
-              OR regexp_matches(line, '(?i){"|".join(NOTICES)}') AS bad FROM l2),
+              OR n <= {rules.words_per_notice} * len(regexp_extract_all(line, '(?i){"|".join(NOTICES)}')) AS bad FROM l2),
 lines AS (SELECT r, sum(dup::INT) AS n_dup_lines, sum(CASE WHEN bad THEN chars ELSE 0 END) AS lost FROM l3 GROUP BY r),
 g AS (SELECT r, i, [words[i], words[i + 1], words[i + 2]] AS gram FROM (SELECT r, words, unnest(range(1, len(words) - 1)) AS i FROM w)),
 rep AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, gram) AS c FROM g) WHERE c > 1),

@@ -19,14 +19,13 @@ In a repeat, every occurrence but the earliest (by document id, then place) cove
 earlier occurrence covers are covered by such a repeat, and the other way round.
 
 Defined results: a null text is empty; texts under ``length`` bytes lose nothing; rows with equal id and text are one document and get the
-same result; rows with one id and differing texts are ordered by a checksum; a null id comes before all others; extra
+same result; rows with one id and differing texts are documents of their own, ordered by the SHA-256 of their texts; a null id comes before all others; extra
 columns are ignored. Matches never cross documents.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -95,12 +94,20 @@ def windows(raw: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.ndarra
     return doc, first - bounds[doc], size, gram[anchor], kind, anchor - first, check
 
 
-def _checksum(text: bytes) -> int:
-    return zlib.crc32(text) & 0xFFFFF
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``number``, which orders documents and tells them apart: the id, or where ids repeat or are null the place of (id, hash of the text) among all."""
+    repeated = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null")
+    if repeated.isEmpty():
+        return docs.withColumn("number", F.col("doc_id"))
+    docs = docs.withColumn("digest", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
+    line = docs.select("doc_id", "digest").distinct().orderBy(F.col("doc_id").asc_nulls_first(), "digest")
+    line = materialise(line.select(F.col("doc_id").alias("number_of"), F.col("digest").alias("digest_of"), F.monotonically_increasing_id().alias("number")), "numbers", -2)
+    both = F.col("doc_id").eqNullSafe(F.col("number_of")) & (F.col("digest") == F.col("digest_of"))
+    return docs.join(broadcast_if_small(line), both).drop("number_of", "digest_of", "digest")
 
 
 def _anchored(docs: DataFrame, length: int) -> DataFrame:
-    """``anchor, kind, doc_id, at, size`` of windows; ``at`` is the checksum of the text, then the place in it, and ``size`` is packed.
+    """``anchor, kind, doc_id, at, size`` of windows; ``at`` is the place in the text, and ``size`` is packed.
 
     Of equal windows that come up together in a task only the earliest is a row; the others are repeats already, and rows
     without ``kind`` give the spans that they cover, with their plain size.
@@ -108,9 +115,9 @@ def _anchored(docs: DataFrame, length: int) -> DataFrame:
     if 2 * length >= 1 << SIZE_BITS:
         raise ValueError(f"length must be under {1 << SIZE_BITS - 1}")
 
-    def flush(ids: list, ties: list, offsets: list, found: list[tuple[np.ndarray, ...]], id_type: pa.DataType) -> pa.RecordBatch:
+    def flush(ids: list, offsets: list, found: list[tuple[np.ndarray, ...]], id_type: pa.DataType) -> pa.RecordBatch:
         doc, start, size, anchor, kind, offset, check = (np.concatenate(x) for x in zip(*found))
-        at = (np.array(ties, np.int64)[doc] << 40) + np.array(offsets, np.int64)[doc] + start
+        at = np.array(offsets, np.int64)[doc] + start
         known = {x: k for k, x in enumerate(sorted(set(ids), key=lambda x: (x is not None, x)))}
         age = np.array([known[x] for x in ids])[doc]
         packed = size + (offset << SIZE_BITS) + (check.astype(np.int64) << (SIZE_BITS + OFFSET_BITS))
@@ -136,7 +143,7 @@ def _anchored(docs: DataFrame, length: int) -> DataFrame:
         return pa.RecordBatch.from_arrays(columns, ["anchor", "kind", "doc_id", "at", "size"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, ties, offsets, found = [], [], [], []
+        ids, offsets, found = [], [], []
         parts: list[bytes] = []
         rows = held = 0
         id_type = None
@@ -155,7 +162,6 @@ def _anchored(docs: DataFrame, length: int) -> DataFrame:
             id_type = batch.column(0).type
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = (text.as_py() or "").encode()
-                tie = _checksum(text)
                 for a in range(0, max(1, len(text) - length + 1), PIECE):
                     part = text[a : a + PIECE + length - 1]
                     if len(part) < length:
@@ -163,14 +169,14 @@ def _anchored(docs: DataFrame, length: int) -> DataFrame:
                     if held + len(part) > PIECE:
                         search()
                         if rows > TASK_ROWS:
-                            yield flush(ids, ties, offsets, found, id_type)
-                            ids, ties, offsets, found, rows = [], [], [], [], 0
-                    for x, y in ((ids, key), (ties, tie), (offsets, a), (parts, part)):
+                            yield flush(ids, offsets, found, id_type)
+                            ids, offsets, found, rows = [], [], [], 0
+                    for x, y in ((ids, key), (offsets, a), (parts, part)):
                         x.append(y)
                     held += len(part)
         search()
         if rows:
-            yield flush(ids, ties, offsets, found, id_type)
+            yield flush(ids, offsets, found, id_type)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"anchor long, kind long, doc_id {kind}, at long, size long")
@@ -323,11 +329,7 @@ def _windows(docs: DataFrame, length: int) -> tuple[DataFrame, list[DataFrame]]:
             rows: list[tuple] = []
             for k, (key, text, wanted) in enumerate(zip(*(c.to_pylist() for c in batch.columns))):
                 text = (text or "").encode()
-                tie = _checksum(text)
-                for w in wanted:
-                    if w["at"] >> 40 == tie:
-                        a = w["at"] & ((1 << 40) - 1)
-                        rows.append((w["anchor"], key, w["at"], w["offset"], text[a : a + w["size"]], w["crowded"]))
+                rows += [(w["anchor"], key, w["at"], w["offset"], text[w["at"] : w["at"] + w["size"]], w["crowded"]) for w in wanted]
                 if len(rows) > 20000 or rows and k == batch.num_rows - 1:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t or batch.column(0).type) for c, t in zip(zip(*rows), types)], names)
                     rows = []
@@ -402,13 +404,12 @@ def _scanned(windows: DataFrame, length: int, groups: bool) -> DataFrame:
 
 
 def _placed(rows: DataFrame) -> DataFrame:
-    """``doc_id, tie, start, stop`` of spans ``doc_id, at, size``."""
-    start = F.col("at").bitwiseAND(F.lit((1 << 40) - 1))
-    return rows.select("doc_id", F.shiftright("at", 40).cast("int").alias("tie"), start.alias("start"), (start + F.col("size")).alias("stop"))
+    """``doc_id, start, stop`` of spans ``doc_id, at, size``."""
+    return rows.select("doc_id", F.col("at").alias("start"), (F.col("at") + F.col("size")).alias("stop"))
 
 
 def repeats(docs: DataFrame, length: int = 100) -> DataFrame:
-    """Spans ``doc_id, tie, start, stop`` in bytes, overlaps and all, that repeats cover outside their earliest occurrence."""
+    """Spans ``doc_id, start, stop`` in bytes, overlaps and all, that repeats cover outside their earliest occurrence; ``doc_id`` tells texts apart, as ``numbered`` makes it."""
     windows, covered = _windows(docs.select("doc_id", F.col("text").cast("string").alias("text")), length)
     found = _placed(_scanned(windows, length, False))
     for part in covered:
@@ -417,12 +418,11 @@ def repeats(docs: DataFrame, length: int = 100) -> DataFrame:
 
 
 def repeat_groups(docs: DataFrame, length: int = 100) -> DataFrame:
-    """``grp, size, doc_id, tie, start``: every maximal repeat among the distinct windows, one row per occurrence; equal windows stand for each other once."""
+    """``grp, size, number, start``: every maximal repeat among the distinct windows, one row per occurrence; equal windows stand for each other once. ``number`` is that of ``numbered``."""
     with scratch(docs.sparkSession) as kept:
-        windows, _ = _windows(docs.select("doc_id", F.col("text").cast("string").alias("text")), length)
-        found = _scanned(windows, length, True)
-        start = F.col("at").bitwiseAND(F.lit((1 << 40) - 1))
-        return kept(found.select("grp", "size", "doc_id", F.shiftright("at", 40).cast("int").alias("tie"), start.alias("start")), "groups")
+        rows = numbered(docs.select("doc_id", F.col("text").cast("string").alias("text")))
+        windows, _ = _windows(rows.select(F.col("number").alias("doc_id"), "text"), length)
+        return kept(_scanned(windows, length, True).select("grp", "size", F.col("doc_id").alias("number"), F.col("at").alias("start")), "groups")
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -444,13 +444,14 @@ def without_repeats(docs: DataFrame, length: int = 100, keep: Sequence[str] = ()
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"), rest.alias("rest"))
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     with scratch(docs.sparkSession) as kept:
-        found = repeats(docs, length).groupBy("doc_id").agg(F.collect_set(F.struct("tie", "start", "stop")).alias("spans"))
+        docs = numbered(docs)
+        found = repeats(docs.select(F.col("number").alias("doc_id"), "text"), length).groupBy("doc_id").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
         spans = kept(found.withColumnRenamed("doc_id", "span_id"), "spans")
-    same = F.col("doc_id").eqNullSafe(F.col("span_id"))
+    same = F.col("number") == F.col("span_id")
     if size_in_bytes(spans.select("span_id")) <= BROADCAST_BYTES:
         ids = F.broadcast(spans.select("span_id"))
         hit = docs.join(ids, same, "left_semi").join(spans, same).select("doc_id", "text", "rest", "spans")
-        rest = docs.join(ids, same, "left_anti").withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType))
+        rest = docs.join(ids, same, "left_anti").select("doc_id", "text", "rest", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
         both = hit.union(rest)
     else:
         both = docs.join(spans, same, "left").select("doc_id", "text", "rest", "spans")
@@ -461,8 +462,7 @@ def without_repeats(docs: DataFrame, length: int = 100, keep: Sequence[str] = ()
                 texts, cuts, left = [], [], []
                 for text, found in zip(part.column(1).to_pylist(), part.column(3).to_pylist()):
                     text = (text or "").encode()
-                    tie = _checksum(text)
-                    own = merged([(s["start"], s["stop"]) for s in found or () if s["tie"] == tie])
+                    own = merged([(s["start"], s["stop"]) for s in found or ()])
                     edges = [0, *(x for s in own for x in s), len(text)]
                     texts.append(text)
                     cuts.append([{"start": a, "stop": b} for a, b in own])

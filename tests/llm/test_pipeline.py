@@ -34,7 +34,7 @@ def cleaned(text):
         symbols = sum(c in "#*$%&|<>" for c in line)
         separators = sum(w in quality.SEPARATORS for w in words)
         ended = any(w.endswith(quality.END_MARKS) for w in words)
-        notice = any(re.search(p, line, re.I) for p in quality.NOTICES)
+        notice = len(words) <= 20 * len(re.findall("|".join(quality.NOTICES), line, re.I))
         if line in seen or notice or symbols >= 3 and 100 * symbols >= 30 * len(words) or len(words) > 20 and not ended or separators >= 2 and 100 * separators >= 20 * len(words):
             lost += sum(map(len, words))
         else:

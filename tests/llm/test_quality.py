@@ -62,3 +62,12 @@ def test_clean_keeps_columns(spark):
 
 def test_empty_table(spark):
     assert quality.judge(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_a_paragraph_about_a_notice_is_text():
+    ruling = "On Tuesday the court of appeal held that the firm had changed its privacy policy without telling those who had signed up before, and that a sentence hidden on the last page could not bind anyone who had never been asked; the judges sent the case back and told both sides to settle the costs between them before the end of spring."
+    other = "The hearing had lasted nine days and heard more than forty witnesses from six countries in all."
+    kept = judge_text(f"{ruling}\n{other}", Rules())
+    assert len(ruling.split()) > 55 and kept[6] and kept[7] == 0
+    for notice in ("All rights reserved.", "Wir verwenden Cookies. Mehr in der Datenschutzrichtlinie.", "This site uses cookies; by going on you accept the use of cookies, our privacy policy and our terms of use, which you can read at any time on the page that the link at the foot of each page leads to."):
+        assert judge_text(f"{ruling}\n{other}\n{notice}", Rules())[7] == 1, notice

@@ -1,10 +1,12 @@
 from __future__ import annotations
 
 import hashlib
+import zlib
 import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from shotledger.llm import suffixes
 
@@ -17,7 +19,7 @@ def brute(rows, length=100):
 def brute_kept(rows, length=100):
     """The digests and the bytes left of each row."""
     seen, out = {}, []
-    for i, t in sorted(set(rows), key=lambda r: (r[0] is not None, r[0], (suffixes._checksum((r[1] or "").encode())))):
+    for i, t in sorted(set(rows), key=lambda r: (r[0] is not None, r[0], hashlib.sha256((r[1] or "").encode()).digest())):
         raw = (t or "").encode()
         cover = np.zeros(len(raw) + 1, bool)
         for s in range(len(raw) - length + 1):
@@ -80,21 +82,23 @@ def test_groups_and_equal_windows_cover_what_goes(spark, monkeypatch, most):
     monkeypatch.setattr(suffixes, "GROUP_WINDOWS", most)
     rows = [r for r in sample(12) if r[0] is not None]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    text = {(i, suffixes._checksum((t or "").encode())): (t or "").encode() for i, t in rows}
+    by_number = suffixes.numbered(docs)
+    number = {(r.doc_id, r.text): r.number for r in by_number.collect()}
+    text = {number[i, t]: (t or "").encode() for i, t in rows}
     groups = {}
     for r in suffixes.repeat_groups(docs).collect():
-        groups.setdefault((r.grp, r.size), set()).add((r.doc_id, r.tie, r.start))
+        groups.setdefault((r.grp, r.size), set()).add((r.number, r.start))
     gone = {k: np.zeros(len(t), bool) for k, t in text.items()}
     for (_, size), spots in groups.items():
-        assert size >= 100 and len(spots) > 1 and len({text[i, tie][a : a + size] for i, tie, a in spots}) == 1
-        for i, tie, a in sorted(spots)[1:]:
-            gone[i, tie][a : a + size] = True
-    _, covered = suffixes._windows(docs, 100)
+        assert size >= 100 and len(spots) > 1 and len({text[i][a : a + size] for i, a in spots}) == 1
+        for i, a in sorted(spots)[1:]:
+            gone[i][a : a + size] = True
+    _, covered = suffixes._windows(by_number.select(F.col("number").alias("doc_id"), "text"), 100)
     for part in covered:
         for r in suffixes._placed(part).collect():
-            gone[r.doc_id, r.tie][r.start : r.stop] = True
+            gone[r.doc_id][r.start : r.stop] = True
     assert len(groups) > 20
-    want = {(i, suffixes._checksum((t or "").encode())): kept for (i, t), (_, kept) in zip(rows, brute_kept(rows))}
+    want = {number[i, t]: kept for (i, t), (_, kept) in zip(rows, brute_kept(rows))}
     assert {k: bytes(np.frombuffer(t, np.uint8)[~gone[k]]) for k, t in text.items()} == want
 
 
@@ -149,3 +153,21 @@ def test_sql_says_the_same():
     con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
     con.executemany("INSERT INTO documents VALUES (?, ?)", [list(r) for r in rows])
     assert sorted(con.execute(suffixes.oracle_sql()).fetchall(), key=repr) == brute(rows)
+
+
+def test_texts_of_one_id_are_told_apart(spark):
+    """Two texts of one id whose CRC-32 agree in the lower 20 bits, one of which repeats an earlier document; and many texts without an id."""
+    first = "a passage that stands in two documents and is longer than one hundred bytes, so that the second of them loses it all"
+    seen, pair = {}, None
+    for k in range(1 << 14):
+        clean = f"{k} nothing of this stands anywhere else, {k * 7919} however long one looks for it, and it is {k * 104729} bytes in all or more"
+        seen[zlib.crc32(clean.encode()) & 0xFFFFF] = clean
+    for k in range(1 << 14):
+        dirty = f"{k} {first}"
+        if (clean := seen.get(zlib.crc32(dirty.encode()) & 0xFFFFF)) is not None:
+            pair = clean, dirty
+            break
+    rows = [(1, first), (7, pair[0]), (7, pair[1])] + [(None, f"{k} of the rows without an id") for k in range(300)] + [(None, first), (None, first)]
+    got = sorted((tuple(r) for r in suffixes.digest(suffixes.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"))).collect()), key=repr)
+    assert got == brute(rows)
+    assert [r[2] for r in got if r[0] == 7 and r[1] == len(pair[0].encode())] == [0]
