@@ -9,10 +9,12 @@ unless they are mostly links.
 Elements that are never article text by their tag (menus, forms, footers, scripts and so on), or that are hidden, don't enter the ratios. Words in
 class, id or role drop nothing: they enter the path as a mark, and text under a mark counts for less in both ratios (``MARKED`` where the name
 says nothing but noise, such as ``cookie-notice``; ``HINTED`` where it may as well be a subject, such as ``share`` or ``search-for-truth``). An article or main
-element under a mark counts in full again, except among readers' replies.
+element under a mark counts in full again, except among readers' replies. Text under a mark that stands beside the article (in another article or main element than the
+best content, or where there is none, under a mark that doesn't hold the best content too) goes. Lists of links stay where they are part of an article element and under no mark. If all content is
+under noise marks, the text is empty if it is readers' replies or no more than ``LONE_WORDS`` words.
 
 Pages are read in one pass with work in proportion to their length. As in browsers, elements nested over ``DEPTH`` deep add nothing
-to the path. Defined results: null, empty and text-free pages give the empty text; text outside any block tag is a block of the body; tags that are
+to the path; they are counted by name, so that they end where they end and menus among them are dropped. Defined results: null, empty and text-free pages give the empty text; text outside any block tag is a block of the body; tags that are
 not closed, or closed without being open, are tolerated; repeated rows are extracted one by one. Texts of any length are read whole.
 """
 
@@ -35,7 +37,7 @@ INLINE = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe noembed noframes xmp svg math object canvas audio video".split())
-NOT_ARTICLE = frozenset("head nav footer aside form menu dialog button select option fieldset script style figure".split())
+NOT_ARTICLE = frozenset("head nav footer aside form menu dialog button select option fieldset script style figcaption".split())
 CLOSES_P = frozenset(
     "address article aside blockquote center details dialog div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()
 )
@@ -52,7 +54,7 @@ HINT_WORDS = frozenset("byline disclaimer form header legal recommended related
 REPLY_WORDS = frozenset("comment comments disqus replies respond".split())
 #: Words that say where something stands, and nothing of what it is.
 PLACE_WORDS = frozenset("area bar block bottom box col column container global group inner item items left list main outer page panel right section site slot top unit wrap wrapper".split())
-MARKED, HINTED, DEPTH = 0.001, 0.5, 512
+MARKED, HINTED, DEPTH, LONE_WORDS = 0.001, 0.5, 512, 100
 PUNCTUATION = re.compile(r"[,.;:!?…，。；：！？、]")
 _TAG_NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
 _NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -63,7 +65,7 @@ _QUOTE_OR_END = re.compile(r"[>\"']")
 class Path:
     """A path of tags, one object for each path of a page: its last tag, the path above, and how much text under it counts."""
 
-    __slots__ = ("tag", "above", "noise", "reply", "weight", "below")
+    __slots__ = ("tag", "above", "noise", "reply", "weight", "below", "mark", "article")
 
     def __init__(self, tag: str, above: Path | None, noise: bool = False, hint: bool = False, reply: bool = False):
         self.tag, self.above, self.noise = tag, above, noise
@@ -72,6 +74,9 @@ class Path:
             self.weight = 1.0
         else:
             self.weight = (above.weight if above else 1.0) * (MARKED if noise else HINTED if hint else 1.0)
+        #: The nearest element with a mark, itself included, and the outermost article or main element.
+        self.mark = self if noise or hint else above.mark if above is not None else None
+        self.article = above.article if above is not None and above.article is not None else self if tag in ("article", "main") else None
         self.below: dict[tuple[str, bool, bool, bool], Path] = {}
 
     def child(self, tag: str, marks: tuple[bool, bool, bool]) -> Path:
@@ -137,27 +142,32 @@ def blocks(page: str) -> list[tuple[Path, str, int]]:
     dropped: list[bool] = [False]
     is_open: Counter[str] = Counter()
     buf: list[str] = []
-    links = at = 0
+    linked: list[str] = []
+    at = 0
+    # Elements too deep for a path: per name, whether each open one is dropped; and how many are.
+    deeper: dict[str, list[bool]] = {}
+    n_dropped = 0
 
     def flush() -> None:
-        nonlocal links
         if buf:
             text = " ".join(html.unescape("".join(buf)).split())
             if text:
-                found.append((paths[-1], text, links))
+                found.append((paths[-1], text, len(" ".join(html.unescape("".join(linked)).split()))))
             buf.clear()
-        links = 0
+        linked.clear()
 
     def text(upto: int) -> None:
-        nonlocal links
-        if upto > at and not dropped[-1]:
+        if upto > at and not dropped[-1] and not n_dropped:
             buf.append(page[at:upto])
-            if is_open["a"]:
-                links += upto - at
+            if is_open["a"] or deeper.get("a"):
+                linked.append(page[at:upto])
 
     def cut(k: int) -> None:
+        nonlocal n_dropped
         is_open.subtract(tags[k:])
         del tags[k:], paths[k + 1 :], dropped[k + 1 :]
+        deeper.clear()
+        n_dropped = 0
 
     def close(names: tuple[str, ...], within: tuple[str, ...] = ()) -> None:
         if any(is_open[x] for x in names):
@@ -176,10 +186,14 @@ def blocks(page: str) -> list[tuple[Path, str, int]]:
             continue
         if tag not in INLINE:
             flush()
-        elif tag == "br" and not dropped[-1]:
+        elif tag == "br" and not dropped[-1] and not n_dropped:
             buf.append(" ")
+            linked.append(" ")
         if ends:
-            close((tag,))
+            if deeper.get(tag):
+                n_dropped -= deeper[tag].pop()
+            else:
+                close((tag,))
             continue
         if tag in CLOSES_P:
             close(("p",), ("table", "td", "th", "button", "object", "article", "section", "div"))
@@ -191,10 +205,15 @@ def blocks(page: str) -> list[tuple[Path, str, int]]:
                 last = re.compile(rf"</{re.escape(tag)}\b", re.I).search(page, at)
                 stop = page.find(">", last.end()) if last else -1
                 at = len(page) if stop < 0 else stop + 1
-        elif tag not in VOID and len(tags) < DEPTH:
+        elif tag not in VOID:
             header = tag == "header" and not is_open["article"] and not is_open["main"]
             hidden = bool(attributes) and tag not in ("html", "body", "article", "main") and _HIDDEN.search(attributes) is not None
-            dropped.append(dropped[-1] or tag in NOT_ARTICLE or header or hidden)
+            goes = tag in NOT_ARTICLE or header or hidden
+            if len(tags) >= DEPTH:
+                deeper.setdefault(tag, []).append(goes)
+                n_dropped += goes
+                continue
+            dropped.append(dropped[-1] or goes)
             paths.append(paths[-1] if tag in INLINE or dropped[-1] else paths[-1].child(tag, marks(tag, attributes)))
             tags.append(tag)
             is_open[tag] += 1
@@ -240,6 +259,23 @@ def main_text(page: str | None, share: float = 0.5) -> str:
     top = max(score.values())
     limit = min(share * spread, top)
     content = {p for p, x in score.items() if x >= limit and x >= 0.1 * top} or {max(score, key=score.get)}
+    # Where the article is: in an article or main element, else under no mark, as far as there is content.
+    places = [p for p in content if p.article is not None and p.weight == 1] or [p for p in content if p.weight == 1] or list(content)
+    best = max(places, key=score.get)
+    if best.weight <= MARKED and (best.reply or sum(len(t.split()) for p, t, _ in found if p in content) <= LONE_WORDS):
+        return ""
+    around, up = set(), best
+    while up is not None:
+        around.add(up)
+        up = up.above
+
+    def beside(path: Path) -> bool:
+        """Under a mark that the best content isn't under, and not in its article."""
+        if path.mark is None or path.mark in around or path.article is not None and path.article in around:
+            return False
+        return best.article is not None or path.mark.weight < best.weight
+
+    content = {p for p in content if not beside(p)}
     homes = {p.above for p in content if p.above is not None and p.above.tag not in ("", "html", "body")}
     bare = {p.above for p in content} - homes
     at_home: dict[Path | None, bool] = {None: False}
@@ -247,8 +283,10 @@ def main_text(page: str | None, share: float = 0.5) -> str:
     def belongs(path: Path, text: str, links: int) -> bool:
         if path in content:
             return True
-        if 2 * links > len(text) or path.noise:
+        if path.noise or beside(path):
             return False
+        if 2 * links > len(text):
+            return path.tag in ("li", "dd") and path.weight == 1 and path.article is not None and path.article in around
         up, way = path, []
         while up not in at_home:
             way.append(up)

@@ -84,37 +84,38 @@ def _packed(rows: DataFrame, part: Column, size: int) -> DataFrame:
         return table
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    schema = ", ".join([*(f"{c} {kinds[c]}" for c in PIECE), "part long", *(f"{c} long" for c in ("bin", "offset", "fill", "bins", "bound"))])
-    return rows.select(*PIECE, part.cast("long").alias("part")).groupBy("part").applyInArrow(run, schema)
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in PIECE), "row long", "part long", *(f"{c} long" for c in ("bin", "offset", "fill", "bins", "bound"))])
+    return rows.select(*PIECE, "row", part.cast("long").alias("part")).groupBy("part").applyInArrow(run, schema)
 
 
 def pack_pieces(rows: DataFrame, size: int = 1024, per_partition: int = 32768) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` for pieces of at most ``size`` ids; and ``part_sequences, part_bound`` of the partition that placed it."""
     full = rows.where(F.col("length") == size)
-    pool = rows.where(F.col("length") < size)
+    # Numbered, so that equal pieces are dealt out like any others.
+    pool = materialise(rows.where(F.col("length") < size).select(*PIECE, F.monotonically_increasing_id().alias("row")), "pool")
     done: list[DataFrame] = []
     before, waiting, r = None, None, 0
     while count := pool.count():
         parts = max(1, math.ceil(count / (per_partition << min(r, 2))))
-        part = F.pmod(F.xxhash64(F.lit(r), *[F.col(c) for c in PIECE]), F.lit(parts))
+        part = F.pmod(F.xxhash64(F.lit(r), "row"), F.lit(parts))
         packed = materialise(_packed(pool, part, size), f"packed{r}")
         by_part = packed.groupBy("part").agg(F.first("bins").alias("bins"), F.first("bound").alias("bound"))
         now = by_part.agg(F.sum("bins").alias("bins"), F.sum("bound").alias("bound")).first()
         if before is not None and now["bins"] >= before:
             done.append(waiting)  # the exchange gained nothing: what was packed before stays
             break
-        placed = packed.select(*PIECE, (F.lit(r) * (1 << 48) + F.col("part") * (1 << 20) + F.col("bin")).alias("sequence_id"), "offset", F.col("bins").alias("part_sequences"), F.col("bound").alias("part_bound"), "fill")
+        placed = packed.select(*PIECE, "row", (F.lit(r) * (1 << 48) + F.col("part") * (1 << 20) + F.col("bin")).alias("sequence_id"), "offset", F.col("bins").alias("part_sequences"), F.col("bound").alias("part_bound"), "fill")
         is_open = (F.col("part_sequences") > F.col("part_bound")) & (F.col("fill") < size)
         done.append(placed.where(~is_open).drop("fill"))
         waiting = placed.where(is_open).drop("fill")
         before = waiting.select("sequence_id").distinct().count()
-        pool = waiting.select(*PIECE)
+        pool = waiting.select(*PIECE, "row")
         r += 1
     # A piece that fills its sequence gets a number of its own below zero.
     one = F.lit(1).cast("long")
     out = full.select(*PIECE, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), one.alias("part_sequences"), one.alias("part_bound"))
     for part in done:
-        out = out.union(part)
+        out = out.union(part.drop("row"))
     return out
 
 

@@ -157,3 +157,32 @@ def test_rows(spark):
     got = sorted((tuple(r) for r in html_text.extract(pages).collect()), key=repr)
     assert got == sorted([(1, "u", PROSE.strip(), len(PROSE.strip())), (1, None, "", 0), (None, "v", "", 0)], key=repr)
     assert html_text.extract(pages.limit(0)).count() == 0
+
+
+DEUTSCH = "Der erste Satz ist lang genug, und er endet. Ein zweiter folgt, wie es Sätze tun. "
+
+
+@pytest.mark.parametrize("prose", [PROSE, DEUTSCH])
+def test_what_stands_in_an_article_and_beside_it(prose):
+    table = "<figure class='wp-block-table'><table><tr><td>1990, north</td><td>12.5</td></tr></table><figcaption>Source, as said.</figcaption></figure>"
+    quote = "<figure><blockquote><p>What was said, word by word.</p></blockquote></figure>"
+    sources = "<ul><li><a href='/1'>The first source &amp; more</a></li><li><a href='/2'>Another source</a></li></ul>"
+    teasers = "<div class='related-posts-box'><p>Read this too, it is good. And that, and that.</p><p>Another teaser, longer than the article, with many commas, all of them here. And on, and on, it goes.</p></div>"
+    assert main_text(page(f"<article><p>{prose}</p>{table}<p>{prose}</p>{quote}</article>")) == f"{prose}1990, north 12.5 {prose}What was said, word by word."
+    assert main_text(page(f"<article><p>{prose}</p><p>{prose}</p>{sources}</article>")) == f"{prose}{prose}The first source & more Another source"
+    assert main_text(page(f"<article><p>{prose}</p><ul class='tags'><li><a href='/1'>one</a></li></ul></article>{sources}")) == prose.strip()
+    assert main_text(page(f"<article><p>{prose}</p></article>{teasers}")) == prose.strip()
+    assert main_text(page(f"<div id='text'><p>{prose}</p><p>{prose}</p></div>{teasers}")) == f"{prose}{prose}".strip()
+
+
+def test_pages_without_an_article_are_empty():
+    assert main_text(page("<div class='cookie-notice'><p>We use cookies, as all do. Agree, or leave.</p></div>")) == ""
+    assert main_text(page(f"<div id='comments'><p>{PROSE * 20}</p></div>")) == ""
+    assert main_text(page(f"<div class='widget'><p>{PROSE * 20}</p></div>")) == (PROSE * 20).strip()
+
+
+@pytest.mark.parametrize("deep", [5, 600])
+def test_deep_pages(deep):
+    inner = f"<nav><ul><li>Menu, menu, menu.</li></ul></nav><div hidden>Unseen, unseen.</div><p>{PROSE}</p>"
+    assert main_text(f"<body>{'<div>' * deep}{inner}{'</div>' * deep}<p>{PROSE}</p></body>") == f"{PROSE}{PROSE}".strip()
+    assert main_text(f"<body><div hidden>{'<div>' * deep}a, b.{'</div>' * deep}Unseen, unseen.</div><p>{PROSE}</p></body>") == PROSE.strip()

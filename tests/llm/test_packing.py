@@ -7,9 +7,11 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from shotledger.llm import packing, tokens
+from shotledger.sources.shared import scratch
 
 
 def test_ids_equal_the_tokenizers_library():
@@ -111,3 +113,12 @@ def test_sequences(spark, per_partition):
 
 def test_empty_table(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_equal_pieces_are_dealt_out(spark):
+    rows = spark.range(0, 20_000, 1, 4).selectExpr("7L AS doc_id", "0 AS piece", "0L AS start", "300L AS length", "5L AS ids_crc32")
+    with scratch(spark) as kept:
+        got = kept(packing.pack_pieces(rows, per_partition=4000), "packed")
+    parts = [r["n"] for r in got.groupBy(F.floor(F.col("sequence_id") / (1 << 20)).alias("part")).agg(F.countDistinct("sequence_id").alias("n")).collect()]
+    assert len(parts) == 5 and max(parts) < 2000 and got.count() == 20_000
+    assert got.select("sequence_id").distinct().count() <= 20_000 / 3 + 5

@@ -108,6 +108,26 @@ def test_nulls_ties_and_repeated_rows(spark):
     assert {r[0] for r in out[1]} == {1, None, 5}
 
 
+CLASHING = "positions int, plan_id int, planned_row int, kept_id int, `row` int, number string, digest string, size int, spans string, text_ string, left_text string, rest string, KEEP_row int, copy int"
+
+
+@pytest.mark.parametrize("unique", [True, False])
+def test_columns_with_clashing_names(spark, unique):
+    n = CLASHING.count(",") + 1
+    kinds = [c.split()[1] for c in CLASHING.split(", ")]
+    more = tuple(k if kinds[k] == "int" else str(k) for k in range(n))
+    rows = [(k, PROSE[k % 6] if not unique else f"{k} " + PROSE[k % 6].replace("s", f"q{k}"), "en", "ab"[k % 2], k, *more) for k in range(12)]
+    rows += [] if unique else [rows[0], (None, PROSE[1] + " x", None, None, None, *more), (None, None, None, None, None, *more)]
+    frame = spark.createDataFrame(rows, f"{COLUMNS}, {CLASHING}")
+    for name, stage in corpus_pipeline.STAGES:
+        columns = frame.columns
+        made = stage(spark, frame, SF)
+        assert name == "best_fit_packing" or made.columns == columns
+        got = made.collect()
+        assert got and (name == "best_fit_packing" or all(tuple(r)[5:] == more for r in got))
+        frame = spark.createDataFrame(got, made.schema)
+
+
 @pytest.mark.parametrize("rows", [[], [(1, "too short", "en", "a", 9)], [(k, " ".join(f"long{k}x{i}." for i in range(9000)), "en", "a", 1) for k in range(3)]])
 def test_run(spark, tmp_path, rows):
     spark.createDataFrame(rows, COLUMNS).write.parquet(str(tmp_path / "documents.parquet"))
