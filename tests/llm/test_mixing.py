@@ -21,7 +21,7 @@ def oracle(rows):
 
 
 def rounded(rows):
-    return sorted(((i, s, t, round(x, 6), n) for i, s, t, x, n in rows), key=repr)
+    return sorted(((i, s, t, round(x, 6), n) for i, s, t, x, n, *_ in rows), key=repr)
 
 
 def sources(n_small):
@@ -108,3 +108,8 @@ def test_query_returns_the_whole_curriculum(spark):
     order = sorted((n, p) for r in got for n, p in zip(r.ranks, r.positions, strict=True))
     assert [n for n, _ in order] == list(range(len(order))) and [p for _, p in order] == sorted(p for _, p in order)
     assert all(r.taken == r.size * len(r.ranks) for r in got) and any(r.ranks for r in got)
+    con = duckdb.connect()
+    con.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
+    want = con.execute(mixing.oracle_sql()).fetchall()
+    whole = lambda rows: sorted((r[0], r[1], r[2], round(r[3], 6), r[4], list(r[5]), list(r[6])) for r in rows)
+    assert whole(want) == whole(r for r in map(tuple, (spark.createDataFrame(got).select("doc_id", "size", "source_size", "target", "taken", "positions", "ranks").collect())))
