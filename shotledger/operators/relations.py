@@ -30,7 +30,7 @@ def ordered_position(rows: DataFrame, parent: str, key: str) -> DataFrame:
 def latest_per_job(runs: DataFrame, key: str = "export_id") -> DataFrame:
     """The newest run of each job; one without a creation time counts as newest."""
     newest = F.min_by(F.struct(*runs.columns), F.struct(F.col("created_at").isNotNull(), -F.unix_micros(F.col("created_at").cast("timestamp")), F.col(key)))
-    return runs.groupBy("job_id").agg(newest.alias("_r")).select(*[F.col(f"_r.{c}").alias(c) for c in runs.columns])
+    return runs.groupBy("job_id").agg(newest.alias("_r")).select(*[F.col("job_id" if c == "job_id" else f"_r.{c}").alias(c) for c in runs.columns])
 
 
 def jobs_with_latest_run(jobs: DataFrame, runs: DataFrame, unfinished_only: bool = False) -> DataFrame:

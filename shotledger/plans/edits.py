@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shotledger.operators import replay
-from shotledger.plans.catalog import NOW, query
-from shotledger.sources import tables
+from shotledger.plans.catalog import NOW, ORACLES, query
+from shotledger.sources import layout, tables
 from shotledger.sources.shared import scratch
 
 #: Edits of each job, one for each of its photos: kinds, targets and places differ by job and place; some name nobody or a cluster that isn't there.
@@ -82,3 +82,25 @@ def replay_edits(spark: SparkSession, d: str) -> DataFrame:
 def replay_edits_clusters(spark: SparkSession, d: str) -> DataFrame:
     with scratch(spark) as kept:
         return kept(_replayed(spark, d)[0].select("cluster_id", "job_id", "name", "order_index"), "clusters")
+
+
+@query(ORACLES["job_details"])
+def bucketed_job_details(spark: SparkSession, d: str) -> DataFrame:
+    """Jobs with clusters and photos over tables in buckets of the job: only the writing of the buckets moves rows."""
+    with layout.Layout(spark) as laid, scratch(spark) as kept:
+        for name, rows in (("jobs", tables.jobs(spark, d)), ("clusters", tables.clusters(spark, d)), ("photos", tables.photos(spark, d)), ("runs", tables.exports(spark, d))):
+            laid.write(name, rows)
+        found = layout.details_by_job(*[laid.table(x) for x in ("jobs", "clusters", "photos", "runs")])
+        ids = lambda photos: F.array_join(F.transform(photos, lambda p: p["photo_id"]), ",")
+        inner = F.array_join(F.transform("clusters", lambda c: F.concat(c["cluster_id"], F.lit(":"), ids(c["photos"]))), ";")
+        out = found.select("job_id", F.size("photos").cast("long").alias("n_photos"), ids(F.col("photos")).alias("photo_ids"), F.size("clusters").cast("long").alias("n_clusters"), inner.alias("cluster_photos"))
+        return kept(out, "details")
+
+
+@query("SELECT photo_id, job_id, cluster_id FROM photos WHERE job_id IN (SELECT min(job_id) FROM jobs GROUP BY user_id % 40)", "photos", "jobs")
+def bucketed_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Photos of a few jobs, read from these jobs' buckets only."""
+    with layout.Layout(spark) as laid, scratch(spark) as kept:
+        laid.write("photos", tables.photos(spark, d))
+        ids = tables.jobs(spark, d).groupBy(F.col("user_id") % 40).agg(F.min("job_id").alias("job_id")).select("job_id")
+        return kept(laid.lookup("photos", ids).select("photo_id", "job_id", "cluster_id"), "photos")
