@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shotledger.operators.relations import clusters_with_photos, jobs_with_latest_run
+from shotledger.operators.relations import clusters_with_photos, jobs_with_latest_run, nested
 
 
 def job_list(jobs: DataFrame, runs: DataFrame, user_id: int | str | None = None, unfinished_only: bool = False) -> DataFrame:
@@ -30,6 +30,22 @@ def cluster_view(clusters: DataFrame, photos: DataFrame) -> DataFrame:
     return clusters_with_photos(clusters, photos).select("cluster_id", "job_id", "name", "order_index", shown.alias("photos"))
 
 
+def edited_cluster_view(clusters: DataFrame, photos: DataFrame) -> DataFrame:
+    """Clusters as they are answered after they are made or changed: all their photos, deleted ones too, with every field of a photo, and the thumbnail's URL as its path."""
+    fields = ("job_id", "order_index", F.col("meta_timestamp").alias("timestamp"), F.map_entries("labels").alias("labels"), "cluster_id", "storage_path", "original_filename", "url", F.col("thumbnail_url").alias("thumbnail_path"))
+    lists = nested(photos.withColumn("item", F.struct(F.col("photo_id").alias("id"), *fields)), "cluster_id", "photos", "item", key="photo_id")
+    # Maps can't be sorted on the way, their entries can.
+    shown = F.transform("photos", lambda p: p["item"].withField("labels", F.map_from_entries(p["item"]["labels"])))
+    return clusters.join(lists, "cluster_id", "left").select("cluster_id", "job_id", "name", "order_index", F.coalesce(shown, F.array().cast(lists.select(shown.alias("p")).schema["p"].dataType)).alias("photos"))
+
+
+def photos_with_details(photos: DataFrame, details: DataFrame) -> DataFrame:
+    """Photos, each with what its camera said as a struct ``detail``, null where there is nothing. A photo has one row of details at most."""
+    names = [c for c in details.columns if c != "photo_id"]
+    own = details.select("photo_id", F.struct(*names).alias("detail"))
+    return photos.join(own, "photo_id", "left").select(*photos.columns, "detail")
+
+
 def profile(users: DataFrame) -> DataFrame:
     """Users without anything secret."""
     return users.drop("password_hash", "password")

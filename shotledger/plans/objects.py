@@ -50,7 +50,7 @@ def file_contents(spark: SparkSession, d: str) -> DataFrame:
             found.append(heads.join(wholes, "path"))
         rows = found[0].union(found[1])
         inside = files.below(rows, rows.select(F.regexp_extract("path", "^(.*)/even/", 1).alias("p")).where("p <> ''").first()[0] + "/even").withColumn("in_even", F.lit(True))
-        other = rows.join(inside.select("path"), "path", "left_anti").withColumn("in_even", F.lit(False))
+        other = files.outside(rows, rows.select(F.regexp_extract("path", "^(.*)/even/", 1).alias("p")).where("p <> ''").first()[0] + "/even").withColumn("in_even", F.lit(False))
         return kept(inside.union(other).select(_name("path").alias("name"), "head", "whole", "in_even"), "contents")
 
 
@@ -116,7 +116,8 @@ def _photo_files(rows: DataFrame) -> DataFrame:
 
 @query(
     """WITH p AS (SELECT page_id AS n, page_id % 7 > 0 AND page_id % 9 > 0 AS readable FROM pages)
-SELECT 'photo ' || n AS original_filename, CASE WHEN readable AND n % 5 > 0 THEN 'job/photos/thumbnail/p' || n || '_thumb.jpg' END AS thumbnail_path, CASE WHEN readable AND n % 3 > 0 THEN round(37 + (n % 60) / 60.0, 9) END AS meta_lat,
+SELECT 'photo ' || n AS original_filename, CASE WHEN readable AND n % 5 > 0 THEN 'job/photos/thumbnail/p' || n || '_thumb.jpg' END AS thumbnail_path, 'https://cdn.example/job/photos/original/p' || n || '.jpg' AS url,
+  CASE WHEN readable AND n % 5 > 0 THEN 'https://cdn.example/job/photos/thumbnail/p' || n || '_thumb.jpg' END AS thumbnail_url, CASE WHEN readable AND n % 3 > 0 THEN round(37 + (n % 60) / 60.0, 9) END AS meta_lat,
   CASE WHEN readable AND n % 3 > 0 THEN -127.5::DOUBLE END AS meta_lon, CASE WHEN readable AND n % 11 > 0 THEN make_timestamp(2024, 1, n % 28 + 1, 19, n % 60, 0.0) END AS meta_timestamp,
   CASE WHEN readable THEN 'Maker Cam ' || n % 10 END AS device, CASE WHEN readable THEN (n % 8 + 1)::INT END AS orientation FROM p"""
 )
@@ -127,7 +128,7 @@ def register_uploads(spark: SparkSession, d: str) -> DataFrame:
         folder = new_folder(spark, "uploads")
         files.put_objects(_photo_files(pages.where("page_id % 9 > 0")), folder)
         infos = pages.select(F.concat(F.lit("photo "), "page_id").alias("filename"), F.concat(F.lit("job/photos/original/p"), "page_id", F.lit(".jpg")).alias("storage_path"), F.lit("given.jpg").alias("thumbnail_path"))
-        found = photos.register_uploads(spark, infos, folder, 20_000).drop("storage_path")
+        found = photos.register_uploads(spark, infos, folder, 20_000, base_url="https://cdn.example/").drop("storage_path")
         return kept(found.withColumn("meta_lat", F.round("meta_lat", 9)), "uploads")
 
 

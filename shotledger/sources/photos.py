@@ -167,17 +167,17 @@ def read_heads(paths: DataFrame, first_bytes: int) -> DataFrame:
     return paths.select("path").mapInArrow(run, f"path string, {SCHEMA}")
 
 
-def register_uploads(spark: SparkSession, infos: DataFrame, folder: str, first_bytes: int = 100 * 1024, fan_out: int = 10) -> DataFrame:
+def register_uploads(spark: SparkSession, infos: DataFrame, folder: str, first_bytes: int = 100 * 1024, fan_out: int = 10, base_url: str = "/") -> DataFrame:
     """Photos for uploaded files: ``infos`` has ``filename, storage_path, thumbnail_path``, the path below ``folder``.
 
     Every info gives a photo, also where the file is missing or can't be decoded, with nulls for what it should have said. The thumbnail's path is the derived one if the
-    file holds a thumbnail, else null; one that was supplied doesn't stay. At most ``fan_out`` files are open at a time; the listing of the folder isn't needed.
+    file holds a thumbnail, else null; one that was supplied doesn't stay. URLs are the paths behind ``base_url``. At most ``fan_out`` files are open at a time; the listing of the folder isn't needed.
     """
     base = folder if "://" in folder else f"file://{folder}"
     placed = infos.withColumn("path", F.concat(F.lit(base.rstrip("/") + "/"), F.regexp_replace("storage_path", "^/+", "")))
     found = described(read_heads(placed.select("path").distinct().repartition(fan_out, "path"), first_bytes))
     made = F.when(F.col("thumbnail").isNotNull(), X.thumbnail_path(F.col("storage_path"), F.lit(None).cast("string")))
     return placed.join(found, "path", "left").select(
-        "storage_path", F.col("filename").alias("original_filename"), made.alias("thumbnail_path"),
+        "storage_path", F.col("filename").alias("original_filename"), made.alias("thumbnail_path"), X.public_url(F.col("storage_path"), base_url).alias("url"), X.public_url(made, base_url).alias("thumbnail_url"),
         F.col("lat").alias("meta_lat"), F.col("lon").alias("meta_lon"), X.from_epoch(F.col("timestamp"), "Asia/Seoul").alias("meta_timestamp"), "device", "orientation",
     )
