@@ -36,6 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shotledger.llm.memory import tidy
 from shotledger.operators.components import components
 from shotledger.sources.shared import broadcast_if_small, materialise, scratch
 
@@ -171,7 +172,7 @@ def packed(docs: DataFrame, width: int) -> DataFrame:
             )
             number += 1
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"grp long, docs array<struct<doc_id: {kind}, n: long, high: long, low: long>>, texts binary")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"grp long, docs array<struct<doc_id: {kind}, n: long, high: long, low: long>>, texts binary")
 
 
 def _sets_by_piece(texts: list[bytes], width: int, most: int = 1 << 20) -> Iterator[np.ndarray]:
@@ -250,7 +251,7 @@ def shared_counts(groups: DataFrame, width: int, total: int) -> DataFrame:
         answers = [_squeeze(sums[place[a:b]] - np.uint64(1)) for a, b in zip(cuts, cuts[1:])]
         return pa.table({"grp": table.column("grp"), "range": table.column("range"), "answer": pa.array(answers, pa.binary())})
 
-    sent = groups.mapInArrow(send, "range long, grp long, list binary, own binary")
+    sent = groups.mapInArrow(tidy(send), "range long, grp long, list binary, own binary")
     answered = sent.groupBy("range").applyInArrow(add, "grp long, range long, answer binary")
     return answered.groupBy("grp").agg(F.sort_array(F.collect_list(F.struct("range", "answer"))).alias("answers"))
 
@@ -309,7 +310,7 @@ def posted(groups: DataFrame, width: int, percent: int, total: int) -> DataFrame
                 ["token", "node", "n", "pos", "sig", "slack", "items"],
             )
 
-    return groups.mapInArrow(run, "token long, node long, n long, pos long, sig array<long>, slack long, items binary")
+    return groups.mapInArrow(tidy(run), "token long, node long, n long, pos long, sig array<long>, slack long, items binary")
 
 
 def _answers(found: pa.ListScalar) -> np.ndarray:
@@ -350,7 +351,7 @@ def _links(pairs: DataFrame, sets: DataFrame, tried: DataFrame | None, percent:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(found, pa.bool_()))
 
     full = left.join(whole[1], "b").join(whole[0], "a").select("a", "b", "n_a", "n_b", "items_a", "items_b")
-    links = materialise(full.mapInArrow(check, "a long, b long"), "links")
+    links = materialise(full.mapInArrow(tidy(check), "a long, b long"), "links")
     return links, pairs if tried is None else tried.union(pairs)
 
 

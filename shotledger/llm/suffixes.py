@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shotledger.llm.jaccard import _FACTOR, _INVERSE, _mix
+from shotledger.llm.memory import tidy
 from shotledger.sources.shared import BROADCAST_BYTES, broadcast_if_small, materialise, scratch, size_in_bytes
 
 GRAM, PIECE, GROUP_WINDOWS, BATCH_BYTES, TASK_WINDOWS, TASK_ROWS = 36, 1 << 19, 512, 1 << 20, 1 << 15, 1 << 19
@@ -179,7 +180,7 @@ def _anchored(docs: DataFrame, length: int) -> DataFrame:
             yield flush(ids, offsets, found, id_type)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"anchor long, kind long, doc_id {kind}, at long, size long")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"anchor long, kind long, doc_id {kind}, at long, size long")
 
 
 def suffix_array(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -294,7 +295,7 @@ def _divided(rows: DataFrame, length: int, width: int) -> DataFrame:
                     [pa.array(anchor, pa.int64()), part.column("doc_id").take(pa.array(k)), pa.array(at, pa.int64()), pa.array(offset, pa.int32()), pa.array(raw, pa.binary())], ["anchor", "doc_id", "at", "offset", "bytes"]
                 )
 
-    return rows.mapInArrow(run, f"anchor long, doc_id {rows.schema['doc_id'].dataType.simpleString()}, at long, offset int, bytes binary")
+    return rows.mapInArrow(tidy(run), f"anchor long, doc_id {rows.schema['doc_id'].dataType.simpleString()}, at long, offset int, bytes binary")
 
 
 def _windows(docs: DataFrame, length: int) -> tuple[DataFrame, list[DataFrame]]:
@@ -334,7 +335,7 @@ def _windows(docs: DataFrame, length: int) -> tuple[DataFrame, list[DataFrame]]:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t or batch.column(0).type) for c, t in zip(zip(*rows), types)], names)
                     rows = []
 
-    fetched = materialise(cut.mapInArrow(fetch, f"anchor long, doc_id {kind}, at long, offset int, bytes binary, crowded boolean"), "windows")
+    fetched = materialise(cut.mapInArrow(tidy(fetch), f"anchor long, doc_id {kind}, at long, offset int, bytes binary, crowded boolean"), "windows")
     cols = ["anchor", "doc_id", "at", "offset", "bytes"]
     ready = fetched.where("not crowded").select(*cols)
     crowded = fetched.where("crowded").select(*cols)
@@ -400,7 +401,7 @@ def _scanned(windows: DataFrame, length: int, groups: bool) -> DataFrame:
     # Sorting suffixes is work out of proportion to the bytes moved, so partitions aren't left to be merged by size.
     parts = max(int(windows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-windows.count() // TASK_WINDOWS))
     dealt = windows.repartition(parts, "anchor").sortWithinPartitions("anchor")
-    return dealt.mapInArrow(scan, f"grp string, size long, doc_id {kind}, at long" if groups else f"doc_id {kind}, at long, size long")
+    return dealt.mapInArrow(tidy(scan), f"grp string, size long, doc_id {kind}, at long" if groups else f"doc_id {kind}, at long, size long")
 
 
 def _placed(rows: DataFrame) -> DataFrame:
@@ -472,7 +473,7 @@ def without_repeats(docs: DataFrame, length: int = 100, keep: Sequence[str] = ()
                     ["doc_id", "text", "spans", "left", "left_text", "rest"],
                 )
 
-    return both.mapInArrow(run, f"doc_id {kinds['doc_id']}, text binary, spans array<struct<start: long, stop: long>>, left binary, left_text string, rest {kinds['rest']}")
+    return both.mapInArrow(tidy(run), f"doc_id {kinds['doc_id']}, text binary, spans array<struct<start: long, stop: long>>, left binary, left_text string, rest {kinds['rest']}")
 
 
 def cleaned(docs: DataFrame, length: int = 100) -> DataFrame:

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shotledger.llm.memory import tidy
+
 #: The id that ends a document, and the vocabulary's one special token, which is matched inside texts.
 END_ID, SPECIAL = 2, "<|endoftext|>"
 
@@ -68,7 +70,7 @@ def pieces(docs: DataFrame, size: int = 1024, paths: tuple[str, str] | None = No
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(i, 512) for whole in batches for i in range(0, whole.num_rows, 512)):
             which, piece, start, length, crc = [], [], [], [], []
             for row, ids in enumerate(id_arrays(batch.column(1), paths)):
                 first = (len(ids) - 1) % size + 1
@@ -81,4 +83,4 @@ def pieces(docs: DataFrame, size: int = 1024, paths: tuple[str, str] | None = No
                 ["doc_id", "piece", "start", "length", "ids_crc32"],
             )
 
-    return rows.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return rows.mapInArrow(tidy(run), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
