@@ -62,6 +62,16 @@ def delete(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)  # noqa: SLF001
 
 
+def release(table: DataFrame) -> None:
+    """Delete what an operator wrote for the table that it returned, once nobody reads it any more; tables that aren't ours stay."""
+    spark = table.sparkSession
+    home = shared_dir(spark).removeprefix("file:").lstrip("/")
+    for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        plain = folder.removeprefix("file:").lstrip("/")
+        if plain.startswith(f"{home}/shotledger-") and plain.count("/") == home.count("/") + 2:
+            delete(spark, folder)
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
     """Delete the tables that are written inside when it ends. What it gives writes a table that stays, or goes with the scratch around this one."""
