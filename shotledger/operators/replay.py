@@ -12,8 +12,7 @@ count, is loose: a list sorted by number and id.
 from __future__ import annotations
 
 import bisect
-import datetime as dt
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,6 +25,8 @@ from shotledger.sources.shared import materialise
 
 KINDS = ("move_photo", "delete_photo", "add_photos", "create_cluster", "update_cluster", "delete_cluster")
 BLOCK = 512
+#: So many rows of results are put into a batch at least, if there are as many.
+OUT_ROWS = 8192
 
 
 class _Block(list):
@@ -120,7 +121,7 @@ class Job:
         self.home: dict[str, str | None] = {}
         self.number: dict[str, int | None] = {}  # of photos in dense clusters only after settle()
         self.dead: set[str] = set()
-        self.deleted_at: dict[str, dt.datetime] = {}
+        self.deleted_at: dict[str, int] = {}
         self.members: dict[str, Members] = {}
 
     def of(self, cluster: str) -> Members:
@@ -204,7 +205,7 @@ class Job:
         known = {p for p in photos or () if p in self.home}
         return [p for _, _, p in sorted(_sortable(self.place(p), p) for p in known)]
 
-    def kill(self, photo: str, at: dt.datetime) -> None:
+    def kill(self, photo: str, at: int) -> None:
         home = self.home[photo]
         if photo not in self.dead and home is not None:
             self.take_out(photo)
@@ -213,7 +214,7 @@ class Job:
         self.dead.add(photo)
         self.deleted_at[photo] = at
 
-    def remove_cluster(self, cluster: str, at: dt.datetime) -> None:
+    def remove_cluster(self, cluster: str, at: int) -> None:
         """Its photos lose it and are deleted, and clusters behind it move up."""
         m = self.of(cluster)
         for photo in [*m.active(), *m.dead]:
@@ -224,7 +225,7 @@ class Job:
             if c[1] is not None and gone is not None and c[1] > gone:
                 c[1] -= 1
 
-    def apply(self, kind: str, photo: str | None, cluster: str | None, to: int | None, photos: list[str] | None, name: str | None, at: dt.datetime) -> str | None:
+    def apply(self, kind: str, photo: str | None, cluster: str | None, to: int | None, photos: list[str] | None, name: str | None, at: int) -> str | None:
         """Apply an edit, or say why it is refused."""
         if kind in ("move_photo", "delete_photo") and photo not in self.home:
             return "no such photo"
@@ -281,33 +282,66 @@ class Job:
         return None
 
 
-def _replayed(table: pa.Table) -> pa.Table:
-    """One job's rows (``is`` tells clusters, photos and edits apart) to what became of them."""
+NAMES = ("job_id", "is", "id", "parent", "name", "place", "edit_id", "at")
+
+
+def _replayed(job_id: object, rows: list[tuple], names: list[str]) -> Iterator[tuple]:
+    """One job's rows, edits in their order, to what became of them as tuples of ``NAMES``; ``is`` tells clusters, photos and edits apart."""
+    kind_at = names.index("is")
     given: dict[str, list[dict]] = {"cluster": [], "photo": [], "edit": []}
-    for r in table.sort_by("edit_id").to_pylist():
-        given[r["is"]].append(r)
-    job = Job(table.column("job_id")[0].as_py())
+    for r in rows:
+        given[r[kind_at]].append(dict(zip(names, r)))
+    job = Job(job_id)
     clusters = {r["id"]: (r["name"], r["place"]) for r in given["cluster"]}
     photos = {r["id"]: (r["parent"], r["place"]) for r in given["photo"]}
     job.clusters = {c: list(x) for c, x in clusters.items()}
     for r in given["photo"]:
         job.start(r["id"], r["parent"], r["place"], r["dead"])
     job.started()
-    out: list[dict] = []
     for r in given["edit"]:
         why = job.apply(r["kind"], r["id"], r["parent"], r["place"], r["photo_ids"], r["name"], r["at"])
         if why:
-            out.append({"is": "refused", "id": why, "edit_id": r["edit_id"]})
+            yield job_id, "refused", why, None, None, None, r["edit_id"], None
     for m in job.members.values():
         job.settle(m)
-    out += [{"is": "cluster" if c in clusters else "new", "id": c, "name": x[0], "place": x[1]} for c, x in job.clusters.items() if clusters.get(c) != tuple(x)]
-    out += [{"is": "gone", "id": c} for c in clusters if c not in job.clusters]
+    for c, (name, place) in job.clusters.items():
+        if clusters.get(c) != (name, place):
+            yield job_id, "cluster" if c in clusters else "new", c, None, name, place, None, None
+    for c in clusters:
+        if c not in job.clusters:
+            yield job_id, "gone", c, None, None, None, None, None
     for p, home in job.home.items():
         if p in job.deleted_at or photos[p] != (home, job.number[p]):
-            out.append({"is": "photo", "id": p, "parent": home, "place": job.number[p], "at": job.deleted_at.get(p)})
-    kinds = table.schema
-    names = ("is", "id", "parent", "name", "place", "edit_id", "at")
-    return pa.table({"job_id": pa.array([job.job_id] * len(out), kinds.field("job_id").type), **{n: pa.array([o.get(n) for o in out], kinds.field(n).type) for n in names}})
+            yield job_id, "photo", p, home, None, job.number[p], None, job.deleted_at.get(p)
+
+
+def _replayed_jobs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What became of the jobs of a partition sorted by job and edit; of its rows only one job's are held at a time. Times pass through as numbers."""
+    own: list[tuple] = []
+    out: list[tuple] = []
+    job_id, kinds = None, None
+
+    def done() -> pa.RecordBatch:
+        columns = [pa.array(c, pa.int64()).cast(kinds.field(n).type) if n == "at" else pa.array(c, kinds.field(n).type) for n, c in zip(NAMES, zip(*out))]
+        out.clear()
+        return pa.RecordBatch.from_arrays(columns, names=list(NAMES))
+
+    for batch in batches:
+        kinds = batch.schema
+        columns = [(c.cast(pa.int64()) if n == "at" else c).to_pylist() for n, c in zip(kinds.names, batch.columns)]
+        at = kinds.names.index("job_id")
+        for r in zip(*columns):
+            if own and r[at] != job_id:
+                out.extend(_replayed(job_id, own, kinds.names))
+                own = []
+                if len(out) >= OUT_ROWS:
+                    yield done()
+            job_id = r[at]
+            own.append(r)
+    if own:
+        out.extend(_replayed(job_id, own, kinds.names))
+    if out:
+        yield done()
 
 
 def replay(clusters: DataFrame, photos: DataFrame, jobs: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -342,7 +376,10 @@ def replay(clusters: DataFrame, photos: DataFrame, jobs: DataFrame, edits: DataF
     all_rows = all_rows.union(rows(photos.join(touched, "job_id", "left_semi"), "photo", id=c("photo_id"), parent=c("cluster_id"), place=c("order_index").cast("int"), dead=c("deleted_at").isNotNull()))
     given = {"id": c("photo_id"), "parent": c("cluster_id"), "place": c("to_index").cast("int"), "at": c("at").cast(kinds["at"])} | {n: c(n) for n in ("name", "edit_id", "kind", "photo_ids")}
     all_rows = all_rows.union(rows(log, "edit", **given))
-    changes = all_rows.groupBy("job_id").applyInArrow(_replayed, f"job_id {kinds['job']}, `is` string, id string, parent string, name string, place int, edit_id long, at {kinds['at']}")
+    # Jobs have few rows and there are many, so a task takes its jobs one after the other from sorted rows; a call of Python for each job's group takes longer than its edits.
+    # Dealt out by a hash of its own: a shuffle by the job itself is left out where the joins above seem to have made it, and adaptive execution then changes these.
+    by_job = all_rows.repartition(F.xxhash64("job_id")).sortWithinPartitions("job_id", "edit_id")
+    changes = by_job.mapInArrow(_replayed_jobs, f"job_id {kinds['job']}, `is` string, id string, parent string, name string, place int, edit_id long, at {kinds['at']}")
     changes = materialise(changes, "changes")
     of = lambda what: changes.where(c("is") == what)
     kept = clusters.join(of("gone").select(c("id").alias("cluster_id")), "cluster_id", "left_anti")
