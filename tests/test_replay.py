@@ -162,3 +162,20 @@ def test_unknown_ids_hold_their_place_and_empty_names_count(spark):
 def test_folder_of_the_first_thumbnail(spark):
     photos = spark.createDataFrame([(1, "p1", 0, "", "a/o/1.jpg"), (1, "p2", 1, "a/t/2.jpg", "a/o/2.jpg"), (2, "p3", None, None, "b/o/3.jpg"), (3, "p4", 0, "", None)], "job_id long, photo_id string, order_index int, thumbnail_path string, storage_path string")
     assert rows(relations.bucket_folder(photos)) == [(1, "a/t", 2), (2, "b/o", 1), (3, None, 1)]
+
+
+def test_jobs_of_a_task_are_taken_one_after_the_other():
+    """Jobs cut by the ends of batches, and more results than a batch takes, without a group for each job."""
+    import pyarrow as pa
+
+    kinds = pa.schema([("job_id", pa.int64()), ("is", pa.string()), ("id", pa.string()), ("parent", pa.string()), ("name", pa.string()), ("place", pa.int32()), ("dead", pa.bool_()), ("edit_id", pa.int64()), ("kind", pa.string()), ("photo_ids", pa.list_(pa.string())), ("at", pa.timestamp("us"))])
+    rows = []
+    for job in range(9000):
+        rows.append((job, "cluster", f"c{job}", None, "n", 0, None, None, None, None, None))
+        rows.append((job, "photo", f"p{job}", f"c{job}", None, 3, False, None, None, None, None))
+        rows.append((job, "edit", f"p{job}", None, None, None, None, 1, "delete_photo", None, 1_000_000 + job))
+    rows = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()).cast(k.type) if k.name == "at" else pa.array(c, k.type) for k, c in zip(kinds, zip(*rows[i : i + 1000]))], schema=kinds) for i in range(0, len(rows), 1000)]
+    found = list(replay._replayed_jobs(iter(rows)))
+    assert len(found) == 2 and [b.column("id").to_pylist() for b in found] == [[f"p{j}" for j in range(8192)], [f"p{j}" for j in range(8192, 9000)]]
+    assert found[1].column("at").cast(pa.int64()).to_pylist()[-1] == 1_000_000 + 8999 and set(found[0].column("parent").to_pylist()[:2]) == {"c0", "c1"}
+    assert list(replay._replayed_jobs(iter([]))) == []
