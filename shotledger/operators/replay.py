@@ -125,7 +125,10 @@ class Job:
         self.members: dict[str, Members] = {}
 
     def of(self, cluster: str) -> Members:
-        return self.members.setdefault(cluster, Members())
+        found = self.members.get(cluster)
+        if found is None:
+            found = self.members[cluster] = Members()
+        return found
 
     def start(self, photo: str, cluster: str | None, number: int | None, dead: bool) -> None:
         self.home[photo], self.number[photo] = cluster, number
@@ -285,41 +288,61 @@ class Job:
 NAMES = ("job_id", "is", "id", "parent", "name", "place", "edit_id", "at")
 
 
-def _replayed(job_id: object, rows: list[tuple], names: list[str]) -> Iterator[tuple]:
+#: What is taken from the rows of a job beside its id.
+GIVEN = ("is", "id", "parent", "name", "place", "dead", "edit_id", "kind", "photo_ids", "at")
+
+
+def _values(column: pa.Array) -> list:
+    """The values of an array as a list. Whole columns are turned at once, as an Arrow object for each value takes longer than most edits."""
+    kind = column.type
+    if pa.types.is_list(kind):
+        ends, inner = column.offsets.to_numpy().tolist(), _values(column.values)
+        return [inner[a:b] if v else None for a, b, v in zip(ends, ends[1:], column.is_valid().to_numpy(zero_copy_only=False).tolist())]
+    if pa.types.is_string(kind):
+        return column.to_numpy(zero_copy_only=False).tolist()
+    if pa.types.is_integer(kind) or pa.types.is_boolean(kind):
+        found = column.fill_null(0 if pa.types.is_integer(kind) else False).to_numpy(zero_copy_only=False).tolist()
+        return found if not column.null_count else [x if v else None for x, v in zip(found, column.is_valid().to_numpy(zero_copy_only=False).tolist())]
+    return column.to_pylist()
+
+
+def _replayed(job_id: object, given: dict[str, list], first: int, end: int, out: list[tuple]) -> None:
     """One job's rows, edits in their order, to what became of them as tuples of ``NAMES``; ``is`` tells clusters, photos and edits apart."""
-    kind_at = names.index("is")
-    given: dict[str, list[dict]] = {"cluster": [], "photo": [], "edit": []}
-    for r in rows:
-        given[r[kind_at]].append(dict(zip(names, r)))
+    what, ids, parents, names, places, dead, edit_ids, kinds, lists, ats = (given[n] for n in GIVEN)
     job = Job(job_id)
-    clusters = {r["id"]: (r["name"], r["place"]) for r in given["cluster"]}
-    photos = {r["id"]: (r["parent"], r["place"]) for r in given["photo"]}
+    clusters, photos, edits = {}, {}, []
+    for r in range(first, end):
+        if what[r] == "edit":
+            edits.append(r)
+        elif what[r] == "cluster":
+            clusters[ids[r]] = (names[r], places[r])
+        else:
+            photos[ids[r]] = (parents[r], places[r])
+            job.start(ids[r], parents[r], places[r], dead[r])
     job.clusters = {c: list(x) for c, x in clusters.items()}
-    for r in given["photo"]:
-        job.start(r["id"], r["parent"], r["place"], r["dead"])
     job.started()
-    for r in given["edit"]:
-        why = job.apply(r["kind"], r["id"], r["parent"], r["place"], r["photo_ids"], r["name"], r["at"])
+    for r in edits:
+        why = job.apply(kinds[r], ids[r], parents[r], places[r], lists[r], names[r], ats[r])
         if why:
-            yield job_id, "refused", why, None, None, None, r["edit_id"], None
+            out.append((job_id, "refused", why, None, None, None, edit_ids[r], None))
     for m in job.members.values():
         job.settle(m)
     for c, (name, place) in job.clusters.items():
         if clusters.get(c) != (name, place):
-            yield job_id, "cluster" if c in clusters else "new", c, None, name, place, None, None
+            out.append((job_id, "cluster" if c in clusters else "new", c, None, name, place, None, None))
     for c in clusters:
         if c not in job.clusters:
-            yield job_id, "gone", c, None, None, None, None, None
+            out.append((job_id, "gone", c, None, None, None, None, None))
     for p, home in job.home.items():
         if p in job.deleted_at or photos[p] != (home, job.number[p]):
-            yield job_id, "photo", p, home, None, job.number[p], None, job.deleted_at.get(p)
+            out.append((job_id, "photo", p, home, None, job.number[p], None, job.deleted_at.get(p)))
 
 
 def _replayed_jobs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What became of the jobs of a partition sorted by job and edit; of its rows only one job's are held at a time. Times pass through as numbers."""
-    own: list[tuple] = []
+    """What became of the jobs of a partition sorted by job and edit; of its rows only a batch and one job's are held at a time. Times pass through as numbers."""
+    held: dict[str, list] = {n: [] for n in ("job_id", *GIVEN)}
     out: list[tuple] = []
-    job_id, kinds = None, None
+    kinds = None
 
     def done() -> pa.RecordBatch:
         columns = [pa.array(c, pa.int64()).cast(kinds.field(n).type) if n == "at" else pa.array(c, kinds.field(n).type) for n, c in zip(NAMES, zip(*out))]
@@ -328,18 +351,20 @@ def _replayed_jobs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
     for batch in batches:
         kinds = batch.schema
-        columns = [(c.cast(pa.int64()) if n == "at" else c).to_pylist() for n, c in zip(kinds.names, batch.columns)]
-        at = kinds.names.index("job_id")
-        for r in zip(*columns):
-            if own and r[at] != job_id:
-                out.extend(_replayed(job_id, own, kinds.names))
-                own = []
+        before = len(held["job_id"])
+        for n, c in zip(kinds.names, batch.columns):
+            held[n].extend(_values(c.cast(pa.int64()) if n == "at" else c))
+        jobs, first = held["job_id"], 0
+        for r in range(max(before, 1), len(jobs)):
+            if jobs[r] != jobs[r - 1]:
+                _replayed(jobs[first], held, first, r, out)
+                first = r
                 if len(out) >= OUT_ROWS:
                     yield done()
-            job_id = r[at]
-            own.append(r)
-    if own:
-        out.extend(_replayed(job_id, own, kinds.names))
+        for c in held.values():
+            del c[:first]
+    if held["job_id"]:
+        _replayed(held["job_id"][0], held, 0, len(held["job_id"]), out)
     if out:
         yield done()
 
@@ -374,7 +399,8 @@ def replay(clusters: DataFrame, photos: DataFrame, jobs: DataFrame, edits: DataF
     c = F.col
     all_rows = rows(clusters.join(touched, "job_id", "left_semi"), "cluster", id=c("cluster_id"), name=c("name"), place=c("order_index").cast("int"))
     all_rows = all_rows.union(rows(photos.join(touched, "job_id", "left_semi"), "photo", id=c("photo_id"), parent=c("cluster_id"), place=c("order_index").cast("int"), dead=c("deleted_at").isNotNull()))
-    given = {"id": c("photo_id"), "parent": c("cluster_id"), "place": c("to_index").cast("int"), "at": c("at").cast(kinds["at"])} | {n: c(n) for n in ("name", "edit_id", "kind", "photo_ids")}
+    named = F.when(c("kind").isin("add_photos", "create_cluster"), c("photo_ids"))
+    given = {"id": c("photo_id"), "parent": c("cluster_id"), "place": c("to_index").cast("int"), "photo_ids": named, "at": c("at").cast(kinds["at"])} | {n: c(n) for n in ("name", "edit_id", "kind")}
     all_rows = all_rows.union(rows(log, "edit", **given))
     # Jobs have few rows and there are many, so a task takes its jobs one after the other from sorted rows; a call of Python for each job's group takes longer than its edits.
     # Dealt out by a hash of its own: a shuffle by the job itself is left out where the joins above seem to have made it, and adaptive execution then changes these.
@@ -382,9 +408,8 @@ def replay(clusters: DataFrame, photos: DataFrame, jobs: DataFrame, edits: DataF
     changes = by_job.mapInArrow(_replayed_jobs, f"job_id {kinds['job']}, `is` string, id string, parent string, name string, place int, edit_id long, at {kinds['at']}")
     changes = materialise(changes, "changes")
     of = lambda what: changes.where(c("is") == what)
-    kept = clusters.join(of("gone").select(c("id").alias("cluster_id")), "cluster_id", "left_anti")
-    changed = of("cluster").select(c("id").alias("cluster_id"), c("name").alias("_name"), c("place").alias("_place"), F.lit(True).alias("_hit"))
-    kept = kept.join(changed, "cluster_id", "left").withColumns({n: F.when(c("_hit"), c(o)).otherwise(c(n)).cast(dict(clusters.dtypes)[n]) for n, o in (("name", "_name"), ("order_index", "_place"))})
+    changed = changes.where(c("is").isin("cluster", "gone")).select(c("id").alias("cluster_id"), c("name").alias("_name"), c("place").alias("_place"), (c("is") == "cluster").alias("_hit"))
+    kept = clusters.join(changed, "cluster_id", "left").where(F.coalesce("_hit", F.lit(True))).withColumns({n: F.when(c("_hit"), c(o)).otherwise(c(n)).cast(dict(clusters.dtypes)[n]) for n, o in (("name", "_name"), ("order_index", "_place"))})
     new = of("new").select(*[{"cluster_id": c("id"), "job_id": c("job_id"), "name": c("name"), "order_index": c("place").cast(t)}.get(n, F.lit(None).cast(t)).alias(n) for n, t in clusters.dtypes])
     changed = of("photo").select(c("id").alias("photo_id"), c("parent").alias("_parent"), c("place").alias("_place"), c("at").alias("_at"), F.lit(True).alias("_hit"))
     moved = photos.join(changed, "photo_id", "left").withColumns(

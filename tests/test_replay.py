@@ -179,3 +179,24 @@ def test_jobs_of_a_task_are_taken_one_after_the_other():
     assert len(found) == 2 and [b.column("id").to_pylist() for b in found] == [[f"p{j}" for j in range(8192)], [f"p{j}" for j in range(8192, 9000)]]
     assert found[1].column("at").cast(pa.int64()).to_pylist()[-1] == 1_000_000 + 8999 and set(found[0].column("parent").to_pylist()[:2]) == {"c0", "c1"}
     assert list(replay._replayed_jobs(iter([]))) == []
+
+
+def test_columns_are_turned_into_lists_at_once():
+    import pyarrow as pa
+
+    columns = [pa.array([1, None, 3]), pa.array([True, None, False]), pa.array(["a", None, ""]), pa.array([["a", None], None, []], pa.list_(pa.string())), pa.array([None, 5, 6], pa.int32()), pa.array([2, 3, 4], pa.int64())]
+    for c in columns:
+        for part in (c, c.slice(1), c.slice(0, 0), c.slice(1, 1)):
+            assert replay._values(part) == part.to_pylist()
+
+
+def test_lists_that_no_edit_takes_are_not_moved(spark, monkeypatch):
+    """Only two kinds of edits take a list of photos; the lists of others aren't sent to Python, and the edits do the same."""
+    seen = []
+    monkeypatch.setattr(replay, "materialise", lambda df, name: seen.append(df) or df)
+    clusters, photos, _ = made(3, [1], 5, 0)
+    edits = [(k, 1, kind, "1p0", "1c1", None, ["1p2", "1p3"], None, AT) for k, kind in enumerate(("move_photo", "add_photos", "delete_photo", "update_cluster"))]
+    _, p, refused = run(spark, clusters, photos, [(1, "x", "y")], edits)
+    plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "add_photos" in plan and "photo_ids" in plan
+    assert {r.photo_id for r in p.where("cluster_id = '1c1'").collect()} >= {"1p0", "1p2", "1p3"} and refused.count() == 0
