@@ -330,3 +330,12 @@ def test_density_clusters_by_blocks_are_those_by_pairs(spark, alt, block):
     got = clustering._by_blocks(points, 3, 15.0, alt, 0.8, block)
     assert rows(got) == rows(by_pairs) and by_pairs.select("label").distinct().count() > 3
     assert clustering.density_clusters(points.limit(0), 3, 15.0, alt, 0.8).count() == 0
+
+
+def test_nested_moves_rows_and_not_lists(spark):
+    """Rows go to their parent's task as they are; lists are made there."""
+    rows = spark.createDataFrame([("a", "x", 2, "l"), ("b", "x", None, "m"), ("c", "x", 1, "n"), ("d", None, 0, "o")], "photo_id string, cluster_id string, order_index int, note string")
+    found = relations.nested(rows, "cluster_id", "photos", "photo_id", "note", key="photo_id")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "partial_collect_list" in plan.split("Exchange")[0]
+    assert {r.cluster_id: [tuple(p) for p in r.photos] for r in found.collect()} == {"x": [("c", "n"), ("a", "l"), ("b", "m")], None: [("d", "o")]}
