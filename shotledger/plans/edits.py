@@ -87,7 +87,7 @@ def replay_edits_clusters(spark: SparkSession, d: str) -> DataFrame:
 @query(ORACLES["job_details"])
 def bucketed_job_details(spark: SparkSession, d: str) -> DataFrame:
     """Jobs with clusters and photos over tables in buckets of the job: only the writing of the buckets moves rows."""
-    with layout.Layout(spark) as laid, scratch(spark) as kept:
+    with layout.Layout(spark, buckets=layout.buckets_for(tables.photos(spark, d))) as laid, scratch(spark) as kept:
         for name, rows in (("jobs", tables.jobs(spark, d)), ("clusters", tables.clusters(spark, d)), ("photos", tables.photos(spark, d)), ("runs", tables.exports(spark, d))):
             laid.write(name, rows)
         found = layout.details_by_job(*[laid.table(x) for x in ("jobs", "clusters", "photos", "runs")])
@@ -100,7 +100,7 @@ def bucketed_job_details(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT photo_id, job_id, cluster_id FROM photos WHERE job_id IN (SELECT min(job_id) FROM jobs GROUP BY user_id % 40)", "photos", "jobs")
 def bucketed_lookup(spark: SparkSession, d: str) -> DataFrame:
     """Photos of a few jobs, read from these jobs' buckets only."""
-    with layout.Layout(spark) as laid, scratch(spark) as kept:
+    with layout.Layout(spark, buckets=layout.buckets_for(tables.photos(spark, d))) as laid, scratch(spark) as kept:
         laid.write("photos", tables.photos(spark, d))
         ids = tables.jobs(spark, d).groupBy(F.col("user_id") % 40).agg(F.min("job_id").alias("job_id")).select("job_id")
         return kept(laid.lookup("photos", ids).select("photo_id", "job_id", "cluster_id"), "photos")

@@ -12,13 +12,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shotledger.operators.relations import active, latest_per_job
+from shotledger.sources.shared import cleaned
 
 #: So many ids at most are put into the filter that chooses buckets; more are joined.
 FILTER_IDS = 1000
+#: The fewest buckets, and so many rows of the largest table in each: a bucket is one task's, so their number grows with the rows and a task's memory doesn't.
+BUCKETS, BUCKET_ROWS = 16, 500_000
+
+
+def buckets_for(rows: DataFrame) -> int:
+    """The number of buckets for tables of which ``rows`` is the largest; over a scan, counting reads no column."""
+    return max(BUCKETS, -(-rows.count() // BUCKET_ROWS))
 
 
 class Layout:
-    def __init__(self, spark: SparkSession, key: str = "job_id", buckets: int = 16):
+    def __init__(self, spark: SparkSession, key: str = "job_id", buckets: int = BUCKETS):
         self.spark, self.key, self.buckets = spark, key, buckets
         self._names: dict[str, str] = {}
         self._prefix = f"layout_{uuid.uuid4().hex}"
@@ -27,7 +35,8 @@ class Layout:
         """One file per bucket: rows are moved to their bucket's task before they are written."""
         full = f"{self._prefix}_{name}"
         self._names[name] = full
-        rows.repartition(self.buckets, self.key).write.bucketBy(self.buckets, self.key).sortBy(self.key).format("parquet").saveAsTable(full)
+        with cleaned(self.spark):
+            rows.repartition(self.buckets, self.key).write.bucketBy(self.buckets, self.key).sortBy(self.key).format("parquet").saveAsTable(full)
 
     def table(self, name: str) -> DataFrame:
         return self.spark.table(self._names[name])
@@ -53,7 +62,8 @@ class Layout:
 
 
 def details_by_job(jobs: DataFrame, clusters: DataFrame, photos: DataFrame, runs: DataFrame) -> DataFrame:
-    """What ``relations.job_details`` gives, by grouping and joining on the job alone: over a layout nothing is moved, elsewhere each table once.
+    """What ``relations.job_details`` gives, by grouping and joining on the job alone: over a layout nothing is moved. Photos that aren't
+    laid out are dealt out by job before (``repartition``), as they are grouped twice and would be moved each time.
 
     A cluster's photos are those of its own job that name it.
     """

@@ -59,3 +59,10 @@ def test_jobs_without_anything(spark):
     runs = catalog.tables.exports(spark, SF).limit(0)
     got = {r.job_id: ([c.cluster_id for c in r.clusters], r.photos, r.export_status) for r in layout.details_by_job(jobs, clusters, photos, runs).collect()}
     assert got == {1: (["b", "a"], [], "PENDING"), 2: ([], [], "PENDING")}
+
+
+def test_buckets_grow_with_the_rows(spark):
+    """A bucket is one task's, so a table of any size has few rows in each."""
+    assert layout.buckets_for(spark.range(1000)) == 16
+    assert layout.buckets_for(spark.range(16 * layout.BUCKET_ROWS + 1)) == 17
+    assert layout.buckets_for(spark.range(216_000_000)) == 432
