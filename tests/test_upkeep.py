@@ -104,3 +104,24 @@ def test_release(spark):
     outside = spark.read.parquet("/root/testdata/sf0.001/region.parquet")
     shared.release(outside)
     assert outside.count() == 5
+
+
+def test_a_step_moves_its_rows_once(spark, monkeypatch, tmp_path):
+    """Clusters are dealt out by job for the distinct and the numbering; replies are put together in their job's task; a sync and a move join no photos they needn't."""
+    from shotledger.operators import mutations
+    from shotledger.plans import catalog
+    from shotledger.sources import tables
+
+    d = "/root/testdata/sf0.001"
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    logical = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(tables.clusters(spark, d)).count("Exchange") == 1
+    assert "hashpartitioning(cluster_id" not in plan(catalog.before_replies(spark, d)[0])
+    clusters, photos = tables.clusters(spark, d), tables.photos(spark, d)
+    payload = clusters.selectExpr("job_id", "cluster_id", "name", "order_index", "array('nobody') as photo_ids")
+    assert "LeftSemi" not in logical(mutations.sync(clusters, photos, payload)[0])
+    seen, real = {}, mutations.materialise
+    monkeypatch.setattr(mutations, "materialise", lambda df, name: seen.update({name: logical(df)}) or real(df, name))
+    moves = photos.groupBy("job_id").agg({"photo_id": "min"}).selectExpr("`min(photo_id)` as photo_id", "cast(null as string) as cluster_id", "cast(null as int) as to_index")
+    mutations.move_photos(clusters, photos, moves, photos["deleted_at"])
+    assert seen["empty"].count("LeftAnti") == 1
