@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import struct
 from collections.abc import Iterator
 
@@ -49,8 +50,10 @@ def file_contents(spark: SparkSession, d: str) -> DataFrame:
             wholes = files.contents(spark, f"{folder}/{part}").select("path", F.sha2("content", 256).alias("whole"))
             found.append(heads.join(wholes, "path"))
         rows = found[0].union(found[1])
-        inside = files.below(rows, rows.select(F.regexp_extract("path", "^(.*)/even/", 1).alias("p")).where("p <> ''").first()[0] + "/even").withColumn("in_even", F.lit(True))
-        other = files.outside(rows, rows.select(F.regexp_extract("path", "^(.*)/even/", 1).alias("p")).where("p <> ''").first()[0] + "/even").withColumn("in_even", F.lit(False))
+        # The folder as listings write it, from a listing that opens no file.
+        even = re.match("(.*)/even/", files.contents(spark, f"{folder}/even").select("path").first()[0])[0]
+        inside = files.below(rows, even).withColumn("in_even", F.lit(True))
+        other = files.outside(rows, even).withColumn("in_even", F.lit(False))
         return kept(inside.union(other).select(_name("path").alias("name"), "head", "whole", "in_even"), "contents")
 
 
