@@ -174,7 +174,7 @@ def export_reply_stream(spark: SparkSession, d: str) -> DataFrame:
         folder = new_folder(spark, "drop")
         files.put_objects(pages.mapInArrow(run, "name string, content binary"), folder)
         requests = pages.where("page_id % 4 <> 1").select(F.concat(F.lit("e"), "page_id").alias("export_id"), (F.col("page_id") % 50).alias("job_id"))
-        return kept(callbacks.collected(callbacks.as_events(callbacks.reply_stream(spark, folder), requests)), "events")
+        return kept(callbacks.collected(callbacks.reply_stream(spark, folder), lambda batch: callbacks.as_events(batch, requests)), "events")
 
 
 @query(

@@ -7,11 +7,12 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
 from shotledger.operators import clustering, states
 from shotledger.plans import catalog
 from shotledger.sources import versions
-from shotledger.streaming import apply, correlation, machine
+from shotledger.streaming import apply, callbacks, correlation, machine
 from tests.test_operators import rows
 
 EVENTS = "job_id long, event_id long, ts timestamp, status string"
@@ -169,3 +170,28 @@ def test_replies_are_applied_once(spark, tmp_path, monkeypatch):
         columns = sorted(set(want[name].columns) & set(store.read(name).columns) - {"result"})
         text = lambda df: sorted(repr(tuple(r)) for r in df.select(*columns).collect())
         assert text(store.read(name)) == text(want[name]), name
+
+
+def test_files_of_replies_are_taken_in_few_tasks_and_as_they_are(spark, tmp_path, monkeypatch):
+    """By Spark's own settings a batch looks up each of the files in a task of its own, and reads 32 in a task."""
+    started = []
+    real = DataStreamWriter.start
+    monkeypatch.setattr(DataStreamWriter, "start", lambda self, *a, **k: started.append(real(self, *a, **k)) or started[-1])
+    drop = tmp_path / "drop"
+    (drop / "below").mkdir(parents=True)
+    for n in range(300):
+        (drop / f"{n}.json").write_text(f'{{\n "request_id": "e{n}", "status": "failed", "error": "über {n}"\n}}')
+    (drop / "below" / "x.json").write_text('{"request_id": "e1000", "status": "failed"}')
+    (drop / "odd.json").write_bytes(b"{\xff\xfe")
+    (drop / "empty.json").write_text("")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.openCostInBytes", "spark.sql.sources.parallelPartitionDiscovery.parallelism")}
+    got = callbacks.collected(callbacks.reply_stream(spark, str(drop))).cache()
+    assert {k: spark.conf.get(k) for k in before} == before
+    tracker = spark.sparkContext.statusTracker()
+    tasks = [tracker.getStageInfo(s).numTasks for j in tracker.getJobIdsForGroup(str(started[0].runId)) for s in tracker.getJobInfo(j).stageIds]
+    assert tasks and max(tasks) <= 16 and sum(tasks) < 40
+    assert got.count() == 301 and got.where("not readable").count() == 1
+    assert {r["body"] for r in got.where("readable").collect()} == {(drop / f"{n}.json").read_text() for n in range(300)}
+    requests = spark.range(100).select(F.concat(F.lit("e"), "id").alias("export_id"), F.col("id").alias("job_id"))
+    events = callbacks.collected(callbacks.reply_stream(spark, str(drop)), lambda batch: callbacks.as_events(batch, requests))
+    assert sorted(tuple(r) for r in events.collect()) == [(n, f"e{n}", "FAILED", f"über {n}", None) for n in range(100)]
