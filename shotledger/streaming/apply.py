@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shotledger.operators import clustering
-from shotledger.sources.shared import materialise, scratch
+from shotledger.sources.shared import materialise, scratch, sized_broadcasts
 from shotledger.sources.versions import Store
 
 #: The tables that a reply changes, and what each is laid out by. Details carry their photo's job.
@@ -16,7 +16,7 @@ KEYS = {"runs": "cluster_job_id", "jobs": "job_id", "clusters": "job_id", "photo
 def lay_out(store: Store, tables: dict[str, DataFrame], buckets: int) -> None:
     """The first version: each table in so many buckets, so that a batch rewrites those of its jobs only."""
     details = tables["details"].join(tables["photos"].select("photo_id", "job_id"), "photo_id")
-    with store.transaction("lay out") as t:
+    with sized_broadcasts(store.spark), store.transaction("lay out") as t:
         for name, key in KEYS.items():
             rows = details if name == "details" else tables[name]
             if name == "clusters":
@@ -26,7 +26,8 @@ def lay_out(store: Store, tables: dict[str, DataFrame], buckets: int) -> None:
 
 def apply_batch(store: Store, stream: str, number: int, batch: DataFrame, now: Column) -> bool:
     """Apply a batch of replies (``request_id, status, error, result``) as ``clustering.apply_replies`` does; False if this batch is in the store already."""
-    with scratch(batch.sparkSession), store.transaction(f"{stream} {number}", token=(stream, number)) as t:
+    # The store's tables are read in its own session, a stream's batch in another.
+    with sized_broadcasts(store.spark), sized_broadcasts(batch.sparkSession), scratch(batch.sparkSession), store.transaction(f"{stream} {number}", token=(stream, number)) as t:
         if t.done_before():
             return False
         known = batch.where(F.col("status").isin("completed", "failed")).select("request_id", "status", "error", "result")

@@ -6,12 +6,13 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from shotledger.operators import clustering, states
-from shotledger.plans import catalog
-from shotledger.sources import versions
+from shotledger.plans import catalog, streams
+from shotledger.sources import shared, versions
 from shotledger.streaming import apply, callbacks, correlation, machine
 from tests.test_operators import rows
 
@@ -172,6 +173,21 @@ def test_replies_are_applied_once(spark, tmp_path, monkeypatch):
         assert text(store.read(name)) == text(want[name]), name
 
 
+def test_replies_are_not_broadcast_by_the_size_of_their_files(spark, tmp_path, monkeypatch):
+    """The driver would hold as many of them as there are jobs; only what was measured while a query runs may be broadcast."""
+    replies, before = catalog.before_replies(spark, SMALL)
+    store = versions.Store(spark, f"file://{tmp_path}/store")
+    plans = []
+    real = DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path, *a, **k: plans.append(self._df._jdf.queryExecution().executedPlan().toString()) or real(self, path, *a, **k))
+    limits = [spark.conf.get(k, None) for k in (shared.GUESSED, shared.MEASURED)]
+    apply.lay_out(store, before, 2)
+    apply.apply_batch(store, "replies", 0, replies, F.lit(catalog.NOW).cast("timestamp_ntz"))
+    streams.replies_into_versions(spark, SMALL)
+    assert sum("SortMergeJoin" in p for p in plans) > 5 and not [p for p in plans if "Broadcast" in p]
+    assert [spark.conf.get(k, None) for k in (shared.GUESSED, shared.MEASURED)] == limits
+
+
 def test_files_of_replies_are_taken_in_few_tasks_and_as_they_are(spark, tmp_path, monkeypatch):
     """By Spark's own settings a batch looks up each of the files in a task of its own, and reads 32 in a task."""
     started = []
