@@ -38,7 +38,8 @@ def apply_batch(store: Store, stream: str, number: int, batch: DataFrame, now: C
         some = store.buckets_of("jobs", jobs, t.base)
         before = {name: t.read(name, some) for name in KEYS if name != "runs"}
         after = clustering.apply_replies(replies, runs, before["jobs"], before["clusters"], before["photos"], before["details"].drop("job_id"), now)
-        after["details"] = after["details"].join(after["photos"].select("photo_id", "job_id"), "photo_id")
+        # No photo changes its job, so it is read from what was, and photos aren't made twice.
+        after["details"] = after["details"].join(before["photos"].select("photo_id", "job_id"), "photo_id")
         for name in KEYS:
             where = asked if name == "runs" else some
             if where:

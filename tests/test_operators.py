@@ -6,6 +6,7 @@ import datetime as dt
 import json
 import math
 import random
+import re
 import struct
 
 import pytest
@@ -105,6 +106,46 @@ def test_apply_result(spark):
     assert got == {"p": ("1-new-3", 0, 9.0, 2.0), "q": ("1-reserve", 0, None, None), "s": (None, 6, None, None), "z": ("other", 0, None, None)}
 
 
+def test_results_meet_photos_as_by_joins(spark):
+    """Paths with endings of several lengths, shared, empty and missing ones; several items for a photo and several photos for an item."""
+    rnd = random.Random(4)
+    ends = ["", *[f"{a}{b}.jpg" for a in ("", "x/", "a") for b in "abcdef"], None]
+    photo = "photo_id string, job_id long, cluster_id string, order_index int, thumbnail_path string, storage_path string, meta_lat double, meta_lon double, meta_timestamp timestamp_ntz"
+    photos = spark.createDataFrame([(f"p{k:03d}", rnd.choice([1, 2, 3, 4, None]), "old", k, rnd.choice(["", "", "", None, "a.jpg"]), rnd.choice(ends[k < 40 :]), None, None, None) for k in range(60)], photo)
+    item = "struct<path: string, lat: double, lon: double, timestamp: double, device: string, focal_length: double, exposure_time: double, iso_speed_rating: int, flash: int, orientation: int, gps_img_direction: double>"
+    sent = lambda k: [(rnd.choice(["", "z/y/x/", "z/y/xa", None])) for _ in range(k)]
+    items = lambda k: [(None if a is None else a + rnd.choice(ends[:-1]), None, None, None, f"cam{rnd.randrange(9)}", None, None, None, None, None, None) for a in sent(k)]
+    result = spark.createDataFrame([(j, [(n - 1, items(9) if n != 2 else None) for n in range(5)]) for j in (1, 2, 9)] + [(3, []), (None, [(1, items(3))])], f"job_id long, clusters array<struct<id: int, photos: array<{item}>>>")
+    jobs = spark.createDataFrame([(1, "", "t")], "job_id long, construction_type string, title string")
+    clusters = spark.createDataFrame([], "cluster_id string, job_id long, name string, order_index int")
+    details = spark.createDataFrame([(f"p{k:03d}", "old") for k in range(0, 60, 3)], "photo_id string, device string")
+    _, p, d = clustering.apply_result(result, jobs, clusters, photos, details)
+    flat = result.select("job_id", F.posexplode("clusters").alias("entry", "c")).select("job_id", "entry", "c.id", F.posexplode("c.photos").alias("at", "i")).select("job_id", "id", F.struct("entry", "at", "i").alias("item"), F.col("i.path").alias("path"))
+    hits = relations.last_written(relations.suffix_match(flat, photos).select("photo_id", "item"), "photo_id", "item")
+    want = {r.photo_id: r.item for r in hits.collect()}
+    got = {r.photo_id: r for r in p.collect()}
+    assert len(want) > 10 and len(got) == p.count() == 60
+    for r in photos.collect():
+        hit = want.get(r.photo_id)
+        names = {"old"} if r.job_id not in (1, 2, 3) else {None} if hit is None else {f"{r.job_id}-reserve" if hit.entry == 0 else f"{r.job_id}-new-{hit.entry}"}
+        assert (got[r.photo_id].cluster_id, got[r.photo_id].order_index) == (names.pop(), r.order_index if hit is None else hit.at)
+    old = {r.photo_id: r.device for r in details.collect()}
+    assert rows(d) == sorted((old | {k: h.i.device for k, h in want.items()}).items())
+
+
+def test_a_result_is_applied_in_its_jobs_task(spark):
+    """Photos go to their job's task once and items are there already: nothing is moved by photo or by ending. Only details, which name no job, are moved by photo, and new ones are made once."""
+    from shotledger.plans import catalog
+
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    photos = plan(catalog.apply_cluster_result(spark, "/root/testdata/sf0.001"))
+    by = re.findall(r"hashpartitioning\(([^)]*), \d+\)", photos)
+    assert by and {x.split("#")[0] for x in by} <= {"job_id", "request_id", "cluster_job_id"} and not [x for x in by if "," in x]
+    assert photos.count("lineitem.parquet") == 2
+    details = plan(catalog.apply_result_details(spark, "/root/testdata/sf0.001"))
+    assert details.count("lineitem.parquet") == 3 and "_ending#" not in "".join(re.findall(r"hashpartitioning\([^)]*\)", details))
+
+
 def test_components(spark):
     links = [(k, k + 1) for k in range(60)] + [(100, 101), (102, 101), (7, 7), (None, 3), (200, 200)]
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
