@@ -146,6 +146,30 @@ def test_a_result_is_applied_in_its_jobs_task(spark):
     assert details.count("lineitem.parquet") == 3 and "_ending#" not in "".join(re.findall(r"hashpartitioning\([^)]*\)", details))
 
 
+def test_syncs_within_jobs_say_what_syncs_say(spark):
+    """Lists that share photos, unknown ids, null names, places, jobs and photos, clusters under another job; as lists name no photo of another job."""
+    rnd = random.Random(7)
+    clusters = spark.createDataFrame([(f"{j}-{c}", j, f"n{c}", c) for j in range(1, 9) for c in range(4)] + [("lone", None, "n", 0)], "cluster_id string, job_id long, name string, order_index int")
+    own = [(f"p{k:03d}", rnd.randrange(1, 10), k) for k in range(90)]
+    photos = spark.createDataFrame([(p, j, rnd.choice([f"{j}-0", f"{j}-1", None]), k) for p, j, k in own] + [(None, 1, "1-0", 5), ("x", None, "lone", 2)], "photo_id string, job_id long, cluster_id string, order_index int")
+    lists = [(j if rnd.random() < 0.8 else -j, f"{j}-{c}", rnd.choice(["", None, "new"]), rnd.choice([None, 3, 5, 9]), [rnd.choice([p for p, o, _ in own if o == j] + ["nobody", None]) for _ in range(8)]) for j in range(1, 10) for c in range(5)]
+    payload = spark.createDataFrame(lists + [(None, "lone", "new", 1, ["x"]), (1, None, "new", 1, ["x"]), (2, "2-9", "new", 1, None)], "job_id long, cluster_id string, name string, order_index int, photo_ids array<string>")
+    want, got = (mutations.sync(clusters, photos, payload, elsewhere=e) for e in (True, False))
+    for a, b in zip(want, got):
+        assert a.columns == b.columns and rows(a) == rows(b) and rows(b)
+    assert rows(got[1]) != rows(photos) and rows(got[0]) != rows(clusters)
+
+
+def test_a_sync_within_jobs_moves_photos_once(spark):
+    from shotledger.plans import catalog
+
+    found = catalog.sync_apply(spark, "/root/testdata/sf0.001")
+    assert found.count() > 0 and found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert {x.split("#")[0] for x in re.findall(r"hashpartitioning\(([^)]*), \d+\)", plan)} == {"job_id"} and "Join" not in plan
+    assert plan.count("ReusedExchange") >= 4
+
+
 def test_components(spark):
     links = [(k, k + 1) for k in range(60)] + [(100, 101), (102, 101), (7, 7), (None, 3), (200, 200)]
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
