@@ -11,8 +11,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shotledger.sources.shared import materialise
-from shotledger.sources.versions import Store, Transaction
+from shotledger.sources.shared import BROADCAST_BYTES, materialise, size_in_bytes
+from shotledger.sources.versions import Store, Transaction, bucket
 
 
 def changes(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
@@ -38,14 +38,28 @@ def follow_groups(view: DataFrame, touched: DataFrame, make: Callable[..., DataF
     return view.join(keys, key, "left_anti").select(*view.columns).unionByName(made.select(*view.columns))
 
 
+def standing(keys: DataFrame, key: str, n: int) -> tuple[DataFrame, Callable[[DataFrame], DataFrame], Callable[[DataFrame], DataFrame]]:
+    """A written table of keys for joins with rows of some buckets, what is done to the rows before, and to those with a key after.
+
+    Keys that may be broadcast leave the rows where they stand in their buckets' files, and only those with a key are dealt out. Others are dealt out with the rows.
+    """
+    deal, stay = lambda rows: rows.repartition(n, key), lambda rows: rows
+    return (F.broadcast(keys), stay, deal) if size_in_bytes(keys) <= BROADCAST_BYTES else (deal(keys), deal, stay)
+
+
 def follow_in_store(t: Transaction, store: Store, view: str, touched: DataFrame, make: Callable[..., DataFrame], *tables: str) -> list[int]:
     """The same over a store whose tables and view lie in buckets of one key, as part of the edit's own transaction; gives the buckets that were read and written.
 
-    Tables that the transaction has changed are seen as they are after that.
+    Tables that the transaction has changed are seen as they are after that. Buckets are followed some at a time; of these only the touched keys' rows are dealt out, by the key and once, and ``make`` groups and joins them where they are.
     """
     keys = materialise(touched.distinct(), "touched")
     some = store.buckets_of(view, keys, t.base)
     if some:
-        old = t.read(view, some)
-        t.replace_buckets(view, follow_groups(old, keys, make, *[t.read(n, some) for n in tables], key=keys.columns[0]), some)
+        key, n = store.layout(view, t.base)
+
+        def made(part: list[int]) -> DataFrame:
+            here, deal, then = standing(materialise(keys.where(bucket(F.col(key), n).isin(part)), "here"), key, n)
+            return follow_groups(deal(t.read(view, part)), here, lambda *rows: make(*[then(r) for r in rows]), *[deal(t.read(x, part)) for x in tables], key=key)
+
+        t.replace_buckets(view, made, some)
     return some

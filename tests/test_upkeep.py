@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shotledger.operators import incremental, measure, relations, views
-from shotledger.sources import documents, shared
+from shotledger.sources import documents, shared, tables
 from shotledger.sources.versions import Store
 from tests.test_operators import rows
 
@@ -125,3 +125,37 @@ def test_a_step_moves_its_rows_once(spark, monkeypatch, tmp_path):
     moves = photos.groupBy("job_id").agg({"photo_id": "min"}).selectExpr("`min(photo_id)` as photo_id", "cast(null as string) as cluster_id", "cast(null as int) as to_index")
     mutations.move_photos(clusters, photos, moves, photos["deleted_at"])
     assert seen["empty"].count("LeftAnti") == 1
+
+
+@pytest.mark.parametrize("most", [0, shared.BROADCAST_BYTES])
+def test_a_view_in_a_store_is_followed_where_its_rows_stand(spark, monkeypatch, most):
+    """Some buckets at a time; nothing is moved by photo or by bucket, and nothing but the first tables before it is written, if the touched jobs may be broadcast."""
+    from pyspark.sql import DataFrameWriter
+
+    from shotledger.plans import upkeep
+    from shotledger.sources import versions
+
+    d = "/root/testdata/sf0.001"
+    monkeypatch.setattr(versions, "AT_ONCE", 1)
+    monkeypatch.setattr(incremental, "BROADCAST_BYTES", most)
+    plans = []
+    real = DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path, *a, **k: plans.append((path, self._df._jdf.queryExecution().executedPlan().toString())) or real(self, path, *a, **k))
+    got = upkeep.followed_details(spark, d)
+    written = [p for path, p in plans if "/store/data/" in path]
+    # Four tables, then view, photos and view again by four of the sixteen buckets at a time.
+    assert len(written) == 4 + 3 * 4
+    assert not [p for p in written if "hashpartitioning(photo_id" in p or "hashpartitioning(_bucket" in p]
+    edited = written[8:12]
+    assert ["REPARTITION_BY_NUM" in p for p in edited] == [most == 0] * 4
+    live = tables.photos(spark, d).join(tables.jobs(spark, d), "job_id").where("deleted_at is null and not (order_index = 1 and user_id % 10 = 3)")
+    want = {r.job_id: r["count"] for r in live.groupBy("job_id").count().collect()}
+    assert {r.job_id: r.n_photos for r in got.collect() if r.n_photos} == want
+
+
+def test_a_bucket_is_the_part_that_its_rows_are_dealt_into(spark):
+    from shotledger.sources.versions import bucket
+
+    for key in ("id", "cast(id as string)", "cast(null as int)"):
+        rows = spark.range(500).selectExpr(f"{key} as k").repartition(7, "k")
+        assert rows.where(bucket(F.col("k"), 7) != F.spark_partition_id()).count() == 0
